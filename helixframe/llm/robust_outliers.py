@@ -86,13 +86,16 @@ def vectors(stats: DataFrame) -> DataFrame:
 
 
 def pooled(rows: DataFrame, min_rows: int) -> DataFrame:
-    """rows with `key`, the group whose estimate holds for it: language and source, or a pool."""
+    """rows with `key`, the group whose estimate holds for it: language and source, or a pool; null if all are too small."""
     said = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     keyed = rows.withColumns({"by_lang": F.concat(said("lang"), F.lit("\x01")), "by_both": F.concat(said("lang"), F.lit("\x01"), said("source"))})
     counts = keyed.where("not base_failed").groupBy("by_both", "by_lang").agg(F.count("*").alias("n"))
     small = F.sum(F.when(F.col("n") < min_rows, F.col("n"))).over(Window.partitionBy("by_lang"))  # a row for each source
     key = F.when(F.col("n") >= min_rows, F.col("by_both")).when(small >= min_rows, F.col("by_lang")).otherwise(F.lit("all"))
-    return keyed.join(counts.select("by_both", key.alias("key")), "by_both", "left").drop("by_both", "by_lang")
+    pools = counts.select("by_both", "n", key.alias("key"))
+    held = F.sum("n").over(Window.partitionBy("key"))  # a row for each language and source
+    pools = pools.select("by_both", F.when(held >= min_rows, F.col("key")).alias("key"))
+    return keyed.join(pools, "by_both", "left").drop("by_both", "by_lang")
 
 
 def scatter(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -168,8 +171,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     folder = shared_folder(docs.sparkSession)
     stats = written(vectors(statistics(docs, id_col, text_col, lang_col, source_col)), folder, "statistics")
     rows = written(pooled(stats, min_rows), folder, "pooled")
-    enough = rows.where("not base_failed").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_rows).select("key")
-    usable = rows.where("not base_failed").join(enough, "key", "left_semi")
+    usable = rows.where("not base_failed and key is not null")
     params, small = estimate(usable, folder)
     judged = distance(rows.join(F.broadcast(params) if small else params, "key", "left"))
     scaled = F.col("d2") * F.lit(CHI_MEDIAN) / F.greatest(F.exp((F.col("half") + 1) / F.lit(float(BINS))), F.lit(CHI_MEDIAN))
