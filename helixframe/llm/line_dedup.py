@@ -1,22 +1,22 @@
 """Operator 5, line dedup by winnowing over line hashes.
 
-Lines are hashed by their words. A window is the shortest run of lines from a line on that has
-LEAST_WORDS words, so one long line is a window too. Each window selects its minimum line hash (the
-rightmost of equal ones), and of the windows that select one line the first is kept; its content is
-a fingerprint. Any repeated run of LEAST_WORDS words holds a whole window and so shares a
-fingerprint. Fingerprints are joined with the place where each occurs first, in order of doc_id and
-line; the match is extended both ways as far as the lines agree, and the later run is deleted. The
-first place of a line's run is never deleted by it, so one copy of all content stays.
-
-A fingerprint carries the hashes of the lines before and after it, up to LEAST_WORDS words each
-way: a longer agreement holds a further window, which extends on its own. So rows stay bounded, the
-join is of a row per fingerprint and place with one row per fingerprint, and a line that a third of
-all documents have is counted before its shuffle and split by the skewed join.
+Lines are hashed by their words. The span of a line is the shortest run of lines from it on that has
+LEAST_WORDS words; a gram is the same with half as many. Of the grams within each span the one with
+the smallest hash is selected (the last of equal ones). What is selected depends on the span alone,
+so two places that share LEAST_WORDS words share a fingerprint: that is guaranteed, and only grams
+that occur twice go on. Their spans are joined, by content, with the first place of each in order of
+doc_id and line; matches are extended both ways as far as the lines agree, and the later run is
+deleted. The earliest place of any line is never deleted, so one copy of all content stays.
+
+A fingerprint carries the lines around it, less than LEAST_WORDS words beyond its spans each way: a
+longer agreement holds a further span, which extends on its own. So rows stay bounded, the join is
+of a row per span with one row per content, and a passage that a third of all documents have is
+counted before its shuffle and split by the skewed join.
 
 Defined results: blank lines are never deleted and do not interrupt a run; null text stays null and
 counts as no lines; rows that share doc_id and text are one document and are treated alike; a null
-doc_id comes before all others; extra columns are kept by the filter and ignored by the report.
-Whole texts are read; an empty table gives no rows.
+doc_id comes before all others; extra columns are kept by the filter (n_lines and n_deleted are
+replaced) and ignored by the report. Whole texts are read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ def line_hashes(text: str) -> tuple[list[int], list[int], list[int]]:
 
 
 def windows(words: list[int], least: int) -> list[int]:
-    """For each line the end (exclusive) of the window that begins there; shorter for lines without one."""
+    """For each line the end (exclusive) of the shortest run from it on with the least words; shorter for lines without one."""
     ends, end, total = [], 0, 0
     for start in range(len(words)):
         while end < len(words) and total < least:
@@ -61,45 +61,85 @@ def windows(words: list[int], least: int) -> list[int]:
     return ends
 
 
-def winnow(hashes: list[int], words: list[int], least: int = LEAST_WORDS) -> list[tuple[int, int]]:
-    """(start, end) of the first window of each selected line."""
-    out: dict[int, tuple[int, int]] = {}
-    for start, end in enumerate(windows(words, least)):
-        at = min(range(start, end), key=lambda i: (hashes[i], -i))
-        out.setdefault(at, (start, end))
-    return list(out.values())
+def content(hashes: list[int]) -> bytes:
+    return xxhash.xxh3_128_digest(np.array(hashes, "<i8").tobytes())
 
 
-def context(hashes: list[int], words: list[int], at: int, step: int, least: int) -> list[int]:
-    """Hashes of the lines from at on, in direction of step, until they have the least words."""
-    out, total = [], 0
-    while 0 <= at < len(hashes) and total < least:
-        out.append(hashes[at])
-        total += words[at]
-        at += step
-    return out
+def winnow(hashes: list[int], words: list[int], least: int = LEAST_WORDS) -> list[tuple[bytes, int, int]]:
+    """(gram's content, first and last line whose span selects it) of each selected gram.
+
+    Spans that follow each other and select the same gram share a row.
+    """
+    spans, grams = windows(words, least), windows(words, (least + 1) // 2)
+    keys = [content(hashes[i:e]) for i, e in enumerate(grams)]
+    out: list[list] = []
+    before = -1
+    for start, end in enumerate(spans):
+        inside = [i for i in range(start, end) if i < len(grams) and grams[i] <= end]
+        at = min(inside, key=lambda i: (keys[i], -i))
+        if at == before:
+            out[-1][2] = start
+        else:
+            out.append([keys[at], start, start])
+        before = at
+    return [tuple(x) for x in out]
+
+
+def around(words: list[int], start: int, end: int, least: int) -> tuple[int, int]:
+    """Lines from start to end widened each way until there are the least words beyond them."""
+    total = 0
+    while start > 0 and total < least:
+        start -= 1
+        total += words[start]
+    total = 0
+    while end < len(words) and total < least:
+        total += words[end]
+        end += 1
+    return start, end
 
 
 def fingerprints(docs: DataFrame, least: int) -> DataFrame:
-    """docs (id, digest, text) -> a row per selected window: fp, id, digest, first, size, before, after (over lines with words)."""
+    """docs (id, digest, text) -> a row per fingerprint: fp, id, digest, the lines lo..hi whose spans it stands for, and lines around."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        names = ("fp", "lo", "hi", "base", "hashes", "words")
         for batch in batches:
-            which, out = [], [[], [], [], [], []]
+            which, out = [], [[] for _ in kinds]
             for row, text in enumerate(batch.column(2)):
                 _, hashes, words = line_hashes(text.as_py() or "")
-                for start, end in winnow(hashes, words, least):
+                ends = windows(words, least)
+                for key, lo, hi in winnow(hashes, words, least):
+                    first, last = around(words, lo, ends[hi], least)
+                    which.append(row)
+                    for column, value in zip(out, (key, lo, hi, first, hashes[first:last], words[first:last])):
+                        column.append(value)
+            take = pa.array(which, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *[pa.array(c, k) for c, k in zip(out, kinds)]], names=["id", "digest", *names])
+
+    return docs.mapInArrow(run, f"id {kind}, digest binary, fp binary, lo int, hi int, base int, hashes array<bigint>, words array<int>")
+
+
+def spans_of(found: DataFrame, least: int) -> DataFrame:
+    """A row per span of the fingerprints: its content, id, digest, first line, size, and the hashes before (nearest first) and after."""
+    kind = found.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        for batch in batches:
+            which, out = [], [[] for _ in kinds]
+            for row, r in enumerate(batch.select(["lo", "hi", "base", "hashes", "words"]).to_pylist()):
+                ends = windows(r["words"], least)
+                for line in range(r["lo"], r["hi"] + 1):
+                    at = line - r["base"]
                     which.append(row)
-                    values = (xxhash.xxh3_128_digest(np.array(hashes[start:end], "<i8").tobytes()), start, end - start, context(hashes, words, start - 1, -1, least), context(hashes, words, end, 1, least))
-                    for column, value in zip(out, values):
+                    for column, value in zip(out, (content(r["hashes"][at : ends[at]]), line, ends[at] - at, r["hashes"][:at][::-1], r["hashes"][ends[at] :])):
                         column.append(value)
             take = pa.array(which, pa.int32())
-            kinds = (pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            columns = [pa.array(c, k) for c, k in zip(out, kinds)]
-            yield pa.RecordBatch.from_arrays([columns[0], batch.column(0).take(take), batch.column(1).take(take), *columns[1:]], names=["fp", "id", "digest", "first", "size", "before", "after"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("digest").take(take), *[pa.array(c, k) for c, k in zip(out, kinds)]], names=["id", "digest", "span", "first", "size", "before", "after"])
 
-    return docs.mapInArrow(run, f"fp binary, id {kind}, digest binary, first int, size int, before array<bigint>, after array<bigint>")
+    return found.mapInArrow(run, f"id {kind}, digest binary, span binary, first int, size int, before array<bigint>, after array<bigint>")
 
 
 def agreed(a: Column, b: Column) -> Column:
@@ -110,14 +150,16 @@ def agreed(a: Column, b: Column) -> Column:
 
 def repeated_runs(docs: DataFrame, least: int, folder: str) -> DataFrame:
     """(id, digest, runs): later repeated runs as array<struct<first, last>> over lines with words, last exclusive."""
-    found = written(fingerprints(docs, least).dropDuplicates(["id", "digest", "fp", "first"]), folder, "fingerprints")
-    place = F.struct(F.col("id").isNotNull().alias("known"), "id", "digest", "first", "size", "before", "after")
-    firsts = found.groupBy("fp").agg(F.min(place).alias("f"), F.count("*").alias("n")).where("n > 1").select("fp", "f")
-    met = found.join(firsts, "fp")
-    met = met.where(~(F.col("id").eqNullSafe(F.col("f.id")) & (F.col("digest") == F.col("f.digest")) & (F.col("first") == F.col("f.first"))))
-    start = F.col("first") - agreed(F.col("before"), F.col("f.before"))
-    end = F.col("first") + F.col("size") + agreed(F.col("after"), F.col("f.after"))
-    return met.groupBy("id", "digest").agg(F.collect_list(F.struct(start.alias("first"), end.alias("last"))).alias("runs"))
+    found = written(fingerprints(docs, least), folder, "fingerprints")
+    twice = found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    spans = written(spans_of(found.join(twice, "fp", "left_semi"), least), folder, "spans")
+    place = F.struct(F.col("id").isNotNull().alias("known"), "id", "digest", "first")
+    own = F.struct("before", "after")
+    firsts = spans.groupBy("span").agg(F.min(F.struct(place.alias("p"), own.alias("c"))).alias("f"), F.count("*").alias("n")).where("n > 1").select("span", "f.p", "f.c")
+    met = spans.join(firsts, "span").where(~(F.col("id").eqNullSafe(F.col("p.id")) & (F.col("digest") == F.col("p.digest")) & (F.col("first") == F.col("p.first"))))
+    start = F.col("first") - agreed(F.col("before"), F.col("c.before"))
+    end = F.col("first") + F.col("size") + agreed(F.col("after"), F.col("c.after"))
+    return met.groupBy("id", "digest").agg(F.collect_set(F.struct(start.alias("first"), end.alias("last"))).alias("runs"))
 
 
 def without(text: str | None, runs: list[dict] | None) -> tuple[str | None, int, int]:
