@@ -37,16 +37,15 @@ def transform(name: str, df: DataFrame, arg_map: dict | None = None, **options)
     key = snake_case(name)
     if key not in _transformers:
         raise ValueError(f"No transformer with name {name}")
-    given = {snake_case(k): _plain(v) for k, v in {**(arg_map or {}), **options}.items()}
+    given = {k if k.startswith("env_") else snake_case(k): _plain(v) for k, v in {**(arg_map or {}), **options}.items()}
     return _transformers[key](df, **given)
 
 
 def _pipe(df: DataFrame, cmd, **options) -> DataFrame:
-    # names of environment variables keep their case
     env = {k[4:]: str(options.pop(k)) for k in [k for k in options if k.startswith("env_")]}
     cmd = json.loads(cmd) if isinstance(cmd, str) else cmd
     known = {k: v for k, v in options.items() if k not in ("in_validation_stringency", "out_validation_stringency")}
-    return pipe(df, list(cmd), env={**env, **{k.upper(): v for k, v in env.items()}}, **known)
+    return pipe(df, list(cmd), env=env, **known)
 
 
 def _split(df: DataFrame, split_info_fields=None) -> DataFrame:
