@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from helixframe.sources.files import opened
 
+#: Bytes up to which a file without an index is indexed by reading it.
+SMALL = 256 << 20
 _COMPLEMENT = str.maketrans("ACGTNacgtn", "TGCANtgcan")
 
 
@@ -17,10 +19,28 @@ class Fasta:
             raise ValueError("compressed reference sequences are not supported")
         self.file = opened(path)
         self.index: dict[str, tuple[int, int, int, int]] = {}
-        with opened(path + ".fai") as f:
-            for line in f.read().decode().splitlines():
-                name, length, offset, bases, width = line.split("\t")[:5]
-                self.index[name] = int(length), int(offset), int(bases), int(width)
+        try:
+            with opened(path + ".fai") as f:
+                for line in f.read().decode().splitlines():
+                    name, length, offset, bases, width = line.split("\t")[:5]
+                    self.index[name] = int(length), int(offset), int(bases), int(width)
+        except FileNotFoundError:
+            if self.file.size() > SMALL:
+                raise
+            self._scan()
+
+    def _scan(self) -> None:
+        """The index of a small file, from its lines."""
+        name, at = None, 0
+        for line in self.file.read().splitlines(keepends=True):
+            at += len(line)
+            bases = line.rstrip(b"\r\n")
+            if line.startswith(b">"):
+                name = bases[1:].split()[0].decode()
+                self.index[name] = 0, at, 1, 1
+            elif name is not None and bases:
+                length, offset, per, width = self.index[name]
+                self.index[name] = (length + len(bases), offset, per, width) if length else (len(bases), offset, len(bases), len(line))
 
     @classmethod
     def of(cls, path: str) -> "Fasta":

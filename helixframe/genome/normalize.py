@@ -65,6 +65,4 @@ def normalize(contig: str, start: int, end: int, ref: str | None, alts: list[str
         at -= len(pad)
     left = shared_start(alleles)
     alleles = [a[left:] for a in alleles]
-    new_start, new_end = at + left, at + left + len(alleles[0])
-    changed = new_start != start or alleles[0] != ref
-    return Normalized(new_start, new_end, alleles[0], alleles[1:], changed)
+    return Normalized(at + left, end - trimmed, alleles[0], alleles[1:], trimmed > 0 or left > 0)

@@ -34,17 +34,14 @@ def lift_variant(contig: str, start: int, end: int, ref: str, alts: list[str], c
     if at.negative:
         if not all(_bases(a) for a in [ref, *alts]):
             return fail(CANNOT_REVERSE)
-        indel = any(len(a) != len(ref) for a in alts)
-        if indel:
-            # the first base anchors the alleles; on the other strand the base before them does
-            head = fasta.bases(at.contig, at.start - 1, at.start)
-            ref, alts = head + reverse_complement(ref[1:]), [head + reverse_complement(a[1:]) for a in alts]
-            new_start, new_end = at.start - 1, at.end - 1
-        else:
-            ref, alts = reverse_complement(ref), [reverse_complement(a) for a in alts]
-        if indel:
+        ref, alts = reverse_complement(ref), [reverse_complement(a) for a in alts]
+        if any(len(a) != 1 for a in [ref, *alts]):
+            if fasta.bases(at.contig, new_start, new_end) != ref.upper():
+                return fail(CANNOT_REVERSE)
+            # what anchored the alleles on the left now does on the right
             n = normalize(at.contig, new_start, new_end, ref, alts, fasta)
-            new_start, new_end, ref, alts = n.start, n.end, n.ref, n.alts
+            new_start, ref, alts = n.start, n.ref, n.alts
+            new_end = new_start + len(ref)
     there = fasta.bases(at.contig, new_start, new_end)
     swapped = False
     if there != ref.upper():
