@@ -23,7 +23,7 @@ def kept_likelihoods(ploidy: Column, allele: Column) -> Column:
     before by a factor; for two copies these are 0, a(a+1)/2 and a(a+1)/2 + a.
     """
     p, a = ploidy.cast("long"), allele.cast("long")
-    rise = lambda n: F.aggregate(F.sequence(F.lit(1).cast("long"), n), F.lit(1).cast("long"), lambda s, i: F.floor(s * (a - 1 + i) / i))
+    rise = lambda n: F.aggregate(F.sequence(F.lit(1).cast("long"), n), F.lit(1).cast("long"), lambda s, i: F.call_function("div", s * (a - 1 + i), i))
     # the t largest slots hold the allele: slot i of them adds comb(allele - 1 + i, i)
     slots = F.transform(F.sequence(F.lit(0).cast("long"), p), lambda t: F.when(t == 0, F.lit(0).cast("long")).otherwise(F.aggregate(F.sequence(p - t + 1, p), F.lit(0).cast("long"), lambda s, i: s + rise(i))))
     diploid = F.array(F.lit(0).cast("long"), F.floor(a * (a + 1) / 2), F.floor(a * (a + 1) / 2) + a)
@@ -41,9 +41,9 @@ def split_multiallelics(df: DataFrame, split_info_fields: list[str] | None = Non
     many = F.size("alternateAlleles") > 1
     old = F.when(many, F.concat_ws(":", "contigName", (F.col("start") + 1).cast("string"), F.concat_ws("/", "referenceAllele", "alternateAlleles")))
     marked = df.withColumns({"splitFromMultiAllelic": F.coalesce(many, F.lit(False)), "INFO_OLD_MULTIALLELIC": old})
-    each = marked.select("*", F.posexplode("alternateAlleles").alias("__alt", "__allele"))
+    each = marked.select("*", F.size("alternateAlleles").alias("__n_alts"), F.posexplode("alternateAlleles").alias("__alt", "__allele"))
     index, split = F.col("__alt"), F.col("splitFromMultiAllelic")
-    n_alts = F.size("alternateAlleles")
+    n_alts = F.col("__n_alts")
     out = {name: F.when(split & (F.size(name) == n_alts), F.array(F.get(F.col(name), index))).otherwise(F.col(name)) for name in info}
     if "genotypes" in df.columns:
         kind = df.schema["genotypes"].dataType.elementType

@@ -48,7 +48,8 @@ class LogisticRidgeRegression(LastLevel):
     def __init__(self, reduced_block_df: DataFrame, label_df: pd.DataFrame, sample_blocks: dict[str, list[str]], cov_df: pd.DataFrame = pd.DataFrame({}), add_intercept: bool = True, alphas: list[float] = [], label_type: str = "binary") -> None:
         super().__init__(reduced_block_df, label_df, sample_blocks, cov_df, add_intercept, alphas, "binary")
 
-    def score(self, xb: np.ndarray, y: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def score(xb: np.ndarray, y: np.ndarray) -> np.ndarray:
         p = sigmoid(xb)
         return -(y * np.log(p + EPS) + (1 - y) * np.log(1 - p + EPS)).mean(0)
 

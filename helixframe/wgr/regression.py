@@ -28,7 +28,8 @@ class LastLevel(Stack):
         out.std_covariates = reduction.std_covariates
         return out
 
-    def score(self, xb: np.ndarray, y: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def score(xb: np.ndarray, y: np.ndarray) -> np.ndarray:
         return 1 - ((y - xb) ** 2).sum(0) / ((y - y.mean()) ** 2).sum()
 
     def scored(self, labels: pd.DataFrame) -> DataFrame:
