@@ -4,16 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe import functions as fx
+from helixframe.functions.genome import lift_over_coordinates
+from helixframe.functions.regression import linear_regression_gwas, logistic_regression_gwas
+from helixframe.gwas import linear_regression, logistic_regression
 from helixframe.operators.blocks import block_variants_and_samples
 from helixframe.operators.overlap_join import left_overlap_join, left_semi_overlap_join
+from helixframe.operators.pipe import pipe
 from helixframe.operators.sample_stats import merge_variants, sample_call_summary_stats, sample_dp_summary_stats, sample_gq_summary_stats
 from helixframe.operators.split_multiallelics import split_multiallelics
 from helixframe.plans import derived
 from helixframe.plans.derived import INTERVALS_SQL, table, variants
+from helixframe.sources import read_bgen, read_gff, read_vcf, write_bigbgen, write_vcf
+from helixframe.sources.files import shared_folder, write_text
+from helixframe.wgr import RidgeReduction
+from helixframe.wgr import block_variants_and_samples as wgr_blocks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -263,3 +273,129 @@ def vector_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def binomials(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_size") % 30
     return table(spark, sf_dir, "part").select("p_partkey", k.alias("k"), fx.comb(F.lit(30), k).alias("n"))
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> tuple[pd.DataFrame, list[str]]:
+    """Phenotype and covariate of the samples, at most derived.SAMPLES rows."""
+    rows = table(spark, sf_dir, "supplier").where(f"s_suppkey < {derived.SAMPLES}").orderBy("s_suppkey").select("s_suppkey", "s_acctbal", "s_nationkey").collect()
+    ids = [f"S{r['s_suppkey']}" for r in rows]
+    frame = pd.DataFrame({"balance": [float(r["s_acctbal"]) for r in rows], "nation": [float(r["s_nationkey"]) for r in rows]}, index=ids)
+    frame["high"] = (frame["balance"] > frame["balance"].median()).astype(float)
+    return frame, ids
+
+
+def _dosages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants whose filled genotype states differ, with them as values."""
+    values = variants(spark, sf_dir).withColumn("values", fx.mean_substitute(fx.genotype_states("genotypes")))
+    return values.where(F.size(F.array_distinct("values")) > 1)
+
+
+FITTED = G + f""", s AS (
+  SELECT key, contigName, start, pos, CASE WHEN c1 < 0 OR c2 < 0 THEN NULL ELSE CAST(c1 + c2 AS DOUBLE) END AS x FROM g
+), f AS (
+  SELECT key, contigName, start, coalesce(x, avg(x) OVER (PARTITION BY key)) AS x, CAST(s_acctbal AS DOUBLE) AS y, CAST(s_nationkey AS DOUBLE) AS c
+  FROM s JOIN supplier ON pos = s_suppkey WHERE s_suppkey < {derived.SAMPLES}
+), m AS (
+  SELECT *, x - avg(x) OVER (PARTITION BY key) AS dx, y - avg(y) OVER (PARTITION BY key) AS dy, c - avg(c) OVER (PARTITION BY key) AS dc FROM f
+), t AS (
+  SELECT contigName, start, count(*) AS n, count(DISTINCT x) AS kinds, sum(dx * dx) AS xx, sum(dy * dy) AS yy, sum(dc * dc) AS cc, sum(dx * dy) AS xy, sum(dx * dc) AS xc, sum(dy * dc) AS yc FROM m GROUP BY contigName, start
+), r AS (
+  SELECT contigName, start, n, xx - xc * xc / cc AS rx, yy - yc * yc / cc AS ry, xy - xc * yc / cc AS rxy FROM t WHERE kinds > 1
+), e AS (SELECT *, rxy / rx AS effect, sqrt((ry / rx - (rxy / rx) * (rxy / rx)) / (n - 3)) AS stderror FROM r)
+SELECT contigName, start, round(effect, 4) AS effect, round(stderror, 4) AS stderror, round(effect / stderror, 4) AS tvalue FROM e"""
+
+
+@query(FITTED)
+def linear_regression_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame, _ = _samples(spark, sf_dir)
+    rows = _dosages(spark, sf_dir).select("contigName", "start", "values")
+    tested = linear_regression(rows, frame[["balance"]], frame[["nation"]])
+    return tested.select("contigName", "start", *[F.round(c, 4).alias(c) for c in ("effect", "stderror", "tvalue")])
+
+
+@query(FITTED.replace(", round(effect / stderror, 4) AS tvalue", ""))
+def linear_regression_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame, _ = _samples(spark, sf_dir)
+    covariates = np.column_stack([np.ones(len(frame)), frame["nation"]])
+    rows = _dosages(spark, sf_dir).withColumn("y", F.lit(frame["balance"].tolist()))
+    tested = rows.select("contigName", "start", linear_regression_gwas("values", "y", covariates).alias("r"))
+    return tested.select("contigName", "start", F.round("r.beta", 4).alias("effect"), F.round("r.standardError", 4).alias("stderror"))
+
+
+@query()
+def logistic_regression_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame, _ = _samples(spark, sf_dir)
+    rows = _dosages(spark, sf_dir).select("contigName", "start", "values")
+    return logistic_regression(rows, frame[["high"]], frame[["nation"]], correction="approx-firth")
+
+
+@query()
+def logistic_regression_lrt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _logistic(spark, sf_dir, "LRT")
+
+
+@query()
+def logistic_regression_firth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _logistic(spark, sf_dir, "Firth")
+
+
+def _logistic(spark: SparkSession, sf_dir: str, test: str) -> DataFrame:
+    frame, _ = _samples(spark, sf_dir)
+    rows = _dosages(spark, sf_dir).withColumn("y", F.lit(frame["high"].tolist()))
+    tested = rows.select("contigName", "start", logistic_regression_gwas("values", "y", np.ones((len(frame), 1)), test).alias("r"))
+    return tested.select("contigName", "start", "r.beta", "r.oddsRatio", "r.pValue")
+
+
+@query()
+def ridge_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame, ids = _samples(spark, sf_dir)
+    blocks, samples = wgr_blocks(_dosages(spark, sf_dir), ids, 50, 4)
+    reduced = RidgeReduction(blocks, frame[["balance"]], samples, alphas=[1.0, 100.0]).fit_transform()
+    return reduced.select("header", "header_block", "sample_block", "size", "sort_key", "alpha", "label")
+
+
+@query("SELECT p_partkey, upper(p_name) AS name FROM part")
+def pipe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "part").select(F.concat_ws("\t", F.col("p_partkey").cast("string"), "p_name").alias("line"))
+    out = pipe(lines, ["tr", "a-z", "A-Z"])
+    parts = F.split("text", "\t")
+    return out.select(F.get(parts, F.lit(0)).cast("long").alias("p_partkey"), F.get(parts, F.lit(1)).alias("name"))
+
+
+@query(G + "SELECT contigName, start, start + length(ref) AS \"end\", ref AS referenceAllele, array_to_string(alts, ',') AS alts, count(*) AS n, CAST(sum(c1) AS BIGINT) AS s1, CAST(sum(coalesce(depth, 0)) AS BIGINT) AS depth FROM g GROUP BY ALL")
+def vcf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark)
+    write_vcf(variants(spark, sf_dir), path)
+    add = lambda f: F.aggregate(F.transform("genotypes", f), F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x, F.lit(0)))
+    return read_vcf(spark, path).select("contigName", "start", "end", "referenceAllele", F.array_join("alternateAlleles", ",").alias("alts"), F.size("genotypes").cast("long").alias("n"), add(lambda g: F.get(g["calls"], F.lit(0))).alias("s1"), add(lambda g: g["depth"]).alias("depth"))
+
+
+@query(G + "SELECT contigName, start, ref AS referenceAllele, count(*) AS n, CAST(sum(CASE WHEN c1 < 0 OR c2 < 0 THEN -2 WHEN len(alts) = 1 THEN c1 + c2 ELSE 0 END) AS BIGINT) AS total FROM g WHERE len(alts) = 1 GROUP BY ALL")
+def bgen_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark) + ".bgen"
+    one = variants(spark, sf_dir).where(F.size("alternateAlleles") == 1)
+    p = lambda g: F.when(F.exists(g["calls"], lambda c: c < 0), F.array().cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: (F.aggregate(g["calls"], F.lit(0), lambda s, c: s + c) == k).cast("double")))
+    rows = one.select("contigName", "start", "end", F.array(F.lit("v"), F.lit("r")).alias("names"), "referenceAllele", "alternateAlleles", F.transform("genotypes", lambda g: F.struct(g["sampleId"].alias("sampleId"), F.lit(False).alias("phased"), F.lit(2).alias("ploidy"), p(g).alias("posteriorProbabilities"))).alias("genotypes"))
+    write_bigbgen(rows, path)
+    total = F.aggregate(F.flatten("genotypes.calls"), F.lit(0).cast("long"), lambda s, c: s + c)
+    return read_bgen(spark, path).select("contigName", "start", "referenceAllele", F.size("genotypes").cast("long").alias("n"), total.alias("total"))
+
+
+@query("SELECT 'part' || CAST(p_partkey AS VARCHAR) AS id, p_brand AS brand, CAST(p_size AS VARCHAR) AS size, p_partkey * 10 AS start, p_partkey * 10 + p_size AS \"end\" FROM part")
+def gff_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark)
+    key = F.col("p_partkey")
+    tags = F.concat(F.lit("ID=part"), key.cast("string"), F.lit(";Brand="), "p_brand", F.lit(";Size_="), F.col("p_size").cast("string"))
+    line = F.concat_ws("\t", F.lit("chr1"), F.lit("parts"), F.lit("gene"), (key * 10 + 1).cast("string"), (key * 10 + F.col("p_size")).cast("string"), F.lit("."), F.lit("+"), F.lit("."), tags)
+    table(spark, sf_dir, "part").select(line.alias("value")).write.text(path)
+    return read_gff(spark, path).select("id", F.col("Brand").alias("brand"), F.col("Size_").alias("size"), "start", "end")
+
+
+@query("SELECT p_partkey, p_partkey * 50 + 700 AS start, p_partkey * 50 + 701 AS \"end\" FROM part WHERE p_partkey * 50 + 1 <= 400000")
+def lift_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinates of parts through a chain of one block that moves 400,000 bases by 700."""
+    path = shared_folder(spark) + ".chain"
+    write_text(path, "chain 1 one 400000 + 0 400000 two 400700 + 700 400700 1\n400000\n")
+    at = F.col("p_partkey") * 50
+    lifted = table(spark, sf_dir, "part").select("p_partkey", lift_over_coordinates(F.lit("one"), at, at + 1, path).alias("l"))
+    return lifted.where("l is not null").select("p_partkey", "l.start", "l.end")

@@ -1,13 +1,16 @@
-"""Reading GFF3 and GTF annotations as a plain DataFrame over Spark's csv source."""
+"""Reading GFF3 and GTF annotations as a projection of text lines."""
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Fixed columns of a GFF line, and the official attribute tags with their types, in the order of columns.
-COLUMNS = "seqId string, source string, type string, start long, end long, score double, strand string, phase int, attributes string"
+FIELDS = {"seqId": "string", "source": "string", "type": "string", "start": "long", "end": "long", "score": "double", "strand": "string", "phase": "int", "attributes": "string"}
 OFFICIAL = {
     "id": "string", "name": "string", "alias": "array<string>", "parent": "array<string>", "target": "string", "gap": "string", "derivesfrom": "string",
     "note": "array<string>", "dbxref": "array<string>", "ontologyterm": "array<string>", "iscircular": "boolean",
@@ -18,14 +21,17 @@ def read_gff(spark: SparkSession, path: str | list[str], schema: T.StructType |
     """Features with a column per attribute tag.
 
     Tags are matched without regard to case and underscores; official ones come first with their
-    types, others follow by name as strings. start is made 0-based. Comments, malformed lines and
-    sequences at the end are dropped, "." is null. A schema chooses columns and may keep attributes.
+    types, others follow by name as strings. start is made 0-based. Comments, lines
+    that are not nine columns of the right types and sequences at the end are dropped, "." is null. A schema chooses columns and may keep attributes.
     """
-    raw = spark.read.schema(COLUMNS).option("sep", "\t").option("comment", "#").option("mode", "DROPMALFORMED").option("nullValue", ".").option("columnPruning", "false").option("quote", "").csv(path)
-    first, *others = raw.columns
-    raw = raw.where(F.coalesce(*[F.col(c).cast("string") for c in others]).isNotNull())
+    parts = F.split("value", "\t")
+    lines = spark.read.text(path).where(~F.startswith("value", F.lit("#")) & (F.size(parts) == len(FIELDS)))
+    known = [F.when(~F.get(parts, F.lit(i)).isin(".", ""), F.get(parts, F.lit(i))) for i in range(len(FIELDS))]
+    raw = lines.select(*[c.try_cast(kind).alias(name) for c, (name, kind) in zip(known, FIELDS.items())], *[(c.isNotNull() & c.try_cast(kind).isNull()).alias(f"__bad_{name}") for c, (name, kind) in zip(known, FIELDS.items()) if kind != "string"])
+    bad = [c for c in raw.columns if c.startswith("__bad_")]
+    raw = raw.where(~functools.reduce(operator.or_, map(F.col, bad))).drop(*bad)
     plain = lambda c: F.lower(F.regexp_replace(c, "_", ""))
-    parts = F.filter(F.transform(F.split("attributes", ";"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split("attributes", ";"), lambda x: F.trim(x)), lambda x: x != "")
     gtf = lambda x: F.when(F.contains(x, F.lit("=")), F.split(x, "=", 2)).otherwise(F.split(F.regexp_replace(x, '"', ""), " ", 2))
     entries = F.transform(F.transform(parts, gtf), lambda p: F.struct(plain(F.trim(F.get(p, F.lit(0)))).alias("k"), F.trim(F.get(p, F.lit(1))).alias("v")))
     tagged = raw.withColumn("start", F.col("start") - 1).withColumn("__tags", entries)
