@@ -156,6 +156,7 @@ def repeated_runs(docs: DataFrame, least: int, folder: str) -> DataFrame:
     place = F.struct(F.col("id").isNotNull().alias("known"), "id", "digest", "first")
     own = F.struct("before", "after")
     firsts = spans.groupBy("span").agg(F.min(F.struct(place.alias("p"), own.alias("c"))).alias("f"), F.count("*").alias("n")).where("n > 1").select("span", "f.p", "f.c")
+    firsts = written(firsts, folder, "firsts")  # a table of its own, so that Spark can split the join of a hot span
     met = spans.join(firsts, "span").where(~(F.col("id").eqNullSafe(F.col("p.id")) & (F.col("digest") == F.col("p.digest")) & (F.col("first") == F.col("p.first"))))
     start = F.col("first") - agreed(F.col("before"), F.col("c.before"))
     end = F.col("first") + F.col("size") + agreed(F.col("after"), F.col("c.after"))
