@@ -51,7 +51,7 @@ def propagate(linked: DataFrame, shards: int, cap: float, rounds: int, folder: s
         order = F.struct((-F.col("c")).alias("c"), F.xxhash64("grp", "shard").alias("h"), F.col("shard"))
         best = per.groupBy("grp", "n").agg(F.sort_array(F.collect_list(order)).alias("best"))  # shards at most
         need = F.least(F.ceil(F.col("n") / F.lit(cap)), F.size("best")).cast("int")
-        best = best.select("grp", F.slice("best.shard", F.lit(1), need).alias("best"))
+        best = written(best.select("grp", F.slice("best.shard", F.lit(1), need).alias("best")), folder, f"best_{k}")
         wish = state.join(best, "grp")
         aim = F.element_at("best", (F.pmod(F.xxhash64("row"), F.size("best")) + 1).cast("int"))
         wish = wish.withColumn("to", F.when(F.array_contains("best", F.col("shard")), F.col("shard")).otherwise(aim)).drop("best")
@@ -119,7 +119,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     first = F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).cast("int")
     base = written(base.withColumn("shard", first), folder, "base")
     total = base.count()
-    groups = base.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1")
+    # tables of their own, so that Spark can split the joins of a hot group
+    groups = written(base.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"), folder, "groups")
     linked = base.join(groups, "grp").select("row", "grp", "n", "shard")
     moved = propagate(linked, shards, max(1.0, total / shards), rounds, folder)
     placed = base.join(moved.select("row", F.col("shard").alias("to")), "row", "left")
