@@ -30,7 +30,7 @@ from helixframe.llm.common import fresh, partitions
 NGRAM, SLOTS, HASHES = 4, 1 << 20, 3
 #: Documents of a language that training reads at most (chosen by a hash of their text), and the
 #: share of them that must hold an n-gram.
-MOST_DOCS, LEAST_SHARE = 5_000, 0.004
+MOST_DOCS, LEAST_SHARE = 5_000, 0.05
 #: Code points handled at once.
 PIECE = 1 << 20
 SPACE = 32
@@ -184,9 +184,11 @@ def identify_languages(df: DataFrame, filters: LanguageFilters, id_col: str = "d
     return said.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
-def keep_languages(df: DataFrame, filters: LanguageFilters, text_col: str = "text", least_score: float = 0.3, languages: list[str] | None = None) -> DataFrame:
-    """df without rows whose language cannot be told (und, or a score under least_score) or is not asked for."""
+def keep_languages(df: DataFrame, filters: LanguageFilters, text_col: str = "text", least_score: float = 0.0, languages: list[str] | None = None) -> DataFrame:
+    """df without rows whose language cannot be told (und, or all languages equally likely), scores under least_score, or languages not asked for."""
     p = fresh(df, "lang")
     said = df.withColumn(p, predictor(df.sparkSession, filters)(F.col(text_col)))
-    ok = (F.col(f"{p}.lang") != "und") & (F.col(f"{p}.score") >= least_score)
+    n = len(filters.languages)
+    even = 1 / n + 1e-9 if n > 1 else 0.0  # the score of a text without any known n-gram
+    ok = (F.col(f"{p}.lang") != "und") & (F.col(f"{p}.score") >= max(least_score, even))
     return said.where(ok & F.col(f"{p}.lang").isin(languages) if languages else ok).drop(p)
