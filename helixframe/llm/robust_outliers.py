@@ -27,10 +27,10 @@ WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 #: Rows that a group needs for an estimate of its own; share of the rows in the nearest subset.
 MIN_ROWS, NEAREST = 200, 0.6
 STEPS_FIRST, STEPS_LAST = 2, 3
-#: Chi-square with five degrees of freedom: the median, and the cutoff of one in a million.
-CHI_MEDIAN, CUTOFF = 4.351, 35.888
-#: Standard deviations that are added to each statistic's own, so constant statistics have a scale.
-FLOORS = (0.25, 0.25, 0.05, 0.1, 0.1)
+#: Chi-square with five degrees of freedom: the median, and the cutoff of one in a thousand.
+CHI_MEDIAN, CUTOFF = 4.351, 20.515
+#: Standard deviations added to each statistic's own: a scale for constant statistics, and a wide one for those that clean texts differ in.
+FLOORS = (1.0, 0.25, 0.06, 0.25, 0.2)
 DIMS = len(FLOORS)
 X = [f"x{i}" for i in range(DIMS)]
 #: Bins of a distance: so many to a factor of e.
