@@ -21,7 +21,7 @@ def test_sql_functions(spark):
 
 def test_reader(spark, tmp_path):
     (tmp_path / "a.vcf").write_text("##fileformat=VCFv4.2\n##FORMAT=<ID=GT,Number=1,Type=String,Description=\"G\">\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts\n1\t5\t.\tA\tC\t.\t.\t.\tGT\t0/1\n")
-    df = hf.reader(spark).format("com.databricks.vcf").option("includeSampleIds", "false").options(useTabixIndex=True).load(str(tmp_path / "a.vcf"))
+    df = hf.reader(spark).format("com.example.vcf").option("includeSampleIds", "false").options(useTabixIndex=True).load(str(tmp_path / "a.vcf"))
     assert df.first().genotypes[0].calls == [0, 1] and df.schema["genotypes"].dataType.elementType.fieldNames() == ["phased", "calls"]
     with pytest.raises(ValueError):
         hf.reader(spark).format("hail")
