@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import ascii_lower, fresh
+from helixframe.llm.common import ascii_lower, fresh, shared_folder, written
 
 #: Characters between words: ASCII without letters and digits (after lower-casing).
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -106,7 +106,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", n:
     found = hits(docs, items, [digest.alias("digest")], text_col, n, all_rows=False)
     key = fresh(docs, "digest")
     if remove == "documents":
-        bad = found.select(F.col("digest").alias(key)).distinct()
+        bad = written(found.select(F.col("digest").alias(key)).distinct(), shared_folder(docs.sparkSession), "contaminated")  # found once
         bad = F.broadcast(bad) if bad.count() <= broadcast_rows else bad
         return docs.withColumn(key, digest).join(bad, key, "left_anti").drop(key)
     spans = fresh(docs, "spans")
