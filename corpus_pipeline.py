@@ -12,7 +12,7 @@ from helixframe.llm.common import shared_folder, table, written
 from helixframe.llm.decontamination import decontaminate
 from helixframe.llm.label_sharding import shard_documents
 from helixframe.llm.language_id import held_out, keep_languages, train
-from helixframe.llm.simhash_dedup import drop_near_duplicates
+from helixframe.llm.similar_texts import drop_similar_texts
 from helixframe.llm.source_mixing import mix
 
 
@@ -22,8 +22,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
-    return drop_near_duplicates(docs)
+    """Keeps one document of each group of texts whose five-word shingles are 0.8 similar or more."""
+    return drop_similar_texts(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ STAGES = [
     ("sharding", sharding),
 ]
 
-#: Language models, Hamming distances over hashes and label propagation have no SQL form.
+#: Language models, similarities of shingle sets and label propagation have no SQL form.
 ORACLE_SQL = None
 
 

@@ -179,7 +179,11 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Rows without an id stay only where their whole component has none (then all of them).
     """
-    found = near_duplicates(df, id_col, text_col)
+    return keep_least(df, near_duplicates(df, id_col, text_col), id_col)
+
+
+def keep_least(df: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """One row of df for each doc_id of found that is its component_id; all rows without an id where that is null."""
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
     key = fresh(df, "id")
     keep = written(keep.select(F.col("doc_id").alias(key), "n"), shared_folder(df.sparkSession), "kept")
