@@ -2,14 +2,17 @@
 
 Test items and documents are normalised alike: A-Z in lower case, words of letters, digits and
 non-ASCII characters. Ten consecutive words of an item, or a shorter item as a whole, are a window.
-The windows form a set that is broadcast when its counted rows are within a bound and shuffled
-beyond it; each document's windows are looked up in it. The join compares the windows' texts, so a
-hit is verified by itself, and runs of hits become spans.
+The windows form a set keyed by hashes of 64 bits. A document's windows are hashed by doubling, two
+words, four, eight and ten, and looked up in the set, which is broadcast when its counted rows are
+within a bound. Only where a hash is met are the window's words put together and compared, so each
+hit is verified, and runs of hits become spans. Beyond the bound a bit set of fixed size, broadcast
+instead, leaves few candidates, and these alone are shuffled.
 
 Defined results: null or empty texts have no words and no hits; null texts of items have no
-windows, null item_ids are not listed; repeated item rows count once; each input row gives one row
-(repeated rows repeat, a null doc_id stays null). Whole texts are scanned. Extra columns are ignored
-by the report; the filter and the span removal keep all columns as they are.
+windows, null item_ids are not listed; repeated item rows count once, items of equal text each; each
+input row gives one row (repeated rows repeat, a null doc_id stays null). Very long texts are scanned
+whole like any other. Extra columns are ignored by the report; the filter and the span removal keep
+all columns as they are.
 """
 
 from __future__ import annotations
@@ -23,8 +26,10 @@ from helixframe.llm.common import ascii_lower, fresh, shared_folder, written
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PIECE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x60\x7B-\x7F]*"
 NGRAM = 10
-#: Windows of a benchmark up to which their set is broadcast (about 100 bytes each).
+#: Windows of a benchmark up to which their set is broadcast (one text of about 100 bytes each).
 BROADCAST_WINDOWS = 1_000_000
+#: Words of 64 bits of the bit set beyond that.
+BIT_WORDS = 1 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -36,38 +41,105 @@ def ascii_lower_fast(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(ascii_lower(text))
 
 
-def windows_of(words: Column, n: Column, length: int) -> Column:
-    """The windows of so many words as array<struct<pos int, window string>>."""
-    starts = F.when(n >= length, F.sequence(F.lit(0), n - length)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(words, i + 1, length), " ").alias("window")))
+def after(hashes: Column, k: int) -> Column:
+    """The array from its k-th element on."""
+    return F.slice(hashes, F.lit(k + 1), F.greatest(F.size(hashes) - k, F.lit(0)))
+
+
+def paired(one: Column, two: Column) -> Column:
+    """The hash of both elements where both arrays have one."""
+    n = F.least(F.size(one), F.size(two))
+    return F.zip_with(F.slice(one, F.lit(1), n), F.slice(two, F.lit(1), n), lambda x, y: F.xxhash64(x, y))
+
+
+def with_windows(df: DataFrame, words: str, lengths: list[int], name: str) -> DataFrame:
+    """df with name_L for each length L: the hashes of all windows of L words, by their places.
+
+    Powers of two come from two halves, other lengths from the largest power and the rest.
+    """
+    columns = list(df.columns)
+    df = df.withColumn(f"{name}_1", F.transform(words, lambda w: F.xxhash64(w)))
+    have = {1}
+
+    def need(length: int) -> None:
+        nonlocal df
+        if length in have:
+            return
+        half = 1 << (length.bit_length() - 1)
+        half = half // 2 if half == length else half
+        need(half)
+        need(length - half)
+        df = df.withColumn(f"{name}_{length}", paired(F.col(f"{name}_{half}"), after(F.col(f"{name}_{length - half}"), half)))
+        have.add(length)
+
+    for length in sorted(lengths):
+        need(length)
+    return df.select(*columns, *[f"{name}_{length}" for length in lengths])
 
 
 def item_windows(items: DataFrame, n: int = NGRAM) -> DataFrame:
-    """Distinct windows with their length in words and the item_ids that hold them."""
+    """(item, window, len): the windows of each item, an item of under n words as a whole."""
     split = items.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
     split = split.withColumn("len", F.least(F.size("words"), F.lit(n)))
     starts = F.sequence(F.lit(1), F.size("words") - F.col("len") + 1)
-    each = split.select("item", "len", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("words", i, F.col("len")), " "))).alias("window"))
-    return each.groupBy("window", "len").agg(F.collect_set("item").alias("items"))
+    return split.select("item", "len", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("words", i, F.col("len")), " "))).alias("window")).distinct()
 
 
-def hits(docs: DataFrame, items: DataFrame, keys: list[Column], text_col: str = "text", n: int = NGRAM, broadcast_windows: int = BROADCAST_WINDOWS, all_rows: bool = True) -> DataFrame:
-    """The keys, n_words, and per occurring window (pos, len, items); with all_rows, a row of nulls for each document first."""
-    found = item_windows(items, n)
-    sizes = {r["len"]: r["n"] for r in found.groupBy("len").agg(F.count("*").alias("n")).collect()}  # n rows at most
-    if sum(sizes.values()) <= broadcast_windows:
-        found = F.broadcast(found)
-    base = docs.select(*keys, words_of(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
-    base = base.withColumn("n_words", F.size("words"))
-    parts = [windows_of(F.col("words"), F.col("n_words"), length) for length in sorted(sizes)]
-    kind = "array<struct<pos:int,window:string>>"
-    if all_rows or not parts:
-        parts.insert(0, F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("window"))).cast(kind))
+def window_set(windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """(window, window_len, window_hash): distinct windows with the hash that documents' windows of that length have."""
+    distinct = windows.select("window", F.col("len").alias("window_len")).distinct().withColumn("words", F.split("window", " "))
+    hashed = with_windows(distinct, "words", lengths, "h")
+    own = [F.when(F.col("window_len") == k, F.get(f"h_{k}", F.lit(0))) for k in lengths]
+    return hashed.select("window", "window_len", (F.coalesce(*own) if own else F.lit(None)).cast("long").alias("window_hash"))
+
+
+def bit_of(h: Column) -> tuple[Column, Column]:
+    """The word and the bit of a hash in the bit set."""
+    return F.pmod(F.shiftrightunsigned(h, 6), F.lit(BIT_WORDS)).cast("int"), F.pmod(h, F.lit(64)).cast("int")
+
+
+def maybe_in(windows: DataFrame, h: Column) -> Column:
+    """Whether the bit of the hash is set: false only for hashes that no window has. The set has BIT_WORDS words whatever the count of windows."""
+    word, bit = bit_of(F.col("window_hash"))
+    words = windows.select(word.alias("word"), bit.alias("bit")).distinct().groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    every = windows.sparkSession.range(BIT_WORDS).select(F.col("id").cast("int").alias("word")).join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0)).alias("bits"))
+    held = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("held"))  # one row of fixed size
+    word, bit = bit_of(h)
+    return F.getbit(F.get(held.scalar(), word), bit) == 1
+
+
+def hits(docs: DataFrame, windows: DataFrame, keys: list[Column], text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS, all_rows: bool = True) -> DataFrame:
+    """The keys, n_words, and per occurring window (pos, len, window); with all_rows, a row of nulls for each document besides.
+
+    Each word's place gives a hash for each length that items have; words stay where they are, and
+    a window's text exists only where its hash is met. windows: item_windows, as a table.
+    """
+    sizes = {r["len"]: r["n"] for r in windows.groupBy("len").agg(F.count_distinct("window").alias("n")).collect()}  # a row for each length
+    lengths = sorted(sizes)
+    found = window_set(windows, lengths)
+    base = docs.select(*keys, words_of(F.coalesce(F.col(text_col), F.lit(""))).alias("words")).withColumn("n_words", F.size("words"))
     names = [c for c in base.columns if c != "words"]
-    each = base.select(*names, F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("at"))
-    each = each.select(*names, F.col("at.pos").alias("pos"), F.col("at.window").alias("window"))
-    met = each.join(found, "window", "left" if all_rows else "inner")
-    return met.where((F.col("pos") == -1) | F.col("len").isNotNull()) if all_rows else met
+    base = with_windows(base, "words", lengths, "h")
+    parts = [F.col(f"h_{k}") for k in lengths]
+    if all_rows or not parts:
+        parts.append(F.array(F.lit(None).cast("long")))
+    each = base.select(*names, "words", F.posexplode(F.concat(*parts)).alias("at", "hash"))
+    length, pos, before = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(0)
+    for k in lengths:
+        n = F.greatest(F.col("n_words") - (k - 1), F.lit(0))
+        inside = (F.col("at") >= before) & (F.col("at") < before + n)
+        length, pos = F.when(inside, k).otherwise(length), F.when(inside, F.col("at") - before).otherwise(pos)
+        before = before + n
+    text = F.array_join(F.slice("words", pos + 1, length), " ")
+    if sum(sizes.values()) <= broadcast_windows:
+        # two comparisons, as Spark takes an equality for a second key, which it would compute for every place
+        same = (F.col("hash") == F.col("window_hash")) & (text <= F.col("window")) & (text >= F.col("window"))
+        met = each.join(F.broadcast(found), same, "left" if all_rows else "inner").where("hash is null or window is not null")
+        return met.select(*names, pos.alias("pos"), F.col("window_len").alias("len"), "window")
+    alone = F.concat(F.lit("\0"), F.xxhash64(*names).cast("string"))  # no window: rows of nulls spread over all tasks
+    some = each.where(F.col("hash").isNull() | maybe_in(found, F.col("hash"))).select(*names, pos.alias("pos"), F.coalesce(text, alone).alias("key"), F.col("hash").isNull().alias("own"))
+    met = some.join(found.drop("window_hash"), F.col("key") == F.col("window"), "left").where("own or window is not null")
+    return met.select(*names, "pos", F.col("window_len").alias("len"), "window")
 
 
 def covered(spans: Column) -> Column:
@@ -85,32 +157,40 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     The rows are told apart by their place in the scan; one explode, one lookup and one aggregation
-    that is combined before its shuffle.
+    that is combined before its shuffle. Items are joined to a document's distinct windows afterwards.
     """
+    folder = shared_folder(docs.sparkSession)
+    windows = written(item_windows(items, n), folder, "windows")
     keys = [F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row")]
-    found = hits(docs, items, keys, text_col, n, broadcast_windows)
-    span = F.when(F.col("pos") >= 0, F.struct("pos", "len"))
-    per = found.groupBy("row", "doc_id", "n_words").agg(F.sort_array(F.collect_list(span)).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    n_hit = covered(F.col("spans")).cast("long")
-    listed = F.array_join(F.sort_array("items"), ",")
-    return per.select("doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", n: int = NGRAM, remove: str = "documents", broadcast_rows: int = 200_000) -> DataFrame:
+    found = hits(docs, windows, keys, text_col, broadcast_windows)
+    span = F.when(F.col("window").isNotNull(), F.struct("pos", "len"))
+    per = found.groupBy("row", "doc_id", "n_words").agg(F.sort_array(F.collect_set(span)).alias("spans"), F.collect_set("window").alias("windows"))
+    per = written(per.select("row", "doc_id", "n_words", F.size("spans").alias("n_spans"), covered(F.col("spans")).alias("n_hit"), "windows"), folder, "found")
+    held = windows.where("item is not null").select("window", "item")
+    held = F.broadcast(held) if held.count() <= broadcast_windows else held
+    each = per.where("n_spans > 0").select("row", F.explode("windows").alias("window")).join(held, "window").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    met = per.join(each, "row", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    listed = F.sha2(F.array_join("items", ","), 256)
+    return met.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("n_words", "n_hit")], F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), (F.col("n_spans") > 0).alias("contaminated"))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", n: int = NGRAM, remove: str = "documents", broadcast_rows: int = 200_000, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """docs without contaminated documents, or (remove="spans") without the hit words in them.
 
     Contamination depends on the text alone, so verdicts are joined by the text's digest: rows of
     equal texts share their fate, and nulls in other columns do not matter.
     """
+    folder = shared_folder(docs.sparkSession)
     digest = F.md5(F.col(text_col))
-    found = hits(docs, items, [digest.alias("digest")], text_col, n, all_rows=False)
+    found = hits(docs, written(item_windows(items, n), folder, "windows"), [digest.alias("digest")], text_col, broadcast_windows, all_rows=False)
     key = fresh(docs, "digest")
     if remove == "documents":
-        bad = written(found.select(F.col("digest").alias(key)).distinct(), shared_folder(docs.sparkSession), "contaminated")  # found once
+        bad = written(found.select(F.col("digest").alias(key)).distinct(), folder, "contaminated")  # found once
         bad = F.broadcast(bad) if bad.count() <= broadcast_rows else bad
         return docs.withColumn(key, digest).join(bad, key, "left_anti").drop(key)
     spans = fresh(docs, "spans")
-    cut = found.select(F.col("digest").alias(key), F.struct("pos", "len").alias("at")).distinct().groupBy(key).agg(F.collect_list("at").alias(spans))
+    cut = written(found.select(F.col("digest").alias(key), F.struct("pos", "len").alias("at")).distinct().groupBy(key).agg(F.collect_list("at").alias(spans)), folder, "cuts")
+    cut = F.broadcast(cut) if cut.count() <= broadcast_rows // 10 else cut
     met = docs.withColumn(key, digest).join(cut, key, "left")
     lead = F.regexp_extract(F.col(text_col), "^" + BETWEEN.removesuffix("+").replace("\\x60", "\\x40\\x5B-\\x60") + "*", 0)
     piece = PIECE.replace("\\x3A-\\x60", "\\x3A-\\x40\\x5B-\\x60")

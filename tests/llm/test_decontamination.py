@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from helixframe.llm.decontamination import contamination, decontaminate
+from helixframe.llm.decontamination import contamination, decontaminate, with_windows
 
 ITEMS = [(1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (2, "Short item here"), (3, "one"), (4, None), (5, "..."), (1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (10, "beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu")]
 
@@ -43,9 +43,17 @@ def test_matches_brute_force(make, items, bound):
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == brute(t, ITEMS), t
 
 
+def test_window_hashes_do_not_depend_on_what_is_around(spark):
+    df = spark.createDataFrame([(list("abcdefghijklm"),), (list("xcdefghijkl"),), ([],)], "words array<string>")
+    for k in range(1, 11):
+        one, two, none = (r[0] for r in with_windows(df, "words", [k], "h").select(f"h_{k}").collect())
+        assert (len(one), len(two), len(none)) == (14 - k, 12 - k, 0) and one[2:11 - k + 1] == two[1:11 - k]
+
+
 def test_removing_documents_and_spans(make, items):
     docs = make(TEXTS)
     kept = decontaminate(docs, items)
+    assert sorted(r.doc_id for r in decontaminate(docs, items, broadcast_windows=0, broadcast_rows=0).collect()) == sorted(r.doc_id for r in kept.collect())
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [i for i, t in enumerate(TEXTS) if not brute(t, ITEMS)[4]]
     cut = {r.doc_id: r.text for r in decontaminate(docs, items, remove="spans").collect()}
     assert cut[0] == "x end" and cut[1] == "a and more " and cut[2] == TEXTS[2] and cut[5] is None
