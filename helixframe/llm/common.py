@@ -5,13 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that separate words, as a regular expression class: space and U+0009 to U+000D.
 WHITE = r"[\x20\x09-\x0D]"
-#: Rows up to which a table of narrow rows (under about 100 bytes) may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Bytes of files that a task reads back.
+READ_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,16 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which the driver and all executors see.
 
-    Where that setting is absent (tests, a single machine), a local temporary folder takes its place.
+    Where that setting is absent, a temporary folder takes its place if the session runs on this machine
+    alone (tests); on a cluster that is an error, as executors would write where nobody else reads.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
-        else:
+        elif spark.sparkContext.master.startswith("local"):
             base = "file://" + tempfile.mkdtemp(prefix="helixframe-")
             spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if "://" not in base:
         base = base if base.startswith("file:") else "file://" + base
     return f"{base.rstrip('/')}/helixframe-{uuid.uuid4().hex}"
@@ -43,9 +46,17 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def maybe_broadcast(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if its counted rows are within the bound; else Spark shuffles it."""
-    return F.broadcast(df) if rows <= bound else df
+def dealt_by_bytes(index: DataFrame, chunk: Column, read_bytes: int = READ_BYTES) -> DataFrame:
+    """index (file, length, ..) with its chunk, dealt by file and chunk to as many tasks as its bytes ask for.
+
+    The count is explicit, so adaptive execution does not pack chunks together by the bytes of the index;
+    a small archive still occupies all cores.
+    """
+    spark = index.sparkSession
+    chunked = index.withColumn("chunk", chunk)
+    r = chunked.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.approx_count_distinct(F.struct("file", "chunk")).alias("chunks")).first()
+    n = max(1, -(-r["bytes"] // read_bytes), min(r["chunks"], 2 * spark.sparkContext.defaultParallelism))
+    return chunked.repartition(n, "file", "chunk")
 
 
 def fresh(df: DataFrame, stem: str) -> str:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import partitions, shared_folder, written
+from helixframe.llm.common import dealt_by_bytes, partitions, shared_folder, written
 
 #: Added to the rotated checksum, as the well-known record format does.
 MASK_DELTA = 0xA282EAD8
@@ -34,8 +34,8 @@ MASK_DELTA = 0xA282EAD8
 NULL_ID = -(2**63)
 #: Index entries of so many bytes of one file are read together.
 CHUNK_BYTES = 8 << 20
-#: Words that a worker remembers with their ids.
-CACHE_WORDS = 1_500_000
+#: Words that a worker remembers with their ids, and the characters of the longest one: about 200 MB at most.
+CACHE_WORDS, CACHE_CHARS = 1_000_000, 32
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -98,8 +98,9 @@ class WordEncoder:
             if len(self.held) > CACHE_WORDS:
                 self.held.clear()
             new = list({w for w in words if w not in self.held})
-            self.held.update(zip(new, self.whole(new)))
-            return b"".join(map(self.held.__getitem__, words))
+            ids = dict(zip(new, self.whole(new)))
+            self.held.update((w, x) for w, x in ids.items() if len(w) <= CACHE_CHARS)
+            return b"".join([ids[w] if w in ids else self.held[w] for w in words])
 
 
 def write_records(df: DataFrame, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> tuple[str, DataFrame]:
@@ -178,5 +179,5 @@ def read_records(spark: SparkSession, folder: str, index: DataFrame, chunk_bytes
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
     entry = F.struct("offset", "length", "start")
-    chunks = index.groupBy("file", "width", F.floor(F.col("offset") / chunk_bytes).alias("chunk")).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    chunks = dealt_by_bytes(index, F.floor(F.col("offset") / chunk_bytes)).groupBy("file", "chunk", "width").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
     return chunks.select("file", "width", "entries").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")

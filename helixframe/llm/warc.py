@@ -7,7 +7,8 @@ from: they select index rows, sort them, and read neighbouring records in one by
 
 Defined results: a null html is an empty payload; a null url has no target line; a null page_id is
 never the smallest unless all of its group are null, and then each is a response; rows that repeat
-the smallest page_id are responses each. Extra columns are ignored, an empty table gives no archive.
+the smallest page_id, and so tie, are responses each. Very long payloads are one record each, read back
+as one byte range. Extra columns are ignored, whatever their names, and an empty table gives no archive.
 Payloads under least_bytes are all responses.
 """
 
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import shared_folder, written
+from helixframe.llm.common import dealt_by_bytes, shared_folder, written
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A new archive file is begun beyond so many bytes.
@@ -163,6 +164,6 @@ def read_archives(spark: SparkSession, folder: str, index: DataFrame, chunk_byte
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
     entry = F.struct("offset", "length")
-    chunks = index.groupBy("file", F.floor(F.col("offset") / chunk_bytes).alias("chunk")).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    chunks = dealt_by_bytes(index, F.floor(F.col("offset") / chunk_bytes)).groupBy("file", "chunk").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
     return chunks.select("file", "entries").mapInArrow(read, schema)

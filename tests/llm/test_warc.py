@@ -39,3 +39,23 @@ def test_least_bytes_and_empty(spark):
     assert got == {1: "response", 2: "response", 3: "response", 4: "revisit"}
     folder, index = write_archives(spark.createDataFrame([], SCHEMA + ", shard int, digest string"))
     assert read_archives(spark, folder, index).count() == 0
+
+
+def test_long_payloads_ties_and_clashing_columns(spark):
+    long = "<p>ü " * 400_000
+    pages = [(1, "a", long, "x", 1), (2, "b", long, "y", 2), (1, "c", long, None, None), (3, None, "short", "z", 3)]
+    df = spark.createDataFrame(pages, SCHEMA + ", digest string, refers_to int")
+    folder, index = write_archives(df)
+    rows = read_archives(spark, folder, index).collect()
+    size = len(long.encode())
+    assert sorted((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in rows) == [(1, "response", None, size)] * 2 + [(2, "revisit", 1, size), (3, "response", None, 5)]
+
+
+def test_reading_back_is_dealt_by_bytes(spark):
+    folder, index = write_archives(spark.createDataFrame([(i, f"http://x/{i}", f"{i} " * 2000) for i in range(200)], SCHEMA), file_bytes=20_000)
+    total = index.selectExpr("sum(length)").first()[0]
+    from helixframe.llm.common import dealt_by_bytes
+    from pyspark.sql import functions as F
+
+    assert dealt_by_bytes(index, F.floor(F.col("offset") / 4000), read_bytes=total // 20).rdd.getNumPartitions() >= 20
+    assert dealt_by_bytes(index, F.floor(F.col("offset") / 4000)).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
