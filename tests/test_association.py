@@ -6,7 +6,9 @@ import pytest
 
 from helixframe.gwas import linear_regression, logistic_regression
 from helixframe.gwas.logistic import fit_null
+from helixframe.stats.regression import firth, firth_slopes, log_likelihood, sigmoid
 from helixframe.stats.special import chi2_tail, t_two_sided
+from helixframe.wgr.base import Stage, new_headers
 from helixframe.wgr import LogisticRidgeRegression, RidgeReduction, RidgeRegression, block_variants_and_samples, estimate_loco_offsets, get_sample_ids, reshape_for_gwas
 
 N, M = 60, 12
@@ -70,6 +72,9 @@ def test_inputs_are_checked(data):
         linear_regression(df, y, c.assign(age=np.nan))
     with pytest.raises(ValueError, match="same column names"):
         linear_regression(df, y, c, pd.DataFrame(0.0, index=ids, columns=["z"]))
+    with pytest.raises(ValueError, match="contig 2 need one row for each sample"):
+        short = pd.concat([pd.DataFrame(0.0, index=i, columns=y.columns).assign(contigName=k).set_index("contigName", append=True) for k, i in (("1", ids), ("2", ids[1:]))])
+        linear_regression(df, y, c, short)
     with pytest.raises(ValueError, match="dt must be"):
         linear_regression(df, y, c, dt=np.int32)
     with pytest.raises(ValueError, match="correction"):
@@ -103,6 +108,26 @@ def test_logistic_firth_and_loco(data):
     assert np.allclose(order(logistic_regression(df, p, c, zero)), order(logistic_regression(df, p, c)))
 
 
+def test_firth_fits_of_a_batch():
+    r = np.random.default_rng(2)
+    x = r.integers(0, 3, (N, 9)).astype(float) - 1
+    x[:, 8] = 0.0
+    y, offset = (r.random(N) < 0.3).astype(float), r.normal(size=N) / 4
+    y[x[:, 7] > 0] = 1.0  # separates
+    slope, information, gain, settled = firth_slopes(x, y, offset)
+    assert settled[:8].all() and not settled[8]
+    for j in range(8):
+        b, mu, value = firth(x[:, j : j + 1], y, offset, np.zeros(1))
+        zero = sigmoid(offset)
+        null = log_likelihood(y, zero) + 0.5 * np.log((zero * (1 - zero) * x[:, j] ** 2).sum())
+        assert slope[j] == pytest.approx(b[0], abs=1e-5) and gain[j] == pytest.approx(2 * (value - null), abs=1e-6)
+        grid = np.linspace(slope[j] - 0.5, slope[j] + 0.5, 1001)
+        means = sigmoid(offset[:, None] + x[:, j : j + 1] * grid)
+        height = (np.log(np.where(y[:, None] > 0, means, 1 - means))).sum(0) + 0.5 * np.log((means * (1 - means) * x[:, j : j + 1] ** 2).sum(0))
+        assert abs(grid[height.argmax()] - slope[j]) < 2e-3
+        assert information[j] == pytest.approx((mu * (1 - mu) * x[:, j] ** 2).sum(), rel=1e-4)
+
+
 @pytest.fixture(scope="module")
 def stacked(spark):
     r = np.random.default_rng(5)
@@ -171,3 +196,12 @@ def test_reshape(spark):
     assert [tuple(r) for r in reshape_for_gwas(spark, one).collect()] == [("label1", [1, 2]), ("label2", [3, 4])]
     two = pd.DataFrame({"label1": [1, 2]}, index=pd.MultiIndex.from_tuples([("a", "chr1"), ("a", "chr2")]))
     assert [tuple(r) for r in reshape_for_gwas(spark, two).collect()] == [("chr1", "label1", [1]), ("chr2", "label1", [2])]
+
+
+def test_header_blocks():
+    assert Stage.parse("chr_X_block_12") == ("X", 12) and str(Stage("X", 12)) == "chr_X_block_12" and Stage.parse("all") == (None, None)
+    assert new_headers("chr_1_block_3", [("alpha_0", "a"), ("alpha_1", "a")], 2) == ("chr_1", [6, 7], ["chr_1_block_3_alpha_0_label_a", "chr_1_block_3_alpha_1_label_a"])
+    assert new_headers("chr_1", [("alpha_1", "b")], 2)[0::2] == ("all", ["chr_1_alpha_1_label_b"])
+    assert new_headers("all", [("alpha_2", "b")], 3) == ("all", [2], ["alpha_2_label_b"])
+    with pytest.raises(ValueError, match="names no header block"):
+        Stage.parse("block_1")
