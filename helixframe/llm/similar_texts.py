@@ -1,16 +1,19 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, found exactly.
-
-Two texts link when their sets of five-word shingles have a Jaccard similarity of 0.8 or more. All
-shingles have one order, the same for all texts. Of n shingles, linked texts must share one of the
-first n - ceil(0.8 n) + 1, so texts meet under these only, and under every one of them. The order puts
-shingles that are common in a sample of the texts last, so common passages make few meetings; it
-decides what is compared, never what links. Pairs that meet are kept while their sizes and the places
-of the met shingle leave 0.8 possible, then while counts of their hashes in 256 bins do (shingles in common are at
-most the sum of the lesser counts), and are then compared by their whole sets.
-
-Texts of equal sets count once. A first round compares each text with one neighbour by size, under the
-first shingle that it shares; the second one compares the pairs between the components that the first
-one found, so a large group of near copies costs little. A shingle with more texts than a block is dealt out as pairs of blocks.
+"""SimHash near-duplicates at a Jaccard similarity of word shingles, with pigeonring filtering and an exact check.
+
+Two texts link when their sets of five-word shingles have a Jaccard similarity of 0.8 or more. A SimHash
+whose bits decide alone would need a budget of about a quarter of its bits to keep such links, and no key
+of few bits finds candidates within that, so candidates come from the shingles themselves. All shingles
+have one order, the same for all texts. Of n shingles, linked texts must share one of the first
+n - ceil(0.8 n) + 1, so texts meet under these only, and under every one of them. The order puts shingles
+that are common in a sample of the texts last, so common passages make few meetings; it decides what is
+compared, never what links. Pairs that meet are kept while their sizes and the places of the met shingle
+leave 0.8 possible, then while some chain of consecutive segments of their SimHashes of 512 bits stays
+within proportional budgets up to the whole (pigeonring), and are then compared by their whole sets. The
+budget of 140 bits is five deviations from what texts of similarity 0.8 differ in.
+
+Texts of equal sets count once. Rounds that compare each text with one neighbour of another component join
+large groups of near copies with few comparisons, and a last round compares all pairs that are still apart.
+A shingle with more texts than a block is dealt out as pairs of blocks.
 
 Defined results: null and empty texts have the empty set and link with each other; texts of under five
 words are one shingle; rows of one doc_id, null ids and extra columns are as in simhash_dedup. A
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.common import partitions, shared_folder, written
 from helixframe.llm.components import components
+from helixframe.llm.language_id import mixed
 from helixframe.llm.simhash_dedup import keep_least
 
 SHINGLE, SEED = 5, 42
@@ -38,9 +42,12 @@ LEAST = (4, 5)
 BLOCK = 2048
 #: One text of so many is sampled for the order of shingles; shingles in fewer sampled texts count as rare; most that are told to tasks.
 SAMPLED, OFTEN, TOLD = 32, 4, 1 << 16
-#: Bins of a set's counts, and the count from which a bin says nothing.
-BINS, FULL = 256, 255
-#: Texts up to which the set of those to be compared is told to tasks; beyond, texts are joined.
+#: Words of 64 bits of a SimHash, each a segment, and the bits that linked texts may differ in.
+SEGMENTS, MOST_BITS = 8, 140
+SIM = [f"sim{k}" for k in range(SEGMENTS)]
+#: Rounds of neighbours at most, before all pairs.
+ROUNDS = 4
+#: Texts up to which the set of those that meet others is told to tasks (8 bytes each); beyond, texts are joined.
 NAMED = 1 << 22
 #: Texts whose sets are held at once in a task.
 ROWS = 256
@@ -61,8 +68,34 @@ def lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).view("<i8")))
 
 
-def binned(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), FULL).astype(np.uint8).tobytes()
+def simhash(s: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of hashes: a bit is set where it is in more than half of them."""
+    out = np.empty(SEGMENTS, "<u8")
+    for k in range(SEGMENTS):
+        h = mixed(s + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        bits = np.zeros(64, np.int64)
+        for at in range(0, len(h), 1 << 15):
+            bits += np.add.reduce(np.unpackbits(h[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.uint16)
+        out[k] = np.packbits(2 * bits > len(h), bitorder="little").view("<u8")[0]
+    return out
+
+
+def in_budget(one: np.ndarray, two: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
+    """Whether SimHashes (rows of segments) differ in no more bits: a chain of consecutive segments, from some start
+    on the ring, has cumulative differences within the budget's share of its length, at every length up to all segments."""
+    out = np.zeros(len(one), bool)
+    if not len(one):
+        return out
+    away = np.bitwise_count(one ^ two).astype(np.int64)
+    budgets = [most * (k + 1) // SEGMENTS for k in range(SEGMENTS)]
+    for start in range(SEGMENTS):
+        live, total = np.flatnonzero(~out), 0
+        for k in range(SEGMENTS):  # short chains drop most pairs before the whole is summed
+            total = total + away[live, (start + k) % SEGMENTS]
+            keep = total <= budgets[k]
+            live, total = live[keep], total[keep]
+        out[live] = True
+    return out
 
 
 def prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: tuple[int, int]) -> np.ndarray:
@@ -73,7 +106,7 @@ def prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: tuple[in
 
 
 def with_sets(df: DataFrame, id_col: str, text_col: str, shingle: int, common: tuple[np.ndarray, np.ndarray] | None = None, least: tuple[int, int] = LEAST, only: np.ndarray | None = None) -> DataFrame:
-    """(doc_id, node, n, bins, grams): node is a digest of a text's set, n the set's size, bins its counts.
+    """(doc_id, node, n, sim0.., grams): node is a digest of a text's set, n the set's size, sim its SimHash (none with only).
 
     grams is the whole set, or with common (hashes in order, their counts) its prefix. With only (nodes
     in order), other texts are left out, and those that the task has had.
@@ -96,10 +129,12 @@ def with_sets(df: DataFrame, id_col: str, text_col: str, shingle: int, common: t
                         continue
                     sets, nodes, ids = [sets[i] for i in own], nodes[own], ids.take(pa.array(own))
                 grams = sets if common is None else [prefix(s, common, least) for s in sets]
-                columns = [ids, pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), pa.array([binned(s) for s in sets], pa.binary()), lists(grams)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "bins", "grams"])
+                sims = [] if only is not None else list(np.stack([simhash(s) for s in sets]).view("<i8").T)
+                columns = [ids, pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(x) for x in sims), lists(grams)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", *SIM[: len(sims)], "grams"])
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, node long, n int, bins binary, grams array<long>")
+    sims = "" if only is not None else "".join(f"{x} long, " for x in SIM)
+    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, node long, n int, {sims}grams array<long>")
 
 
 def common_shingles(df: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,22 +202,49 @@ def met_texts(firsts: DataFrame, least: tuple[int, int]) -> DataFrame:
     return by_bucket(keyed, ["gram"], found, "gram long, n long, node long, pos long, prev long")
 
 
-def cross_pairs(met: DataFrame, roots: DataFrame, folder: str, least: tuple[int, int], block: int) -> DataFrame:
-    """(a, b), a < b: all possible pairs of texts that meet and whose roots differ."""
-    rooted = met.join(roots, "node", "left").select("gram", "n", "node", "pos", F.coalesce("root", "node").alias("root"))
-    rooted = written(rooted, folder, "rooted")
-    counts = rooted.groupBy("gram").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    counts = counts.select("gram", F.when(F.col("c") > block, F.ceil(F.col("c") / F.lit(block / 2)).cast("int")).alias("blocks"))
-    open_ = rooted.join(counts, "gram")
+def rooted(met: DataFrame, sims: DataFrame, roots: DataFrame, folder: str, name: str) -> DataFrame:
+    """Rows of met with root and SimHash, of shingles under which texts of different roots meet."""
+    of = met.select("gram", "n", "node", "pos").join(sims.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "node")
+    of = written(of.select("gram", "n", "node", "pos", "root", *SIM), folder, f"{name}_rooted")
+    open_ = of.groupBy("gram").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram", "c")
+    return of.join(open_, "gram")
+
+
+def ends_in_order(one: np.ndarray, two: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if len(one):
+        pairs = np.unique(np.column_stack([np.minimum(one, two), np.maximum(one, two)]), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def neighbour_pairs(open_: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """(a, b), a < b: in each shingle's texts by size, where the root changes, the texts on both sides if they can link."""
+
+    def found(rows: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n, node, pos, root = rows[:, 1:5].T
+        sim = rows[:, 5:].view(np.uint64)
+        i = np.flatnonzero((group[1:] == group[:-1]) & (root[1:] != root[:-1]))
+        i = i[possible(n[i], pos[i], n[i + 1], pos[i + 1], least)]
+        i = i[in_budget(sim[i], sim[i + 1])]
+        yield from ends_in_order(node[i], node[i + 1])
+
+    return by_bucket(open_.select("gram", "n", "node", "pos", "root", *SIM), ["gram"], found, "a long, b long").distinct()
+
+
+def cross_pairs(open_: DataFrame, least: tuple[int, int], block: int) -> DataFrame:
+    """(a, b), a < b: all pairs of texts that meet, can link, and whose roots differ."""
+    blocks = F.when(F.col("c") > block, F.ceil(F.col("c") / F.lit(block / 2)).cast("int"))
+    open_ = open_.withColumn("blocks", blocks)
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).cast("long").alias("b1"), F.greatest(own, o).cast("long").alias("b2")))
     alone = F.array(F.struct(F.lit(0).cast("long").alias("b1"), F.lit(0).cast("long").alias("b2")))
-    dealt = open_.select("gram", "n", "node", "pos", "root", F.explode(F.coalesce(pair, alone)).alias("p")).select("gram", "p.b1", "p.b2", "n", "node", "pos", "root")
+    rest = ["n", "node", "pos", "root", *SIM]
+    dealt = open_.select("gram", *rest, F.explode(F.coalesce(pair, alone)).alias("p")).select("gram", "p.b1", "p.b2", *rest)
     up, down = least
 
     def found(rows: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n, node, pos, root = rows[:, 3:].T
-        pairs = []
+        n, node, pos, root = rows[:, 3:7].T
+        sim = np.ascontiguousarray(rows[:, 7:]).view(np.uint64)
+        left, right = [], []
         at, k = np.arange(len(rows)), 1
         while True:
             at = at[at + k < len(rows)]
@@ -191,67 +253,63 @@ def cross_pairs(met: DataFrame, roots: DataFrame, folder: str, least: tuple[int,
                 break
             i = at[root[at] != root[at + k]]
             i = i[possible(n[i], pos[i], n[i + k], pos[i + k], least)]
-            pairs.append(np.column_stack([np.minimum(node[i], node[i + k]), np.maximum(node[i], node[i + k])]))
+            i = i[in_budget(sim[i], sim[i + k])]
+            left.append(node[i])
+            right.append(node[i + k])
             k += 1
-        if pairs:
-            pairs = np.unique(np.concatenate(pairs), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        if left:
+            yield from ends_in_order(np.concatenate(left), np.concatenate(right))
 
     return by_bucket(dealt, ["gram", "b1", "b2"], found, "a long, b long").distinct()
 
 
-def by_bins(pairs: DataFrame, docs: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose counts by bins leave least possible."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    bins = docs.join(ends, "node", "left_semi").groupBy("node").agg(F.first("bins").alias("bins"))
-    met = pairs.join(bins.select(F.col("node").alias("a"), F.col("bins").alias("bins_a")), "a").join(bins.select(F.col("node").alias("b"), F.col("bins").alias("bins_b")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BINS) for c in batch.columns[2:])
-            full = (a == FULL).any(1) | (b == FULL).any(1)
-            shared, sizes = np.minimum(a, b).sum(1, dtype=np.int64), a.sum(1, dtype=np.int64) + b.sum(1, dtype=np.int64)
-            ok = np.flatnonzero(full | ((least[0] + least[1]) * shared >= least[0] * sizes))
-            yield pa.RecordBatch.from_arrays([c.take(pa.array(ok)) for c in batch.columns[:2]], names=["a", "b"])
-
-    return met.select("a", "b", "bins_a", "bins_b").mapInArrow(run, "a long, b long")
+def whole_sets(df: DataFrame, id_col: str, text_col: str, shingle: int, nodes: DataFrame, lowest: DataFrame, named: int, folder: str) -> DataFrame:
+    """(node, n, grams) of the texts of the nodes, as a table. Up to a bound tasks are told the nodes; beyond, texts are joined by id."""
+    nodes = written(nodes, folder, "met_nodes")
+    if nodes.count() <= named:
+        only = np.sort(np.array([r.node for r in nodes.toLocalIterator()], "<i8"))
+        sets = with_sets(df, id_col, text_col, shingle, only=only)
+    else:
+        ids = lowest.join(nodes, "node").select("least").distinct()
+        sets = with_sets(df.join(ids, F.col(id_col).eqNullSafe(F.col("least")), "left_semi"), id_col, text_col, shingle).join(nodes, "node", "left_semi")
+    return written(sets.select("node", "n", "grams"), folder, "sets").dropDuplicates(["node"])
 
 
-def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: tuple[int, int] = LEAST, block: int = BLOCK, named: int = NAMED) -> DataFrame:
+def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: tuple[int, int] = LEAST, block: int = BLOCK, named: int = NAMED, rounds: int = ROUNDS) -> DataFrame:
     """Per document: doc_id, component_id (the smallest doc_id reachable)."""
     folder = shared_folder(df.sparkSession)
     common = common_shingles(df, id_col, text_col, shingle)
     docs = written(with_sets(df, id_col, text_col, shingle, common, least), folder, "firsts")
-    distinct = docs.groupBy("node").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
-    met = written(met_texts(distinct, least), folder, "met")
-    lowest = written(docs.groupBy("node").agg(F.min("doc_id").alias("least")), folder, "distinct")
+    lowest = written(docs.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), *[F.first(x).alias(x) for x in SIM]), folder, "distinct")
+    met = written(met_texts(docs.select("node", "n", "grams").dropDuplicates(["node"]), least), folder, "met")
+    nodes = written(met.select("node").distinct(), folder, "meeting")
+    sims = written(lowest.join(nodes, "node", "left_semi").select("node", *SIM), folder, "sims")
+    sets = whole_sets(df, id_col, text_col, shingle, nodes, lowest, named, folder)
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs whose whole sets are as similar as least."""
-        pairs = written(by_bins(pairs, docs, least), folder, f"{name}_possible")
-        ends = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), folder, f"{name}_ends")
-        if ends.count() <= named:
-            only = np.sort(np.array([r.node for r in ends.toLocalIterator()], "<i8"))
-            sets = with_sets(df, id_col, text_col, shingle, only=only)
-        else:
-            ids = lowest.join(ends, "node").select("least").distinct()
-            sets = with_sets(df.join(ids, F.col(id_col).eqNullSafe(F.col("least")), "left_semi"), id_col, text_col, shingle).join(ends, "node", "left_semi")
-        sets = written(sets.select("node", "n", "grams"), folder, f"{name}_sets").dropDuplicates(["node"])
         a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("grams").alias(f"grams_{x}")) for x in "ab")
         shared = F.size(F.array_intersect("grams_a", "grams_b"))
         return written(pairs.join(a, "a").join(b, "b").where(shared * (least[0] + least[1]) >= least[0] * (F.col("n_a") + F.col("n_b"))).select("a", "b"), folder, name)
 
     near = met.where("prev is not null").groupBy("node").agg(F.min_by("prev", "pos").alias("prev"))
-    near = written(near.select(F.least("node", "prev").alias("a"), F.greatest("node", "prev").alias("b")).distinct(), folder, "neighbours")
-    links = linked(near, "links")
-    roots = components(links, folder + "/first")
-    rest = written(cross_pairs(met, roots, folder, least, block).join(near, ["a", "b"], "left_anti"), folder, "rest")
-    roots = components(links.union(linked(rest, "more_links")), folder + "/second")
-    of = lowest.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    near = near.select(F.least("node", "prev").alias("a"), F.greatest("node", "prev").alias("b")).distinct()
+    links = linked(near, "links_0")
+    roots = components(links, f"{folder}/components_0")
+    for k in range(1, rounds + 1):
+        pairs = neighbour_pairs(rooted(met, sims, roots, folder, f"round_{k}"), least)
+        more = linked(written(pairs, folder, f"pairs_{k}"), f"links_{k}")
+        if not more.take(1):
+            break
+        links = links.union(more)
+        roots = components(links, f"{folder}/components_{k}")
+    pairs = written(cross_pairs(rooted(met, sims, roots, folder, "last"), least, block), folder, "pairs_last")
+    more = linked(pairs, "links_last")
+    if more.take(1):
+        roots = components(links.union(more), f"{folder}/components_last")
+    of = lowest.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     low = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return docs.join(of.join(low, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return docs.select("doc_id", "node").join(of.join(low, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def drop_similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from helixframe.llm import similar_texts as T
 from helixframe.llm.simhash_dedup import fingerprint
 
@@ -40,6 +42,27 @@ def edited(r, text, n):
     return " ".join(words)
 
 
+def test_pigeonring_is_the_hamming_check_and_keeps_links():
+    r = np.random.default_rng(6)
+    one = r.integers(0, 2**64, (4000, T.SEGMENTS), dtype=np.uint64)
+    two = one.copy()
+    for i in range(len(one)):  # flips unevenly spread over the segments
+        for b in r.choice(64 * T.SEGMENTS, r.integers(100, 180), replace=False) if i % 2 else r.choice(200, r.integers(100, 180), replace=False):
+            two[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    away = np.bitwise_count(one ^ two).sum(1)
+    assert (T.in_budget(one, two) == (away <= T.MOST_BITS)).all() and 0 < (away <= T.MOST_BITS).mean() < 1
+    for n in (4, 5, 9, 20, 100, 400):  # sets whose similarity is 0.8 or just more
+        worst = 0
+        for _ in range(300):
+            shared = r.integers(0, 2**64, -(-8 * n // 9), dtype=np.uint64)
+            a, b = (np.unique(np.concatenate([shared, r.integers(0, 2**64, k, dtype=np.uint64)])) for k in (n - len(shared), n - len(shared)))
+            worst = max(worst, np.bitwise_count(T.simhash(a) ^ T.simhash(b)).sum())
+        assert worst < T.MOST_BITS, n
+    four, five = r.integers(0, 2**64, (2, 5), dtype=np.uint64)[0][:4], None
+    five = np.append(four, r.integers(0, 2**64, 1, dtype=np.uint64))
+    assert np.bitwise_count(T.simhash(np.sort(four)) ^ T.simhash(np.sort(five))).sum() < T.MOST_BITS
+
+
 def test_all_similar_texts_link_in_small_and_large_buckets(make, text_of, monkeypatch):
     r = random.Random(3)
     monkeypatch.setattr(T, "SAMPLED", 1)
