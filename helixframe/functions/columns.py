@@ -24,10 +24,3 @@ def divided(n: Column, d: Column) -> Column:
     n, d = n.cast("double"), d.cast("double")
     at_zero = F.when(n > 0, F.lit(float("inf"))).when(n < 0, F.lit(float("-inf"))).when(n == 0, F.lit(float("nan")))
     return F.when(d != 0, n / d).otherwise(at_zero)
-
-
-def counted(values: Column) -> Column:
-    """values array<int> of 0 and up -> how often each of 0..max occurs."""
-    empty = F.array().cast("array<int>")
-    each = lambda v: F.transform(F.sequence(F.lit(0), F.array_max(v)), lambda a: F.size(F.filter(v, lambda x: x == a)))
-    return let(values, lambda v: F.when(F.size(v) == 0, empty).otherwise(each(v)))

@@ -31,14 +31,18 @@ def lift_over_coordinates(contig: ColumnOrName, start: ColumnOrName, end: Column
 
 
 def normalize_variant(contig: ColumnOrName, start: ColumnOrName, end: ColumnOrName, ref: ColumnOrName, alts: ColumnOrName, reference_genome: str) -> Column:
-    """struct(start, end, referenceAllele, alternateAlleles, normalizationStatus(changed, errorMessage))."""
+    """struct(start, end, referenceAllele, alternateAlleles, normalizationStatus(changed, errorMessage)); null if an argument but the alternate alleles is null."""
 
     def run(c: pd.Series, s: pd.Series, e: pd.Series, r: pd.Series, a: pd.Series) -> pd.DataFrame:
         fasta = Fasta.of(reference_genome)
         rows = []
         for values in zip(c, s, e, r, a):
+            if values[0] is None or pd.isna(values[1]) or pd.isna(values[2]) or values[3] is None:
+                rows.append((None, None, None, None, None))
+                continue
             n = normalize(values[0], int(values[1]), int(values[2]), values[3], None if values[4] is None else list(values[4]), fasta)
             rows.append((n.start, n.end, n.ref, n.alts, {"changed": n.changed, "errorMessage": n.error}))
         return pd.DataFrame(rows, columns=NORMALIZED.names).astype({"start": "Int64", "end": "Int64"})
 
-    return F.pandas_udf(run, NORMALIZED, F.PandasUDFType.SCALAR)(col(contig), col(start).cast("long"), col(end).cast("long"), col(ref), col(alts))
+    done = F.pandas_udf(run, NORMALIZED, F.PandasUDFType.SCALAR)(col(contig), col(start).cast("long"), col(end).cast("long"), col(ref), col(alts))
+    return F.when(done["normalizationStatus"].isNotNull(), done)

@@ -2,39 +2,43 @@
 
 from __future__ import annotations
 
-import math
-
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from helixframe.functions.arrays import array_summary_stats
-from helixframe.functions.columns import ColumnOrName, col, counted, divided, let
+from helixframe.functions.columns import ColumnOrName, col, let
+from helixframe.stats import kernels
+
+CALL_STATS = "callRate double, nCalled int, nUncalled int, nHet int, nHomozygous array<int>, nNonRef int, nAllelesCalled int, alleleCounts array<int>, alleleFrequencies array<double>"
+HARDY_WEINBERG = "hetFreqHwe double, pValueHwe double"
+
+
+def call_stats_of(genotypes: pa.Array) -> pa.Array:
+    return kernels.call_summary_stats(genotypes)
 
 
-#: Probabilities within this relative difference count as equal.
-SAME = 1e-10
+def hardy_weinberg_of(genotypes: pa.Array) -> pa.Array:
+    return kernels.hardy_weinberg(genotypes)
 
 
-def _calls(genotypes: ColumnOrName) -> Column:
-    return F.transform(col(genotypes), lambda g: F.coalesce(g["calls"], F.array().cast("array<int>")))
+def states_of(genotypes: pa.Array) -> pa.Array:
+    return kernels.Calls(genotypes).states()
 
 
-def _summaries(genotypes: ColumnOrName) -> Column:
-    """Per sample: called, het, nonref, and the allele that it has only."""
+def field_stats_of(name: str):
+    """A kernel for genotypes as SQL passes them, with all their fields."""
 
-    def one(calls: Column) -> Column:
-        kinds = F.array_distinct(F.filter(calls, lambda a: a >= 0))
-        return let(
-            kinds,
-            lambda k: F.struct(
-                ((F.size(calls) > 0) & ~F.exists(calls, lambda a: a < 0)).alias("called"),
-                (F.size(k) > 1).alias("het"),
-                F.exists(k, lambda a: a > 0).alias("nonref"),
-                F.when(F.size(k) == 1, F.get(k, F.lit(0))).alias("only"),
-            ),
-        )
+    def run(genotypes: pa.Array) -> pa.Array:
+        field = pa.compute.struct_field(genotypes.flatten(), name)
+        return kernels.array_summary_stats(kernels.lists(kernels.lengths(genotypes), field.to_numpy(zero_copy_only=False), field.type, kernels.nulls_of(genotypes)))
 
-    return F.transform(_calls(genotypes), one)
+    return run
+
+
+def _on_calls(f, kind: str, genotypes: ColumnOrName) -> Column:
+    """The kernel on the calls alone: no other field of the genotypes leaves the JVM."""
+    return F.arrow_udf(f, kind)(col(genotypes)["calls"])
 
 
 def call_summary_stats(genotypes: ColumnOrName) -> Column:
@@ -42,27 +46,7 @@ def call_summary_stats(genotypes: ColumnOrName) -> Column:
 
     A genotype with any missing call is uncalled; its known alleles still count as alleles.
     """
-    alleles = counted(F.filter(F.flatten(_calls(genotypes)), lambda a: a >= 0))
-
-    def stats(both: Column) -> Column:
-        s, a = both["s"], both["a"]
-        called = F.size(F.filter(s, lambda x: x["called"]))
-        total = F.aggregate(a, F.lit(0), lambda t, x: t + x)
-        only = F.filter(F.transform(s, lambda x: x["only"]), lambda x: x.isNotNull())
-        shares = let(total, lambda t: F.transform(a, lambda x: divided(x, t)))
-        return F.struct(
-            divided(called, F.size(s)).alias("callRate"),
-            called.alias("nCalled"),
-            (F.size(s) - called).alias("nUncalled"),
-            F.size(F.filter(s, lambda x: x["het"])).alias("nHet"),
-            counted(only).alias("nHomozygous"),
-            F.size(F.filter(s, lambda x: x["nonref"])).alias("nNonRef"),
-            total.alias("nAllelesCalled"),
-            a.alias("alleleCounts"),
-            shares.alias("alleleFrequencies"),
-        )
-
-    return let(F.struct(_summaries(genotypes).alias("s"), alleles.alias("a")), stats)
+    return _on_calls(call_stats_of, CALL_STATS, genotypes)
 
 
 def dp_summary_stats(genotypes: ColumnOrName) -> Column:
@@ -73,54 +57,18 @@ def gq_summary_stats(genotypes: ColumnOrName) -> Column:
     return array_summary_stats(col(genotypes)["conditionalQuality"])
 
 
-#: ln k! for small k; beyond them Stirling's series is exact to the last digits of a double.
-_SMALL = 16
-
-
-def log_factorial(k: Column) -> Column:
-    n = k.cast("double")
-    series = (n + 0.5) * F.log(n) - n + 0.5 * math.log(2 * math.pi) + 1 / (12 * n) - 1 / (360 * n * n * n) + 1 / (1260 * n * n * n * n * n)
-    return F.when(k < _SMALL, F.get(F.array(*[F.lit(math.lgamma(i + 1)) for i in range(_SMALL)]), k.cast("int"))).otherwise(series)
-
-
 def hardy_weinberg(genotypes: ColumnOrName) -> Column:
     """struct(hetFreqHwe, pValueHwe): the expected share of heterozygotes, and the exact mid-p value of a two-sided test.
 
     Given the counts of alleles, each possible count of heterozygotes has a probability (Levene and
     Haldane); less likely ones than the observed count in full.
     """
-    count = lambda s, test: F.size(F.filter(s, test)).cast("long")
-
-    def counts(s: Column) -> Column:
-        return F.struct(
-            count(s, lambda x: x["called"]).alias("called"), count(s, lambda x: x["het"]).alias("het"),
-            count(s, lambda x: x["only"] == 0).alias("ref"), count(s, lambda x: x["only"] == 1).alias("alt"),
-        )
-
-    def alleles(c: Column) -> Column:
-        n, minor = c["het"] + c["ref"] + c["alt"], c["het"] + 2 * F.least(c["ref"], c["alt"])
-        return F.struct(n.alias("n"), minor.alias("minor"), (2 * n - minor).alias("major"), c["het"].alias("het"), c["called"].alias("called"))
-
-    def tested(a: Column) -> Column:
-        n, minor, major = a["n"], a["minor"], a["major"]
-        fixed = log_factorial(n) + log_factorial(minor) + log_factorial(major) - log_factorial(2 * n)
-        half = lambda x: F.shiftright(x, 1)
-
-        def with_fixed(base: Column) -> Column:
-            p = lambda x: F.exp(base + x * math.log(2) - log_factorial(half(minor - x)) - log_factorial(x) - log_factorial(half(major - x)))
-            share = lambda v, own: F.when(F.abs(v - own) <= SAME * F.greatest(v, own), v / 2).when(v < own, v).otherwise(0.0)
-            hets = F.sequence(minor % 2, minor, F.lit(2).cast("long"))
-            return let(p(a["het"]), lambda own: F.aggregate(hets, F.lit(0.0), lambda s, x: s + share(p(x), own)))
-
-        expected = divided(minor.cast("double") * major / F.when(n > 0, 2 * n - 1), a["called"])
-        return F.struct(F.when(n > 0, expected).otherwise(F.lit(float("nan"))).alias("hetFreqHwe"), F.when(n > 0, let(fixed, with_fixed)).otherwise(F.lit(0.5)).alias("pValueHwe"))
-
-    return let(let(let(_summaries(genotypes), counts), alleles), tested)
+    return _on_calls(hardy_weinberg_of, HARDY_WEINBERG, genotypes)
 
 
 def genotype_states(genotypes: ColumnOrName) -> Column:
     """Per sample the sum of its calls, or -1 if it has none or any is missing."""
-    return F.transform(_calls(genotypes), lambda c: F.when((F.size(c) == 0) | F.exists(c, lambda a: a < 0), -1).otherwise(F.aggregate(c, F.lit(0), lambda s, a: s + a)))
+    return _on_calls(states_of, "array<int>", genotypes)
 
 
 def _first_maximum(probabilities: Column, threshold: float) -> Column:

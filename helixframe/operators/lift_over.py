@@ -15,6 +15,8 @@ from helixframe.genome.normalize import normalize
 
 #: Fixed messages of rows that could not be lifted.
 NO_TARGET, STRADDLES, CANNOT_REVERSE, MISMATCH = "NoTarget", "IndelStraddlesMultipleIntevals", "CannotLiftOver", "MismatchedRefAllele"
+#: Of rows that lack a field of the variant, with the names of these.
+INCOMPLETE, VARIANT = "IncompleteVariant", ("contigName", "start", "end", "referenceAllele", "alternateAlleles")
 RESULT = StructType().add("contigName", StringType()).add("start", "long").add("end", "long").add("referenceAllele", StringType()).add("alternateAlleles", ArrayType(StringType())).add("reversed", BooleanType()).add("swapped", BooleanType()).add("error", StringType())
 
 
@@ -22,10 +24,13 @@ def _bases(a: str) -> bool:
     return set(a.upper()) <= set("ACGTN")
 
 
-def lift_variant(contig: str, start: int, end: int, ref: str, alts: list[str], chains: LiftOver, fasta: Fasta, ratio: float) -> tuple:
+def lift_variant(contig: str | None, start: int | None, end: int | None, ref: str | None, alts: list[str] | None, chains: LiftOver, fasta: Fasta, ratio: float) -> tuple:
     """The fields of RESULT for one variant."""
     fail = lambda why: (None, None, None, None, None, False, False, why)
-    at = chains.lift(contig, start, end, ratio)
+    missing = [name for name, x in zip(VARIANT, (contig, start, end, ref, alts)) if x is None or x is pd.NA or x != x]
+    if missing:
+        return fail(f"{INCOMPLETE}: {', '.join(missing)}")
+    at = chains.lift(contig, int(start), int(end), ratio)
     if at is None or at.contig not in fasta:
         return fail(NO_TARGET)
     if at.end - at.start != end - start:
@@ -57,13 +62,13 @@ def lift_over_variants(df: DataFrame, chain_file: str, reference_file: str, min_
 
     Where reference and alternate allele change places, calls 0 and 1 do too, allele frequency INFO
     becomes its complement, arrays of genotypes and INFO are reversed, and a highest frequency is
-    dropped. Rows that fail keep their values and say why.
+    dropped. Rows that fail, or lack a field of the variant, keep their values and say why.
     """
 
     def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         chains, fasta = LiftOver.of(chain_file), Fasta.of(reference_file)
         for c, s, e, r, a in parts:
-            rows = [lift_variant(*v[:4], list(v[4]), chains, fasta, min_match_ratio) for v in zip(c, map(int, s), map(int, e), r, a)]
+            rows = [lift_variant(*v[:4], None if v[4] is None else list(v[4]), chains, fasta, min_match_ratio) for v in zip(c, s, e, r, a)]
             yield pd.DataFrame(rows, columns=RESULT.names).astype({"start": "Int64", "end": "Int64"})
 
     lift = F.pandas_udf(run, RESULT, F.PandasUDFType.SCALAR_ITER)

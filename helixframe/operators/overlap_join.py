@@ -8,7 +8,7 @@ apart by an id while they are in several bins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN_SIZE = 5000
@@ -60,24 +60,24 @@ def _join(left, right, ls, rs, le, re, extra, prefix, size, semi):
     met = near.join(rights, (F.col(lo) == F.col(bin_r)) & overlap, "left_semi" if semi else "left_outer")
     single = met.select(*out_left, *out_right)
 
+    # a longer row and its copies come from one evaluation, so their common id holds whatever left is made of
     far = lefts.where(F.col(lo) < F.col(hi)).select("*", F.monotonically_increasing_id().alias(row))
     spread = far.select("*", F.explode(F.sequence(F.col(lo), F.col(hi))).alias(bin_))
-    pairs = spread.join(rights, (F.col(bin_) == F.col(bin_r)) & (F.col(bin_) == F.greatest(F.col(lo), F.col(lo_r))) & overlap)
+    here = (F.col(bin_) == F.col(bin_r)) & (F.col(bin_) == F.greatest(F.col(lo), F.col(lo_r))) & overlap
     if semi:
-        ids = pairs.select(F.col(row).alias(row_m)).distinct()
-        return single.union(far.join(ids, F.col(row) == F.col(row_m), "left_semi").select(*left.columns))
-    matched = pairs.select(F.col(row).alias(row_m), *[right[c].alias(f"__r{i}") for i, c in enumerate(right.columns)])
-    whole = far.select(F.col(row), *[left[c].alias(f"__l{i}") for i, c in enumerate(left.columns)]).join(matched, F.col(row) == F.col(row_m), "left")
-    names = [*left.columns, *[(prefix or "") + c for c in right.columns]]
-    kept = [F.col(f"__l{i}") for i in range(len(left.columns))] + [F.col(f"__r{i}") for i in range(len(right.columns))]
-    return single.union(whole.select(*[c.alias(n) for c, n in zip(kept, names)]))
+        return single.union(spread.join(rights, here, "left_semi").dropDuplicates([row]).select(*out_left))
+    met = spread.join(rights, here, "left_outer")
+    matches = F.count(bin_r).over(Window.partitionBy(row))
+    met = met.select(*out_left, *out_right, F.col(bin_r), F.col(bin_), F.col(lo), matches.alias(row_m))
+    return single.union(met.where(F.col(bin_r).isNotNull() | ((F.col(row_m) == 0) & (F.col(bin_) == F.col(lo)))).drop(bin_r, bin_, lo, row_m))
 
 
 def left_overlap_join(left: DataFrame, right: DataFrame, left_start=None, right_start=None, left_end=None, right_end=None, extra_join_expr: Column | None = None, right_prefix: str | None = None, bin_size: int = BIN_SIZE) -> DataFrame:
     """Left outer join on overlap of [start, end) and an extra condition.
 
     Without one, rows of the same contigName meet if both sides have that column. right_prefix is
-    put before the names of right's columns. The left table should be read the same way twice.
+    put before the names of right's columns. A row of left is told apart by nothing but itself, so left
+    may hold columns that come out differently each time; its intervals must not.
     """
     return _join(left, right, left_start, right_start, left_end, right_end, extra_join_expr, right_prefix, bin_size, False)
 

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from helixframe.functions.columns import divided
 from helixframe.functions.genotypes import variant_type
+from helixframe.stats.kernels import SAMPLE_COUNTS, sample_counts
 
 
 def _per_sample(df: DataFrame, genotypes: str, by: list[str], extra: list[Column]) -> DataFrame:
@@ -25,27 +32,56 @@ def _gathered(per: DataFrame, by: list[str], ids: bool, fields: list[str], name:
     return per.groupBy(*by).agg(gathered) if by else per.agg(gathered)
 
 
+#: Groups whose counts a task holds at once.
+HELD_GROUPS = 64
+
+
 def sample_call_stats_rows(df: DataFrame, genotypes: str = "genotypes", ref: str = "referenceAllele", alts: str = "alternateAlleles", by: list[str] | None = None) -> DataFrame:
     """One row per group and sample: pos, [sampleId], callRate, nCalled .. rHetHomVar.
 
-    Counts are summed before the shuffle, whose rows are as many as samples.
+    Each task adds up counters of the samples over its batches, so the shuffle has as many rows as
+    samples for each task.
     """
-    by = by or []
-    types = F.transform(F.col(alts), lambda a: variant_type(F.col(ref), a)).alias("types")
-    rows = _per_sample(df, genotypes, by, [types])
-    calls = F.coalesce(F.col("g.calls"), F.array().cast("array<int>"))
-    called = (F.size(calls) > 0) & ~F.exists(calls, lambda a: a < 0)
-    distinct = F.array_distinct(calls)
-    hom = F.get(distinct, F.lit(0))
-    many = lambda kind: F.sum(F.size(F.filter(calls, lambda a: (a > 0) & F.coalesce(F.get(F.col("types"), a - 1) == kind, F.lit(False)))).cast("long"))
-    count = lambda c: F.sum(c.cast("long"))
-    ids = [F.min("g.sampleId").alias("sampleId")] if _has_ids(df, genotypes) else []
-    per = rows.groupBy(*by, "pos").agg(
-        *ids,
-        count(called).alias("nCalled"), count(~called).alias("nUncalled"),
-        count(called & (F.size(distinct) == 1) & (hom == 0)).alias("nHomRef"), count(called & (F.size(distinct) > 1)).alias("nHet"), count(called & (F.size(distinct) == 1) & (hom > 0)).alias("nHomVar"),
-        many("Insertion").alias("nInsertion"), many("Deletion").alias("nDeletion"), many("Transition").alias("nTransition"), many("Transversion").alias("nTransversion"), many("SpanningDeletion").alias("nSpanningDeletion"),
-    )
+    by, ids = by or [], _has_ids(df, genotypes)
+    types = F.transform(F.col(alts), lambda a: variant_type(F.col(ref), a))
+    rows = df.select(*by, types.alias("__types"), F.col(f"{genotypes}.calls").alias("__calls"), *([F.col(f"{genotypes}.sampleId").alias("__ids")] if ids else []))
+    known = rows.schema.fields[: len(by)]
+    names = [*by, "pos", *(["sampleId"] if ids else []), *SAMPLE_COUNTS]
+    schema = StructType([*known, StructField("pos", IntegerType()), *([StructField("sampleId", StringType())] if ids else []), *[StructField(c, LongType()) for c in SAMPLE_COUNTS]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+
+        def emptied() -> Iterator[pa.RecordBatch]:
+            for key, (counts, labels) in held.items():
+                n = counts.shape[1]
+                columns = [pa.array([k] * n, t) for k, t in zip(key, kinds)] + [pa.array(np.arange(n), pa.int32())]
+                columns += [pa.array(labels, pa.string())] if ids else []
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(c) for c in counts]], names=names)
+            held.clear()
+
+        kinds: list[pa.DataType] = []
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in range(len(by))]
+            row, place, counts = sample_counts(batch.column(len(by) + 1), batch.column(len(by)))
+            keys = list(zip(*[batch.column(c).to_pylist() for c in range(len(by))])) if by else [()] * batch.num_rows
+            labels = batch.column(len(by) + 2).flatten() if ids else None
+            for key in dict.fromkeys(keys):
+                own = np.ones(len(row), bool) if not by else np.array([k == key for k in keys], bool)[row]
+                at, n = place[own], int(place[own].max(initial=-1)) + 1
+                added = np.stack([np.bincount(at, c[own], n) for c in counts]).astype(np.int64)
+                if key not in held and len(held) >= HELD_GROUPS:
+                    yield from emptied()
+                before, said = held.get(key, (np.zeros((len(SAMPLE_COUNTS), 0), np.int64), []))
+                width = max(n, before.shape[1])
+                total = np.zeros((len(SAMPLE_COUNTS), width), np.int64)
+                total[:, : before.shape[1]] += before
+                total[:, :n] += added
+                held[key] = (total, least_labels(labels.filter(pa.array(own)), at, n, said) if ids else [])
+        yield from emptied()
+
+    least = [F.min("sampleId").alias("sampleId")] if ids else []
+    per = rows.mapInArrow(run, schema).groupBy(*by, "pos").agg(*least, *[F.sum(c).alias(c) for c in SAMPLE_COUNTS])
     ratio = lambda a, b: divided(F.col(a), F.col(b))
     return per.select(
         *by, "pos", *(["sampleId"] if ids else []), divided(F.col("nCalled"), F.col("nCalled") + F.col("nUncalled")).alias("callRate"), "nCalled", "nUncalled", "nHomRef", "nHet", "nHomVar",
@@ -54,6 +90,20 @@ def sample_call_stats_rows(df: DataFrame, genotypes: str = "genotypes", ref: str
     )
 
 
+def least_labels(labels: pa.Array, place: np.ndarray, n: int, before: list) -> list:
+    """The least label seen at each place; where all rows agree, as they mostly do, that is one comparison."""
+    first = np.full(n, -1)
+    first[place[::-1]] = np.arange(len(place))[::-1]
+    lead = labels.take(pa.array(first))
+    if pa.compute.all(pa.compute.equal(labels, lead.take(pa.array(place)))).as_py():
+        now = lead.to_pylist()
+    else:
+        table = pa.table({"p": place, "x": labels}).group_by("p").aggregate([("x", "min")]).sort_by("p")
+        now = table["x_min"].to_pylist()
+    both = [now, before] if len(now) >= len(before) else [before, now]
+    return [min((x for x in (a, b) if x is not None), default=None) for a, b in zip(both[0], both[1] + [None] * (len(both[0]) - len(both[1])))]
+
+
 CALL_FIELDS = ["callRate", "nCalled", "nUncalled", "nHomRef", "nHet", "nHomVar", "nSnp", "nInsertion", "nDeletion", "nTransition", "nTransversion", "nSpanningDeletion", "rTiTv", "rInsertionDeletion", "rHetHomVar"]
 
 

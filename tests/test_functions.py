@@ -43,6 +43,25 @@ def test_hardy_weinberg(spark):
     assert math.isnan(none.hetFreqHwe) and none.pValueHwe == 0.5
 
 
+def test_kernels_equal_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    ploidy = lambda: r.choice([0, 1, 2, 2, 2, 3])
+    rows = [[[r.choice([-1, 0, 0, 1, 2]) for _ in range(ploidy() if uneven else 2)] for _ in range(r.randint(0, 9))] for uneven in (0, 1) for _ in range(30)]
+    frame = spark.createDataFrame([(i, [(c,) for c in row]) for i, row in enumerate(rows)] + [(99, None), (100, [(None,), ([0, 1],)])], "i int, " + CALLS)
+    got = {x.i: x for x in frame.select("i", fx.call_summary_stats("genotypes").alias("s"), fx.genotype_states("genotypes").alias("states")).collect()}
+    assert got[99].s is None and got[99].states is None and got[100].states == [-1, 1] and got[100].s.nUncalled == 1
+    for i, row in enumerate(rows):
+        s, known = got[i].s, [[a for a in c if a >= 0] for c in row]
+        called = [c for c in row if c and min(c) >= 0]
+        flat = [a for c in known for a in c]
+        only = [c[0] for c in known if len(set(c)) == 1]
+        assert (s.nCalled, s.nUncalled, s.nHet, s.nNonRef, s.nAllelesCalled) == (len(called), len(row) - len(called), sum(len(set(c)) > 1 for c in known), sum(any(c) for c in known), len(flat))
+        assert s.alleleCounts == [flat.count(a) for a in range(max(flat, default=-1) + 1)] and s.nHomozygous == [only.count(a) for a in range(max(only, default=-1) + 1)]
+        assert got[i].states == [sum(c) if c and min(c) >= 0 else -1 for c in row]
+
+
 def test_array_summary_stats(spark):
     one = lambda values: spark.createDataFrame([(values,)], "a array<double>").select(fx.expand_struct(fx.array_summary_stats("a"))).first()
     assert one([1.0, 2.0, 3.0]) == Row(2.0, 1.0, 1.0, 3.0)

@@ -162,6 +162,31 @@ def test_lift_over(spark, genome):
     assert not out[4].liftOverStatus.success and out[5].liftOverStatus.errorMessage == "NoTarget"
 
 
+def test_rows_that_lack_fields(spark, genome):
+    from helixframe.functions.genome import normalize_variant
+
+    d, _ = genome
+    rows = [("old", 0, 1, "G", None), (None, 0, 1, "G", ["C"]), ("old", None, 1, "G", ["C"]), ("old", 0, None, "G", ["C"]), ("old", 0, 1, None, ["C"]), ("old", 0, 1, "G", ["C"])]
+    df = spark.createDataFrame(rows, SITE).coalesce(1)
+    out = lift_over_variants(df, str(d / "x.chain"), str(d / "r.fa")).collect()
+    assert [tuple(r)[:5] for r in out[:5]] == rows[:5] and out[5].liftOverStatus.success
+    assert [r.liftOverStatus.errorMessage.partition(": ")[2] for r in out[:5]] == ["alternateAlleles", "contigName", "start", "end", "referenceAllele"]
+    done = [r[0] for r in df.select(normalize_variant("contigName", "start", "end", "referenceAllele", "alternateAlleles", str(d / "r.fa"))).collect()]
+    assert done[1:5] == [None] * 4 and done[0] is not None
+    assert [tuple(r)[:5] for r in normalize_variants(df, str(d / "r.fa")).collect()][1:5] == rows[1:5]
+
+
+def test_overlap_join_of_a_table_that_changes(spark):
+    left = spark.range(300).selectExpr("'1' AS contigName", "id * 7 AS start", "id * 7 + id % 90 AS end", "id", "rand() AS noise").repartition(5)
+    right = spark.range(200).selectExpr("'1' AS contigName", "id * 11 AS start", "id * 11 + 4 AS end", "id AS gene")
+    ends = {i: (i * 7, i * 7 + i % 90) for i in range(300)}
+    want = sorted((i, g) for i, (s, e) in ends.items() for g in range(200) if s < g * 11 + 4 and g * 11 < e)
+    got = left_overlap_join(left, right, right_prefix="r_", bin_size=16).collect()
+    assert sorted((r.id, r.r_gene) for r in got if r.r_gene is not None) == want
+    assert sorted(r.id for r in got if r.r_gene is None) == sorted(set(range(300)) - {i for i, _ in want})
+    assert sorted(r.id for r in left_semi_overlap_join(left, right, bin_size=16).collect()) == sorted({i for i, _ in want})
+
+
 def test_merge(spark):
     a = spark.createDataFrame([("1", 1, 2, "A", ["C"], 5, [("s2", [0, 1])])], SITE + ", INFO_DP int, genotypes array<struct<sampleId:string,calls:array<int>>>")
     b = spark.createDataFrame([("1", 1, 2, "A", ["C"], 6, [("s1", [1, 1])]), ("1", 7, 8, "A", ["C"], 1, [("s1", [0, 0])])], a.schema)

@@ -74,6 +74,38 @@ def test_stringency(spark, tmp_path):
         read_vcf(spark, str(tmp_path / "b.vcf"), validation_stringency="strict").collect()
 
 
+def test_repeated_info_keys(spark, tmp_path):
+    (tmp_path / "r.vcf").write_text(HEADER + "1\t10\t.\tA\tC\t1\t.\tNS=1;DB;NS=2;DB\tGT\t0/1\t0/0\n")
+    assert read_vcf(spark, str(tmp_path / "r.vcf"), flatten_info_fields=False).first().attributes == {"NS": "1", "DB": ""}
+    assert read_vcf(spark, str(tmp_path / "r.vcf")).first().INFO_NS == 1
+
+
+def test_many_samples(spark, tmp_path):
+    import time
+
+    names = [f"sample{i}" for i in range(100_000)]
+    head = "##fileformat=VCFv4.2\n##FORMAT=<ID=GT,Number=1,Type=String,Description=\"\">\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t"
+    (tmp_path / "m.vcf").write_text(head + "\t".join(names) + "\n1\t5\t.\tA\tC\t.\t.\t.\tGT\t" + "\t".join(["0/1"] * len(names)) + "\n")
+    began = time.time()
+    df = read_vcf(spark, str(tmp_path / "m.vcf"))
+    assert time.time() - began < 5
+    last = df.select(F.size("genotypes").alias("n"), F.element_at("genotypes", -1).alias("g")).first()
+    assert (last.n, last.g.sampleId, last.g.calls) == (100_000, "sample99999", [0, 1])
+
+
+def test_block_gzip_is_split_whatever_its_name(spark, tmp_path, monkeypatch):
+    from helixframe.sources import files
+
+    data = bgzf_compress(("\n".join(f"line {i} " + "y" * 300 for i in range(4000)) + "\n").encode()) + BGZF_END
+    import gzip
+
+    (tmp_path / "a.gz").write_bytes(data)
+    (tmp_path / "b.gz").write_bytes(gzip.compress(b"plain\n"))
+    monkeypatch.setattr(files, "SPLIT", len(data) // 4)
+    lines = files.text_lines(spark, [(str(tmp_path / n), (tmp_path / n).stat().st_size) for n in ("a.gz", "b.gz")])
+    assert lines.count() == 4001 and lines.rdd.getNumPartitions() >= 5
+
+
 def test_bgzf_splits_meet(spark, tmp_path):
     from helixframe.sources.files import bgzf_lines
 
