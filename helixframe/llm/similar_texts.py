@@ -8,8 +8,10 @@ n - ceil(0.8 n) + 1, so texts meet under these only, and under every one of them
 that are common in a sample of the texts last, so common passages make few meetings; it decides what is
 compared, never what links. Pairs that meet are kept while their sizes and the places of the met shingle
 leave 0.8 possible, then while some chain of consecutive segments of their SimHashes of 512 bits stays
-within proportional budgets up to the whole (pigeonring), and are then compared by their whole sets. The
-budget of 140 bits is five deviations from what texts of similarity 0.8 differ in.
+within proportional budgets up to the whole (pigeonring), and are at last compared by their whole sets. The
+budget of 140 bits is five deviations from what texts of similarity 0.8 differ in. What is left must have
+enough shingles in common by counts of their hashes in 256 bins (those in common are at most the sum of the
+lesser counts), which takes no more than the task that the texts have met in.
 
 Texts of equal sets count once. Rounds that compare each text with one neighbour of another component join
 large groups of near copies with few comparisons, and a last round compares all pairs that are still apart.
@@ -29,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from helixframe.llm.common import partitions, shared_folder, written
 from helixframe.llm.components import components
@@ -45,6 +48,8 @@ SAMPLED, OFTEN, TOLD = 32, 4, 1 << 16
 #: Words of 64 bits of a SimHash, each a segment, and the bits that linked texts may differ in.
 SEGMENTS, MOST_BITS = 8, 140
 SIM = [f"sim{k}" for k in range(SEGMENTS)]
+#: Bins of a set's counts, and the count from which a bin says nothing.
+BINS, FULL = 256, 255
 #: Rounds of neighbours at most, before all pairs.
 ROUNDS = 4
 #: Texts up to which the set of those that meet others is told to tasks (8 bytes each); beyond, texts are joined.
@@ -80,6 +85,18 @@ def simhash(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def binned(s: np.ndarray) -> np.ndarray:
+    """The set's counts by bins, a byte each, as longs."""
+    return np.minimum(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), FULL).astype(np.uint8).view("<i8")
+
+
+def in_bins(one: np.ndarray, two: np.ndarray, least: tuple[int, int]) -> np.ndarray:
+    """Whether counts by bins leave so similar sets possible."""
+    full = (one == FULL).any(1) | (two == FULL).any(1)
+    shared, sizes = np.minimum(one, two).sum(1, dtype=np.int64), one.sum(1, dtype=np.int64) + two.sum(1, dtype=np.int64)
+    return full | ((least[0] + least[1]) * shared >= least[0] * sizes)
+
+
 def in_budget(one: np.ndarray, two: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
     """Whether SimHashes (rows of segments) differ in no more bits: a chain of consecutive segments, from some start
     on the ring, has cumulative differences within the budget's share of its length, at every length up to all segments."""
@@ -105,8 +122,8 @@ def prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: tuple[in
     return s[np.lexsort((s, count))][: len(s) - -(-len(s) * least[0] // least[1]) + 1]
 
 
-def with_sets(df: DataFrame, id_col: str, text_col: str, shingle: int, common: tuple[np.ndarray, np.ndarray] | None = None, least: tuple[int, int] = LEAST, only: np.ndarray | None = None) -> DataFrame:
-    """(doc_id, node, n, sim0.., grams): node is a digest of a text's set, n the set's size, sim its SimHash (none with only).
+def with_sets(df: DataFrame, id_col: str, text_col: str, shingle: int, common: tuple[np.ndarray, np.ndarray] | None = None, least: tuple[int, int] = LEAST, only: np.ndarray | None = None, whole: bool = False) -> DataFrame:
+    """(doc_id, node, n, sim0.., grams): node is a digest of a text's set, n the set's size, sim its SimHash; with whole, bins its counts instead.
 
     grams is the whole set, or with common (hashes in order, their counts) its prefix. With only (nodes
     in order), other texts are left out, and those that the task has had.
@@ -115,9 +132,9 @@ def with_sets(df: DataFrame, id_col: str, text_col: str, shingle: int, common: t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         had: set[int] = set()
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
+        for rows in batches:
+            for at in range(0, rows.num_rows, ROWS):
+                batch = rows.slice(at, ROWS)
                 sets = [shingles(t.as_py(), shingle) for t in batch.column(1)]
                 nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], "<u8").view("<i8")
                 ids = batch.column(0)
@@ -129,11 +146,11 @@ def with_sets(df: DataFrame, id_col: str, text_col: str, shingle: int, common: t
                         continue
                     sets, nodes, ids = [sets[i] for i in own], nodes[own], ids.take(pa.array(own))
                 grams = sets if common is None else [prefix(s, common, least) for s in sets]
-                sims = [] if only is not None else list(np.stack([simhash(s) for s in sets]).view("<i8").T)
-                columns = [ids, pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(x) for x in sims), lists(grams)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", *SIM[: len(sims)], "grams"])
+                more = [lists([binned(s) for s in sets])] if whole else [pa.array(x) for x in np.stack([simhash(s) for s in sets]).view("<i8").T]
+                columns = [ids, pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), *more, lists(grams)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", *(["bins"] if whole else SIM), "grams"])
 
-    sims = "" if only is not None else "".join(f"{x} long, " for x in SIM)
+    sims = "bins array<long>, " if whole else "".join(f"{x} long, " for x in SIM)
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, node long, n int, {sims}grams array<long>")
 
 
@@ -154,15 +171,15 @@ def possible(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray, lea
 
 
 def by_bucket(keyed: DataFrame, names: list[str], found, schema: str) -> DataFrame:
-    """found(rows, group) of the rows of whole buckets: rows of longs sorted by the columns, bucket by bucket, and the bucket's number of each."""
+    """found(rows, group) of the rows of whole buckets: rows of longs, bucket by bucket and sorted by the columns, and the bucket's number of each. A last column of arrays counts as so many columns."""
     keys = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            rows = np.column_stack([np.asarray(c) for c in batch.columns]).astype(np.int64)
-            if not len(rows):
+            if not batch.num_rows:
                 continue
+            rows = np.column_stack([c.flatten().to_numpy().reshape(len(c), -1) if pa.types.is_list(c.type) else c.to_numpy() for c in batch.columns]).astype(np.int64, copy=False)
             last = held[-1][-1:] if held else rows[:1]
             change = (np.diff(np.concatenate([last, rows])[:, :keys], axis=0) != 0).any(1)
             if not change.any():
@@ -180,7 +197,8 @@ def by_bucket(keyed: DataFrame, names: list[str], found, schema: str) -> DataFra
             group = np.concatenate([[0], np.cumsum((np.diff(rows[:, :keys], axis=0) != 0).any(1))])
             yield from found(rows, group)
 
-    dealt = keyed.repartition(partitions(keyed.sparkSession), *names).sortWithinPartitions(*keyed.columns)
+    order = [f.name for f in keyed.schema if not isinstance(f.dataType, ArrayType)]
+    dealt = keyed.repartition(partitions(keyed.sparkSession), *names).sortWithinPartitions(*order)
     return dealt.mapInArrow(run, schema)
 
 
@@ -230,20 +248,21 @@ def neighbour_pairs(open_: DataFrame, least: tuple[int, int]) -> DataFrame:
     return by_bucket(open_.select("gram", "n", "node", "pos", "root", *SIM), ["gram"], found, "a long, b long").distinct()
 
 
-def cross_pairs(open_: DataFrame, least: tuple[int, int], block: int) -> DataFrame:
+def cross_pairs(open_: DataFrame, sets: DataFrame, least: tuple[int, int], block: int) -> DataFrame:
     """(a, b), a < b: all pairs of texts that meet, can link, and whose roots differ."""
     blocks = F.when(F.col("c") > block, F.ceil(F.col("c") / F.lit(block / 2)).cast("int"))
-    open_ = open_.withColumn("blocks", blocks)
+    open_ = open_.withColumn("blocks", blocks).join(sets.select("node", "bins"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).cast("long").alias("b1"), F.greatest(own, o).cast("long").alias("b2")))
     alone = F.array(F.struct(F.lit(0).cast("long").alias("b1"), F.lit(0).cast("long").alias("b2")))
-    rest = ["n", "node", "pos", "root", *SIM]
+    rest = ["n", "node", "pos", "root", *SIM, "bins"]
     dealt = open_.select("gram", *rest, F.explode(F.coalesce(pair, alone)).alias("p")).select("gram", "p.b1", "p.b2", *rest)
     up, down = least
 
     def found(rows: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         n, node, pos, root = rows[:, 3:7].T
-        sim = np.ascontiguousarray(rows[:, 7:]).view(np.uint64)
+        sim = np.ascontiguousarray(rows[:, 7 : 7 + SEGMENTS]).view(np.uint64)
+        bins = np.ascontiguousarray(rows[:, 7 + SEGMENTS :]).view(np.uint8)
         left, right = [], []
         at, k = np.arange(len(rows)), 1
         while True:
@@ -254,6 +273,7 @@ def cross_pairs(open_: DataFrame, least: tuple[int, int], block: int) -> DataFra
             i = at[root[at] != root[at + k]]
             i = i[possible(n[i], pos[i], n[i + k], pos[i + k], least)]
             i = i[in_budget(sim[i], sim[i + k])]
+            i = i[in_bins(bins[i], bins[i + k], least)]
             left.append(node[i])
             right.append(node[i + k])
             k += 1
@@ -264,15 +284,16 @@ def cross_pairs(open_: DataFrame, least: tuple[int, int], block: int) -> DataFra
 
 
 def whole_sets(df: DataFrame, id_col: str, text_col: str, shingle: int, nodes: DataFrame, lowest: DataFrame, named: int, folder: str) -> DataFrame:
-    """(node, n, grams) of the texts of the nodes, as a table. Up to a bound tasks are told the nodes; beyond, texts are joined by id."""
+    """(node, n, bins, grams) of the texts of the nodes, as a table. Up to a bound tasks are told the nodes; beyond, texts are joined by id."""
     nodes = written(nodes, folder, "met_nodes")
     if nodes.count() <= named:
         only = np.sort(np.array([r.node for r in nodes.toLocalIterator()], "<i8"))
-        sets = with_sets(df, id_col, text_col, shingle, only=only)
+        sets = with_sets(df, id_col, text_col, shingle, only=only, whole=True)
     else:
         ids = lowest.join(nodes, "node").select("least").distinct()
-        sets = with_sets(df.join(ids, F.col(id_col).eqNullSafe(F.col("least")), "left_semi"), id_col, text_col, shingle).join(nodes, "node", "left_semi")
-    return written(sets.select("node", "n", "grams"), folder, "sets").dropDuplicates(["node"])
+        some = df.join(ids, F.col(id_col).eqNullSafe(F.col("least")), "left_semi")
+        sets = with_sets(some, id_col, text_col, shingle, whole=True).join(nodes, "node", "left_semi")
+    return written(sets.select("node", "n", "bins", "grams"), folder, "sets").dropDuplicates(["node"])
 
 
 def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: tuple[int, int] = LEAST, block: int = BLOCK, named: int = NAMED, rounds: int = ROUNDS) -> DataFrame:
@@ -303,7 +324,7 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
         links = links.union(more)
         roots = components(links, f"{folder}/components_{k}")
-    pairs = written(cross_pairs(rooted(met, sims, roots, folder, "last"), least, block), folder, "pairs_last")
+    pairs = written(cross_pairs(rooted(met, sims, roots, folder, "last"), sets, least, block), folder, "pairs_last")
     more = linked(pairs, "links_last")
     if more.take(1):
         roots = components(links.union(more), f"{folder}/components_last")
