@@ -1,7 +1,12 @@
 import hashlib
+import random
 import re
+import string
+import time
 
-from helixframe.llm.secret_scan import marginal_cost, primed, redact, scan_secrets, scan_text
+import pytest
+
+from helixframe.llm.secret_scan import CANDIDATE, SENSITIVE, Novelty, candidates, common_words, cost, primed, redact, scan_secrets, scan_text
 
 KEY = "q9Xv2LmT7zRk4WbN8yHc3JdP"
 
@@ -25,14 +30,72 @@ def test_base_spans_match_brute_force(make):
         assert got[i].base_sha256 == hashlib.sha256(brute(t).encode()).hexdigest(), t
 
 
-def test_novelty_reports_random_and_leaves_names():
-    c = primed()
-    r = scan_text(f"the bearer header is {KEY} today", c)
-    assert r["n_novel"] == 1 and r["spans"] == f"novel:21:{21 + len(KEY)}"
-    assert scan_text(f"the number of parts is {KEY} today", c)["n_novel"] == 0  # no sensitive word
-    assert scan_text("the bearer refresh_token_connection_string_1 of the session", c)["n_novel"] == 0
-    assert scan_text(f"auth {KEY} and again auth {KEY} {KEY}", c)["n_novel"] == 0  # the text explains it
-    assert marginal_cost(c, "", KEY) > marginal_cost(c, "", "secret_access_key_connectionString")
+ALPHABETS = {"base62": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/", "base32": string.ascii_uppercase + "234567", "letters": string.ascii_letters, "lower": string.ascii_lowercase, "upper": string.ascii_uppercase, "HEX": "0123456789ABCDEF"}
+
+
+@pytest.mark.parametrize("alphabet", ALPHABETS)
+def test_random_runs_of_any_alphabet_and_length_are_reported(alphabet, text_of):
+    r, novelty = random.Random(alphabet), Novelty()
+    for n in (16, 20, 32, 40, 64, 200):
+        keys = ["".join(r.choice(ALPHABETS[alphabet]) for _ in range(n)) for _ in range(40)]
+        found = 0
+        for k in keys:
+            lead = text_of(r.randint(0, 50), 40) + " bearer "
+            found += f"novel:{len(lead)}:{len(lead) + n}" in scan_text(f"{lead}{k} {text_of(3, 40)}", novelty)["spans"].split(",")
+        assert found >= 38, (n, found)
+
+
+def test_names_are_explained():
+    novelty = Novelty("widget calendar harvest invoice ledger")
+    said = lambda text: scan_text(text, novelty)["n_novel"]
+    assert said(f"the number of parts is {KEY} today") == 0  # no sensitive word
+    for name in ("refresh_token_connection_string", "secret_access_key_connectionString", "calendar_invoice_ledger_widget", "HarvestCalendarInvoice"):
+        assert said(f"the bearer {name} of the session") == 0, name
+    # the surroundings explain a name that they hold in parts, but not by holding it again
+    assert said("grommet_sprocket and flange_bracket: auth grommet_sprocket_flange_bracket") == 0
+    assert said("auth grommet_sprocket_flange_bracket, auth grommet_sprocket_flange_bracket") == 2
+
+
+def test_repeated_secrets_are_reported_at_each_place():
+    text = f"auth {KEY} and again auth {KEY} {KEY}"
+    assert scan_text(text, Novelty())["spans"] == ",".join(f"novel:{m.start()}:{m.end()}" for m in re.finditer(KEY, text))
+
+
+def test_one_span_for_a_run():
+    r = scan_text(f"x authtoken{KEY} y", Novelty())
+    assert r["spans"] == f"novel:11:{11 + len(KEY)}"
+    assert cost(primed("secret access key connection string"), "secret_access_key_connectionString") < 0.88 <= cost(primed(""), KEY)
+
+
+def brute_candidates(text):
+    ends = {m.end() for m in SENSITIVE.finditer(text)}
+    for m in CANDIDATE.finditer(text):
+        inside = [e for e in ends if m.start() < e <= m.end() - 16]
+        if inside:
+            yield m.start(), max(inside), m.end()
+        elif any(0 <= m.start() - e <= 48 for e in ends if e <= m.end() - 16):
+            yield m.start(), m.start(), m.end()
+
+
+def test_candidates_match_brute_force():
+    r = random.Random(11)
+    parts = ["token", " ", "auth", "x" * 50, "A1b2" * 4, "secret", "-", ".", "zz ", "passw", "0" * 15, "é"]
+    for _ in range(300):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 25)))
+        assert candidates(text) == list(brute_candidates(text)), text
+
+
+@pytest.mark.parametrize("text", ["token a b " * 100_000, "token " * 170_000, "auth" * 250_000, "secret " + "Ab3+" * 250_000])
+def test_a_megabyte_is_scanned_in_time(text):
+    began = time.time()
+    scan_text(text, Novelty())
+    assert time.time() - began < 5
+
+
+def test_the_dictionary_holds_common_words(spark, make):
+    df = make(["alpha beta gamma alpha", "Alpha beta", "alpha delta", None, "x" * 20, "x" * 20])
+    assert common_words(df) == "beta alpha" and common_words(df, most_bytes=6) == "alpha"
+    assert common_words(df.limit(0)) == ""
 
 
 def test_base_spans_win_over_novel(make):
