@@ -3,17 +3,29 @@
 Plain rules come first: too few words, or too many words in repeated five-word windows. Every other
 document has a vector of transformed statistics. Per language and source, a minimum-covariance-
 determinant estimate is found by concentration steps: distances from the current centre and scatter,
-the share of the rows that lie nearest, centre and scatter of these, and again, from two starts of
-which the one of the smaller determinant goes on. A document is rejected by its Mahalanobis distance.
+the share of the rows that lie nearest, centre and scatter of these, and again until the determinants
+settle, from two starts of which the one of the smaller determinant goes on. The scatter is made
+consistent for normal data, and a document is rejected by its Mahalanobis distance beyond a quantile
+of the chi-square distribution.
 
-All sums are combined before they are shuffled. The nearest rows are found from counts of distances
-in fixed bins, which are exact counts of all rows, so results do not depend on the partitioning.
-Groups under MIN_ROWS are pooled by language, pools that are still too small are pooled together,
-and if even that is too small nothing is rejected beyond the plain rules.
+One rule holds for groups of all sizes: each language counts PRIOR rows of all documents' nearest
+besides its own, and each source PRIOR rows of its language's. So a small group leans on its language,
+and a large one hardly does.
+
+Counts that are mostly zero have no scatter of their own. Symbols, repeated lines and repeated windows
+are therefore taken as residuals: as a geometric count, whose mean is in proportion to the text's length
+(to its power 1.5 for what repeats within it, as pairs of places do) and fits the share of documents
+that have any, a count has an exponentially distributed value once it is spread within its step by a
+hash of the text; the cube root of that is close to normal. The length of words is taken by its
+deviation from the language's median in units of what so many words vary by.
+
+All sums are combined before they are shuffled. Each step reads the vectors once: sums per group and bin
+of distance give the nearest rows' sums by adding bins up, and are exact sums of all rows.
 
 Defined results: null text has no words and fails the plain rules; each input row gives one row;
-null language or source is a group like any other; an empty table gives no rows; extra columns are
-ignored. Whole texts count. Equal vectors have equal verdicts.
+null language or source is a group like any other; an empty table gives no rows, and one with under
+LEAST_ROWS usable rows rejects nothing beyond the plain rules; extra columns are ignored. Whole texts
+count, very long ones too. Equal texts of one group have equal verdicts.
 """
 
 from __future__ import annotations
@@ -24,17 +36,25 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import WHITE, shared_folder, written
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
-#: Rows that a group needs for an estimate of its own; share of the rows in the nearest subset.
-MIN_ROWS, NEAREST = 200, 0.6
-STEPS_FIRST, STEPS_LAST = 2, 3
-#: Chi-square with five degrees of freedom: the median, and the cutoff of one in a thousand.
-CHI_MEDIAN, CUTOFF = 4.351, 20.515
-#: Standard deviations added to each statistic's own: a scale for constant statistics, and a wide one for those that clean texts differ in.
-FLOORS = (1.0, 0.25, 0.06, 0.25, 0.2)
-DIMS = len(FLOORS)
+#: Share of the rows in the nearest subset, and what their covariance is short of for normal data of five
+#: dimensions: the share over the chi-square probability, with seven degrees of freedom, of its quantile.
+NEAREST, CONSISTENT = 0.75, 1.41207
+#: Chi-square with five degrees of freedom: the cutoff of one in a million.
+CUTOFF = 35.888
+#: Rows of the group above that each group counts; rows without which nothing is estimated.
+PRIOR, LEAST_ROWS = 50.0, 25
+STEPS_FIRST, STEPS_LAST, SETTLED = 2, 5, 1e-3
+#: Power of the length that repeats grow with; words whose lengths vary as much within a text as between texts; power of the count of words.
+GROWTH, EVEN_WORDS, LENGTH_POWER = 1.5, 100.0, -0.05
+#: Standard deviation added to each statistic's own, so that constant statistics have one: a hundredth.
+ROUNDING = 0.01
+DIMS = 5
 X = [f"x{i}" for i in range(DIMS)]
+SUMS = ["n", *[f"s{i}" for i in range(DIMS)], *[f"p{i}{j}" for i in range(DIMS) for j in range(i + 1)]]
 #: Bins of a distance: so many to a factor of e.
-BINS = 64
+BINS = 32
+#: Groups up to which their parameters are broadcast (30 numbers each).
+BROADCAST_GROUPS = 20_000
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -53,10 +73,10 @@ def statistics(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sourc
     split = docs.select(
         F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), text.alias("text"),
         F.filter(F.split(text, WHITE + "+"), lambda w: w != "").alias("words"),
-        F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
+        F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"), F.xxhash64(text).alias("roll"),
     )
     split = split.select(
-        "doc_id", "lang", "source", F.size("words").alias("n_words"), F.length(F.array_join("words", "")).alias("word_chars"),
+        "doc_id", "lang", "source", "roll", F.size("words").alias("n_words"), F.length(F.array_join("words", "")).alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).alias("n_symbols"), F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), repeated_words(F.col("words")).alias("windows"),
     )
@@ -77,104 +97,136 @@ def statistics(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sourc
     return found.withColumn("base_failed", failed)
 
 
-def vectors(stats: DataFrame) -> DataFrame:
-    """The transformed statistics of documents that pass the plain rules, null for the others."""
-    ok = ~F.col("base_failed")
-    n, chars = F.col("n_words").cast("double"), F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
-    said = [F.log(F.when(ok, n)), F.log(chars / F.when(ok, n)), F.sqrt(F.col("n_symbols") / chars), F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))), F.sqrt(F.col("n_repeat_words") / F.when(ok, n))]
-    return stats.withColumns({x: F.when(ok, c).cast("double") for x, c in zip(X, said)})
-
-
-def pooled(rows: DataFrame, min_rows: int) -> DataFrame:
-    """rows with `key`, the group whose estimate holds for it: language and source, or a pool; null if all are too small."""
+def keyed(stats: DataFrame) -> DataFrame:
+    """stats with the names of the language's group and of the group of both, which are never null."""
     said = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    keyed = rows.withColumns({"by_lang": F.concat(said("lang"), F.lit("\x01")), "by_both": F.concat(said("lang"), F.lit("\x01"), said("source"))})
-    counts = keyed.where("not base_failed").groupBy("by_both", "by_lang").agg(F.count("*").alias("n"))
-    small = F.sum(F.when(F.col("n") < min_rows, F.col("n"))).over(Window.partitionBy("by_lang"))  # a row for each source
-    key = F.when(F.col("n") >= min_rows, F.col("by_both")).when(small >= min_rows, F.col("by_lang")).otherwise(F.lit("all"))
-    pools = counts.select("by_both", "n", key.alias("key"))
-    held = F.sum("n").over(Window.partitionBy("key"))  # a row for each language and source
-    pools = pools.select("by_both", F.when(held >= min_rows, F.col("key")).alias("key"))
-    return keyed.join(pools, "by_both", "left").drop("by_both", "by_lang")
-
-
-def scatter(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key the count, the mean m0.., and the Cholesky factor l00, l10, l11.. of the floored covariance."""
-    sums = [F.sum(x).alias(f"s_{x}") for x in X] + [F.sum(F.col(X[i]) * F.col(X[j])).alias(f"p{i}{j}") for i in range(DIMS) for j in range(i + 1)]
-    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
-    out = out.withColumns({f"m{i}": F.col(f"s_{X[i]}") / F.col("n") for i in range(DIMS)})
-    cov = lambda i, j: F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")
-    out = out.withColumns({f"c{i}{j}": F.greatest(cov(i, j), F.lit(0.0)) + FLOORS[i] ** 2 if i == j else cov(i, j) for i in range(DIMS) for j in range(i + 1)})
+    return stats.withColumns({"by_lang": said("lang"), "key": F.concat(said("lang"), F.lit("\x01"), said("source"))})
+
+
+def counts_with_lengths() -> dict[str, tuple[Column, Column]]:
+    """Counts that are mostly zero, with the length that they grow with."""
+    length = lambda c: F.greatest(F.col(c), F.lit(1)).cast("double")
+    return {
+        "x2": (F.col("n_symbols").cast("double"), length("word_chars")),
+        "x3": (F.col("n_dup_lines").cast("double"), F.pow(length("n_lines"), F.lit(GROWTH))),
+        "x4": (F.ceil(F.col("n_repeat_words") / (2 * WINDOW)).cast("double"), F.pow(length("n_words"), F.lit(GROWTH))),
+    }
+
+
+def log_word_length() -> Column:
+    return F.log(F.greatest(F.col("word_chars"), F.lit(1)) / F.greatest(F.col("n_words"), F.lit(1)))
+
+
+def vectors(rows: DataFrame, folder: str) -> DataFrame:
+    """rows (keyed statistics) with the vector x0.., null where the plain rules fail."""
+    ok, counted = rows.where("not base_failed"), counts_with_lengths()
+    any_ = [F.sum((c > 0).cast("double")).alias(f"any_{x}") for x, (c, _) in counted.items()]
+    size = [F.sum(w).alias(f"size_{x}") for x, (_, w) in counted.items()]
+    own = ok.groupBy("by_lang", "key").agg(F.count("*").cast("double").alias("n"), *any_, *size)
+    own = written(own, folder, "group_counts")
+    names = [c for c in own.columns if c not in ("by_lang", "key")]
+    lang = own.groupBy("by_lang").agg(*[F.sum(c).alias(f"l_{c}") for c in names])
+    middle = ok.groupBy("by_lang").agg(F.percentile_approx(log_word_length(), 0.5, 10_000).alias("middle"))
+    both = own.join(lang.join(middle, "by_lang"), "by_lang")
+    for x in counted:
+        share = (F.col(f"any_{x}") + PRIOR * (F.col(f"l_any_{x}") + 0.5) / (F.col("l_n") + 1)) / (F.col("n") + PRIOR)
+        mean = (F.col(f"size_{x}") + PRIOR * F.col(f"l_size_{x}") / F.col("l_n")) / (F.col("n") + PRIOR)
+        both = both.withColumn(f"rate_{x}", F.least(share, F.lit(0.999)) / (1 - F.least(share, F.lit(0.999))) / mean)
+    rates = written(both.select("key", "middle", *[f"rate_{x}" for x in counted]), folder, "rates")
+    rates = F.broadcast(rates) if rates.count() <= BROADCAST_GROUPS else rates
+    met = rows.join(rates, "key", "left")
+    n = F.col("n_words").cast("double")
+    said = {"x0": F.pow(n, F.lit(LENGTH_POWER)) / -LENGTH_POWER, "x1": (log_word_length() - F.col("middle")) * F.sqrt(n / (1 + n / EVEN_WORDS))}
+    for k, (x, (count, size_)) in enumerate(counted.items()):
+        mean = F.col(f"rate_{x}") * size_
+        more = mean / (1 + mean)  # the chance of one more
+        spread = (F.pmod(F.xxhash64("roll", F.lit(k)), F.lit(1_000_003)) + 0.5) / 1_000_003.0
+        said[x] = F.cbrt(-count * F.log(more) - F.log(1 - spread * (1 - more)))
+    return met.withColumns({x: F.when(~F.col("base_failed"), c).cast("double") for x, c in said.items()}).drop("middle", *[f"rate_{x}" for x in counted])
+
+
+def added_up() -> list[Column]:
+    """The count, sums and products of the vectors."""
+    sums = [F.count("*").cast("double").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)]]
+    return sums + [F.sum(F.col(X[i]) * F.col(X[j])).alias(f"p{i}{j}") for i in range(DIMS) for j in range(i + 1)]
+
+
+def scatter(sums: DataFrame) -> DataFrame:
+    """Per key and start the mean m0.., and the Cholesky factor l00, l10, l11.. of the consistent covariance.
+
+    sums: by_lang, key, start and SUMS of the nearest rows; a row for each group.
+    """
+    names = ["by_lang", "key", "start"]
+    lang = sums.groupBy("by_lang", "start").agg(*[F.sum(c).alias(f"l_{c}") for c in SUMS])
+    every = lang.groupBy("start").agg(*[F.sum(f"l_{c}").alias(f"a_{c}") for c in SUMS])
+    lang = lang.join(F.broadcast(every), "start").select("by_lang", "start", *[(F.col(f"l_{c}") + PRIOR * F.col(f"a_{c}") / F.col("a_n")).alias(f"l_{c}") for c in SUMS])
+    out = sums.join(lang, ["by_lang", "start"]).select(*names, *[(F.col(c) + PRIOR * F.col(f"l_{c}") / F.col("l_n")).alias(c) for c in SUMS])
+    out = out.select(*names, *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(DIMS)], *[(F.col(f"p{i}{j}") / F.col("n")).alias(f"p{i}{j}") for i in range(DIMS) for j in range(i + 1)])
+    cov = lambda i, j: (F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENT
     for i in range(DIMS):
         for j in range(i + 1):
-            rest = F.col(f"c{i}{j}")
+            rest = F.greatest(cov(i, j), F.lit(0.0)) + ROUNDING**2 if i == j else cov(i, j)
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
-    log_det = F.lit(0.0)
-    for i in range(DIMS):
-        log_det = log_det + 2 * F.log(f"l{i}{i}")
-    return out.select(*keys, "n", *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i in range(DIMS) for j in range(i + 1)], log_det.alias("log_det"))
+            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(ROUNDING**2 / 100))) if i == j else rest / F.col(f"l{j}{j}"))
+    log_det = sum((2 * F.log(f"l{i}{i}") for i in range(1, DIMS)), 2 * F.log("l00"))
+    return out.select(*names, *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i in range(DIMS) for j in range(i + 1)], log_det.alias("log_det"))
 
 
 def distance(rows: DataFrame) -> DataFrame:
-    """rows with m.. and l.. get `bin`, the bin of the squared Mahalanobis distance `d2`."""
+    """rows with m.. and l.. get the squared Mahalanobis distance `d2`."""
     for i in range(DIMS):
         z = F.col(X[i]) - F.col(f"m{i}")
         for k in range(i):
             z = z - F.col(f"l{i}{k}") * F.col(f"z{k}")
         rows = rows.withColumn(f"z{i}", z / F.col(f"l{i}{i}"))
     d2 = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, DIMS)), F.col("z0") * F.col("z0"))
-    rows = rows.withColumn("d2", d2).drop(*[f"z{i}" for i in range(DIMS)])
-    return rows.withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * BINS).cast("int"))
-
-
-def quantile_bin(rows: DataFrame, keys: list[str], share: float, name: str) -> DataFrame:
-    """Per key the first bin with at least the share of the rows in it and below. Bins are few."""
-    counts = rows.groupBy(*keys, "bin").agg(F.count("*").alias("c"))
-    below = F.sum("c").over(Window.partitionBy(*keys).orderBy("bin"))
-    total = F.sum("c").over(Window.partitionBy(*keys))
-    return counts.select(*keys, "bin", (below >= F.ceil(total * share)).alias("enough")).where("enough").groupBy(*keys).agg(F.min("bin").alias(name))
-
-
-def estimate(rows: DataFrame, folder: str) -> tuple[DataFrame, bool]:
-    """Per key the robust centre and scatter and `half`, the bin of the median distance; whether the table is small."""
-    near = rows.select("key", *X)
-    # a start from all rows, and one from the half around the middle of the count of words
-    first = written(scatter(near, ["key"]), folder, "start_all")
-    small = first.count() <= 10_000
-    held = lambda df: F.broadcast(df) if small else df
-    middle = near.join(held(first.select("key", "m0", "l00")), "key").where(F.abs(F.col("x0") - F.col("m0")) <= F.col("l00")).drop("m0", "l00")
-    quiet = middle.where((F.col("x2") <= FLOORS[2]) & (F.col("x3") == 0) & (F.col("x4") == 0))
-    other = scatter(quiet, ["key"]).where(F.col("n") >= 4 * DIMS)
-    params = written(first.withColumn("start", F.lit(0)).unionByName(other.withColumn("start", F.lit(1))), folder, "start")
-    keys = ["key", "start"]
-    for k in range(STEPS_FIRST + STEPS_LAST):
+    return rows.withColumn("d2", d2).drop(*[f"z{i}" for i in range(DIMS)])
+
+
+def nearest_sums(near: DataFrame, params: DataFrame) -> DataFrame:
+    """SUMS of the nearest rows per group and start: of all bins up to the first one that completes their share."""
+    away = distance(near.join(params.drop("by_lang"), "key"))
+    binned = away.groupBy("by_lang", "key", "start", F.floor(F.log(F.col("d2") + 1e-6) * BINS).alias("bin")).agg(*added_up())
+    group = Window.partitionBy("key", "start")
+    before = F.coalesce(F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))  # bins are few
+    binned = binned.withColumns({"before": before, "whole": F.sum("n").over(group)})
+    return binned.where(F.col("before") < F.ceil(F.col("whole") * NEAREST)).groupBy("by_lang", "key", "start").agg(*[F.sum(c).alias(c) for c in SUMS])
+
+
+def estimate(near: DataFrame, folder: str) -> DataFrame | None:
+    """Per key the robust centre and scatter, of near (by_lang, key, x0..); None if there are too few rows."""
+    starts = F.array(F.lit(0), F.when((F.col("x2") < 1) & (F.col("x3") < 1) & (F.col("x4") < 1), 1))  # all rows, and those of ordinary counts
+    first = near.select("*", F.explode(starts).alias("start")).where("start is not null").groupBy("by_lang", "key", "start").agg(*added_up())
+    first = written(first, folder, "starts")
+    if (first.where("start = 0").agg(F.sum("n")).first()[0] or 0) < LEAST_ROWS:
+        return None
+    told = lambda df: F.broadcast(df) if groups <= BROADCAST_GROUPS else df
+    params = written(scatter(first), folder, "step_0")
+    groups = params.count()
+    last = None
+    for k in range(1, STEPS_FIRST + STEPS_LAST + 1):
+        params = written(scatter(nearest_sums(near, told(params))), folder, f"step_{k}")
         if k == STEPS_FIRST:
-            lowest = Window.partitionBy("key").orderBy("log_det", "start")  # two rows a key
-            params = params.withColumn("rank", F.row_number().over(lowest)).where("rank = 1").drop("rank")
-        away = distance(near.join(held(params), "key"))
-        edge = quantile_bin(away, keys, NEAREST, "edge")
-        inner = away.select(*keys, *X, "bin").join(held(edge), keys).where(F.col("bin") <= F.col("edge"))
-        params = written(scatter(inner, keys), folder, f"step_{k}")
-    away = distance(near.join(held(params), "key"))
-    half = quantile_bin(away, ["key"], 0.5, "half")
-    return written(params.drop("start", "n", "log_det").join(half, "key"), folder, "estimates"), small
-
-
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_rows: int = MIN_ROWS, cutoff: float = CUTOFF) -> DataFrame:
+            params = params.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("log_det", "start"))).where("rank = 1").drop("rank")  # two rows a key
+        if k >= STEPS_FIRST:
+            now = params.agg(F.avg("log_det")).first()[0]
+            if last is not None and abs(now - last) < SETTLED:
+                break
+            last = now
+    return told(params.drop("start", "log_det", "by_lang"))
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
     """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
 
-    distance is the squared Mahalanobis distance, scaled down where its median in the group is over
-    that of a normal distribution; null where there is no estimate.
+    distance is the squared Mahalanobis distance, null where the plain rules fail or nothing is estimated.
     """
     folder = shared_folder(docs.sparkSession)
-    stats = written(vectors(statistics(docs, id_col, text_col, lang_col, source_col)), folder, "statistics")
-    rows = written(pooled(stats, min_rows), folder, "pooled")
-    usable = rows.where("not base_failed and key is not null")
-    params, small = estimate(usable, folder)
-    judged = distance(rows.join(F.broadcast(params) if small else params, "key", "left"))
-    scaled = F.col("d2") * F.lit(CHI_MEDIAN) / F.greatest(F.exp((F.col("half") + 1) / F.lit(float(BINS))), F.lit(CHI_MEDIAN))
-    kept = ~F.col("base_failed") & F.coalesce(scaled <= cutoff, F.lit(True))
+    stats = written(keyed(statistics(docs, id_col, text_col, lang_col, source_col)), folder, "statistics")
+    rows = written(vectors(stats, folder), folder, "vectors")
+    params = estimate(rows.where("not base_failed").select("by_lang", "key", *X), folder)
+    judged = rows.withColumn("d2", F.lit(None).cast("double")) if params is None else distance(rows.join(params, "key", "left"))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))
     counts = [F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return judged.select("doc_id", *counts, "base_failed", kept.alias("kept"), F.when(~F.col("base_failed"), scaled).alias("distance"))
+    return judged.select("doc_id", *counts, "base_failed", kept.alias("kept"), F.when(~F.col("base_failed"), F.col("d2")).alias("distance"))
