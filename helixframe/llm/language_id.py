@@ -32,7 +32,7 @@ NGRAM, SLOTS, HASHES = 4, 1 << 20, 3
 #: share of them that must hold an n-gram.
 MOST_DOCS, LEAST_SHARE = 5_000, 0.05
 #: Code points handled at once.
-PIECE = 1 << 20
+PIECE = 1 << 17
 SPACE = 32
 
 
@@ -136,10 +136,10 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits, texts = np.asarray(batch.column(0)), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                doc, h = grams(texts[at : at + 256])
+            for at in range(0, len(texts), 64):
+                doc, h = grams(texts[at : at + 64])
                 pairs = np.unique(np.stack([doc.astype(np.uint64), h], 1), axis=0)  # a document counts once
-                of, n = np.unique(np.stack([bits[at : at + 256][pairs[:, 0].astype(int)].astype(np.uint64), pairs[:, 1]], 1), axis=0, return_counts=True)
+                of, n = np.unique(np.stack([bits[at : at + 64][pairs[:, 0].astype(int)].astype(np.uint64), pairs[:, 1]], 1), axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(of[:, 0].astype(np.int32)), pa.array(of[:, 1].copy().view(np.int64)), pa.array(n)], names=["bit", "gram", "n"])
 
     found = sample.repartition(partitions(spark)).mapInArrow(held, "bit int, gram long, n long").groupBy("bit", "gram").agg(F.sum("n").alias("n"))

@@ -7,11 +7,11 @@ have one order, the same for all texts. Of n shingles, linked texts must share o
 n - ceil(0.8 n) + 1, so texts meet under these only, and under every one of them. The order puts shingles
 that are common in a sample of the texts last, so common passages make few meetings; it decides what is
 compared, never what links. Pairs that meet are kept while their sizes and the places of the met shingle
-leave 0.8 possible, then while some chain of consecutive segments of their SimHashes of 512 bits stays
-within proportional budgets up to the whole (pigeonring), and are at last compared by their whole sets. The
-budget of 140 bits is five deviations from what texts of similarity 0.8 differ in. What is left must have
-enough shingles in common by counts of their hashes in 256 bins (those in common are at most the sum of the
-lesser counts), which takes no more than the task that the texts have met in.
+leave 0.8 possible if it is the first they share, then while some chain of consecutive segments of their
+SimHashes of 256 bits stays within proportional budgets up to the whole (pigeonring), and are at last
+compared by their whole sets. The budget of 80 bits is five deviations from what texts of similarity 0.8
+differ in. In the last round pairs must have enough shingles in common by counts of their hashes in 256
+bins (those in common are at most the sum of the lesser counts) before they leave the task they meet in.
 
 Texts of equal sets count once. Rounds that compare each text with one neighbour of another component join
 large groups of near copies with few comparisons, and a last round compares all pairs that are still apart.
@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import BinaryType
 
 from helixframe.llm.common import partitions, shared_folder, written
 from helixframe.llm.components import components
@@ -46,14 +46,14 @@ BLOCK = 2048
 #: One text of so many is sampled for the order of shingles; shingles in fewer sampled texts count as rare; most that are told to tasks.
 SAMPLED, OFTEN, TOLD = 32, 4, 1 << 16
 #: Words of 64 bits of a SimHash, each a segment, and the bits that linked texts may differ in.
-SEGMENTS, MOST_BITS = 8, 140
+SEGMENTS, MOST_BITS = 4, 80
 SIM = [f"sim{k}" for k in range(SEGMENTS)]
 #: Bins of a set's counts, and the count from which a bin says nothing.
 BINS, FULL = 256, 255
 #: Rounds of neighbours at most, before all pairs.
-ROUNDS = 4
-#: Texts up to which the set of those that meet others is told to tasks (8 bytes each); beyond, texts are joined.
-NAMED = 1 << 22
+ROUNDS = 3
+#: Texts up to which the ids of those to be compared by whole sets are broadcast; beyond, texts are joined.
+NAMED = 1_000_000
 #: Texts whose sets are held at once in a task.
 ROWS = 256
 
@@ -86,8 +86,8 @@ def simhash(s: np.ndarray) -> np.ndarray:
 
 
 def binned(s: np.ndarray) -> np.ndarray:
-    """The set's counts by bins, a byte each, as longs."""
-    return np.minimum(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), FULL).astype(np.uint8).view("<i8")
+    """The set's counts by bins, a byte each."""
+    return np.minimum(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), FULL).astype(np.uint8)
 
 
 def in_bins(one: np.ndarray, two: np.ndarray, least: tuple[int, int]) -> np.ndarray:
@@ -122,36 +122,28 @@ def prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: tuple[in
     return s[np.lexsort((s, count))][: len(s) - -(-len(s) * least[0] // least[1]) + 1]
 
 
-def with_sets(df: DataFrame, id_col: str, text_col: str, shingle: int, common: tuple[np.ndarray, np.ndarray] | None = None, least: tuple[int, int] = LEAST, only: np.ndarray | None = None, whole: bool = False) -> DataFrame:
-    """(doc_id, node, n, sim0.., grams): node is a digest of a text's set, n the set's size, sim its SimHash; with whole, bins its counts instead.
+def with_sets(df: DataFrame, id_col: str, text_col: str, shingle: int, common: tuple[np.ndarray, np.ndarray] | None = None, least: tuple[int, int] = LEAST) -> DataFrame:
+    """(doc_id, node, n, grams): node is a digest of a text's set, n the set's size, grams the whole set.
 
-    grams is the whole set, or with common (hashes in order, their counts) its prefix. With only (nodes
-    in order), other texts are left out, and those that the task has had.
+    With common (hashes in order, their counts) grams is its prefix, and sim0.. and bins, its SimHash and
+    its counts by bins, come besides.
     """
     kind = df.schema[id_col].dataType.simpleString()
+    more = [] if common is None else [*SIM, "bins"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        had: set[int] = set()
         for rows in batches:
             for at in range(0, rows.num_rows, ROWS):
                 batch = rows.slice(at, ROWS)
                 sets = [shingles(t.as_py(), shingle) for t in batch.column(1)]
                 nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], "<u8").view("<i8")
-                ids = batch.column(0)
-                if only is not None:
-                    where = np.searchsorted(only, nodes)
-                    wanted = np.flatnonzero(only[np.minimum(where, len(only) - 1)] == nodes) if len(only) else []
-                    own = [i for i in wanted if not (nodes[i] in had or had.add(nodes[i]))]
-                    if not own:
-                        continue
-                    sets, nodes, ids = [sets[i] for i in own], nodes[own], ids.take(pa.array(own))
-                grams = sets if common is None else [prefix(s, common, least) for s in sets]
-                more = [lists([binned(s) for s in sets])] if whole else [pa.array(x) for x in np.stack([simhash(s) for s in sets]).view("<i8").T]
-                columns = [ids, pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), *more, lists(grams)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", *(["bins"] if whole else SIM), "grams"])
-
-    sims = "bins array<long>, " if whole else "".join(f"{x} long, " for x in SIM)
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, node long, n int, {sims}grams array<long>")
+                columns = [batch.column(0), pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), lists(sets if common is None else [prefix(s, common, least) for s in sets])]
+                if more:
+                    columns += [*(pa.array(x) for x in np.stack([simhash(s) for s in sets]).view("<i8").T), pa.array([binned(s).tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "grams", *more])
+
+    kinds = ", ".join(f"{x} {'binary' if x == 'bins' else 'long'}" for x in more)
+    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, node long, n int, grams array<long>" + (", " + kinds if more else ""))
 
 
 def common_shingles(df: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,13 +157,12 @@ def common_shingles(df: DataFrame, id_col: str, text_col: str, shingle: int) ->
 
 
 def possible(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray, least: tuple[int, int]) -> np.ndarray:
-    """Whether sets of n1 and n2 shingles that share the ones at places p1 and p2 of the order can be as similar as least."""
-    most = np.minimum(p1, p2) + np.minimum(n1 - p1, n2 - p2)
-    return (least[0] + least[1]) * most >= least[0] * (n1 + n2)
+    """Whether sets of n1 and n2 shingles whose first one in common is at places p1 and p2 of the order can be as similar as least."""
+    return (least[0] + least[1]) * np.minimum(n1 - p1, n2 - p2) >= least[0] * (n1 + n2)
 
 
 def by_bucket(keyed: DataFrame, names: list[str], found, schema: str) -> DataFrame:
-    """found(rows, group) of the rows of whole buckets: rows of longs, bucket by bucket and sorted by the columns, and the bucket's number of each. A last column of arrays counts as so many columns."""
+    """found(rows, group) of the rows of whole buckets: rows of longs, bucket by bucket and sorted by the columns, and the bucket's number of each. A last binary column of even width counts as so many longs."""
     keys = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +170,7 @@ def by_bucket(keyed: DataFrame, names: list[str], found, schema: str) -> DataFra
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.column_stack([c.flatten().to_numpy().reshape(len(c), -1) if pa.types.is_list(c.type) else c.to_numpy() for c in batch.columns]).astype(np.int64, copy=False)
+            rows = np.column_stack([np.frombuffer(b"".join(c.to_pylist()), "<i8").reshape(len(c), -1) if pa.types.is_binary(c.type) else c.to_numpy() for c in batch.columns]).astype(np.int64, copy=False)
             last = held[-1][-1:] if held else rows[:1]
             change = (np.diff(np.concatenate([last, rows])[:, :keys], axis=0) != 0).any(1)
             if not change.any():
@@ -197,13 +188,14 @@ def by_bucket(keyed: DataFrame, names: list[str], found, schema: str) -> DataFra
             group = np.concatenate([[0], np.cumsum((np.diff(rows[:, :keys], axis=0) != 0).any(1))])
             yield from found(rows, group)
 
-    order = [f.name for f in keyed.schema if not isinstance(f.dataType, ArrayType)]
+    order = [f.name for f in keyed.schema if not isinstance(f.dataType, BinaryType)]
     dealt = keyed.repartition(partitions(keyed.sparkSession), *names).sortWithinPartitions(*order)
     return dealt.mapInArrow(run, schema)
 
 
 def met_texts(firsts: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """(gram, n, node, pos, prev) of shingles that two texts or more meet under; prev is the next smaller text if the pair is possible."""
+    """(gram, n, node, pos) of shingles that two texts or more meet under, of texts that can have a partner there."""
+    up, down = least
 
     def found(rows: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         many = np.bincount(group)[group] > 1
@@ -211,89 +203,106 @@ def met_texts(firsts: DataFrame, least: tuple[int, int]) -> DataFrame:
         if not len(rows):
             return
         n, pos = rows[:, 1], rows[:, 3]
-        ok = np.zeros(len(rows), bool)
-        ok[1:] = (group[1:] == group[:-1]) & possible(n[1:], pos[1:], n[:-1], pos[:-1], least)
-        prev = pa.array(np.roll(rows[:, 2], 1), mask=~ok)
-        yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, i]) for i in range(4)), prev], names=["gram", "n", "node", "pos", "prev"])
+        # the sizes of a bucket grow, so they are looked up in one array of bucket and size
+        width = int(n.max()) + 2
+        place = group * width + n
+        smallest = -(-up * n // down)
+        # as the larger one, a text meets sizes that leave its place early enough; as the smaller one, its place must be early by itself
+        largest = np.minimum(n, ((down) * n - (up + down) * pos) // up)
+        below = np.searchsorted(place, group * width + largest, "right") - np.searchsorted(place, group * width + smallest, "left")
+        own = largest >= n
+        above = np.searchsorted(place, group * width + np.minimum(n * down // up, width - 1), "right") - np.searchsorted(place, place, "left")
+        keep = (below > own) | (own & (above > 1))
+        yield pa.RecordBatch.from_arrays([pa.array(rows[keep, i]) for i in range(4)], names=["gram", "n", "node", "pos"])
 
     keyed = firsts.select(F.col("n").cast("long").alias("n"), "node", F.posexplode("grams").alias("pos", "gram")).select("gram", "n", "node", F.col("pos").cast("long").alias("pos"))
-    return by_bucket(keyed, ["gram"], found, "gram long, n long, node long, pos long, prev long")
+    return by_bucket(keyed, ["gram"], found, "gram long, n long, node long, pos long")
+
+
+#: What a bucket's row holds behind its key.
+ROW = ["n", "node", "pos", "root", *SIM]
 
 
-def rooted(met: DataFrame, sims: DataFrame, roots: DataFrame, folder: str, name: str) -> DataFrame:
-    """Rows of met with root and SimHash, of shingles under which texts of different roots meet."""
-    of = met.select("gram", "n", "node", "pos").join(sims.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "node")
-    of = written(of.select("gram", "n", "node", "pos", "root", *SIM), folder, f"{name}_rooted")
-    open_ = of.groupBy("gram").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram", "c")
-    return of.join(open_, "gram")
+def with_roots(met: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """met with the root of each text, which is itself where nothing links it."""
+    if roots is None:
+        return met.withColumn("root", F.col("node"))
+    return met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def ends_in_order(one: np.ndarray, two: np.ndarray) -> Iterator[pa.RecordBatch]:
+def in_order(one: np.ndarray, two: np.ndarray) -> Iterator[pa.RecordBatch]:
     if len(one):
         pairs = np.unique(np.column_stack([np.minimum(one, two), np.maximum(one, two)]), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def neighbour_pairs(open_: DataFrame, least: tuple[int, int]) -> DataFrame:
+def neighbour_pairs(rooted: DataFrame, least: tuple[int, int]) -> DataFrame:
     """(a, b), a < b: in each shingle's texts by size, where the root changes, the texts on both sides if they can link."""
 
     def found(rows: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         n, node, pos, root = rows[:, 1:5].T
-        sim = rows[:, 5:].view(np.uint64)
+        sim = np.ascontiguousarray(rows[:, 5:]).view(np.uint64)
         i = np.flatnonzero((group[1:] == group[:-1]) & (root[1:] != root[:-1]))
         i = i[possible(n[i], pos[i], n[i + 1], pos[i + 1], least)]
         i = i[in_budget(sim[i], sim[i + 1])]
-        yield from ends_in_order(node[i], node[i + 1])
+        yield from in_order(node[i], node[i + 1])
 
-    return by_bucket(open_.select("gram", "n", "node", "pos", "root", *SIM), ["gram"], found, "a long, b long").distinct()
+    return by_bucket(rooted.select("gram", *ROW), ["gram"], found, "a long, b long").distinct()
 
 
-def cross_pairs(open_: DataFrame, sets: DataFrame, least: tuple[int, int], block: int) -> DataFrame:
-    """(a, b), a < b: all pairs of texts that meet, can link, and whose roots differ."""
-    blocks = F.when(F.col("c") > block, F.ceil(F.col("c") / F.lit(block / 2)).cast("int"))
-    open_ = open_.withColumn("blocks", blocks).join(sets.select("node", "bins"), "node")
+def in_blocks(rooted: DataFrame, block: int) -> DataFrame:
+    """rooted with (b1, b2): a shingle with more texts than a block is dealt out as pairs of blocks, others are (0, 0)."""
+    counts = rooted.groupBy("gram").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
+    counts = counts.where("low <> high").select("gram", F.when(F.col("c") > block, F.ceil(F.col("c") / F.lit(block / 2)).cast("int")).alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).cast("long").alias("b1"), F.greatest(own, o).cast("long").alias("b2")))
     alone = F.array(F.struct(F.lit(0).cast("long").alias("b1"), F.lit(0).cast("long").alias("b2")))
-    rest = ["n", "node", "pos", "root", *SIM, "bins"]
-    dealt = open_.select("gram", *rest, F.explode(F.coalesce(pair, alone)).alias("p")).select("gram", "p.b1", "p.b2", *rest)
-    up, down = least
+    return rooted.join(counts, "gram").select("gram", *ROW, F.explode(F.coalesce(pair, alone)).alias("p")).select("gram", "p.b1", "p.b2", *ROW)
+
+
+def apart(rows: np.ndarray, group: np.ndarray, least: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of pairs of one bucket (gram, b1, b2, ROW ..) that can link by size, place and SimHash and whose roots differ."""
+    n, _, pos, root = rows[:, 3:7].T
+    sim = np.ascontiguousarray(rows[:, 7 : 7 + SEGMENTS]).view(np.uint64)
+    at, k = np.arange(len(rows)), 1
+    while True:
+        at = at[at + k < len(rows)]
+        at = at[(group[at] == group[at + k]) & (least[0] * n[at + k] <= least[1] * n[at])]  # in a bucket sizes only grow
+        if not len(at):
+            return
+        i = at[root[at] != root[at + k]]
+        i = i[possible(n[i], pos[i], n[i + k], pos[i + k], least)]
+        i = i[in_budget(sim[i], sim[i + k])]
+        yield i, i + k
+        k += 1
+
+
+def cross_pairs(rooted: DataFrame, bins: DataFrame, least: tuple[int, int], block: int, folder: str) -> DataFrame:
+    """(a, b), a < b: all pairs of texts that meet, can link, and whose roots differ.
+
+    First rows that have any such pair by SimHash are told, as many as rows at most; only these get their bins.
+    """
+    keys = ["gram", "b1", "b2"]
+
+    def told(rows: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        some = np.zeros(len(rows), bool)
+        for i, j in apart(rows, group, least):
+            some[i] = some[j] = True
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows[some].T], names=[*keys, *ROW])
 
     def found(rows: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n, node, pos, root = rows[:, 3:7].T
-        sim = np.ascontiguousarray(rows[:, 7 : 7 + SEGMENTS]).view(np.uint64)
-        bins = np.ascontiguousarray(rows[:, 7 + SEGMENTS :]).view(np.uint8)
+        counts = np.ascontiguousarray(rows[:, 7 + SEGMENTS :]).view(np.uint8)
         left, right = [], []
-        at, k = np.arange(len(rows)), 1
-        while True:
-            at = at[at + k < len(rows)]
-            at = at[(group[at] == group[at + k]) & (up * n[at + k] <= down * n[at])]  # in a bucket sizes only grow
-            if not len(at):
-                break
-            i = at[root[at] != root[at + k]]
-            i = i[possible(n[i], pos[i], n[i + k], pos[i + k], least)]
-            i = i[in_budget(sim[i], sim[i + k])]
-            i = i[in_bins(bins[i], bins[i + k], least)]
-            left.append(node[i])
-            right.append(node[i + k])
-            k += 1
+        for i, j in apart(rows, group, least):
+            ok = in_bins(counts[i], counts[j], least)
+            left.append(rows[i[ok], 4])
+            right.append(rows[j[ok], 4])
         if left:
-            yield from ends_in_order(np.concatenate(left), np.concatenate(right))
-
-    return by_bucket(dealt, ["gram", "b1", "b2"], found, "a long, b long").distinct()
-
+            yield from in_order(np.concatenate(left), np.concatenate(right))
 
-def whole_sets(df: DataFrame, id_col: str, text_col: str, shingle: int, nodes: DataFrame, lowest: DataFrame, named: int, folder: str) -> DataFrame:
-    """(node, n, bins, grams) of the texts of the nodes, as a table. Up to a bound tasks are told the nodes; beyond, texts are joined by id."""
-    nodes = written(nodes, folder, "met_nodes")
-    if nodes.count() <= named:
-        only = np.sort(np.array([r.node for r in nodes.toLocalIterator()], "<i8"))
-        sets = with_sets(df, id_col, text_col, shingle, only=only, whole=True)
-    else:
-        ids = lowest.join(nodes, "node").select("least").distinct()
-        some = df.join(ids, F.col(id_col).eqNullSafe(F.col("least")), "left_semi")
-        sets = with_sets(some, id_col, text_col, shingle, whole=True).join(nodes, "node", "left_semi")
-    return written(sets.select("node", "n", "bins", "grams"), folder, "sets").dropDuplicates(["node"])
+    schema = ", ".join(f"{c} long" for c in [*keys, *ROW])
+    some = written(by_bucket(in_blocks(rooted, block), keys, told, schema), folder, "open")
+    return by_bucket(some.join(bins, "node").select(*keys, *ROW, "bins"), keys, found, "a long, b long").distinct()
 
 
 def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: tuple[int, int] = LEAST, block: int = BLOCK, named: int = NAMED, rounds: int = ROUNDS) -> DataFrame:
@@ -301,34 +310,36 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     folder = shared_folder(df.sparkSession)
     common = common_shingles(df, id_col, text_col, shingle)
     docs = written(with_sets(df, id_col, text_col, shingle, common, least), folder, "firsts")
-    lowest = written(docs.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), *[F.first(x).alias(x) for x in SIM]), folder, "distinct")
-    met = written(met_texts(docs.select("node", "n", "grams").dropDuplicates(["node"]), least), folder, "met")
-    nodes = written(met.select("node").distinct(), folder, "meeting")
-    sims = written(lowest.join(nodes, "node", "left_semi").select("node", *SIM), folder, "sims")
-    sets = whole_sets(df, id_col, text_col, shingle, nodes, lowest, named, folder)
+    lowest = written(docs.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(x).alias(x) for x in SIM]), folder, "distinct")
+    met = met_texts(docs.select("node", "n", "grams").dropDuplicates(["node"]), least)
+    met = written(met.join(lowest.drop("least"), "node"), folder, "met")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs whose whole sets are as similar as least."""
+        """The pairs whose whole sets are as similar as least; texts are read again for the ends of pairs alone."""
+        pairs = written(pairs, folder, f"{name}_pairs")
+        ends = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), folder, f"{name}_ends")
+        ids = lowest.join(ends, "node").select("least").distinct()
+        few = ends.count() <= named
+        some = df.join(F.broadcast(ids) if few else ids, F.col(id_col).eqNullSafe(F.col("least")), "left_semi")
+        sets = with_sets(some, id_col, text_col, shingle).join(F.broadcast(ends) if few else ends, "node", "left_semi")
+        sets = written(sets.select("node", "n", "grams"), folder, f"{name}_sets").dropDuplicates(["node"])
         a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("grams").alias(f"grams_{x}")) for x in "ab")
         shared = F.size(F.array_intersect("grams_a", "grams_b"))
         return written(pairs.join(a, "a").join(b, "b").where(shared * (least[0] + least[1]) >= least[0] * (F.col("n_a") + F.col("n_b"))).select("a", "b"), folder, name)
 
-    near = met.where("prev is not null").groupBy("node").agg(F.min_by("prev", "pos").alias("prev"))
-    near = near.select(F.least("node", "prev").alias("a"), F.greatest("node", "prev").alias("b")).distinct()
-    links = linked(near, "links_0")
-    roots = components(links, f"{folder}/components_0")
-    for k in range(1, rounds + 1):
-        pairs = neighbour_pairs(rooted(met, sims, roots, folder, f"round_{k}"), least)
-        more = linked(written(pairs, folder, f"pairs_{k}"), f"links_{k}")
+    links, roots = None, None
+    for k in range(rounds):
+        more = linked(neighbour_pairs(with_roots(met, roots), least), f"links_{k}")
         if not more.take(1):
             break
-        links = links.union(more)
+        links = more if links is None else links.union(more)
         roots = components(links, f"{folder}/components_{k}")
-    pairs = written(cross_pairs(rooted(met, sims, roots, folder, "last"), sets, least, block), folder, "pairs_last")
-    more = linked(pairs, "links_last")
+    bins = docs.select("node", "bins").dropDuplicates(["node"])
+    more = linked(cross_pairs(with_roots(met, roots), bins, least, block, folder), "links_last")
     if more.take(1):
-        roots = components(links.union(more), f"{folder}/components_last")
-    of = lowest.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+        roots = components(more if links is None else links.union(more), f"{folder}/components_last")
+    of = lowest.select("node", "least")
+    of = of.withColumn("root", F.col("node")) if roots is None else of.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = of.groupBy("root").agg(F.min("least").alias("component_id"))
     return docs.select("doc_id", "node").join(of.join(low, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
