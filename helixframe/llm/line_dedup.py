@@ -1,26 +1,35 @@
 """Operator 5, line dedup by winnowing over line hashes.
 
-Lines are hashed by their words. The span of a line is the shortest run of lines from it on that has
-LEAST_WORDS words; a gram is the same with half as many. Of the grams within each span the one with
-the smallest hash is selected (the last of equal ones). What is selected depends on the span alone,
-so two places that share LEAST_WORDS words share a fingerprint: that is guaranteed, and only grams
-that occur twice go on. Their spans are joined, by content, with the first place of each in order of
-doc_id and line; matches are extended both ways as far as the lines agree, and the later run is
-deleted. The earliest place of any line is never deleted, so one copy of all content stays.
-
-A fingerprint carries the lines around it, less than LEAST_WORDS words beyond its spans each way: a
-longer agreement holds a further span, which extends on its own. So rows stay bounded, the join is
-of a row per span with one row per content, and a passage that a third of all documents have is
-counted before its shuffle and split by the skewed join.
+A text is seen as lines in two ways. Its own lines, hashed by their words, show repeated lines and runs of
+them. Pieces, which ignore line ends and are cut after words whose hashes are least in some window of
+PIECE words, show passages that begin and end inside lines or are wrapped differently: where a cut falls
+depends on the words around it alone. In both ways, the span of a line is the shortest run of lines from
+it on that has the least words (8 for lines, 33 for pieces); a gram is the same with half as many. Of the
+grams within each span the one with the smallest hash is selected (the last of equal ones). What is
+selected depends on the span alone, so two places that share a span share a fingerprint: that is
+guaranteed, and pieces are short enough that a span lies within any 50 words that two places share.
+
+Fingerprints are counted first; texts are read again, and only fingerprints that occur twice go on. Their
+spans are joined, by content, with the first place of each in order of doc_id and line; matches are
+extended both ways as far as the lines agree, and the later run is deleted: lines go with their line
+ends, and of lines that are left in part the words. The earliest place of any line is never deleted, so
+one copy of all content stays. Of a passage inside lines, less than a piece may stay at either end.
+
+A fingerprint carries the lines around it, less than the least words beyond its spans each way: a longer
+agreement holds a further span, which extends on its own. So rows stay bounded, the join is of a row per
+span with one row per content, and a passage that a third of all documents have is counted before its
+shuffle and split by the skewed join.
 
 Defined results: blank lines are never deleted and do not interrupt a run; null text stays null and
-counts as no lines; rows that share doc_id and text are one document and are treated alike; a null
-doc_id comes before all others; extra columns are kept by the filter (n_lines and n_deleted are
-replaced) and ignored by the report. Whole texts are read; an empty table gives no rows.
+counts as no lines; rows that share doc_id and text are one document and are treated alike, ties between
+rows of one doc_id go to the smaller digest of the text; a null doc_id comes before all others; extra
+columns are kept by the filter (n_lines, n_deleted and n_words_deleted are replaced) and ignored by the
+report. Whole texts are read, very long ones too; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,23 +37,54 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from helixframe.llm.common import fresh, shared_folder, written
 
-LEAST_WORDS = 50
+#: The least words of a run of lines, and of pieces; words of a window whose least hash ends a piece.
+LINE_WORDS, PASSAGE_WORDS, PIECE = 8, 33, 8
+LINES, PIECES = 0, 1
+#: Repeated fingerprints, and repeated runs, up to which they are broadcast (8 and about 16 bytes each).
+BROADCAST_FINGERPRINTS, BROADCAST_RUNS = 4_000_000, 2_000_000
 
 
-def line_hashes(text: str) -> tuple[list[int], list[int], list[int]]:
-    """Places, signed hashes and counts of words of the lines that have words."""
-    places, hashes, words = [], [], []
+def signed(h: int) -> int:
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def lines_of(text: str) -> tuple[list[bytes], list[int]]:
+    """The words of a text, and for each the number of its line."""
+    words: list[bytes] = []
+    lines: list[int] = []
     for i, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
         parts = line.split()
-        if parts:
-            h = xxhash.xxh64_intdigest(b" ".join(parts))
-            places.append(i)
-            hashes.append(h - (1 << 64) if h >= 1 << 63 else h)
-            words.append(len(parts))
-    return places, hashes, words
+        words += parts
+        lines += [i] * len(parts)
+    return words, lines
+
+
+def piece_ends(hashes: np.ndarray) -> np.ndarray:
+    """Where pieces end (exclusive): after the least pair of words of each window of PIECE pairs, and at the end."""
+    if len(hashes) <= PIECE:
+        return np.array([len(hashes)] if len(hashes) else [], np.int64)
+    pair = (hashes[1:] * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes[:-1] >> np.uint64(7))
+    windows = np.lib.stride_tricks.sliding_window_view(pair, PIECE)
+    return np.unique(np.append(windows.argmin(1) + np.arange(len(windows)) + 2, len(hashes)))
+
+
+def units(text: str | None, kind: int) -> tuple[list[int], list[int], list[int]]:
+    """Signed hash, count of words and first word of each line with words, or of each piece."""
+    words, lines = lines_of(text or "")
+    if not words:
+        return [], [], []
+    if kind == LINES:
+        place = np.array(lines)
+        ends = np.append(np.flatnonzero(place[1:] != place[:-1]) + 1, len(words))
+    else:
+        ends = piece_ends(np.fromiter(map(xxhash.xxh64_intdigest, words), "<u8", len(words)))
+    ends = ends.tolist()
+    starts = [0, *ends[:-1]]
+    return [signed(xxhash.xxh64_intdigest(b" ".join(words[a:b]), kind)) for a, b in zip(starts, ends)], [b - a for a, b in zip(starts, ends)], starts
 
 
 def windows(words: list[int], least: int) -> list[int]:
@@ -61,28 +101,35 @@ def windows(words: list[int], least: int) -> list[int]:
     return ends
 
 
-def content(hashes: list[int]) -> bytes:
-    return xxhash.xxh3_128_digest(np.array(hashes, "<i8").tobytes())
+def least_of(kind: int) -> int:
+    return PASSAGE_WORDS if kind == PIECES else LINE_WORDS
 
 
-def winnow(hashes: list[int], words: list[int], least: int = LEAST_WORDS) -> list[tuple[bytes, int, int]]:
+def winnow(hashes: list[int], words: list[int], least: int) -> list[tuple[int, int, int]]:
     """(gram's content, first and last line whose span selects it) of each selected gram.
 
     Spans that follow each other and select the same gram share a row.
     """
     spans, grams = windows(words, least), windows(words, (least + 1) // 2)
-    keys = [content(hashes[i:e]) for i, e in enumerate(grams)]
-    out: list[list] = []
-    before = -1
+    raw = memoryview(np.array(hashes, "<i8").tobytes())
+    keys = [xxhash.xxh3_64_intdigest(raw[8 * i : 8 * e]) for i, e in enumerate(grams)]
+    out: list[list[int]] = []
+    held: deque[int] = deque()  # grams within the span, their hashes growing
+    before, following = -1, 0
     for start, end in enumerate(spans):
-        inside = [i for i in range(start, end) if i < len(grams) and grams[i] <= end]
-        at = min(inside, key=lambda i: (keys[i], -i))
-        if at == before:
+        while following < len(grams) and grams[following] <= end:
+            while held and keys[held[-1]] >= keys[following]:
+                held.pop()
+            held.append(following)
+            following += 1
+        while held[0] < start:
+            held.popleft()
+        if held[0] == before:
             out[-1][2] = start
         else:
-            out.append([keys[at], start, start])
-        before = at
-    return [tuple(x) for x in out]
+            before = held[0]
+            out.append([keys[before], start, start])
+    return [(k, lo, hi) for k, lo, hi in out]
 
 
 def around(words: list[int], start: int, end: int, least: int) -> tuple[int, int]:
@@ -98,48 +145,70 @@ def around(words: list[int], start: int, end: int, least: int) -> tuple[int, int
     return start, end
 
 
-def fingerprints(docs: DataFrame, least: int) -> DataFrame:
-    """docs (id, digest, text) -> a row per fingerprint: fp, id, digest, the lines lo..hi whose spans it stands for, and lines around."""
-    kind = docs.schema["id"].dataType.simpleString()
+def selected(text: str | None) -> Iterator[tuple[int, int, int, int, list[int], list[int]]]:
+    """(fingerprint, kind, lo, hi, hashes, words) of a text, both ways."""
+    for kind in (LINES, PIECES):
+        hashes, words, _ = units(text, kind)
+        for key, lo, hi in winnow(hashes, words, least_of(kind)):
+            yield signed(key ^ kind), kind, lo, hi, hashes, words
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """The fingerprints of docs (text), one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-        names = ("fp", "lo", "hi", "base", "hashes", "words")
         for batch in batches:
-            which, out = [], [[] for _ in kinds]
-            for row, text in enumerate(batch.column(2)):
-                _, hashes, words = line_hashes(text.as_py() or "")
-                ends = windows(words, least)
-                for key, lo, hi in winnow(hashes, words, least):
-                    first, last = around(words, lo, ends[hi], least)
-                    which.append(row)
-                    for column, value in zip(out, (key, lo, hi, first, hashes[first:last], words[first:last])):
-                        column.append(value)
-            take = pa.array(which, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *[pa.array(c, k) for c, k in zip(out, kinds)]], names=["id", "digest", *names])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for text in batch.column(0) for x in selected(text.as_py())], pa.int64())], names=["fp"])
 
-    return docs.mapInArrow(run, f"id {kind}, digest binary, fp binary, lo int, hi int, base int, hashes array<bigint>, words array<int>")
+    return docs.select("text").mapInArrow(run, "fp long")
 
 
-def spans_of(found: DataFrame, least: int) -> DataFrame:
-    """A row per span of the fingerprints: its content, id, digest, first line, size, and the hashes before (nearest first) and after."""
-    kind = found.schema["id"].dataType.simpleString()
+def with_lines(docs: DataFrame) -> DataFrame:
+    """docs (id, digest, text) -> a row per fingerprint: fp, id, digest, kind, the lines lo..hi whose spans it stands for, and lines around."""
+    kind_of_id = docs.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        names = ("fp", "kind", "lo", "hi", "base", "hashes", "words")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                which, out, ends, own = [], [[] for _ in kinds], [], None
+                for row, text in enumerate(batch.column(2)):
+                    for key, kind, lo, hi, hashes, words in selected(text.as_py()):
+                        if words is not own:
+                            own, ends = words, windows(words, least_of(kind))
+                        first, last = around(words, lo, ends[hi], least_of(kind))
+                        which.append(row)
+                        for column, value in zip(out, (key, kind, lo, hi, first, hashes[first:last], words[first:last])):
+                            column.append(value)
+                take = pa.array(which, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *[pa.array(c, k) for c, k in zip(out, kinds)]], names=["id", "digest", *names])
+
+    return docs.mapInArrow(run, f"id {kind_of_id}, digest binary, fp long, kind int, lo int, hi int, base int, hashes array<bigint>, words array<int>")
+
+
+def spans_of(found: DataFrame) -> DataFrame:
+    """A row per span of the fingerprints: its content, id, digest, kind, first line, size, and the hashes before (nearest first) and after."""
+    kind_of_id = found.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         for batch in batches:
             which, out = [], [[] for _ in kinds]
-            for row, r in enumerate(batch.select(["lo", "hi", "base", "hashes", "words"]).to_pylist()):
-                ends = windows(r["words"], least)
+            for row, r in enumerate(batch.select(["kind", "lo", "hi", "base", "hashes", "words"]).to_pylist()):
+                ends, hashes = windows(r["words"], least_of(r["kind"])), r["hashes"]
                 for line in range(r["lo"], r["hi"] + 1):
                     at = line - r["base"]
                     which.append(row)
-                    for column, value in zip(out, (content(r["hashes"][at : ends[at]]), line, ends[at] - at, r["hashes"][:at][::-1], r["hashes"][ends[at] :])):
+                    content = xxhash.xxh3_128_digest(np.array(hashes[at : ends[at]], "<i8").tobytes(), r["kind"])
+                    for column, value in zip(out, (content, line, ends[at] - at, hashes[:at][::-1], hashes[ends[at] :])):
                         column.append(value)
             take = pa.array(which, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("digest").take(take), *[pa.array(c, k) for c, k in zip(out, kinds)]], names=["id", "digest", "span", "first", "size", "before", "after"])
+            same = [batch.column(c).take(take) for c in ("id", "digest", "kind")]
+            yield pa.RecordBatch.from_arrays([*same, *[pa.array(c, k) for c, k in zip(out, kinds)]], names=["id", "digest", "kind", "span", "first", "size", "before", "after"])
 
-    return found.mapInArrow(run, f"id {kind}, digest binary, span binary, first int, size int, before array<bigint>, after array<bigint>")
+    return found.mapInArrow(run, f"id {kind_of_id}, digest binary, kind int, span binary, first int, size int, before array<bigint>, after array<bigint>")
 
 
 def agreed(a: Column, b: Column) -> Column:
@@ -148,11 +217,11 @@ def agreed(a: Column, b: Column) -> Column:
     return F.when(F.array_contains(same, False), F.array_position(same, False) - 1).otherwise(F.size(same)).cast("int")
 
 
-def repeated_runs(docs: DataFrame, least: int, folder: str) -> DataFrame:
-    """(id, digest, runs): later repeated runs as array<struct<first, last>> over lines with words, last exclusive."""
-    found = written(fingerprints(docs, least), folder, "fingerprints")
-    twice = found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    spans = written(spans_of(found.join(twice, "fp", "left_semi"), least), folder, "spans")
+def repeated_runs(docs: DataFrame, folder: str) -> DataFrame:
+    """(id, digest, runs): later repeated runs as array<struct<kind, first, last>> over lines with words or pieces, last exclusive."""
+    twice = written(fingerprints(docs).groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), folder, "twice")
+    twice = F.broadcast(twice) if twice.count() <= BROADCAST_FINGERPRINTS else twice
+    spans = written(spans_of(with_lines(docs).join(twice, "fp", "left_semi")), folder, "spans")
     place = F.struct(F.col("id").isNotNull().alias("known"), "id", "digest", "first")
     own = F.struct("before", "after")
     firsts = spans.groupBy("span").agg(F.min(F.struct(place.alias("p"), own.alias("c"))).alias("f"), F.count("*").alias("n")).where("n > 1").select("span", "f.p", "f.c")
@@ -160,43 +229,61 @@ def repeated_runs(docs: DataFrame, least: int, folder: str) -> DataFrame:
     met = spans.join(firsts, "span").where(~(F.col("id").eqNullSafe(F.col("p.id")) & (F.col("digest") == F.col("p.digest")) & (F.col("first") == F.col("p.first"))))
     start = F.col("first") - agreed(F.col("before"), F.col("c.before"))
     end = F.col("first") + F.col("size") + agreed(F.col("after"), F.col("c.after"))
-    return met.groupBy("id", "digest").agg(F.collect_set(F.struct(start.alias("first"), end.alias("last"))).alias("runs"))
+    return met.groupBy("id", "digest").agg(F.collect_set(F.struct("kind", start.alias("first"), end.alias("last"))).alias("runs"))
 
 
-def without(text: str | None, runs: list[dict] | None) -> tuple[str | None, int, int]:
-    """text without the lines of the runs, the count of its lines with words, and of those deleted."""
+def without(text: str | None, runs: list[dict] | None) -> tuple[str | None, int, int, int]:
+    """text without the runs, the count of its lines with words, and of lines and words deleted."""
     if text is None:
-        return None, 0, 0
-    lines = text.split("\n")
-    places = [i for i, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")) if line.split()]
-    gone = {places[k] for r in runs or [] for k in range(r["first"], r["last"])}
-    return "\n".join(x for i, x in enumerate(lines) if i not in gone), len(places), len(gone)
+        return None, 0, 0, 0
+    words, lines = lines_of(text)
+    if not runs:
+        return text, len(set(lines)), 0, 0
+    gone = np.zeros(len(words), bool)
+    for kind in {r["kind"] for r in runs}:
+        starts = [*units(text, kind)[2], len(words)]
+        for r in runs:
+            if r["kind"] == kind:
+                gone[starts[r["first"]] : starts[r["last"]]] = True
+    place = np.array(lines)
+    left, n = np.bincount(place[~gone], minlength=place[-1] + 1), np.bincount(place)
+    out, at, deleted = [], 0, 0
+    for i, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
+        size = int(n[i]) if i < len(n) else 0
+        own, at = gone[at : at + size], at + size
+        if size and not left[i]:
+            deleted += 1
+        elif own.any():
+            out.append(b" ".join(w for w, g in zip(line.split(), own) if not g))
+        else:
+            out.append(line)
+    return b"\n".join(out).decode("utf-8", "surrogatepass"), int((n > 0).sum()), deleted, int(gone.sum())
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs with cleaned texts, all other columns as they are, and n_lines and n_deleted beside them (existing ones are replaced)."""
+ADDED = ("n_lines", "n_deleted", "n_words_deleted")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with cleaned texts, all other columns as they are, and n_lines, n_deleted (lines) and n_words_deleted beside them (existing ones are replaced)."""
     folder = shared_folder(docs.sparkSession)
     digest = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    runs = repeated_runs(docs.select(F.col(id_col).alias("id"), digest.alias("digest"), F.col(text_col).alias("text")), least_words, folder)
-    rest = docs.drop("n_lines", "n_deleted")
+    runs = written(repeated_runs(docs.select(F.col(id_col).alias("id"), digest.alias("digest"), F.col(text_col).alias("text")), folder), folder, "runs")
+    small = (runs.agg(F.sum(F.size("runs") + 4)).first()[0] or 0) <= BROADCAST_RUNS  # of that many, texts need no shuffle
+    rest = docs.drop(*ADDED)
     k_digest, k_id, k_runs = fresh(rest, "digest"), fresh(rest, "id"), fresh(rest, "runs")
     cut = runs.select(F.col("id").alias(k_id), F.col("digest").alias(k_digest + "_r"), F.col("runs").alias(k_runs))
-    met = rest.withColumn(k_digest, digest).join(cut, F.col(k_digest).eqNullSafe(F.col(k_digest + "_r")) & F.col(id_col).eqNullSafe(F.col(k_id)), "left")
+    met = rest.withColumn(k_digest, digest).join(F.broadcast(cut) if small else cut, F.col(k_digest).eqNullSafe(F.col(k_digest + "_r")) & F.col(id_col).eqNullSafe(F.col(k_id)), "left")
     met = met.drop(k_digest, k_digest + "_r", k_id)
     at, runs_at = met.columns.index(text_col), len(met.columns) - 1
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, lines, deleted = [], [], []
-            for text, cuts in zip(batch.column(at), batch.column(runs_at)):
-                t, n, gone = without(text.as_py(), cuts.as_py())
-                texts.append(t)
-                lines.append(n)
-                deleted.append(gone)
+            done = [without(text.as_py(), cuts.as_py()) for text, cuts in zip(batch.column(at), batch.column(runs_at))]
+            texts, *counts = zip(*done) if done else ((), (), (), ())
             columns = [pa.array(texts, batch.column(at).type) if i == at else batch.column(i) for i in range(runs_at)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(deleted, pa.int64())], names=[*batch.schema.names[:runs_at], "n_lines", "n_deleted"])
-
-    from pyspark.sql.types import LongType, StructType
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(c, pa.int64()) for c in counts]], names=[*batch.schema.names[:runs_at], *ADDED])
 
-    schema = StructType([f for f in met.schema.fields if f.name != k_runs]).add("n_lines", LongType()).add("n_deleted", LongType())
+    schema = StructType([f for f in met.schema.fields if f.name != k_runs])
+    for name in ADDED:
+        schema = schema.add(name, LongType())
     return met.mapInArrow(clean, schema)

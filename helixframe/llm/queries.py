@@ -47,7 +47,7 @@ def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cleaned.select("doc_id", "n_lines", "n_deleted", F.length("text").cast("long").alias("kept_chars"), F.crc32("text").alias("kept_crc32"))
+    return cleaned.select("doc_id", "n_lines", "n_deleted", "n_words_deleted", F.length("text").cast("long").alias("kept_chars"), F.crc32("text").alias("kept_crc32"))
 
 
 def op6_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

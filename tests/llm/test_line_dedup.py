@@ -1,6 +1,8 @@
 import random
 
-from helixframe.llm.line_dedup import dedup_lines, windows, winnow
+import xxhash
+
+from helixframe.llm.line_dedup import LINES, PIECES, dedup_lines, least_of, windows, winnow
 
 
 def cleaned(df, **options):
@@ -26,38 +28,82 @@ def test_every_shared_span_shares_a_fingerprint():
         assert (sum(w for _, w in shared) < 50) or keys[0] & keys[1]
 
 
-def brute(docs, least=50):
-    """Deleted lines of texts in order: spans seen before, extended while they agree with the first one."""
-    lines = [[x.split() for x in t.split("\n") if x.split()] for t in docs]
-    seen, gone = {}, [set() for _ in docs]
-    for d, held in enumerate(lines):
-        for start, end in enumerate(windows([len(x) for x in held], least)):
-            key = tuple(map(tuple, held[start:end]))
-            if key not in seen:
-                seen[key] = (d, start)
-                continue
-            other, at = lines[seen[key][0]], seen[key][1]
-            a, b = 0, 0
-            total = 0
-            while start - a > 0 and at - a > 0 and held[start - a - 1] == other[at - a - 1] and total < least:
-                a += 1
-                total += len(held[start - a])
-            total, far = 0, at + end - start
-            while end + b < len(held) and far + b < len(other) and held[end + b] == other[far + b] and total < least:
-                total += len(held[end + b])
-                b += 1
-            gone[d].update(range(start - a, end + b))
+def brute(docs):
+    """Deleted words of texts in order: spans of lines and pieces seen before, extended while they agree with the first one."""
+    gone = [set() for _ in docs]
+    for kind in (LINES, PIECES):
+        least = least_of(kind)
+        split = []
+        for t in docs:
+            words, lines = t.split(), [i for i, x in enumerate(t.split("\n")) for _ in x.split()]
+            ends = [i + 1 for i in range(len(words)) if i + 1 == len(words) or lines[i] != lines[i + 1]] if kind == LINES else brute_pieces(words)
+            split.append([(a, words[a:b]) for a, b in zip([0, *ends], ends)])
+        seen = {}
+        for d, held in enumerate(split):
+            for start, end in enumerate(windows([len(x) for _, x in held], least)):
+                key = tuple(tuple(x) for _, x in held[start:end])
+                if key not in seen:
+                    seen[key] = (d, start)
+                    continue
+                other, at = split[seen[key][0]], seen[key][1]
+                a, b, total = 0, 0, 0
+                while start - a > 0 and at - a > 0 and held[start - a - 1][1] == other[at - a - 1][1] and total < least:
+                    a += 1
+                    total += len(held[start - a][1])
+                total, far = 0, at + end - start
+                while end + b < len(held) and far + b < len(other) and held[end + b][1] == other[far + b][1] and total < least:
+                    total += len(held[end + b][1])
+                    b += 1
+                for place, words in held[start - a : end + b]:
+                    gone[d].update(range(place, place + len(words)))
     return gone
 
 
+def brute_pieces(words):
+    h = [xxhash.xxh64_intdigest(w.encode()) for w in words]
+    pair = [(h[i + 1] * 0x9E3779B97F4A7C15) % 2**64 ^ (h[i] >> 7) for i in range(len(h) - 1)]
+    cuts = {len(words)} if words else set()
+    if len(words) > 8:
+        for i in range(len(pair) - 7):
+            cuts.add(min(range(i, i + 8), key=lambda k: (pair[k], k)) + 2)
+    return sorted(cuts)
+
+
 def test_matches_brute_force(make):
     r = random.Random(8)
     pool = [" ".join(f"w{r.randint(0, 500)}" for _ in range(r.randint(1, 30))) for _ in range(60)]
     passages = [[r.choice(pool) for _ in range(r.randint(2, 9))] for _ in range(12)]
     docs = ["\n".join(x for _ in range(r.randint(1, 4)) for x in (r.choice(passages) if r.random() < 0.6 else [f"own {r.getrandbits(30)} " + r.choice(pool)])) for _ in range(60)]
     got = cleaned(make(docs).repartition(5))
-    for i, lines in enumerate(brute(docs)):
-        assert got[i].n_deleted == len(lines), i
+    for i, words in enumerate(brute(docs)):
+        assert got[i].n_words_deleted == len(words), i
+        assert got[i].text.split() == [w for k, w in enumerate(docs[i].split()) if k not in words], i
+
+
+def test_passages_inside_lines_are_found_however_they_are_wrapped(make):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8)))
+    found = 0
+    texts = []
+    for _ in range(60):
+        passage = [word() for _ in range(51)]
+        for _ in range(2):
+            wrapped = "".join(w + ("\n" if r.random() < 0.15 else " ") for w in passage)
+            texts.append(" ".join(word() for _ in range(30)) + " " + wrapped + " ".join(word() for _ in range(30)))
+    got = cleaned(make(texts))
+    for k in range(60):
+        assert got[2 * k].n_words_deleted == 0
+        assert 33 <= got[2 * k + 1].n_words_deleted <= 51, k
+        found += got[2 * k + 1].n_words_deleted
+    assert found / 60 > 40
+
+
+def test_repeated_lines_go(make):
+    line = "all rights of this text are reserved by nobody"
+    docs = [f"one two three\n{line}\nfour", f"five six\n{line}", f"{line}\n{line}\nseven", "one two three\neight"]
+    got = cleaned(make(docs))
+    assert [got[i].text for i in range(4)] == [docs[0], "five six", "seven", docs[3]]  # three words are no run
+    assert [got[i].n_deleted for i in range(4)] == [0, 1, 2, 0]
 
 
 def test_later_runs_go_and_the_first_stays(make, text_of):
@@ -72,7 +118,7 @@ def test_later_runs_go_and_the_first_stays(make, text_of):
 
 def test_one_long_line_and_short_runs(make, text_of):
     long = " ".join(text_of(9, 60).split())
-    short = block(text_of, 11, 2)
+    short = "a b c\nd e"
     got = cleaned(make([long + "\n" + short, "other\n" + long, short + "\nmore"]))
     assert got[1].text == "other" and got[2].text == short + "\nmore"
 
