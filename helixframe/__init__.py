@@ -7,9 +7,9 @@ from helixframe.functions.regression import linear_regression_gwas, logistic_reg
 from helixframe.operators.overlap_join import left_overlap_join, left_semi_overlap_join
 from helixframe.operators.registry import register_transformer, transform
 from helixframe.operators.sample_stats import merge_variants, sample_call_summary_stats, sample_dp_summary_stats, sample_gq_summary_stats
-from helixframe.session import reader, register
+from helixframe.session import reader, register, writer
 
 __all__ = [
     *_functions, "left_overlap_join", "left_semi_overlap_join", "lift_over_coordinates", "linear_regression_gwas", "logistic_regression_gwas", "merge_variants", "normalize_variant",
-    "reader", "register", "register_transformer", "sample_call_summary_stats", "sample_dp_summary_stats", "sample_gq_summary_stats", "transform",
+    "reader", "register", "register_transformer", "sample_call_summary_stats", "sample_dp_summary_stats", "sample_gq_summary_stats", "transform", "writer",
 ]

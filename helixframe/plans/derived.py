@@ -5,20 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Suppliers that stand for samples.
-SAMPLES = 100
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sample_count(spark: SparkSession, sf_dir: str) -> int:
-    return table(spark, sf_dir, "supplier").where(f"s_suppkey < {SAMPLES}").count()
+    """Each supplier stands for a sample."""
+    return table(spark, sf_dir, "supplier").count()
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A variant for each part, with a genotype for each of the first suppliers."""
+    """A variant for each part, with a genotype for each supplier."""
     n = sample_count(spark, sf_dir)
     a, size = F.col("p_partkey"), F.col("p_size")
     base = lambda k: F.substr(F.lit("ACGT"), (size + k) % 4 + 1, F.lit(1))
@@ -43,7 +41,7 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same in SQL: sites v (a row per part), genotypes g (a row per part and sample).
-SQL = f"""
+SQL = """
 v AS (
   SELECT p_partkey AS key, CAST(p_partkey % 22 + 1 AS VARCHAR) AS contigName, p_partkey * 50 AS start,
          substr('ACGT', CAST(p_size % 4 + 1 AS INTEGER), 1) || CASE WHEN p_partkey % 7 = 0 THEN 'T' ELSE '' END AS ref,
@@ -56,7 +54,7 @@ v AS (
          CASE WHEN (key + s_suppkey) % 17 = 0 OR (key + s_suppkey) % 19 = 0 THEN -1 ELSE (key * 7 + s_suppkey * 13) % (len(alts) + 1) END AS c1,
          CASE WHEN (key + s_suppkey) % 17 = 0 THEN -1 ELSE (key * 5 + s_suppkey * 3 + 1) % (len(alts) + 1) END AS c2,
          CASE WHEN (key * s_suppkey) % 23 <> 0 THEN (key * s_suppkey) % 60 END AS depth, (key + 3 * s_suppkey) % 100 AS gq
-  FROM v, supplier WHERE s_suppkey < {SAMPLES}
+  FROM v, supplier
 )"""
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe import functions as fx
@@ -24,6 +24,7 @@ from helixframe.sources import read_bgen, read_gff, read_vcf, write_bigbgen, wri
 from helixframe.sources.files import shared_folder, write_text
 from helixframe.wgr import RidgeReduction
 from helixframe.wgr import block_variants_and_samples as wgr_blocks
+from helixframe.wgr.base import best_alphas
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -248,12 +249,14 @@ def merge_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("contigName", "start", F.size("genotypes").cast("long").alias("n"), depth.alias("depth"))
 
 
-@query("""WITH s AS (SELECT user_id, event_type, round(avg(value), 6) AS score, count(*) AS n FROM events GROUP BY ALL)
-SELECT user_id, event_type, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_type DESC) AS r FROM s) WHERE r = 1""")
+@query("""WITH s AS (SELECT CAST(user_id AS VARCHAR) AS label, event_id % 5 AS a, avg(value) AS m FROM events GROUP BY ALL)
+SELECT label, 'alpha_' || CAST(a AS VARCHAR) AS alpha, CAST(10 * (a + 1) AS DOUBLE) AS alpha_value, round(m, 6) AS r2_mean
+FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY m DESC, a DESC) AS r FROM s) WHERE r = 1""")
 def best_score_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(R(F.avg("value")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), F.desc("event_type")))
-    return scores.withColumn("rank", rank).where("rank = 1").select("user_id", "event_type", "score")
+    """The penalty of the best mean score per label, as cross-validation of ridge models picks it."""
+    scores = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("label"), F.concat(F.lit("alpha_"), (F.col("event_id") % 5).cast("string")).alias("alpha"), F.col("value").alias("score"))
+    best = best_alphas(scores, {f"alpha_{i}": 10.0 * (i + 1) for i in range(5)}, "r2")
+    return best.select("label", "alpha", "alpha_value", R(F.col("r2_mean")).alias("r2_mean"))
 
 
 @query("SELECT p_partkey, CAST(p_size AS BIGINT) AS size, p_brand AS brand, p_retailprice AS price FROM part")
@@ -269,6 +272,13 @@ def vector_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(values).alias("pos", "value")).select("vec_id", F.col("pos").cast("long").alias("pos"), R(F.col("value")).alias("value"))
 
 
+@query("SELECT vec_id, i - 1 AS pos, CASE WHEN i % 3 = 0 THEN round(CAST(embedding[i] AS DOUBLE), 6) ELSE 0.0 END AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
+def sparse_vector_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    thinned = F.transform(F.col("embedding").cast("array<double>"), lambda x, i: F.when(i % 3 == 2, x).otherwise(0.0))
+    values = fx.vector_to_array(fx.array_to_sparse_vector(thinned))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(values).alias("pos", "value")).select("vec_id", F.col("pos").cast("long").alias("pos"), R(F.col("value")).alias("value"))
+
+
 @query("SELECT p_partkey, p_size % 30 AS k, CAST(round(factorial(CAST(30 AS INTEGER)) / factorial(CAST(p_size % 30 AS INTEGER)) / factorial(CAST(30 - p_size % 30 AS INTEGER))) AS BIGINT) AS n FROM part")
 def binomials(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_size") % 30
@@ -276,8 +286,8 @@ def binomials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> tuple[pd.DataFrame, list[str]]:
-    """Phenotype and covariate of the samples, at most derived.SAMPLES rows."""
-    rows = table(spark, sf_dir, "supplier").where(f"s_suppkey < {derived.SAMPLES}").orderBy("s_suppkey").select("s_suppkey", "s_acctbal", "s_nationkey").collect()
+    """Phenotype and covariate of the samples: matrices that the tests' callers hold."""
+    rows = table(spark, sf_dir, "supplier").orderBy("s_suppkey").select("s_suppkey", "s_acctbal", "s_nationkey").collect()
     ids = [f"S{r['s_suppkey']}" for r in rows]
     frame = pd.DataFrame({"balance": [float(r["s_acctbal"]) for r in rows], "nation": [float(r["s_nationkey"]) for r in rows]}, index=ids)
     frame["high"] = (frame["balance"] > frame["balance"].median()).astype(float)
@@ -290,36 +300,50 @@ def _dosages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.where(F.size(F.array_distinct("values")) > 1)
 
 
-FITTED = G + f""", s AS (
+FITTED = G + """, s AS (
   SELECT key, contigName, start, pos, CASE WHEN c1 < 0 OR c2 < 0 THEN NULL ELSE CAST(c1 + c2 AS DOUBLE) END AS x FROM g
 ), f AS (
   SELECT key, contigName, start, coalesce(x, avg(x) OVER (PARTITION BY key)) AS x, CAST(s_acctbal AS DOUBLE) AS y, CAST(s_nationkey AS DOUBLE) AS c
-  FROM s JOIN supplier ON pos = s_suppkey WHERE s_suppkey < {derived.SAMPLES}
+  FROM s JOIN supplier ON pos = s_suppkey
 ), m AS (
   SELECT *, x - avg(x) OVER (PARTITION BY key) AS dx, y - avg(y) OVER (PARTITION BY key) AS dy, c - avg(c) OVER (PARTITION BY key) AS dc FROM f
 ), t AS (
   SELECT contigName, start, count(*) AS n, count(DISTINCT x) AS kinds, sum(dx * dx) AS xx, sum(dy * dy) AS yy, sum(dc * dc) AS cc, sum(dx * dy) AS xy, sum(dx * dc) AS xc, sum(dy * dc) AS yc FROM m GROUP BY contigName, start
 ), r AS (
   SELECT contigName, start, n, xx - xc * xc / cc AS rx, yy - yc * yc / cc AS ry, xy - xc * yc / cc AS rxy FROM t WHERE kinds > 1
-), e AS (SELECT *, rxy / rx AS effect, sqrt((ry / rx - (rxy / rx) * (rxy / rx)) / (n - 3)) AS stderror FROM r)
-SELECT contigName, start, round(effect, 4) AS effect, round(stderror, 4) AS stderror, round(effect / stderror, 4) AS tvalue FROM e"""
+), e AS (SELECT *, rxy / rx AS effect, sqrt((ry / rx - (rxy / rx) * (rxy / rx)) / (n - 3)) AS stderror, n - 3 AS dof FROM r)
+, a AS (SELECT *, atan(abs(effect / stderror) / sqrt(dof)) AS theta FROM e)
+"""
+#: The two-sided tail of Student's distribution, as a finite sum for whole degrees of freedom.
+STUDENT = """CASE WHEN dof % 2 = 1
+    THEN 1 - 2 / pi() * (theta + sin(theta) * list_sum(list_transform(range(0, (dof - 1) // 2), lambda k: exp(k * ln(4) + 2 * lgamma(k + 1) - lgamma(2 * k + 2) + (2 * k + 1) * ln(cos(theta))))))
+    ELSE 1 - sin(theta) * list_sum(list_transform(range(0, dof // 2), lambda k: exp(lgamma(2 * k + 1) - k * ln(4) - 2 * lgamma(k + 1) + 2 * k * ln(cos(theta))))) END"""
 
 
-@query(FITTED)
+@query(FITTED + f"SELECT contigName, start, round(effect, 4) AS effect, round(stderror, 4) AS stderror, round(effect / stderror, 4) AS tvalue, round({STUDENT}, 6) AS pvalue FROM a")
 def linear_regression_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame, _ = _samples(spark, sf_dir)
     rows = _dosages(spark, sf_dir).select("contigName", "start", "values")
     tested = linear_regression(rows, frame[["balance"]], frame[["nation"]])
-    return tested.select("contigName", "start", *[F.round(c, 4).alias(c) for c in ("effect", "stderror", "tvalue")])
+    return tested.select("contigName", "start", *[F.round(c, 4).alias(c) for c in ("effect", "stderror", "tvalue")], R(F.col("pvalue")).alias("pvalue"))
 
 
-@query(FITTED.replace(", round(effect / stderror, 4) AS tvalue", ""))
+@query(FITTED + f"SELECT contigName, start, round(effect, 4) AS effect, round(stderror, 4) AS stderror, round({STUDENT}, 6) AS pvalue FROM a")
 def linear_regression_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame, _ = _samples(spark, sf_dir)
     covariates = np.column_stack([np.ones(len(frame)), frame["nation"]])
-    rows = _dosages(spark, sf_dir).withColumn("y", F.lit(frame["balance"].tolist()))
-    tested = rows.select("contigName", "start", linear_regression_gwas("values", "y", covariates).alias("r"))
-    return tested.select("contigName", "start", F.round("r.beta", 4).alias("effect"), F.round("r.standardError", 4).alias("stderror"))
+    tested = _with_phenotype(spark, sf_dir, "s_acctbal").select("contigName", "start", linear_regression_gwas("values", "y", covariates).alias("r"))
+    return tested.select("contigName", "start", F.round("r.beta", 4).alias("effect"), F.round("r.standardError", 4).alias("stderror"), R(F.col("r.pValue")).alias("pvalue"))
+
+
+def _with_phenotype(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    """Dosages beside y, a column of all suppliers in the order of the samples; s_high is whether the balance is over the median."""
+    supplier = table(spark, sf_dir, "supplier")
+    if column == "s_high":
+        middle = supplier.agg(F.median("s_acctbal")).scalar()
+        supplier = supplier.withColumn("s_high", (F.col("s_acctbal") > middle).cast("double"))
+    entries = F.sort_array(F.collect_list(F.struct("s_suppkey", F.col(column).cast("double").alias("y"))))
+    return _dosages(spark, sf_dir).withColumn("y", supplier.agg(F.transform(entries, lambda x: x["y"])).scalar())
 
 
 @query()
@@ -329,21 +353,73 @@ def logistic_regression_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logistic_regression(rows, frame[["high"]], frame[["nation"]], correction="approx-firth")
 
 
-@query()
+#: Samples of each variant by dosage and phenotype, which is whether the balance is over the median.
+CASES = G + """, x AS (
+  SELECT key, contigName, start, pos, CASE WHEN c1 < 0 OR c2 < 0 THEN NULL ELSE CAST(c1 + c2 AS DOUBLE) END AS x FROM g
+), f AS (
+  SELECT key, contigName, start, coalesce(x, avg(x) OVER (PARTITION BY key)) AS x,
+         CASE WHEN s_acctbal > (SELECT median(s_acctbal) FROM supplier) THEN 1.0 ELSE 0.0 END AS y FROM x JOIN supplier ON pos = s_suppkey
+), u AS (
+  SELECT key, contigName, start, x, y, CAST(count(*) AS DOUBLE) AS c FROM f GROUP BY ALL
+), d AS (
+  SELECT * FROM u WHERE key IN (SELECT key FROM u GROUP BY key HAVING count(DISTINCT x) > 1)
+)"""
+
+
+def _newton(name: str, last: str, penalised: bool, slope: bool) -> str:
+    """One Newton step for the intercept b0 and the slope b1 (held at zero without slope), from the estimates of last."""
+    leverage = "w * (i11 - 2 * x * i01 + x * x * i00) / (i00 * i11 - i01 * i01)" if penalised else "0.0"
+    step = "b0 + (g0 * i11 - g1 * i01) / (i00 * i11 - i01 * i01) AS b0, b1 + (g1 * i00 - g0 * i01) / (i00 * i11 - i01 * i01) AS b1" if slope else "b0 + g0 / i00 AS b0, b1"
+    return f""", {name}_m AS (
+  SELECT d.*, b0, b1, 1 / (1 + exp(-(b0 + b1 * x))) AS mu, mu * (1 - mu) AS w FROM d JOIN {last} USING (key)
+), {name}_i AS (
+  SELECT *, sum(c * w) OVER p AS i00, sum(c * w * x) OVER p AS i01, sum(c * w * x * x) OVER p AS i11 FROM {name}_m WINDOW p AS (PARTITION BY key)
+), {name}_g AS (
+  SELECT key, any_value(b0) AS b0, any_value(b1) AS b1, any_value(i00) AS i00, any_value(i01) AS i01, any_value(i11) AS i11,
+         sum(c * (y - mu + {leverage} * (0.5 - mu))) AS g0, sum(c * x * (y - mu + {leverage} * (0.5 - mu))) AS g1 FROM {name}_i GROUP BY key
+), {name} AS (
+  SELECT key, {step} FROM {name}_g
+)"""
+
+
+def _likelihood(name: str, last: str, penalised: bool) -> str:
+    return f""", {name}_m AS (
+  SELECT d.*, b0, b1, 1 / (1 + exp(-(b0 + b1 * x))) AS mu, mu * (1 - mu) AS w FROM d JOIN {last} USING (key)
+), {name} AS (
+  SELECT key, any_value(contigName) AS contigName, any_value(start) AS start, any_value(b1) AS b1,
+         sum(c * ln(y * mu + (1 - y) * (1 - mu))){" + 0.5 * ln(sum(c * w) * sum(c * w * x * x) - sum(c * w * x) * sum(c * w * x))" if penalised else ""} AS ll FROM {name}_m GROUP BY key
+)"""
+
+
+def _likelihood_ratio_sql(penalised: bool, steps: int = 12) -> str:
+    """Both fits by so many Newton steps, and the tail of chi-square with one degree of freedom by the series of the error function."""
+    sql = CASES + ", n0 AS (SELECT key, ln(sum(c * y) / sum(c * (1 - y))) AS b0, 0.0 AS b1 FROM d GROUP BY key)"
+    for k in range(1, steps + 1):
+        sql += _newton(f"n{k}", f"n{k - 1}", penalised, False)
+    sql += f", f0 AS (SELECT * FROM n{steps})"
+    for k in range(1, steps + 1):
+        sql += _newton(f"f{k}", f"f{k - 1}", penalised, True)
+    sql += _likelihood("low", f"n{steps}", penalised) + _likelihood("high", f"f{steps}", penalised)
+    return sql + """, z AS (SELECT high.*, greatest(sqrt(greatest(high.ll - low.ll, 0)), 1e-9) AS z FROM high JOIN low USING (key))
+SELECT contigName, start, round(b1, 4) AS beta, round(exp(b1), 4) AS oddsRatio,
+       round(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 120), lambda k: CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END * exp((2 * k + 1) * ln(z) - lgamma(k + 1)) / (2 * k + 1))), 5) AS pValue FROM z"""
+
+
+@query(_likelihood_ratio_sql(False))
 def logistic_regression_lrt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _logistic(spark, sf_dir, "LRT")
 
 
-@query()
+@query(_likelihood_ratio_sql(True))
 def logistic_regression_firth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _logistic(spark, sf_dir, "Firth")
 
 
 def _logistic(spark: SparkSession, sf_dir: str, test: str) -> DataFrame:
-    frame, _ = _samples(spark, sf_dir)
-    rows = _dosages(spark, sf_dir).withColumn("y", F.lit(frame["high"].tolist()))
-    tested = rows.select("contigName", "start", logistic_regression_gwas("values", "y", np.ones((len(frame), 1)), test).alias("r"))
-    return tested.select("contigName", "start", "r.beta", "r.oddsRatio", "r.pValue")
+    rows = _with_phenotype(spark, sf_dir, "s_high")
+    one = np.ones((derived.sample_count(spark, sf_dir), 1))
+    tested = rows.select("contigName", "start", logistic_regression_gwas("values", "y", one, test).alias("r"))
+    return tested.select("contigName", "start", F.round("r.beta", 4).alias("beta"), F.round("r.oddsRatio", 4).alias("oddsRatio"), F.round("r.pValue", 5).alias("pValue"))
 
 
 @query()
@@ -351,7 +427,7 @@ def ridge_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame, ids = _samples(spark, sf_dir)
     blocks, samples = wgr_blocks(_dosages(spark, sf_dir), ids, 50, 4)
     reduced = RidgeReduction(blocks, frame[["balance"]], samples, alphas=[1.0, 100.0]).fit_transform()
-    return reduced.select("header", "header_block", "sample_block", "size", "sort_key", "alpha", "label")
+    return reduced.select("header", "header_block", "sample_block", "size", "sort_key", "alpha", "label", R(F.col("mu")).alias("mu"), R(F.col("sig")).alias("sig"), F.transform("values", R).alias("values"))
 
 
 @query("SELECT p_partkey, upper(p_name) AS name FROM part")
@@ -370,15 +446,23 @@ def vcf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_vcf(spark, path).select("contigName", "start", "end", "referenceAllele", F.array_join("alternateAlleles", ",").alias("alts"), F.size("genotypes").cast("long").alias("n"), add(lambda g: F.get(g["calls"], F.lit(0))).alias("s1"), add(lambda g: g["depth"]).alias("depth"))
 
 
-@query(G + "SELECT contigName, start, ref AS referenceAllele, count(*) AS n, CAST(sum(CASE WHEN c1 < 0 OR c2 < 0 THEN -2 WHEN len(alts) = 1 THEN c1 + c2 ELSE 0 END) AS BIGINT) AS total FROM g WHERE len(alts) = 1 GROUP BY ALL")
+@query(G + "SELECT contigName, start, ref AS referenceAllele, array_to_string(alts, ',') AS alts, count(*) AS n, CAST(sum(CASE WHEN c1 < 0 OR c2 < 0 THEN -2 ELSE c1 + c2 END) AS BIGINT) AS total, CAST(sum(CASE WHEN c1 < 0 OR c2 < 0 THEN 0 ELSE c1 * c2 END) AS BIGINT) AS products FROM g GROUP BY ALL")
 def bgen_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sites, those of several alternate alleles too: a probability for each pair of alleles."""
     path = shared_folder(spark) + ".bgen"
-    one = variants(spark, sf_dir).where(F.size("alternateAlleles") == 1)
-    p = lambda g: F.when(F.exists(g["calls"], lambda c: c < 0), F.array().cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: (F.aggregate(g["calls"], F.lit(0), lambda s, c: s + c) == k).cast("double")))
-    rows = one.select("contigName", "start", "end", F.array(F.lit("v"), F.lit("r")).alias("names"), "referenceAllele", "alternateAlleles", F.transform("genotypes", lambda g: F.struct(g["sampleId"].alias("sampleId"), F.lit(False).alias("phased"), F.lit(2).alias("ploidy"), p(g).alias("posteriorProbabilities"))).alias("genotypes"))
+
+    def p(g, alleles):
+        low, high = F.array_min(g["calls"]), F.array_max(g["calls"])
+        own = high * (high + 1) / 2 + low  # pairs are in the order 00, 01, 11, 02, 12, 22
+        every = F.sequence(F.lit(0), (alleles * (alleles + 1) / 2).cast("int") - 1)
+        return F.when(low < 0, F.array().cast("array<double>")).otherwise(F.transform(every, lambda k: (own == k).cast("double")))
+
+    entry = lambda g: F.struct(g["sampleId"].alias("sampleId"), F.lit(False).alias("phased"), F.lit(2).alias("ploidy"), p(g, F.size("alternateAlleles") + 1).alias("posteriorProbabilities"))
+    rows = variants(spark, sf_dir).select("contigName", "start", "end", F.array(F.lit("v"), F.lit("r")).alias("names"), "referenceAllele", "alternateAlleles", F.transform("genotypes", entry).alias("genotypes"))
     write_bigbgen(rows, path)
-    total = F.aggregate(F.flatten("genotypes.calls"), F.lit(0).cast("long"), lambda s, c: s + c)
-    return read_bgen(spark, path).select("contigName", "start", "referenceAllele", F.size("genotypes").cast("long").alias("n"), total.alias("total"))
+    add = lambda f: F.aggregate("genotypes.calls", F.lit(0).cast("long"), lambda s, c: s + f(F.get(c, F.lit(0)), F.get(c, F.lit(1))))
+    back = read_bgen(spark, path)
+    return back.select("contigName", "start", "referenceAllele", F.array_join("alternateAlleles", ",").alias("alts"), F.size("genotypes").cast("long").alias("n"), add(lambda a, b: a + b).alias("total"), add(lambda a, b: F.when(a < 0, 0).otherwise(a * b)).alias("products"))
 
 
 @query("SELECT 'part' || CAST(p_partkey AS VARCHAR) AS id, p_brand AS brand, CAST(p_size AS VARCHAR) AS size, p_partkey * 10 AS start, p_partkey * 10 + p_size AS \"end\" FROM part")
@@ -391,11 +475,23 @@ def gff_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_gff(spark, path).select("id", F.col("Brand").alias("brand"), F.col("Size_").alias("size"), "start", "end")
 
 
-@query("SELECT p_partkey, p_partkey * 50 + 700 AS start, p_partkey * 50 + 701 AS \"end\" FROM part WHERE p_partkey * 50 + 1 <= 400000")
+#: Of the chains that parts are lifted by: bases of a block, and of the gaps after it in the old and the new assembly.
+BLOCK, GAP, NEW_GAP, SHIFT = 1000, 50, 80, 700
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_partkey % 2 AS reverse, p_partkey * 50 // {BLOCK + GAP} AS k, p_partkey * 50 % {BLOCK + GAP} AS off, (SELECT max(p_partkey) * 50 // {BLOCK + GAP} + 1 FROM part) AS blocks FROM part
+), q AS (SELECT *, CASE WHEN off < {BLOCK} THEN {SHIFT} + k * {BLOCK + NEW_GAP} + off END AS place, {SHIFT} + blocks * {BLOCK + NEW_GAP} AS size FROM p)
+SELECT p_partkey, CASE WHEN place IS NOT NULL THEN CASE WHEN reverse = 1 THEN 'minus' ELSE 'plus' END END AS contigName,
+       CASE WHEN reverse = 1 THEN size - place - 1 ELSE place END AS start, CASE WHEN reverse = 1 THEN size - place ELSE place + 1 END AS "end" FROM q""")
 def lift_over(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coordinates of parts through a chain of one block that moves 400,000 bases by 700."""
+    """Coordinates of all parts, by chains as long as the parts need: one forwards and one to the other strand, of blocks with gaps on both sides."""
     path = shared_folder(spark) + ".chain"
-    write_text(path, "chain 1 one 400000 + 0 400000 two 400700 + 700 400700 1\n400000\n")
+    blocks = table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] * 50 // (BLOCK + GAP) + 1
+    old, new = blocks * (BLOCK + GAP) - GAP, SHIFT + blocks * (BLOCK + NEW_GAP)
+    body = f"{BLOCK} {GAP} {NEW_GAP}\n" * (blocks - 1) + f"{BLOCK}\n"
+    chain = lambda i, name, to, strand: f"chain {i} {name} {old} + 0 {old} {to} {new} {strand} {SHIFT} {new - NEW_GAP} {i}\n{body}\n"
+    write_text(path, chain(1, "one", "plus", "+") + chain(2, "two", "minus", "-"))
     at = F.col("p_partkey") * 50
-    lifted = table(spark, sf_dir, "part").select("p_partkey", lift_over_coordinates(F.lit("one"), at, at + 1, path).alias("l"))
-    return lifted.where("l is not null").select("p_partkey", "l.start", "l.end")
+    contig = F.when(F.col("p_partkey") % 2 == 1, "two").otherwise("one")
+    lifted = table(spark, sf_dir, "part").select("p_partkey", lift_over_coordinates(contig, at, at + 1, path).alias("l"))
+    return lifted.select("p_partkey", "l.contigName", "l.start", "l.end")

@@ -29,6 +29,25 @@ def test_reader(spark, tmp_path):
         hf.reader(spark).option("splitToBiallelic", True)
 
 
+def test_genotype_functions_in_sql(spark):
+    hf.register(spark)
+    spark.createDataFrame([([([0, 1], 3, 20), ([1, 1], 5, None), ([-1, 0], None, 40)],)], "genotypes array<struct<calls:array<int>,depth:int,conditionalQuality:int>>").createOrReplaceTempView("cohort")
+    r = spark.sql("SELECT call_summary_stats(genotypes) AS s, call_summary_stats(genotypes.calls) AS c, hardy_weinberg(genotypes) AS h, dp_summary_stats(genotypes) AS d, gq_summary_stats(genotypes) AS q, genotype_states(genotypes) AS g, array_summary_stats(array(1D, 3D)) AS a FROM cohort").first()
+    assert r.s == r.c and (r.s.nCalled, r.s.nHet, r.s.alleleCounts) == (2, 1, [2, 3]) and r.g == [1, 2, -1]
+    assert (r.d.mean, r.q.mean, r.a.mean) == (4.0, 30.0, 2.0) and 0 < r.h.pValueHwe <= 1
+
+
+def test_writer(spark, tmp_path):
+    df = spark.createDataFrame([("1", 4, 5, "A", ["C"], [("s", [0, 1])])], "contigName string, start long, end long, referenceAllele string, alternateAlleles array<string>, genotypes array<struct<sampleId:string,calls:array<int>>>")
+    hf.writer(df).format("com.example.bigvcf").mode("overwrite").save(str(tmp_path / "one.vcf"))
+    assert hf.reader(spark).format("vcf").load(str(tmp_path / "one.vcf")).first().genotypes[0].calls == [0, 1]
+    hf.writer(df).format("vcf").save(str(tmp_path / "parts"))
+    assert hf.reader(spark).format("vcf").load(str(tmp_path / "parts")).count() == 1
+    for name in ("plink", "gff", "hail"):
+        with pytest.raises(ValueError):
+            hf.writer(df).format(name)
+
+
 def test_entry_works_without_the_training_data_operators(tmp_path):
     import shutil
 
