@@ -1,6 +1,8 @@
+import itertools
 import zlib
 
 import numpy as np
+import pytest
 
 from helixframe.llm.label_sharding import grants, shard_documents
 
@@ -25,6 +27,32 @@ def test_sizes_slots_and_groups(make, text_of):
     assert cut <= 2
 
 
+def least_cut(groups, shards, total):
+    """Brute force: the fewest groups that any assignment with sizes at most one apart must cut."""
+    quota = [total // shards + (s < total % shards) for s in range(shards)]
+
+    def fit(left, room):  # whether these groups go into shards uncut
+        if not left:
+            return True
+        return any(fit(left[1:], [r - left[0] if k == s else r for k, r in enumerate(room)]) for s in range(shards) if room[s] >= left[0])
+
+    for cut in range(len(groups) + 1):
+        if any(fit(sorted((g for i, g in enumerate(groups) if i not in gone), reverse=True), quota) for gone in itertools.combinations(range(len(groups)), cut)):
+            return cut
+
+
+@pytest.mark.parametrize("sizes, alone", [([4, 3, 3, 2], 12), ([6, 2, 2], 14), ([9, 3], 12), ([5, 5, 5], 9)])
+def test_cuts_are_close_to_the_least(make, text_of, sizes, alone):
+    texts = [text_of(700 + g, 12) for g, n in enumerate(sizes) for _ in range(n)] + [text_of(i, 12) for i in range(alone)]
+    rows = shard_documents(make(texts), shards=4).collect()
+    checked(rows, 4, len(texts))
+    at, cut, first = {r.doc_id: r.shard for r in rows}, 0, 0
+    for n in sizes:
+        cut += len({at[i] for i in range(first, first + n)}) > 1
+        first += n
+    assert least_cut(sizes, 4, len(texts)) <= cut <= least_cut(sizes, 4, len(texts)) + 1
+
+
 def test_a_group_of_a_third_fills_as_few_shards_as_it_can(make, text_of):
     texts = ["same text for all of these"] * 200 + [text_of(i, 10) for i in range(400)]
     rows = shard_documents(make(texts).repartition(3), shards=12).collect()

@@ -1,10 +1,11 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from helixframe.llm.language_id import LanguageFilters, grams, held_out, identify_languages, keep_languages, slots, train
+from helixframe.llm.language_id import LEAST_SHARE, LanguageFilters, grams, held_out, identify_languages, keep_languages, slots, train
 
 SYLLABLES = {"en": "the and ing tion er re on".split(), "fr": "eau ç de que ment oi é".split(), "de": "sch ung der ein ü keit ß".split()}
 
@@ -44,6 +45,43 @@ def test_held_out_accuracy(docs):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in rows)
 
 
+def exact_grams(text):
+    """The n-grams of a text as strings, with repeats."""
+    letters = "".join(c.lower()[0] if c.isalpha() else " " for c in " " + text + "   ")
+    while "  " in letters:
+        letters = letters.replace("  ", " ")
+    return [letters[i : i + 4] for i in range(len(letters) - 3)]
+
+
+@pytest.mark.parametrize("m", [1 << 20, 1 << 13])  # hardly any false positives, and a filter that has many
+def test_predictions_are_those_of_exact_sets(docs, m):
+    """Brute force without Bloom filters: sets of n-grams by language, whole counts of each text's."""
+    known = docs.where(~held_out()).collect()
+    held = {}
+    for lang in SYLLABLES:
+        texts = [set(exact_grams(r.text)) for r in known if r.lang == lang]
+        counts = Counter(g for s in texts for g in s)
+        held[lang] = {g for g, n in counts.items() if n >= max(2, len(texts) * LEAST_SHARE)}
+    f = train(docs.where(~held_out()), m=m)
+    texts = [text(lang, 1000 + i, 1 + i % 40) for i in range(60) for lang in SYLLABLES] + ["the schung deré", "ing ing"]
+    said, score = f.predict(texts)
+    same, apart = 0, []
+    for t, lang, s in zip(texts, said, score):
+        n = {x: sum(g in held[x] for g in exact_grams(t)) for x in sorted(held)}
+        if not sum(n.values()):
+            continue
+        best = max(n.values())
+        same += n[lang] == best
+        apart.append(abs(s - best / sum(n.values())))
+    assert same >= (len(apart) if m > 1 << 13 else 0.95 * len(apart))
+    assert np.max(apart) < 1e-3 if m > 1 << 13 else np.mean(apart) < 0.05  # what chance reports is taken off
+    noise = ["".join(random.Random(i).choice("qxzjkwvy") for _ in range(400)) for i in range(20)]
+    doc, h = grams(noise)
+    hit = f.masks[slots(h, m, f.hashes)[0]] & f.masks[slots(h, m, f.hashes)[1]] & f.masks[slots(h, m, f.hashes)[2]]
+    measured = [((hit[:, 0] >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(f.languages))]
+    assert np.allclose(measured, f.chance(), atol=0.01)
+
+
 def test_long_texts_count_whole(docs):
     f = train(docs)
     mixed = text("en", 1, 50) + " " + text("de", 2, 40_000)
