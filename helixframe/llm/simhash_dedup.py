@@ -35,6 +35,8 @@ SEGMENTS, WIDTH = 4, 16
 BUDGETS = tuple((k + 1) * MOST_BITS // SEGMENTS for k in range(SEGMENTS))
 #: Distinct fingerprints of a key that are compared as one block.
 BLOCK = 2048
+#: Ids to drop up to which they are broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -184,12 +186,14 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_least(df: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     """One row of df for each doc_id of found that is its component_id; all rows without an id where that is null."""
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    key = fresh(df, "id")
-    keep = written(keep.select(F.col("doc_id").alias(key), "n"), shared_folder(df.sparkSession), "kept")
-    kept = df.join(keep.select(key), F.col(id_col).eqNullSafe(F.col(key)), "left_semi")
-    again = keep.where(f"n > 1 and `{key}` is not null").select(key)
+    own = F.col("doc_id").eqNullSafe(F.col("component_id")).cast("int")
+    key, folder = fresh(df, "id"), shared_folder(df.sparkSession)
+    per = written(found.groupBy(F.col("doc_id").alias(key)).agg(F.sum(own).alias("n")).where("n <> 1"), folder, "not_once")
+    few = per.count() <= BROADCAST_IDS  # then texts stay where they are
+    gone, again = per.where("n = 0").select(key), per.where(f"n > 1 and `{key}` is not null").select(key)
+    told = lambda ids: F.broadcast(ids) if few else ids
+    kept = df.join(told(gone), F.col(id_col).eqNullSafe(F.col(key)), "left_anti")
     if not again.take(1):
         return kept
-    once = kept.join(again, F.col(id_col) == F.col(key), "left_semi").dropDuplicates([id_col])
-    return kept.join(again, F.col(id_col) == F.col(key), "left_anti").unionByName(once)
+    once = kept.join(told(again), F.col(id_col) == F.col(key), "left_semi").dropDuplicates([id_col])
+    return kept.join(told(again), F.col(id_col) == F.col(key), "left_anti").unionByName(once)
