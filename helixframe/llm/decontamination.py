@@ -124,22 +124,19 @@ def hits(docs: DataFrame, windows: DataFrame, keys: list[Column], text_col: str
     if all_rows or not parts:
         parts.append(F.array(F.lit(None).cast("long")))
     each = base.select(*names, "words", F.posexplode(F.concat(*parts)).alias("at", "hash"))
-    length, pos, before = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(0)
+    # where the hashes of a window's length begin among all of the document, known once a window is met
+    before = F.lit(0)
     for k in lengths:
-        n = F.greatest(F.col("n_words") - (k - 1), F.lit(0))
-        inside = (F.col("at") >= before) & (F.col("at") < before + n)
-        length, pos = F.when(inside, k).otherwise(length), F.when(inside, F.col("at") - before).otherwise(pos)
-        before = before + n
-    text = F.array_join(F.slice("words", pos + 1, length), " ")
+        before = before + F.when(F.col("window_len") > k, F.greatest(F.col("n_words") - (k - 1), F.lit(0))).otherwise(F.lit(0))
+    pos = F.greatest(F.col("at") - before, F.lit(0))
+    same = F.array_join(F.slice("words", pos + 1, F.col("window_len")), " ") == F.col("window")
     if sum(sizes.values()) <= broadcast_windows:
-        # two comparisons, as Spark takes an equality for a second key, which it would compute for every place
-        same = (F.col("hash") == F.col("window_hash")) & (text <= F.col("window")) & (text >= F.col("window"))
-        met = each.join(F.broadcast(found), same, "left" if all_rows else "inner").where("hash is null or window is not null")
-        return met.select(*names, pos.alias("pos"), F.col("window_len").alias("len"), "window")
-    alone = F.concat(F.lit("\0"), F.xxhash64(*names).cast("string"))  # no window: rows of nulls spread over all tasks
-    some = each.where(F.col("hash").isNull() | maybe_in(found, F.col("hash"))).select(*names, pos.alias("pos"), F.coalesce(text, alone).alias("key"), F.col("hash").isNull().alias("own"))
-    met = some.join(found.drop("window_hash"), F.col("key") == F.col("window"), "left").where("own or window is not null")
-    return met.select(*names, "pos", F.col("window_len").alias("len"), "window")
+        met = each.join(F.broadcast(found), (F.col("hash") == F.col("window_hash")) & same, "left" if all_rows else "inner")
+        return met.where("hash is null or window is not null").select(*names, pos.alias("pos"), F.col("window_len").alias("len"), "window")
+    # rows of nulls get keys of their own, so that they spread over all tasks
+    some = each.where(F.col("hash").isNull() | maybe_in(found, F.col("hash"))).withColumn("key", F.coalesce("hash", F.xxhash64(*names)))
+    met = some.join(found, (F.col("key") == F.col("window_hash")) & F.col("hash").isNotNull() & same, "left").where("hash is null or window is not null")
+    return met.select(*names, pos.alias("pos"), F.col("window_len").alias("len"), "window")
 
 
 def covered(spans: Column) -> Column:

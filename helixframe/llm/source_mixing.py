@@ -50,7 +50,7 @@ FEATURES = 1 << 15
 #: over its lower bound, that end the fit; length of the first step, and its growth.
 PASSES, CLOSE, GAP, FIRST, GROWTH = 80, 1e-4, 1e-7, 100.0, 10.0
 #: Parts of a Newton iteration that are tried in one pass.
-TRIALS = (1.0, 0.5, 0.2, 0.05, 0.01)
+TRIALS = (1.0, 0.4, 0.05)
 
 
 def words_of(text: Column) -> Column:
