@@ -9,7 +9,8 @@ grams within each span the one with the smallest hash is selected (the last of e
 selected depends on the span alone, so two places that share a span share a fingerprint: that is
 guaranteed, and pieces are short enough that a span lies within any 50 words that two places share.
 
-Fingerprints are counted first; texts are read again, and only fingerprints that occur twice go on. Their
+Of equal texts only the first goes through this; later ones are deleted whole if they have the least words
+of a line. Fingerprints are counted first; texts are read again, and only fingerprints that occur twice go on. Their
 spans are joined, by content, with the first place of each in order of doc_id and line; matches are
 extended both ways as far as the lines agree, and the later run is deleted: lines go with their line
 ends, and of lines that are left in part the words. The earliest place of any line is never deleted, so
@@ -43,9 +44,9 @@ from helixframe.llm.common import fresh, shared_folder, written
 
 #: The least words of a run of lines, and of pieces; words of a window whose least hash ends a piece.
 LINE_WORDS, PASSAGE_WORDS, PIECE = 8, 33, 8
-LINES, PIECES = 0, 1
-#: Repeated fingerprints, and repeated runs, up to which they are broadcast (8 and about 16 bytes each).
-BROADCAST_FINGERPRINTS, BROADCAST_RUNS = 4_000_000, 2_000_000
+LINES, PIECES, WHOLE = 0, 1, 2
+#: Repeated fingerprints, repeated runs, and digests of equal texts, up to which they are broadcast (8, 16 and 32 bytes each).
+BROADCAST_FINGERPRINTS, BROADCAST_RUNS, BROADCAST_COPIES = 4_000_000, 2_000_000, 1_000_000
 
 
 def signed(h: int) -> int:
@@ -189,26 +190,27 @@ def with_lines(docs: DataFrame) -> DataFrame:
 
 
 def spans_of(found: DataFrame) -> DataFrame:
-    """A row per span of the fingerprints: its content, id, digest, kind, first line, size, and the hashes before (nearest first) and after."""
+    """A row per span of the fingerprints: its content, id, digest, kind, first line, size, and the lower halves of the hashes before (nearest first) and after."""
     kind_of_id = found.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        kinds = (pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
         for batch in batches:
             which, out = [], [[] for _ in kinds]
             for row, r in enumerate(batch.select(["kind", "lo", "hi", "base", "hashes", "words"]).to_pylist()):
                 ends, hashes = windows(r["words"], least_of(r["kind"])), r["hashes"]
+                near = np.array(hashes, "<i8").astype("<i4").tolist()
                 for line in range(r["lo"], r["hi"] + 1):
                     at = line - r["base"]
                     which.append(row)
                     content = xxhash.xxh3_128_digest(np.array(hashes[at : ends[at]], "<i8").tobytes(), r["kind"])
-                    for column, value in zip(out, (content, line, ends[at] - at, hashes[:at][::-1], hashes[ends[at] :])):
+                    for column, value in zip(out, (content, line, ends[at] - at, near[:at][::-1], near[ends[at] :])):
                         column.append(value)
             take = pa.array(which, pa.int32())
             same = [batch.column(c).take(take) for c in ("id", "digest", "kind")]
             yield pa.RecordBatch.from_arrays([*same, *[pa.array(c, k) for c, k in zip(out, kinds)]], names=["id", "digest", "kind", "span", "first", "size", "before", "after"])
 
-    return found.mapInArrow(run, f"id {kind_of_id}, digest binary, kind int, span binary, first int, size int, before array<bigint>, after array<bigint>")
+    return found.mapInArrow(run, f"id {kind_of_id}, digest binary, kind int, span binary, first int, size int, before array<int>, after array<int>")
 
 
 def agreed(a: Column, b: Column) -> Column:
@@ -219,6 +221,13 @@ def agreed(a: Column, b: Column) -> Column:
 
 def repeated_runs(docs: DataFrame, folder: str) -> DataFrame:
     """(id, digest, runs): later repeated runs as array<struct<kind, first, last>> over lines with words or pieces, last exclusive."""
+    copies = docs.groupBy("digest").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id")).alias("p"), F.count("*").alias("n")).where("n > 1")
+    copies = written(copies.select(F.col("digest").alias("of"), F.col("p.id").alias("first_id")), folder, "copies")
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies
+    met = docs.join(copies, F.col("digest") == F.col("of"), "left")
+    later = F.col("of").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))
+    whole = met.where(later).select("id", "digest").distinct().withColumn("runs", F.array(F.struct(F.lit(WHOLE).alias("kind"), F.lit(0).alias("first"), F.lit(0).alias("last"))))
+    docs = met.where(~later).select("id", "digest", "text")
     twice = written(fingerprints(docs).groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), folder, "twice")
     twice = F.broadcast(twice) if twice.count() <= BROADCAST_FINGERPRINTS else twice
     spans = written(spans_of(with_lines(docs).join(twice, "fp", "left_semi")), folder, "spans")
@@ -229,7 +238,8 @@ def repeated_runs(docs: DataFrame, folder: str) -> DataFrame:
     met = spans.join(firsts, "span").where(~(F.col("id").eqNullSafe(F.col("p.id")) & (F.col("digest") == F.col("p.digest")) & (F.col("first") == F.col("p.first"))))
     start = F.col("first") - agreed(F.col("before"), F.col("c.before"))
     end = F.col("first") + F.col("size") + agreed(F.col("after"), F.col("c.after"))
-    return met.groupBy("id", "digest").agg(F.collect_set(F.struct("kind", start.alias("first"), end.alias("last"))).alias("runs"))
+    runs = met.groupBy("id", "digest").agg(F.collect_set(F.struct("kind", start.alias("first"), end.alias("last"))).alias("runs"))
+    return runs.unionByName(whole)
 
 
 def without(text: str | None, runs: list[dict] | None) -> tuple[str | None, int, int, int]:
@@ -237,10 +247,12 @@ def without(text: str | None, runs: list[dict] | None) -> tuple[str | None, int,
     if text is None:
         return None, 0, 0, 0
     words, lines = lines_of(text)
-    if not runs:
+    if not runs or not words:
         return text, len(set(lines)), 0, 0
     gone = np.zeros(len(words), bool)
-    for kind in {r["kind"] for r in runs}:
+    if any(r["kind"] == WHOLE for r in runs):
+        gone[:] = len(words) >= LINE_WORDS
+    for kind in {r["kind"] for r in runs} - {WHOLE}:
         starts = [*units(text, kind)[2], len(words)]
         for r in runs:
             if r["kind"] == kind:
