@@ -43,7 +43,7 @@ NEAREST, CONSISTENT = 0.75, 1.41207
 CUTOFF = 35.888
 #: Rows of the group above that each group counts; rows without which nothing is estimated.
 PRIOR, LEAST_ROWS = 50.0, 25
-STEPS_FIRST, STEPS_LAST, SETTLED = 2, 5, 1e-3
+STEPS_FIRST, STEPS_LAST, SETTLED = 2, 4, 0.02
 #: Power of the length that repeats grow with; words whose lengths vary as much within a text as between texts; power of the count of words.
 GROWTH, EVEN_WORDS, LENGTH_POWER = 1.5, 100.0, -0.05
 #: Standard deviation added to each statistic's own, so that constant statistics have one: a hundredth.
