@@ -59,6 +59,12 @@ def dealt_by_bytes(index: DataFrame, chunk: Column, read_bytes: int = READ_BYTES
     return chunked.repartition(n, "file", "chunk")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores where its scan has fewer splits than half of them: small then, by the size of splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that df does not have (Spark compares names without case)."""
     have = {c.lower() for c in df.columns}

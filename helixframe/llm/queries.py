@@ -11,20 +11,23 @@ from helixframe.llm.common import table
 from helixframe.llm.decontamination import CONTAMINATION_SQL, contamination
 from helixframe.llm.label_sharding import shard_documents
 from helixframe.llm.language_id import held_out, identify_languages, train
+from helixframe.llm.lexical_search import SEARCH_SQL, search
 from helixframe.llm.line_dedup import dedup_lines
+from helixframe.llm.merkle_manifest import lowered_fifth, manifest, manifest_sql
 from helixframe.llm.record_files import read_records, write_records
 from helixframe.llm.robust_outliers import quality_rules
 from helixframe.llm.secret_scan import scan_secrets
 from helixframe.llm.simhash_dedup import near_duplicates
 from helixframe.llm.source_mixing import mixing_rates
+from helixframe.llm.token_counts import token_counts
 from helixframe.llm.warc import read_archives, write_archives
 
 
-def tokenizer_file() -> str:
-    """The public tokenizer's file; its package is installed beside the libraries."""
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """A public tokenizer's file; its package is installed beside the libraries."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +75,18 @@ def op10_benchmark_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_presence_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"), tampered=lowered_fifth)
+
+
+def op13_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 WARC_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
@@ -105,9 +120,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_label_propagation": op8_label_propagation,
         "op9_warc_index": op9_warc_index,
         "op10_benchmark_ngrams": op10_benchmark_ngrams,
+        "op11_presence_masks": op11_presence_masks,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_prefix_counts": op13_prefix_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express."""
-    return {"op9_warc_index": WARC_SQL, "op10_benchmark_ngrams": CONTAMINATION_SQL}
+    return {"op9_warc_index": WARC_SQL, "op10_benchmark_ngrams": CONTAMINATION_SQL, "op11_presence_masks": SEARCH_SQL, "op12_merkle_manifest": manifest_sql()}
