@@ -5,8 +5,9 @@ non-ASCII characters. Ten consecutive words of an item, or a shorter item as a w
 The windows form a set keyed by hashes of 64 bits. A document's windows are hashed by doubling, two
 words, four, eight and ten, and looked up in the set, which is broadcast when its counted rows are
 within a bound. Only where a hash is met are the window's words put together and compared, so each
-hit is verified, and runs of hits become spans. Beyond the bound a bit set of fixed size, broadcast
-instead, leaves few candidates, and these alone are shuffled.
+hit is verified, and runs of hits become spans. Beyond the bound a bit set sized by their count,
+broadcast instead, leaves few candidates, and the words of these windows alone are shuffled. Windows
+that an item or several items share are one window; ties do not arise.
 
 Defined results: null or empty texts have no words and no hits; null texts of items have no
 windows, null item_ids are not listed; repeated item rows count once, items of equal text each; each
@@ -28,8 +29,8 @@ PIECE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x60\x7B-\x7F]*"
 NGRAM = 10
 #: Windows of a benchmark up to which their set is broadcast (one text of about 100 bytes each).
 BROADCAST_WINDOWS = 1_000_000
-#: Words of 64 bits of the bit set beyond that.
-BIT_WORDS = 1 << 20
+#: Words of 64 bits of the bit set beyond that, at least and at most (16 MB).
+BIT_WORDS, MOST_BIT_WORDS = 1 << 14, 1 << 21
 
 
 def words_of(text: Column) -> Column:
@@ -93,30 +94,32 @@ def window_set(windows: DataFrame, lengths: list[int]) -> DataFrame:
     return hashed.select("window", "window_len", (F.coalesce(*own) if own else F.lit(None)).cast("long").alias("window_hash"))
 
 
-def bit_of(h: Column) -> tuple[Column, Column]:
-    """The word and the bit of a hash in the bit set."""
-    return F.pmod(F.shiftrightunsigned(h, 6), F.lit(BIT_WORDS)).cast("int"), F.pmod(h, F.lit(64)).cast("int")
+def bit_of(h: Column, size: int) -> tuple[Column, Column]:
+    """The word and the bit of a hash in a bit set of so many words."""
+    return F.pmod(F.shiftrightunsigned(h, 6), F.lit(size)).cast("int"), F.pmod(h, F.lit(64)).cast("int")
 
 
-def maybe_in(windows: DataFrame, h: Column) -> Column:
-    """Whether the bit of the hash is set: false only for hashes that no window has. The set has BIT_WORDS words whatever the count of windows."""
-    word, bit = bit_of(F.col("window_hash"))
+def maybe_in(windows: DataFrame, count: int, h: Column) -> Column:
+    """Whether the bit of the hash is set: false only for hashes that no window has. Sixteen bits a window, within bounds."""
+    size = min(MOST_BIT_WORDS, max(BIT_WORDS, 1 << (count // 4).bit_length()))
+    word, bit = bit_of(F.col("window_hash"), size)
     words = windows.select(word.alias("word"), bit.alias("bit")).distinct().groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-    every = windows.sparkSession.range(BIT_WORDS).select(F.col("id").cast("int").alias("word")).join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0)).alias("bits"))
-    held = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("held"))  # one row of fixed size
-    word, bit = bit_of(h)
+    every = windows.sparkSession.range(size).select(F.col("id").cast("int").alias("word")).join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0)).alias("bits"))
+    held = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("held"))  # one row of bounded size
+    word, bit = bit_of(h, size)
     return F.getbit(F.get(held.scalar(), word), bit) == 1
 
 
-def hits(docs: DataFrame, windows: DataFrame, keys: list[Column], text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS, all_rows: bool = True) -> DataFrame:
+def hits(docs: DataFrame, windows: DataFrame, keys: list[Column], folder: str, text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS, all_rows: bool = True) -> DataFrame:
     """The keys, n_words, and per occurring window (pos, len, window); with all_rows, a row of nulls for each document besides.
 
     Each word's place gives a hash for each length that items have; words stay where they are, and
-    a window's text exists only where its hash is met. windows: item_windows, as a table.
+    a window's text exists only where its hash is met. windows: item_windows, as a table. The set of
+    their hashes is a table as well: conditions on it are then not worked out from the words again.
     """
     sizes = {r["len"]: r["n"] for r in windows.groupBy("len").agg(F.count_distinct("window").alias("n")).collect()}  # a row for each length
     lengths = sorted(sizes)
-    found = window_set(windows, lengths)
+    found = written(window_set(windows, lengths), folder, "window_set")
     base = docs.select(*keys, words_of(F.coalesce(F.col(text_col), F.lit(""))).alias("words")).withColumn("n_words", F.size("words"))
     names = [c for c in base.columns if c != "words"]
     base = with_windows(base, "words", lengths, "h")
@@ -124,19 +127,35 @@ def hits(docs: DataFrame, windows: DataFrame, keys: list[Column], text_col: str
     if all_rows or not parts:
         parts.append(F.array(F.lit(None).cast("long")))
     each = base.select(*names, "words", F.posexplode(F.concat(*parts)).alias("at", "hash"))
-    # where the hashes of a window's length begin among all of the document, known once a window is met
-    before = F.lit(0)
-    for k in lengths:
-        before = before + F.when(F.col("window_len") > k, F.greatest(F.col("n_words") - (k - 1), F.lit(0))).otherwise(F.lit(0))
-    pos = F.greatest(F.col("at") - before, F.lit(0))
-    same = F.array_join(F.slice("words", pos + 1, F.col("window_len")), " ") == F.col("window")
     if sum(sizes.values()) <= broadcast_windows:
+        pos, _ = place_of(lengths, F.col("window_len"))
+        same = F.array_join(F.slice("words", pos + 1, F.col("window_len")), " ") == F.col("window")
         met = each.join(F.broadcast(found), (F.col("hash") == F.col("window_hash")) & same, "left" if all_rows else "inner")
         return met.where("hash is null or window is not null").select(*names, pos.alias("pos"), F.col("window_len").alias("len"), "window")
-    # rows of nulls get keys of their own, so that they spread over all tasks
-    some = each.where(F.col("hash").isNull() | maybe_in(found, F.col("hash"))).withColumn("key", F.coalesce("hash", F.xxhash64(*names)))
-    met = some.join(found, (F.col("key") == F.col("window_hash")) & F.col("hash").isNotNull() & same, "left").where("hash is null or window is not null")
-    return met.select(*names, pos.alias("pos"), F.col("window_len").alias("len"), "window")
+    # a candidate takes the words of its window along, not those of its text; rows of nulls get keys of their own, so that they spread over all tasks
+    pos, size = place_of(lengths, None)
+    some = each.where(F.col("hash").isNull() | maybe_in(found, sum(sizes.values()), F.col("hash")))
+    text = F.when(F.col("hash").isNotNull(), F.array_join(F.slice("words", pos + 1, size), " "))
+    some = some.select(*names, pos.alias("pos"), size.alias("len"), text.alias("seen"), F.coalesce("hash", F.xxhash64(*names)).alias("key"))
+    met = some.join(found, (F.col("key") == F.col("window_hash")) & (F.col("seen") == F.col("window")) & (F.col("len") == F.col("window_len")), "left")
+    met = met.where("seen is null or window is not null")
+    return met.select(*names, "pos", F.col("window_len").alias("len"), "window")
+
+
+def place_of(lengths: list[int], length: Column | None) -> tuple[Column, Column]:
+    """Where the window begins whose hash is at place `at` of all hashes of a document, and its length (if that is not known, by the place)."""
+    if length is None:
+        length, end = F.lit(None).cast("int"), F.lit(0)
+        ends = []
+        for k in lengths:
+            end = end + F.greatest(F.col("n_words") - (k - 1), F.lit(0))
+            ends.append((end, k))
+        for end, k in reversed(ends):
+            length = F.when(F.col("at") < end, k).otherwise(length)
+    before = F.lit(0)
+    for k in lengths:
+        before = before + F.when(length > k, F.greatest(F.col("n_words") - (k - 1), F.lit(0))).otherwise(F.lit(0))
+    return F.greatest(F.col("at") - before, F.lit(0)), length
 
 
 def covered(spans: Column) -> Column:
@@ -159,7 +178,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     folder = shared_folder(docs.sparkSession)
     windows = written(item_windows(items, n), folder, "windows")
     keys = [F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row")]
-    found = hits(docs, windows, keys, text_col, broadcast_windows)
+    found = hits(docs, windows, keys, folder, text_col, broadcast_windows)
     span = F.when(F.col("window").isNotNull(), F.struct("pos", "len"))
     per = found.groupBy("row", "doc_id", "n_words").agg(F.sort_array(F.collect_set(span)).alias("spans"), F.collect_set("window").alias("windows"))
     per = written(per.select("row", "doc_id", "n_words", F.size("spans").alias("n_spans"), covered(F.col("spans")).alias("n_hit"), "windows"), folder, "found")
@@ -179,7 +198,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", n:
     """
     folder = shared_folder(docs.sparkSession)
     digest = F.md5(F.col(text_col))
-    found = hits(docs, written(item_windows(items, n), folder, "windows"), [digest.alias("digest")], text_col, broadcast_windows, all_rows=False)
+    found = hits(docs, written(item_windows(items, n), folder, "windows"), [digest.alias("digest")], folder, text_col, broadcast_windows, all_rows=False)
     key = fresh(docs, "digest")
     if remove == "documents":
         bad = written(found.select(F.col("digest").alias(key)).distinct(), folder, "contaminated")  # found once

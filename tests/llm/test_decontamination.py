@@ -2,8 +2,10 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from helixframe.llm.decontamination import contamination, decontaminate, with_windows
+from helixframe.llm.decontamination import contamination, decontaminate, hits, item_windows, with_windows
+from helixframe.llm.common import shared_folder, written
 
 ITEMS = [(1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (2, "Short item here"), (3, "one"), (4, None), (5, "..."), (1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (10, "beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu")]
 
@@ -60,6 +62,25 @@ def test_removing_documents_and_spans(make, items):
     assert not any(brute(t, ITEMS)[4] for t in cut.values())
 
 
+def test_words_are_cut_once_in_the_plan(spark, make):
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(i))) for i in range(1, 14)], "item_id long, text string")
+    folder = shared_folder(spark)
+    windows = written(item_windows(items), folder, "windows")
+    for bound in (1_000_000, 0):
+        plan = hits(make(TEXTS), windows, [F.col("doc_id")], folder, broadcast_windows=bound)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") <= 2
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_items_of_many_lengths(spark, make, bound):
+    items = [(i, " ".join(f"w{(i * k) % 5}" for k in range(i))) for i in range(1, 14)]
+    texts = [" ".join(f"w{(a * k) % 5}" for k in range(40)) for a in range(1, 9)] + ["w0 x w0", "w1"]
+    rows = {r.doc_id: r for r in contamination(make(texts), spark.createDataFrame(items, "item_id long, text string"), broadcast_windows=bound).collect()}
+    for i, t in enumerate(texts):
+        r = rows[i]
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == brute(t, items), t
+
+
 def test_odd_rows(odd, empty, items):
     assert contamination(odd, items).count() == odd.count()
     assert decontaminate(odd, items).columns == odd.columns and decontaminate(odd, items, remove="spans").columns == odd.columns
