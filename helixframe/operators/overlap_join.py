@@ -1,9 +1,14 @@
-"""Interval overlap joins as equi-joins on bins.
+"""Interval overlap joins as equi-joins on bins of several sizes.
 
-Half-open intervals overlap if each starts before the other ends. Every interval is dealt to the
-bins that it touches; two that overlap share the bin in which the later one starts, and only there
-the pair is kept. Left rows within one bin, as variants mostly are, join directly; others are told
-apart by an id while they are in several bins.
+Half-open intervals overlap if each starts before the other ends. Bins form levels, each of eight
+times the size of the one below. An interval is dealt to the bins that it touches at the lowest level
+where these are eight at most; two that overlap meet at the higher one of their levels, and the pair
+is kept only in the bin where the later one starts. So the rows of an interval are bounded, however
+long it is.
+
+What left rows cost is one copy for each level that right is dealt at. As right is mostly the smaller
+side, its counts by length are read first, and its shorter intervals stay at the lowest level as long
+as their rows are few. Left rows with a single bin join directly; others are told apart by an id.
 """
 
 from __future__ import annotations
@@ -12,6 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN_SIZE = 5000
+#: Levels of bins; the last one is a single bin for all that is longer.
+LEVELS, FANOUT = 9, 8
+#: Rows that right may be dealt to at the lowest level: so many for each interval, or so many in all.
+ROWS_EACH, ROWS_IN_ALL = 8, 1_000_000
 
 
 def _defaults(left: DataFrame, right: DataFrame, ls, rs, le, re, extra) -> tuple[Column, Column, Column, Column, Column]:
@@ -27,17 +36,53 @@ def _defaults(left: DataFrame, right: DataFrame, ls, rs, le, re, extra) -> tuple
     return pick(ls, left, "start"), pick(rs, right, "start"), pick(le, left, "end"), pick(re, right, "end"), F.lit(True) if extra is None else extra
 
 
-def _bins(start: Column, end: Column, size: int) -> tuple[Column, Column]:
-    """First and last bin; empty and reversed intervals have those of their ends."""
-    first, last = F.least(start, end - 1), F.greatest(start, end - 1)
+def _ends(start: Column, end: Column) -> tuple[Column, Column]:
+    """First and last place; empty and reversed intervals have those of their ends, and those with a null none."""
     whole = start.isNotNull() & end.isNotNull()
-    return F.when(whole, F.floor(first / size)), F.when(whole, F.floor(last / size))
+    return F.when(whole, F.least(start, end - 1)), F.when(whole, F.greatest(start, end - 1))
+
+
+def _level(first: Column, last: Column, size: int) -> Column:
+    """The lowest level at which the interval touches eight bins at most."""
+    longer = [F.when(last - first > (FANOUT - 1) * size * FANOUT**k, 1).otherwise(0) for k in range(LEVELS - 1)]
+    level = longer[0]
+    for x in longer[1:]:
+        level = level + x
+    return F.when(first.isNotNull(), level)
+
+
+def _bin(place: Column, level: Column | int, size: int) -> Column:
+    sizes = [size * FANOUT**k for k in range(LEVELS - 1)]
+    if isinstance(level, int):
+        return F.floor(place / sizes[level]) if level < LEVELS - 1 else F.lit(0).cast("long")
+    return F.coalesce(F.floor(place / F.get(F.array(*map(F.lit, sizes)), level)), F.when(place.isNotNull(), F.lit(0)))
+
+
+def _dealt(first: Column, last: Column, level: Column | int, size: int, key: Column) -> Column:
+    """array<struct<key, bin, lo>>: the bins that the interval touches at a level."""
+    lo, hi = _bin(first, level, size), _bin(last, level, size)
+    return F.transform(F.sequence(lo, hi), lambda b: F.struct(key.cast("int").alias("key"), b.alias("bin"), lo.alias("lo")))
+
+
+def _lowest(right: DataFrame, rs: Column, re: Column, size: int) -> tuple[int, list[int]]:
+    """The level up to which right's intervals are dealt to lowest bins, and all levels that right is dealt at."""
+    first, last = _ends(rs, re)
+    bins = _bin(last, 0, size) - _bin(first, 0, size) + 1
+    counts = right.select(_level(first, last, size).alias("level"), bins.alias("bins")).where("level is not null")
+    found = sorted((r["level"], r["n"], r["bins"]) for r in counts.groupBy("level").agg(F.count("*").alias("n"), F.sum("bins").alias("bins")).collect())  # a row for each level
+    budget, total, top = max(ROWS_IN_ALL, ROWS_EACH * sum(n for _, n, _ in found)), 0, 0
+    for level, _, bins_of in found:
+        total += bins_of
+        if total > budget:
+            break
+        top = level
+    return top, sorted({0 if level <= top else level for level, _, _ in found})
 
 
 def _names(*frames: DataFrame) -> list[str]:
     have = {c.lower() for f in frames for c in f.columns}
     out = []
-    for stem in ("lo", "hi", "bin", "row", "lo_r", "bin_r", "row_m"):
+    for stem in ("at", "at_r", "row", "row_m"):
         name = f"__{stem}"
         while name.lower() in have:
             name += "_"
@@ -47,29 +92,43 @@ def _names(*frames: DataFrame) -> list[str]:
 
 def _join(left, right, ls, rs, le, re, extra, prefix, size, semi):
     ls, rs, le, re, extra = _defaults(left, right, ls, rs, le, re, extra)
-    lo, hi, bin_, row, lo_r, bin_r, row_m = _names(left, right)
+    at, at_r, row, row_m = _names(left, right)
     overlap = (ls < re) & (rs < le) & extra
-    first, last = _bins(ls, le, size)
-    lefts = left.select("*", first.alias(lo), last.alias(hi))
-    first_r, last_r = _bins(rs, re, size)
-    rights = right.select("*", first_r.alias(lo_r), F.explode(F.sequence(first_r, last_r)).alias(bin_r))
+    top, levels = _lowest(right, rs, re, size)
+
+    first_r, last_r = _ends(rs, re)
+    own = _level(first_r, last_r, size)
+    own = F.when(own > top, own).otherwise(0)
+    rights = right.select("*", F.explode(_dealt(first_r, last_r, own, size, own)).alias(at_r))
+    # for left rows of higher levels than right's: keys from LEVELS on
+    above = F.flatten(F.array_compact(F.array(*[F.when(own < k, _dealt(first_r, last_r, k, size, F.lit(LEVELS + k))) for k in range(1, LEVELS)])))
+    every = F.concat(_dealt(first_r, last_r, own, size, own), above)
+    rights_every = right.select("*", F.explode(every).alias(at_r))
+
+    first, last = _ends(ls, le)
+    level = _level(first, last, size)
+    places = [F.when(level <= k, _dealt(first, last, k, size, F.lit(k))) for k in levels]
+    if levels:
+        places.append(F.when(level > levels[0], _dealt(first, last, level, size, level + LEVELS)))
+    places = F.flatten(F.array_compact(F.array(*places))) if places else F.array().cast("array<struct<key:int,bin:bigint,lo:bigint>>")
+    lefts = left.select("*", places.alias(at))
     out_left = [left[c] for c in left.columns]
     out_right = [] if semi else [right[c].alias(prefix + c) if prefix else right[c] for c in right.columns]
+    here = (F.col(f"{at}.key") == F.col(f"{at_r}.key")) & (F.col(f"{at}.bin") == F.col(f"{at_r}.bin")) & (F.col(f"{at}.bin") == F.greatest(F.col(f"{at}.lo"), F.col(f"{at_r}.lo"))) & overlap
 
-    near = lefts.where(F.col(hi).isNull() | (F.col(lo) == F.col(hi)))
-    met = near.join(rights, (F.col(lo) == F.col(bin_r)) & overlap, "left_semi" if semi else "left_outer")
-    single = met.select(*out_left, *out_right)
+    lone = F.coalesce(F.size(at) < 1, F.lit(True)) | ((F.size(at) == 1) & (F.get(at, F.lit(0))["key"] < LEVELS))
+    near = lefts.where(lone).withColumn(at, F.get(at, F.lit(0)))
+    single = near.join(rights, here, "left_semi" if semi else "left_outer").select(*out_left, *out_right)
 
     # a longer row and its copies come from one evaluation, so their common id holds whatever left is made of
-    far = lefts.where(F.col(lo) < F.col(hi)).select("*", F.monotonically_increasing_id().alias(row))
-    spread = far.select("*", F.explode(F.sequence(F.col(lo), F.col(hi))).alias(bin_))
-    here = (F.col(bin_) == F.col(bin_r)) & (F.col(bin_) == F.greatest(F.col(lo), F.col(lo_r))) & overlap
+    far = lefts.where(~lone).select("*", F.monotonically_increasing_id().alias(row))
+    spread = far.select(*[c for c in far.columns if c != at], F.explode(at).alias(at))
     if semi:
-        return single.union(spread.join(rights, here, "left_semi").dropDuplicates([row]).select(*out_left))
-    met = spread.join(rights, here, "left_outer")
-    matches = F.count(bin_r).over(Window.partitionBy(row))
-    met = met.select(*out_left, *out_right, F.col(bin_r), F.col(bin_), F.col(lo), matches.alias(row_m))
-    return single.union(met.where(F.col(bin_r).isNotNull() | ((F.col(row_m) == 0) & (F.col(bin_) == F.col(lo)))).drop(bin_r, bin_, lo, row_m))
+        return single.union(spread.join(rights_every, here, "left_semi").dropDuplicates([row]).select(*out_left))
+    met = spread.join(rights_every, here, "left_outer")
+    own_rows = Window.partitionBy(row)
+    met = met.select(*out_left, *out_right, F.col(at_r), F.col(row), F.count(at_r).over(own_rows).alias(row_m), F.row_number().over(own_rows.orderBy(f"{at}.key", f"{at}.bin")).alias(at))
+    return single.union(met.where(F.col(at_r).isNotNull() | ((F.col(row_m) == 0) & (F.col(at) == 1))).drop(at_r, row, row_m, at))
 
 
 def left_overlap_join(left: DataFrame, right: DataFrame, left_start=None, right_start=None, left_end=None, right_end=None, extra_join_expr: Column | None = None, right_prefix: str | None = None, bin_size: int = BIN_SIZE) -> DataFrame:

@@ -176,6 +176,36 @@ def test_rows_that_lack_fields(spark, genome):
     assert [tuple(r)[:5] for r in normalize_variants(df, str(d / "r.fa")).collect()][1:5] == rows[1:5]
 
 
+@pytest.mark.parametrize("rows_in_all", [1_000_000, 0])  # right's intervals all at the lowest level, and each at its own
+def test_overlap_join_of_intervals_of_all_lengths(spark, monkeypatch, rows_in_all):
+    import random
+
+    from helixframe.operators import overlap_join
+
+    monkeypatch.setattr(overlap_join, "ROWS_IN_ALL", rows_in_all)
+    monkeypatch.setattr(overlap_join, "ROWS_EACH", 1)
+    r = random.Random(rows_in_all)
+    side = lambda n: [(i, str(r.randint(0, 1)), s := r.randint(-10**6, 10**7), s + int(10 ** r.uniform(-1, 7.5))) for i in range(n)] + [(n, None, 1, 5), (n + 1, "0", None, 5), (n + 2, "0", 7, 7), (n + 3, "0", 9, 3), (n + 4, "1", -(2**62), 2**62)]
+    one, two = side(150), side(150)
+    left, right = (spark.createDataFrame(x, "id long, contigName string, start long, end long") for x in (one, two))
+    hit = lambda x, y: None not in (*x, *y) and x[1] == y[1] and x[2] < y[3] and y[2] < x[3]
+    want = sorted([(x[0], y[0]) for x in one for y in two if hit(x, y)] + [(x[0], -1) for x in one if not any(hit(x, y) for y in two)])
+    got = left_overlap_join(left, right, right_prefix="r_", bin_size=50)
+    assert sorted((x.id, -1 if x.r_id is None else x.r_id) for x in got.collect()) == want
+    assert sorted(x.id for x in left_semi_overlap_join(left, right, bin_size=50).collect()) == sorted({i for i, j in want if j >= 0})
+
+
+def test_overlap_join_deals_long_intervals_to_few_bins(spark):
+    from helixframe.operators import overlap_join as o
+
+    first, last = F.col("id") * 977, F.col("id") * 977 + F.pow(F.lit(1.07), F.col("id")).cast("long")
+    level = o._level(first, last, 5000)
+    rows = spark.range(400).select(F.size(o._dealt(first, last, level, 5000, level)).alias("n"), level.alias("level"))
+    assert rows.agg(F.max("n")).first()[0] <= o.FANOUT and rows.agg(F.max("level")).first()[0] == o.LEVELS - 1
+    top, levels = o._lowest(spark.range(100), F.col("id") * 10, F.col("id") * 10 + 100_000_000, 5000)
+    assert (top, levels) == (0, [4])  # 100 intervals of 20,000 bins are too many to stay lowest
+
+
 def test_overlap_join_of_a_table_that_changes(spark):
     left = spark.range(300).selectExpr("'1' AS contigName", "id * 7 AS start", "id * 7 + id % 90 AS end", "id", "rand() AS noise").repartition(5)
     right = spark.range(200).selectExpr("'1' AS contigName", "id * 11 AS start", "id * 11 + 4 AS end", "id AS gene")
