@@ -1,7 +1,7 @@
 """Column functions."""
 
 from helixframe.functions.arrays import array_quantile, array_summary_stats, comb, mean_substitute
-from helixframe.functions.genotypes import call_summary_stats, dp_summary_stats, genotype_states, gq_summary_stats, hard_calls, hardy_weinberg, variant_type
+from helixframe.functions.genotypes import call_summary_stats, dosages, dp_summary_stats, genotype_states, gq_summary_stats, hard_calls, hardy_weinberg, variant_type
 from helixframe.functions.structs import (
     add_struct_fields,
     array_to_dense_vector,
@@ -16,6 +16,6 @@ from helixframe.functions.structs import (
 
 __all__ = [
     "add_struct_fields", "array_quantile", "array_summary_stats", "array_to_dense_vector", "array_to_sparse_vector", "assert_true_or_error",
-    "call_summary_stats", "comb", "dp_summary_stats", "expand_struct", "explode_matrix", "genotype_states", "gq_summary_stats", "hard_calls",
+    "call_summary_stats", "comb", "dosages", "dp_summary_stats", "expand_struct", "explode_matrix", "genotype_states", "gq_summary_stats", "hard_calls",
     "hardy_weinberg", "matrix_literal", "mean_substitute", "subset_struct", "variant_type", "vector_to_array",
 ]

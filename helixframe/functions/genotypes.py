@@ -74,6 +74,18 @@ def genotype_states(genotypes: ColumnOrName) -> Column:
     return _on_calls(states_of, "array<int>", genotypes)
 
 
+def dosages_of(genotypes: pa.Array) -> pa.Array:
+    return kernels.dosages(genotypes)
+
+
+def dosages(genotypes: ColumnOrName) -> Column:
+    """struct(values, varies): mean_substitute(genotype_states(..)) in one pass, and whether the values differ between samples.
+
+    Filters on `varies` stay above the pass, so that the calls are sent to Python once.
+    """
+    return F.arrow_udf(dosages_of, "values array<double>, varies boolean").asNondeterministic()(col(genotypes)["calls"])
+
+
 def _first_maximum(probabilities: Column, threshold: float) -> Column:
     """Place (from 0) of the first largest probability of at least the threshold and over 0; null if none."""
     able = F.transform(probabilities, lambda p: F.when((p >= threshold) & (p > 0), p))

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions.columns import let
+
 BIN_SIZE = 5000
 #: Levels of bins; the last one is a single bin for all that is longer.
 LEVELS, FANOUT = 9, 8
@@ -44,24 +46,21 @@ def _ends(start: Column, end: Column) -> tuple[Column, Column]:
 
 def _level(first: Column, last: Column, size: int) -> Column:
     """The lowest level at which the interval touches eight bins at most."""
-    longer = [F.when(last - first > (FANOUT - 1) * size * FANOUT**k, 1).otherwise(0) for k in range(LEVELS - 1)]
-    level = longer[0]
-    for x in longer[1:]:
-        level = level + x
-    return F.when(first.isNotNull(), level)
+    limits = F.array(*[F.lit((FANOUT - 1) * size * FANOUT**k) for k in range(LEVELS - 1)])
+    return let(last - first, lambda n: F.when(n.isNotNull(), F.size(F.filter(limits, lambda limit: n > limit))))
 
 
 def _bin(place: Column, level: Column | int, size: int) -> Column:
     sizes = [size * FANOUT**k for k in range(LEVELS - 1)]
     if isinstance(level, int):
-        return F.floor(place / sizes[level]) if level < LEVELS - 1 else F.lit(0).cast("long")
+        return F.floor(place / sizes[level]) if level < LEVELS - 1 else F.when(place.isNotNull(), F.lit(0).cast("long"))
     return F.coalesce(F.floor(place / F.get(F.array(*map(F.lit, sizes)), level)), F.when(place.isNotNull(), F.lit(0)))
 
 
-def _dealt(first: Column, last: Column, level: Column | int, size: int, key: Column) -> Column:
+def _dealt(first: Column, last: Column, level: Column, size: int, key: Column) -> Column:
     """array<struct<key, bin, lo>>: the bins that the interval touches at a level."""
-    lo, hi = _bin(first, level, size), _bin(last, level, size)
-    return F.transform(F.sequence(lo, hi), lambda b: F.struct(key.cast("int").alias("key"), b.alias("bin"), lo.alias("lo")))
+    ends = F.struct(_bin(first, level, size).alias("lo"), _bin(last, level, size).alias("hi"), key.cast("int").alias("key"))
+    return let(ends, lambda e: F.transform(F.sequence(e["lo"], e["hi"]), lambda b: F.struct(e["key"].alias("key"), b.alias("bin"), e["lo"].alias("lo"))))
 
 
 def _lowest(right: DataFrame, rs: Column, re: Column, size: int) -> tuple[int, list[int]]:
@@ -82,7 +81,7 @@ def _lowest(right: DataFrame, rs: Column, re: Column, size: int) -> tuple[int, l
 def _names(*frames: DataFrame) -> list[str]:
     have = {c.lower() for f in frames for c in f.columns}
     out = []
-    for stem in ("at", "at_r", "row", "row_m"):
+    for stem in ("lo", "hi", "bin", "at", "at_r", "row", "row_m"):
         name = f"__{stem}"
         while name.lower() in have:
             name += "_"
@@ -92,40 +91,47 @@ def _names(*frames: DataFrame) -> list[str]:
 
 def _join(left, right, ls, rs, le, re, extra, prefix, size, semi):
     ls, rs, le, re, extra = _defaults(left, right, ls, rs, le, re, extra)
-    at, at_r, row, row_m = _names(left, right)
+    lo, hi, bin_, at, at_r, row, row_m = _names(left, right)
     overlap = (ls < re) & (rs < le) & extra
     top, levels = _lowest(right, rs, re, size)
-
-    first_r, last_r = _ends(rs, re)
-    own = _level(first_r, last_r, size)
-    own = F.when(own > top, own).otherwise(0)
-    rights = right.select("*", F.explode(_dealt(first_r, last_r, own, size, own)).alias(at_r))
-    # for left rows of higher levels than right's: keys from LEVELS on
-    above = F.flatten(F.array_compact(F.array(*[F.when(own < k, _dealt(first_r, last_r, k, size, F.lit(LEVELS + k))) for k in range(1, LEVELS)])))
-    every = F.concat(_dealt(first_r, last_r, own, size, own), above)
-    rights_every = right.select("*", F.explode(every).alias(at_r))
-
-    first, last = _ends(ls, le)
-    level = _level(first, last, size)
-    places = [F.when(level <= k, _dealt(first, last, k, size, F.lit(k))) for k in levels]
-    if levels:
-        places.append(F.when(level > levels[0], _dealt(first, last, level, size, level + LEVELS)))
-    places = F.flatten(F.array_compact(F.array(*places))) if places else F.array().cast("array<struct<key:int,bin:bigint,lo:bigint>>")
-    lefts = left.select("*", places.alias(at))
     out_left = [left[c] for c in left.columns]
     out_right = [] if semi else [right[c].alias(prefix + c) if prefix else right[c] for c in right.columns]
-    here = (F.col(f"{at}.key") == F.col(f"{at_r}.key")) & (F.col(f"{at}.bin") == F.col(f"{at_r}.bin")) & (F.col(f"{at}.bin") == F.greatest(F.col(f"{at}.lo"), F.col(f"{at_r}.lo"))) & overlap
-
-    lone = F.coalesce(F.size(at) < 1, F.lit(True)) | ((F.size(at) == 1) & (F.get(at, F.lit(0))["key"] < LEVELS))
-    near = lefts.where(lone).withColumn(at, F.get(at, F.lit(0)))
-    single = near.join(rights, here, "left_semi" if semi else "left_outer").select(*out_left, *out_right)
 
-    # a longer row and its copies come from one evaluation, so their common id holds whatever left is made of
-    far = lefts.where(~lone).select("*", F.monotonically_increasing_id().alias(row))
-    spread = far.select(*[c for c in far.columns if c != at], F.explode(at).alias(at))
+    # where right has one level, left rows within one bin of it meet it there and nowhere else
+    first, last = _ends(ls, le)
+    first_r, last_r = _ends(rs, re)
+    only = levels[0] if levels else 0
+    lefts = left.select("*", _bin(first, only, size).alias(lo), _bin(last, only, size).alias(hi))
+    lone = F.col(hi).isNull() | (F.col(lo) == F.col(hi)) if len(levels) < 2 else F.col(hi).isNull()
+    rights = right.where(F.lit(len(levels) < 2)).select("*", F.explode(F.sequence(_bin(first_r, only, size), _bin(last_r, only, size))).alias(bin_))
+    single = lefts.where(lone).join(rights, (F.col(lo) == F.col(bin_)) & overlap, "left_semi" if semi else "left_outer").select(*out_left, *out_right)
+
+    # others are dealt to each level of right that is not below their own, and to their own for right's shorter intervals, which
+    # are dealt to all levels above theirs under keys from LEVELS on
+    def places(e: Column) -> Column:
+        given = F.filter(F.array(*map(F.lit, levels)), lambda k: k >= e["level"])
+        each = F.transform(given, lambda k: _dealt(e["first"], e["last"], k, size, k))
+        own = F.when(e["level"] > levels[0], F.array(_dealt(e["first"], e["last"], e["level"], size, e["level"] + LEVELS))).otherwise(F.slice(each, 1, 0))
+        return F.flatten(F.concat(each, own))
+
+    def places_r(e: Column) -> Column:
+        above = F.filter(F.sequence(F.lit(1), F.lit(LEVELS - 1)), lambda k: k > e["level"])
+        each = F.transform(above, lambda k: _dealt(e["first"], e["last"], k, size, k + LEVELS))
+        return F.concat(_dealt(e["first"], e["last"], e["level"], size, e["level"]), F.flatten(each))
+
+    if not levels:
+        return single
+    level_r = _level(first_r, last_r, size)
+    ends = F.struct(first.alias("first"), last.alias("last"), _level(first, last, size).alias("level"))
+    ends_r = F.struct(first_r.alias("first"), last_r.alias("last"), F.when(level_r > top, level_r).otherwise(0).alias("level"))
+    every = right.where(first_r.isNotNull()).select("*", F.explode(let(ends_r, places_r)).alias(at_r))
+    # a row and its copies come from one evaluation, so their common id holds whatever left is made of
+    far = lefts.where(~lone).select(*out_left, F.monotonically_increasing_id().alias(row), let(ends, places).alias(at))
+    spread = far.select(*out_left, row, F.explode(at).alias(at))
+    here = (F.col(f"{at}.key") == F.col(f"{at_r}.key")) & (F.col(f"{at}.bin") == F.col(f"{at_r}.bin")) & (F.col(f"{at}.bin") == F.greatest(F.col(f"{at}.lo"), F.col(f"{at_r}.lo"))) & overlap
     if semi:
-        return single.union(spread.join(rights_every, here, "left_semi").dropDuplicates([row]).select(*out_left))
-    met = spread.join(rights_every, here, "left_outer")
+        return single.union(spread.join(every, here, "left_semi").dropDuplicates([row]).select(*out_left))
+    met = spread.join(every, here, "left_outer")
     own_rows = Window.partitionBy(row)
     met = met.select(*out_left, *out_right, F.col(at_r), F.col(row), F.count(at_r).over(own_rows).alias(row_m), F.row_number().over(own_rows.orderBy(f"{at}.key", f"{at}.bin")).alias(at))
     return single.union(met.where(F.col(at_r).isNotNull() | ((F.col(row_m) == 0) & (F.col(at) == 1))).drop(at_r, row, row_m, at))

@@ -10,6 +10,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Genotypes that a task makes of narrow rows.
+CELLS = 1_000_000
+
+
+def dealt(sites: DataFrame, key: str, cells: int) -> DataFrame:
+    """Narrow rows that are about to become so many genotypes in all, dealt by key to as many tasks as these ask for where the scan has fewer."""
+    cores = sites.sparkSession.sparkContext.defaultParallelism
+    wanted = max(min(cores, cells // 10_000), -(-cells // CELLS))
+    return sites.repartition(wanted, key) if wanted > sites.rdd.getNumPartitions() else sites
+
+
 def sample_count(spark: SparkSession, sf_dir: str) -> int:
     """Each supplier stands for a sample."""
     return table(spark, sf_dir, "supplier").count()
@@ -25,7 +36,7 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites = table(spark, sf_dir, "part").select(
         (a % 22 + 1).cast("string").alias("contigName"), (a * 50).cast("long").alias("start"), ref.alias("referenceAllele"), alts.alias("alternateAlleles"), a.alias("key"),
     )
-    sites = sites.withColumn("end", F.col("start") + F.length("referenceAllele"))
+    sites = dealt(sites.withColumn("end", F.col("start") + F.length("referenceAllele")), "key", n * sites.count())
     key, k = F.col("key"), F.size("alternateAlleles") + 1
 
     def genotype(b):

@@ -16,11 +16,11 @@ from helixframe.gwas import linear_regression, logistic_regression
 from helixframe.operators.blocks import block_variants_and_samples
 from helixframe.operators.overlap_join import left_overlap_join, left_semi_overlap_join
 from helixframe.operators.pipe import pipe
-from helixframe.operators.sample_stats import merge_variants, sample_call_summary_stats, sample_dp_summary_stats, sample_gq_summary_stats
+from helixframe.operators.sample_stats import merge_variants, sample_call_stats_rows, sample_field_stats_rows
 from helixframe.operators.split_multiallelics import split_multiallelics
 from helixframe.plans import derived
 from helixframe.plans.derived import INTERVALS_SQL, table, variants
-from helixframe.sources import read_bgen, read_gff, read_vcf, write_bigbgen, write_vcf
+from helixframe.sources import read_bgen, read_gff, read_vcf, write_bgen, write_vcf
 from helixframe.sources.files import shared_folder, write_text
 from helixframe.wgr import RidgeReduction
 from helixframe.wgr import block_variants_and_samples as wgr_blocks
@@ -182,18 +182,18 @@ def variant_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'S' || CAST(pos AS VARCHAR) AS sampleId, round(nCalled / (nCalled + nUncalled), 6) AS callRate, * EXCLUDE (pos), nTransition + nTransversion AS nSnp,
   round(nTransition / nTransversion, 6) AS rTiTv, round(nHet / nHomVar, 6) AS rHetHomVar FROM n""")
 def sample_call_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = sample_call_summary_stats(variants(spark, sf_dir)).select(F.inline("sample_call_summary_stats")).drop("rInsertionDeletion")
+    each = sample_call_stats_rows(variants(spark, sf_dir)).drop("pos", "rInsertionDeletion")
     return each.withColumns({c: R(F.col(c)) for c in ("callRate", "rTiTv", "rHetHomVar")})
 
 
 @query(G + f"SELECT sampleId, {MOMENTS.format('depth')} FROM g GROUP BY sampleId")
 def sample_dp_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _moments(sample_dp_summary_stats(variants(spark, sf_dir)).select(F.inline("sample_dp_summary_stats")), ["sampleId"])
+    return _moments(sample_field_stats_rows(variants(spark, sf_dir), "depth"), ["sampleId"])
 
 
 @query(G + f"SELECT sampleId, {MOMENTS.format('gq')} FROM g GROUP BY sampleId")
 def sample_gq_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _moments(sample_gq_summary_stats(variants(spark, sf_dir)).select(F.inline("sample_gq_summary_stats")), ["sampleId"])
+    return _moments(sample_field_stats_rows(variants(spark, sf_dir), "conditionalQuality"), ["sampleId"])
 
 
 @query("WITH " + INTERVALS_SQL + "SELECT l.contigName, l.s AS start, l.e AS \"end\", id, line, r.gene, r.s AS gene_start FROM l LEFT JOIN r ON l.contigName = r.contigName AND l.s < r.e AND r.s < l.e")
@@ -296,8 +296,9 @@ def _samples(spark: SparkSession, sf_dir: str) -> tuple[pd.DataFrame, list[str]]
 
 def _dosages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants whose filled genotype states differ, with them as values."""
-    values = variants(spark, sf_dir).withColumn("values", fx.mean_substitute(fx.genotype_states("genotypes")))
-    return values.where(F.size(F.array_distinct("values")) > 1)
+    rows = variants(spark, sf_dir)
+    filled = rows.select(*[c for c in rows.columns if c != "genotypes"], fx.dosages("genotypes").alias("d"))
+    return filled.where("d.varies").select(*filled.columns[:-1], "d.values")
 
 
 FITTED = G + """, s AS (
@@ -449,7 +450,7 @@ def vcf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(G + "SELECT contigName, start, ref AS referenceAllele, array_to_string(alts, ',') AS alts, count(*) AS n, CAST(sum(CASE WHEN c1 < 0 OR c2 < 0 THEN -2 ELSE c1 + c2 END) AS BIGINT) AS total, CAST(sum(CASE WHEN c1 < 0 OR c2 < 0 THEN 0 ELSE c1 * c2 END) AS BIGINT) AS products FROM g GROUP BY ALL")
 def bgen_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sites, those of several alternate alleles too: a probability for each pair of alleles."""
-    path = shared_folder(spark) + ".bgen"
+    path = shared_folder(spark)
 
     def p(g, alleles):
         low, high = F.array_min(g["calls"]), F.array_max(g["calls"])
@@ -459,7 +460,7 @@ def bgen_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     entry = lambda g: F.struct(g["sampleId"].alias("sampleId"), F.lit(False).alias("phased"), F.lit(2).alias("ploidy"), p(g, F.size("alternateAlleles") + 1).alias("posteriorProbabilities"))
     rows = variants(spark, sf_dir).select("contigName", "start", "end", F.array(F.lit("v"), F.lit("r")).alias("names"), "referenceAllele", "alternateAlleles", F.transform("genotypes", entry).alias("genotypes"))
-    write_bigbgen(rows, path)
+    write_bgen(rows, path)
     add = lambda f: F.aggregate("genotypes.calls", F.lit(0).cast("long"), lambda s, c: s + f(F.get(c, F.lit(0)), F.get(c, F.lit(1))))
     back = read_bgen(spark, path)
     return back.select("contigName", "start", "referenceAllele", F.array_join("alternateAlleles", ",").alias("alts"), F.size("genotypes").cast("long").alias("n"), add(lambda a, b: a + b).alias("total"), add(lambda a, b: F.when(a < 0, 0).otherwise(a * b)).alias("products"))
@@ -475,20 +476,23 @@ def gff_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_gff(spark, path).select("id", F.col("Brand").alias("brand"), F.col("Size_").alias("size"), "start", "end")
 
 
-#: Of the chains that parts are lifted by: bases of a block, and of the gaps after it in the old and the new assembly.
-BLOCK, GAP, NEW_GAP, SHIFT = 1000, 50, 80, 700
+#: Of the chains that parts are lifted by: blocks at most, bases of a block at least, and of the gaps after it in the old and the new assembly.
+BLOCKS, BLOCK, GAP, NEW_GAP, SHIFT = 400, 1000, 50, 80, 700
 
 
-@query(f"""WITH p AS (SELECT p_partkey, p_partkey % 2 AS reverse, p_partkey * 50 // {BLOCK + GAP} AS k, p_partkey * 50 % {BLOCK + GAP} AS off, (SELECT max(p_partkey) * 50 // {BLOCK + GAP} + 1 FROM part) AS blocks FROM part
-), q AS (SELECT *, CASE WHEN off < {BLOCK} THEN {SHIFT} + k * {BLOCK + NEW_GAP} + off END AS place, {SHIFT} + blocks * {BLOCK + NEW_GAP} AS size FROM p)
+@query(f"""WITH b AS (SELECT greatest({BLOCK}, max(p_partkey) * 50 // {BLOCKS}) AS block, max(p_partkey) * 50 AS reach FROM part
+), p AS (SELECT p_partkey, block, p_partkey % 2 AS reverse, p_partkey * 50 // (block + {GAP}) AS k, p_partkey * 50 % (block + {GAP}) AS off, reach // (block + {GAP}) + 1 AS blocks FROM part, b
+), q AS (SELECT *, CASE WHEN off < block THEN {SHIFT} + k * (block + {NEW_GAP}) + off END AS place, {SHIFT} + blocks * (block + {NEW_GAP}) AS size FROM p)
 SELECT p_partkey, CASE WHEN place IS NOT NULL THEN CASE WHEN reverse = 1 THEN 'minus' ELSE 'plus' END END AS contigName,
        CASE WHEN reverse = 1 THEN size - place - 1 ELSE place END AS start, CASE WHEN reverse = 1 THEN size - place ELSE place + 1 END AS "end" FROM q""")
 def lift_over(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coordinates of all parts, by chains as long as the parts need: one forwards and one to the other strand, of blocks with gaps on both sides."""
+    """Coordinates of all parts, by chains of a bounded count of blocks: one forwards and one to the other strand, with gaps on both sides."""
     path = shared_folder(spark) + ".chain"
-    blocks = table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] * 50 // (BLOCK + GAP) + 1
-    old, new = blocks * (BLOCK + GAP) - GAP, SHIFT + blocks * (BLOCK + NEW_GAP)
-    body = f"{BLOCK} {GAP} {NEW_GAP}\n" * (blocks - 1) + f"{BLOCK}\n"
+    reach = table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] * 50
+    block = max(BLOCK, reach // BLOCKS)
+    blocks = reach // (block + GAP) + 1
+    old, new = blocks * (block + GAP) - GAP, SHIFT + blocks * (block + NEW_GAP)
+    body = f"{block} {GAP} {NEW_GAP}\n" * (blocks - 1) + f"{block}\n"
     chain = lambda i, name, to, strand: f"chain {i} {name} {old} + 0 {old} {to} {new} {strand} {SHIFT} {new - NEW_GAP} {i}\n{body}\n"
     write_text(path, chain(1, "one", "plus", "+") + chain(2, "two", "minus", "-"))
     at = F.col("p_partkey") * 50

@@ -6,18 +6,21 @@ import os
 import sqlite3
 import struct
 import tempfile
+import uuid
 import zlib
 from collections.abc import Iterator
 from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions.genotypes import hard_calls
-from helixframe.sources.files import listed, opened, prepare_target, shared_folder, write_single
+from helixframe.sources.files import listed, opened, prepare_target, shared_folder, uri, write_single
 
 #: Bytes of a file that one task decodes, about.
 SPLIT = 32 << 20
@@ -218,23 +221,88 @@ def encoded(row: dict, bits: int, most: int, ploidy: int, phasing: bool) -> byte
     return head + struct.pack("<II", len(packed) + 4, len(data)) + packed
 
 
-def write_bigbgen(df: DataFrame, path: str, bits_per_probability: int = 16, maximum_inferred_ploidy: int = 10, default_inferred_ploidy: int = 2, default_inferred_phasing: bool = False, mode: str = "error") -> None:
-    """One BGEN file in the order of df's partitions, zlib-compressed, with sample ids if all rows share them."""
-    if bits_per_probability not in (8, 16, 32):
-        raise ValueError("bits_per_probability must be 8, 16 or 32")
-    if not prepare_target(path, mode):
-        return
-    facts = df.agg(F.count("*").alias("n"), F.max(F.size("genotypes")).alias("samples")).first()
-    ids: list[str] = []
-    if "sampleId" in df.schema["genotypes"].dataType.elementType.fieldNames():
-        found = df.select(F.col("genotypes.sampleId").alias("s")).distinct().limit(2).collect()
-        ids = found[0]["s"] if len(found) == 1 and found[0]["s"] and all(found[0]["s"]) else []
-    samples = facts["samples"] if facts["samples"] and facts["samples"] > 0 else 0
+#: Bytes of encoded variants after which a task of write_bgen begins another file.
+FILE_BYTES = 64 << 20
+
+
+def shared_ids(df: DataFrame) -> list[str]:
+    """The rows' sample ids if all of them have the same."""
+    if "sampleId" not in df.schema["genotypes"].dataType.elementType.fieldNames():
+        return []
+    found = df.select(F.col("genotypes.sampleId").alias("s")).distinct().limit(2).collect()
+    return found[0]["s"] if len(found) == 1 and found[0]["s"] and all(found[0]["s"]) else []
+
+
+def file_head(variants: int, samples: int, ids: list[str]) -> bytes:
     listed_ids = b"".join(struct.pack("<H", len(i.encode())) + i.encode() for i in ids)
     block = struct.pack("<II", 8 + len(listed_ids), len(ids)) + listed_ids if ids else b""
     flags = 1 | 2 << 2 | (1 << 31 if ids else 0)
-    head = struct.pack("<IIII4sI", 20 + len(block), 20, facts["n"], samples, b"bgen", flags) + block
-    encode = lambda rows: (encoded(r, bits_per_probability, maximum_inferred_ploidy, default_inferred_ploidy, default_inferred_phasing) for r in rows)
-    write_single(df, path, encode, head, b"", False, shared_folder(df.sparkSession))
+    return struct.pack("<IIII4sI", 20 + len(block), 20, variants, samples, b"bgen", flags) + block
+
+
+def _encoder(bits: int, most: int, ploidy: int, phasing: bool):
+    if bits not in (8, 16, 32):
+        raise ValueError("bits_per_probability must be 8, 16 or 32")
+    return lambda row: encoded(row, bits, most, ploidy, phasing)
+
 
+def write_bgen(df: DataFrame, path: str, bits_per_probability: int = 16, maximum_inferred_ploidy: int = 10, default_inferred_ploidy: int = 2, default_inferred_phasing: bool = False, mode: str = "error") -> DataFrame:
+    """A folder of BGEN files that the tasks write themselves, each whole; returns (file, variants).
 
+    A row's samples must be as many as in all other rows. A repeated attempt writes files of its own; those
+    of lost attempts are removed at the end.
+    """
+    encode = _encoder(bits_per_probability, maximum_inferred_ploidy, default_inferred_ploidy, default_inferred_phasing)
+    if not prepare_target(path, mode):
+        return df.sparkSession.createDataFrame([], "file string, variants long")
+    ids = shared_ids(df)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(uri(path))
+        fs.create_dir(root, recursive=True)
+        held: list[bytes] = []
+        size, samples = 0, 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held, size
+            name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.bgen"
+            with fs.open_output_stream(f"{root}/{name}", compression=None) as f:
+                f.write(file_head(len(held), samples, ids))
+                for x in held:
+                    f.write(x)
+            told = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held)], pa.int64())], names=["file", "variants"])
+            held, size = [], 0
+            return told
+
+        for batch in batches:
+            for i in range(batch.num_rows):  # a row of all samples at a time
+                row = batch.slice(i, 1).to_pylist()[0]
+                samples = len(row["genotypes"] or [])
+                held.append(encode(row))
+                size += len(held[-1])
+                if size >= FILE_BYTES:
+                    yield flush()
+        if held:
+            yield flush()
+
+    counts = df.agg(F.min(F.size("genotypes")).alias("least"), F.max(F.size("genotypes")).alias("most")).first()
+    if counts["least"] != counts["most"]:
+        raise ValueError(f"rows have from {counts['least']} to {counts['most']} samples")
+    made = df.mapInArrow(run, "file string, variants long").collect()  # a row for each file
+    fs, root = pafs.FileSystem.from_uri(uri(path))
+    fs.create_dir(root, recursive=True)
+    known = {r["file"] for r in made}
+    for x in fs.get_file_info(pafs.FileSelector(root)):
+        if x.base_name.endswith(".bgen") and x.base_name not in known:
+            fs.delete_file(x.path)
+    return df.sparkSession.createDataFrame(made, "file string, variants long")
+
+
+def write_bigbgen(df: DataFrame, path: str, bits_per_probability: int = 16, maximum_inferred_ploidy: int = 10, default_inferred_ploidy: int = 2, default_inferred_phasing: bool = False, mode: str = "error") -> None:
+    """One BGEN file in the order of df's partitions, zlib-compressed, with sample ids if all rows share them."""
+    encode = _encoder(bits_per_probability, maximum_inferred_ploidy, default_inferred_ploidy, default_inferred_phasing)
+    if not prepare_target(path, mode):
+        return
+    facts = df.agg(F.count("*").alias("n"), F.max(F.size("genotypes")).alias("samples")).first()
+    head = file_head(facts["n"], max(0, facts["samples"] or 0), shared_ids(df))
+    write_single(df, path, lambda rows: map(encode, rows), head, b"", False, shared_folder(df.sparkSession))

@@ -107,6 +107,19 @@ class Calls:
         return lists(self.samples, np.where(self.called, total, -1), pa.int32(), self.nulls)
 
 
+def dosages(column: pa.Array) -> pa.Array:
+    """struct(values, varies): states with unknown ones replaced by the mean of the others (-1 if there are none), and whether they differ."""
+    calls = Calls(column)
+    total = np.bincount(calls.of, calls.flat, len(calls.sizes))
+    known = np.bincount(calls.row[calls.called], minlength=calls.rows)
+    mean = np.where(known > 0, np.bincount(calls.row[calls.called], total[calls.called], calls.rows) / np.maximum(known, 1), -1.0)
+    values = np.where(calls.called, total, mean[calls.row])
+    first = np.cumsum(calls.samples) - calls.samples
+    differs = values != np.repeat(values[np.minimum(first, max(0, len(values) - 1))] if len(values) else np.zeros(calls.rows), calls.samples)
+    varies = np.bincount(calls.row[differs], minlength=calls.rows) > 0
+    return struct({"values": lists(calls.samples, values, pa.float64()), "varies": pa.array(varies)}, calls.nulls)
+
+
 def tallied(row: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row how often each of 0 .. its largest value occurs: the lengths, and the counts one row after the other."""
     width = int(value.max()) + 1 if len(value) else 0

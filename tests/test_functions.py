@@ -169,3 +169,16 @@ def test_regressions(spark):
     assert math.isnan(split.beta)  # a perfect separation has no fit
     with pytest.raises(ValueError):
         logistic_regression_gwas("g", "y", c, "score")
+
+
+def test_dosages_are_filled_states(spark):
+    import random
+
+    from helixframe import functions as fx
+
+    r = random.Random(4)
+    calls = lambda: r.choice([[0, 0], [0, 1], [1, 1], [-1, 0], [], None, [1], [2, 1]])
+    rows = [([(calls(),) for _ in range(r.randint(0, 6))],) for _ in range(60)] + [(None,), ([],), ([([-1, -1],)] * 3,), ([([0, 1],)] * 3,)]
+    df = spark.createDataFrame(rows, "g array<struct<calls:array<int>>>").select(fx.dosages("g").alias("d"), fx.mean_substitute(fx.genotype_states("g")).alias("want"))
+    for x in df.select("d.values", "d.varies", "want").collect():
+        assert x["values"] == x.want and (x.want is None or x.varies == (len(set(x.want)) > 1))

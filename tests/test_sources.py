@@ -179,6 +179,21 @@ def test_bgen_round_trip(spark, tmp_path, bits):
     assert [g.sampleId for g in read_bgen(spark, path, sample_file=str(tmp_path / "s.sample")).first().genotypes] == ["x", "y", "z"]
 
 
+def test_bgen_files_by_tasks(spark, tmp_path, monkeypatch):
+    from helixframe.sources import bgen, write_bgen
+
+    rows = [("1", i, i + 1, [f"v{i}", "r"], "A", ["C"], [("a", False, 2, [1.0, 0.0, 0.0]), ("b", False, 2, [])]) for i in range(40)]
+    df = spark.createDataFrame(rows, BGEN)
+    made = write_bgen(df.repartition(3, "start"), str(tmp_path / "out")).collect()
+    assert sum(r.variants for r in made) == 40 and sorted(r.file for r in made) == sorted(p.name for p in (tmp_path / "out").iterdir())
+    back = read_bgen(spark, str(tmp_path / "out"))
+    assert sorted(r.start for r in back.collect()) == list(range(40)) and back.first().genotypes[1].sampleId == "b"
+    monkeypatch.setattr(bgen, "FILE_BYTES", 1)
+    assert write_bgen(df.coalesce(1), str(tmp_path / "out"), mode="overwrite").count() == 40 and read_bgen(spark, str(tmp_path / "out")).count() == 40
+    with pytest.raises(ValueError, match="samples"):
+        write_bgen(df.withColumn("genotypes", F.slice("genotypes", 1, (F.col("start") % 2 + 1).cast("int"))), str(tmp_path / "no"))
+
+
 def test_bgen_probabilities_sum_to_whole(spark):
     import numpy as np
 
