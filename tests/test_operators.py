@@ -240,6 +240,33 @@ def test_pipe(spark, tmp_path):
         pipe(df.selectExpr("x", "x y"), ["cat"])
 
 
+def test_pipe_quarantines_the_failed_partition(spark, tmp_path):
+    df = spark.createDataFrame([(f"row {i}" if i != 17 else "bad",) for i in range(40)], "x string").repartition(4)
+    parts = df.withColumn("p", F.spark_partition_id()).collect()
+    bad = {r.x for r in parts if r.p == next(q.p for q in parts if q.x == "bad")}
+    held = df.localLimit(100) if hasattr(df, "localLimit") else df
+    with pytest.raises(Exception, match="exited with status"):
+        pipe(held, ["sh", "-c", "while read -r x; do if [ \"$x\" = bad ]; then exit 5; fi; echo \"$x\"; done"], quarantine_table=str(tmp_path / "q"), quarantine_flavor="parquet")
+    assert {r.x for r in spark.read.parquet(str(tmp_path / "q")).collect()} == bad and len(bad) < 40
+    assert pipe(df, ["cat"], quarantine_table=str(tmp_path / "none")).count() == 40 and not (tmp_path / "none").exists()
+    pipe_cleanup()
+
+
+def test_pipe_holds_a_block_whatever_passes_through(tmp_path):
+    import subprocess
+    import sys
+
+    script = """
+import resource
+from helixframe.operators.pipe import streamed
+line = "x" * 999
+n = sum(len(b) for b in streamed(["cat"], {}, [], (line for _ in range(1_000_000))))
+print(n, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    n, mb = map(int, subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True, timeout=300).stdout.split()[-2:])
+    assert n == 1_000_000 and mb < 300  # of a gigabyte, with all imports
+
+
 def test_pipe_vcf(spark):
     df = spark.createDataFrame([("1", 9, 10, "A", ["C"], [("s", [0, 1])])], SITE + ", genotypes array<struct<sampleId:string,calls:array<int>>>")
     out = pipe(df, ["cat"], "vcf", "vcf")

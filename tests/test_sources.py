@@ -141,6 +141,25 @@ def test_vcf_round_trips(spark, vcf, tmp_path):
         write_vcf(df.drop("start"), str(tmp_path / "no"))
 
 
+def test_cohorts_with_different_samples_in_one_file(spark, tmp_path):
+    kind = "contigName string, start long, end long, referenceAllele string, alternateAlleles array<string>, genotypes array<struct<sampleId:string,calls:array<int>,depth:int>>"
+    rows = [("1", 4, 5, "A", ["C"], [("b", [0, 1], 3), ("a", [1, 1], None)]), ("1", 8, 9, "A", ["C"], [("c", [0, 0], 9), ("a", [0, 1], 2)]), ("1", 12, 13, "A", ["C"], None)]
+    df = spark.createDataFrame(rows, kind).repartition(2, "start")
+    write_bigvcf(df, str(tmp_path / "one.vcf"))
+    write_vcf(df, str(tmp_path / "many"))
+    for name in ("one.vcf", "many"):
+        one, two, three = read_vcf(spark, str(tmp_path / name)).orderBy("start").collect()
+        assert [g.sampleId for g in one.genotypes] == ["a", "b", "c"]
+        assert [(g.calls, g.depth) for g in one.genotypes] == [([1, 1], None), ([0, 1], 3), ([-1], None)]
+        assert [(g.calls, g.depth) for g in two.genotypes] == [([0, 1], 2), ([-1], None), ([0, 0], 9)]
+        assert three.genotypes is None
+    mixed = spark.createDataFrame([("1", 4, 5, "A", ["C"], [("b", [0, 1], 3), (None, [1, 1], 1)])], kind)
+    with pytest.raises(ValueError, match="none"):
+        write_bigvcf(mixed, str(tmp_path / "no.vcf"))
+    with pytest.raises(ValueError, match="numbers"):
+        write_bigvcf(df.withColumn("genotypes", F.slice("genotypes", 1, (F.col("start") / 4).cast("int"))).withColumn("genotypes", F.transform("genotypes", lambda g: g.dropFields("sampleId"))), str(tmp_path / "no.vcf"))
+
+
 def test_plink(spark, tmp_path):
     calls = {0: [1, 1], 1: [-1, -1], 2: [0, 1], 3: [0, 0]}
     codes = [[(v + s) % 4 for s in range(5)] for v in range(7)]
