@@ -38,7 +38,7 @@ WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: How the tokenizer cuts text into words (fixed value of its file, which is compared).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Runs without white space that a worker remembers, and the characters of the longest one; pairs of tokens that it remembers.
-CACHE_RUNS, CACHE_CHARS, CACHE_PAIRS = 1_500_000, 40, 1_000_000
+CACHE_RUNS, CACHE_CHARS, CACHE_PAIRS = 800_000, 40, 500_000
 LIMIT = 2048
 _counters: dict[str, "PrefixCounter"] = {}
 
