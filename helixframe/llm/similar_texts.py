@@ -250,6 +250,12 @@ def neighbour_pairs(rooted: DataFrame, least: tuple[int, int]) -> DataFrame:
     return by_bucket(rooted.select("gram", *ROW), ["gram"], found, "a long, b long").distinct()
 
 
+def first_met(met: DataFrame) -> DataFrame:
+    """Each text's first row of met: where its copies, near ones too, mostly meet it."""
+    first = met.groupBy("node").agg(F.min(F.struct("pos", "gram", "n", *SIM)).alias("first"))
+    return first.select("first.gram", "first.n", "node", "first.pos", *[f"first.{x}" for x in SIM])
+
+
 def in_blocks(rooted: DataFrame, block: int) -> DataFrame:
     """rooted with (b1, b2): a shingle with more texts than a block is dealt out as pairs of blocks, others are (0, 0)."""
     counts = rooted.groupBy("gram").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
@@ -328,10 +334,13 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return written(pairs.join(a, "a").join(b, "b").where(shared * (least[0] + least[1]) >= least[0] * (F.col("n_a") + F.col("n_b"))).select("a", "b"), folder, name)
 
     links, roots = None, None
-    for k in range(rounds):
-        more = linked(neighbour_pairs(with_roots(met, roots), least), f"links_{k}")
+    for k in range(rounds + 1):
+        # groups are joined by a pair for each text before all shingles are looked at; what a round leaves is found by the last step
+        more = linked(neighbour_pairs(with_roots(met if k else first_met(met), roots), least), f"links_{k}")
         if not more.take(1):
-            break
+            if k:
+                break
+            continue
         links = more if links is None else links.union(more)
         roots = components(links, f"{folder}/components_{k}")
     bins = docs.select("node", "bins").dropDuplicates(["node"])
