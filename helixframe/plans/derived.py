@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +75,32 @@ v AS (
 )"""
 
 
+def plink_writer(folder: str, samples: int):
+    """Writes the rows of a task (contigName, start, referenceAllele, alt, s: states) as one PLINK fileset; names follow from starts."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        name, n = f"{root}/part-{TaskContext.get().partitionId():06d}", 0
+        codes = np.array([3, 2, 0, 1], np.uint8)  # of the states 0, 1, 2 and -1
+        with fs.open_output_stream(name + ".bed") as bed, fs.open_output_stream(name + ".bim") as bim:
+            bed.write(b"\x6c\x1b\x01")
+            for batch in batches:
+                states = batch.column("s").flatten().to_numpy().reshape(batch.num_rows, samples)
+                held = np.zeros((batch.num_rows, -(-samples // 4) * 4), np.uint8)
+                held[:, :samples] = codes[states]
+                packed = (held.reshape(batch.num_rows, -1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(2).astype(np.uint8)
+                bed.write(packed.tobytes())
+                sites = zip(*[batch.column(c).to_pylist() for c in ("contigName", "start", "referenceAllele", "alt")])
+                bim.write("".join(f"{c}\trs{s // 50}\t0.0\t{s + 1}\t{a}\t{r}\n" for c, s, r, a in sites).encode())
+                n += batch.num_rows
+        with fs.open_output_stream(name + ".fam") as fam:
+            fam.write("".join(f"f S{i} 0 0 0 0\n" for i in range(samples)).encode())
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["variants"])
+
+    return write
+
+
 def left_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     start = (F.col("l_partkey") * 10 + F.col("l_linenumber")).cast("long")

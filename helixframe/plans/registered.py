@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.linalg import DenseMatrix, MatrixUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +21,8 @@ from helixframe.operators.sample_stats import merge_variants, sample_call_stats_
 from helixframe.operators.split_multiallelics import split_multiallelics
 from helixframe.plans import derived
 from helixframe.plans.derived import INTERVALS_SQL, table, variants
-from helixframe.sources import read_bgen, read_gff, read_vcf, write_bgen, write_vcf
+from helixframe.session import register
+from helixframe.sources import read_bgen, read_gff, read_plink, read_vcf, write_bgen, write_vcf
 from helixframe.sources.files import shared_folder, write_text
 from helixframe.wgr import RidgeReduction
 from helixframe.wgr import block_variants_and_samples as wgr_blocks
@@ -196,6 +198,37 @@ def sample_gq_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _moments(sample_field_stats_rows(variants(spark, sf_dir), "conditionalQuality"), ["sampleId"])
 
 
+@query(SQL["sample_call_stats"])
+def sql_sample_call_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the SQL table function, whose rows of each task SQL adds up."""
+    rows = register(spark) and variants(spark, sf_dir).select("genotypes", "referenceAllele", "alternateAlleles")
+    return spark.sql("""
+        WITH n AS (
+          SELECT pos, min(sampleId) AS sampleId, sum(nCalled) AS nCalled, sum(nUncalled) AS nUncalled, sum(nHomRef) AS nHomRef, sum(nHet) AS nHet, sum(nHomVar) AS nHomVar, sum(nInsertion) AS nInsertion,
+                 sum(nDeletion) AS nDeletion, sum(nTransition) AS nTransition, sum(nTransversion) AS nTransversion, sum(nSpanningDeletion) AS nSpanningDeletion
+          FROM sample_call_counts(TABLE(SELECT * FROM {rows})) GROUP BY pos
+        )
+        SELECT sampleId, round(nCalled / (nCalled + nUncalled), 6) AS callRate, nCalled, nUncalled, nHomRef, nHet, nHomVar, nInsertion, nDeletion, nTransition, nTransversion, nSpanningDeletion,
+               nTransition + nTransversion AS nSnp, round(coalesce(try_divide(nTransition, nTransversion), if(nTransition > 0, double('infinity'), double('nan'))), 6) AS rTiTv, round(coalesce(try_divide(nHet, nHomVar), if(nHet > 0, double('infinity'), double('nan'))), 6) AS rHetHomVar FROM n""", rows=rows)
+
+
+def _sql_field_stats(spark: SparkSession, sf_dir: str, function: str) -> DataFrame:
+    rows = register(spark) and variants(spark, sf_dir).select("genotypes")
+    return spark.sql(f"""
+        WITH n AS (SELECT pos, min(sampleId) AS sampleId, sum(n) AS n, sum(total) AS total, sum(squares) AS squares, min(min) AS min, max(max) AS max FROM {function}(TABLE(SELECT * FROM {{rows}})) GROUP BY pos)
+        SELECT sampleId, round(try_divide(total, n), 6) AS mean, round(CASE WHEN n = 1 THEN double('nan') ELSE sqrt(try_divide(squares - try_divide(total * total, n), n - 1)) END, 6) AS stdDev, min, max FROM n""", rows=rows)
+
+
+@query(SQL["sample_dp_stats"])
+def sql_sample_dp_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql_field_stats(spark, sf_dir, "sample_dp_sums")
+
+
+@query(SQL["sample_gq_stats"])
+def sql_sample_gq_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql_field_stats(spark, sf_dir, "sample_gq_sums")
+
+
 @query("WITH " + INTERVALS_SQL + "SELECT l.contigName, l.s AS start, l.e AS \"end\", id, line, r.gene, r.s AS gene_start FROM l LEFT JOIN r ON l.contigName = r.contigName AND l.s < r.e AND r.s < l.e")
 def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = left_overlap_join(derived.left_intervals(spark, sf_dir), derived.right_intervals(spark, sf_dir), right_prefix="r_", bin_size=200)
@@ -499,3 +532,27 @@ def lift_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     contig = F.when(F.col("p_partkey") % 2 == 1, "two").otherwise("one")
     lifted = table(spark, sf_dir, "part").select("p_partkey", lift_over_coordinates(contig, at, at + 1, path).alias("l"))
     return lifted.select("p_partkey", "l.contigName", "l.start", "l.end")
+
+
+@query("""SELECT vec_id, round(CAST(embedding[2 * i + 1] AS DOUBLE), 6) AS a, round(CAST(embedding[2 * i + 2] AS DOUBLE), 6) AS b
+FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding) // 2)) AS i FROM embeddings)""")
+def sql_explode_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as matrices of two columns, taken apart again by the SQL generator."""
+    register(spark)
+    two = F.udf(lambda v: None if v is None else DenseMatrix(len(v) // 2, 2, v[: len(v) // 2 * 2], True), MatrixUDT())
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", two(F.col("embedding").cast("array<double>")).alias("m"))
+    return spark.sql("SELECT vec_id, round(e.row[0], 6) AS a, round(e.row[1], 6) AS b FROM {rows}, LATERAL explode_matrix(m) e", rows=rows)
+
+
+@query(G + """SELECT contigName, start, start + length(ref) AS "end", ref AS referenceAllele, alts[1] AS alt, 'rs' || CAST(key AS VARCHAR) AS name, pos, CASE WHEN c1 < 0 OR c2 < 0 THEN -1 ELSE c1 + c2 END AS state
+FROM g WHERE len(alts) = 1""")
+def plink_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites of one alternate allele as PLINK filesets, one of each task, read back by ranges of .bim."""
+    folder = shared_folder(spark)
+    samples = derived.sample_count(spark, sf_dir)
+    sites = variants(spark, sf_dir).where(F.size("alternateAlleles") == 1).select("contigName", "start", "referenceAllele", F.get("alternateAlleles", F.lit(0)).alias("alt"), fx.genotype_states("genotypes").alias("s"))
+    written = sites.mapInArrow(derived.plink_writer(folder, samples), "variants long")
+    written.agg(F.sum("variants")).collect()  # one number
+    back = read_plink(spark, folder)
+    each = back.select("contigName", "start", "end", "referenceAllele", F.get("alternateAlleles", F.lit(0)).alias("alt"), F.get("names", F.lit(0)).alias("name"), F.posexplode(fx.genotype_states("genotypes")).alias("pos", "state"))
+    return each.withColumns({"pos": F.col("pos").cast("long"), "state": F.col("state").cast("long")})

@@ -84,27 +84,28 @@ class LogisticRidgeRegression(LastLevel):
             row = (sample_block, label, alpha, headers, sort_keys, b.tobytes(), ((x.T * (p * (1 - p))) @ x).tobytes(), (x.T @ (p - y)).tobytes())
             return pd.DataFrame([row], columns=[f.split()[0] for f in PIECES.split(", ")])
 
-        def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            _, covariates, _ = shared.value
-            label, n = key[0], covariates.shape[1]
-            parts = []
-            for alpha, rows in pdf.groupby("alpha", sort=True):
-                side, others = len(rows["headers"].iloc[0]), len(rows) - 1
-                b = np.stack([np.frombuffer(v) for v in rows["beta"]])
-                g = np.stack([np.frombuffer(v).reshape(side, side) for v in rows["xtgx"]])
-                xty = np.stack([np.frombuffer(v) for v in rows["xty"]])
-                for k, r in enumerate(rows.itertuples()):
-                    mean, left, right = (b.sum(0) - b[k]) / others, (g.sum(0) - g[k])[n:, n:], (xty.sum(0) - xty[k])[n:]
-                    step = np.zeros(side)
-                    step[n:] = np.linalg.solve(left + alphas[alpha] * np.eye(side - n), right + alphas[alpha] * mean[n:])
-                    parts.append(pd.DataFrame({"sample_block": r.sample_block, "header": list(r.headers), "sort_key": list(r.sort_keys), "alpha": alpha, "b": mean - step}))
-            every = pd.concat(parts)
-            names = sorted(every["alpha"].unique())
-            wide = every.pivot(index=["sample_block", "sort_key", "header"], columns="alpha", values="b")[names].reset_index()
-            return pd.DataFrame({"header_block": "all", "sample_block": wide["sample_block"], "label": label, "header": wide["header"], "sort_key": wide["sort_key"].astype(np.int32), "alphas": [names] * len(wide), "labels": [[label] * len(names)] * len(wide), "coefficients": list(wide[names].to_numpy())})
+        def solve(parts):
+            n = shared.value[1].shape[1]
+            for pdf in parts:
+                for r in pdf.itertuples(index=False):
+                    side, others = len(r.headers), r.blocks - 1
+                    less = lambda c: np.frombuffer(getattr(r, f"total_{c}")) - np.frombuffer(getattr(r, c))  # noqa: B023, E731
+                    mean, left, right = less("beta") / others, less("xtgx").reshape(side, side)[n:, n:], less("xty")[n:]
+                    b = mean.copy()
+                    b[n:] -= np.linalg.solve(left + alphas[r.alpha] * np.eye(side - n), right + alphas[r.alpha] * mean[n:])
+                    yield pd.DataFrame([(r.sample_block, r.label, r.alpha, r.headers, r.sort_keys, b.tobytes())], columns=["sample_block", "label", "alpha", "headers", "sort_keys", "b"])
+
+        def together(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            sample_block, label = key
+            pdf = pdf.sort_values("alpha")
+            names, first = list(pdf["alpha"]), pdf.iloc[0]
+            b = np.column_stack([np.frombuffer(v) for v in pdf["b"]])
+            return pd.DataFrame({"header_block": "all", "sample_block": sample_block, "label": label, "header": list(first["headers"]), "sort_key": np.asarray(first["sort_keys"], np.int32), "alphas": [names] * len(b), "labels": [[label] * len(names)] * len(b), "coefficients": list(b)})
 
         each = self.blocks.drop("alpha").withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas])))
-        self.model_df = each.groupBy(*keys).applyInPandas(pieces, PIECES).groupBy("label").applyInPandas(solve, base.MODEL_SCHEMA)
+        beside = ridge.beside_totals(each.groupBy(*keys).applyInPandas(pieces, PIECES), ["label", "alpha"], ["beta", "xtgx", "xty"], keys)
+        steps = beside.mapInPandas(solve, "sample_block string, label string, alpha string, headers array<string>, sort_keys array<int>, b binary")
+        self.model_df = steps.groupBy("sample_block", "label").applyInPandas(together, base.MODEL_SCHEMA)  # a row for each penalty
         self.cv_df = base.best_alphas(self.scored(self.label_df), alphas, self.metric)
         return self.model_df, self.cv_df
 

@@ -37,6 +37,50 @@ def test_genotype_functions_in_sql(spark):
     assert (r.d.mean, r.q.mean, r.a.mean) == (4.0, 30.0, 2.0) and 0 < r.h.pValueHwe <= 1
 
 
+def test_sample_statistics_in_sql(spark):
+    """Aggregates and table functions give what the DataFrame functions give."""
+    from pyspark.sql import functions as F
+
+    from helixframe.operators import sample_stats
+
+    hf.register(spark)
+    one, alts = ("s", [0, 1], 3, 20), [("A", ["C"]), ("A", ["G", "T"]), ("AC", ["A", "*"]), ("A", ["AG"])]
+    rows = [(r, a, [one, ("t", [1, len(a)], i, None), ("u", [-1, 0], None, 40 + i)]) for i, (r, a) in enumerate(alts)] + [("A", ["C"], None), (None, ["C"], [one])]
+    df = spark.createDataFrame(rows, "referenceAllele string, alternateAlleles array<string>, genotypes array<struct<sampleId:string,calls:array<int>,depth:int,conditionalQuality:int>>").repartition(3)
+    df.createOrReplaceTempView("cohort_rows")
+    want = sample_stats.sample_call_summary_stats(df).first()[0]
+    got = spark.sql("SELECT sample_call_summary_stats(genotypes, referenceAllele, alternateAlleles) AS s FROM cohort_rows").first().s
+    assert [repr(x.asDict()) for x in got] == [repr(x.asDict()) for x in want]
+    for name, f in (("dp", sample_stats.sample_dp_summary_stats), ("gq", sample_stats.sample_gq_summary_stats)):
+        got, want = spark.sql(f"SELECT sample_{name}_summary_stats(genotypes) AS s FROM cohort_rows").first().s, f(df).first()[0]
+        assert [(x.sampleId, repr(x.mean), x.min, x.max) for x in got] == [(x.sampleId, repr(x.mean), x.min, x.max) for x in want]
+        assert all(a.stdDev == b.stdDev or abs(a.stdDev - b.stdDev) < 1e-9 or a.stdDev != a.stdDev for a, b in zip(got, want))
+    counts = spark.sql("SELECT min(sampleId) AS sampleId, sum(nCalled) AS nCalled, sum(nInsertion) AS nInsertion FROM sample_call_counts(TABLE(SELECT genotypes, referenceAllele, alternateAlleles FROM cohort_rows)) GROUP BY pos ORDER BY pos").collect()
+    said = sample_stats.sample_call_stats_rows(df).orderBy("pos").select("sampleId", "nCalled", "nInsertion").collect()
+    assert counts == said
+    each = spark.sql("SELECT referenceAllele, sample_dp_summary_stats(genotypes) AS s FROM cohort_rows GROUP BY referenceAllele").collect()
+    assert {r.referenceAllele: len(r.s) for r in each} == {"A": 3, "AC": 3, None: 1}
+    assert df.where(F.lit(False)).selectExpr("sample_dp_summary_stats(genotypes) AS s").collect() == []
+
+
+def test_kinds_of_variants_are_those_of_the_column_function(spark):
+    from helixframe import functions as fx
+    from helixframe.operators.sql_aggregates import change
+
+    alleles = ["A", "C", "G", "T", "AC", "AG", "ACG", "CAC", "*", "N", "ATT", "a", ""]
+    df = spark.createDataFrame([(r, a) for r in alleles for a in alleles], "r string, a string")
+    assert all(change(x.r, x.a) == x.k for x in df.select("r", "a", fx.variant_type("r", "a").alias("k")).collect())
+
+
+def test_matrix_rows_in_sql(spark):
+    from pyspark.ml.linalg import DenseMatrix, MatrixUDT
+    from pyspark.sql.types import IntegerType, StructType
+
+    hf.register(spark)
+    spark.createDataFrame([(1, DenseMatrix(2, 2, [1.0, 2.0, 3.0, 4.0])), (2, None)], StructType().add("i", IntegerType()).add("m", MatrixUDT())).createOrReplaceTempView("matrices")
+    assert [tuple(r) for r in spark.sql("SELECT i, e.row FROM matrices, LATERAL explode_matrix(m) e").collect()] == [(1, [1.0, 3.0]), (1, [2.0, 4.0])]
+
+
 def test_writer(spark, tmp_path):
     df = spark.createDataFrame([("1", 4, 5, "A", ["C"], [("s", [0, 1])])], "contigName string, start long, end long, referenceAllele string, alternateAlleles array<string>, genotypes array<struct<sampleId:string,calls:array<int>>>")
     hf.writer(df).format("com.example.bigvcf").mode("overwrite").save(str(tmp_path / "one.vcf"))

@@ -160,7 +160,7 @@ def test_cohorts_with_different_samples_in_one_file(spark, tmp_path):
         write_bigvcf(df.withColumn("genotypes", F.slice("genotypes", 1, (F.col("start") / 4).cast("int"))).withColumn("genotypes", F.transform("genotypes", lambda g: g.dropFields("sampleId"))), str(tmp_path / "no.vcf"))
 
 
-def test_plink(spark, tmp_path):
+def test_plink(spark, tmp_path, monkeypatch):
     calls = {0: [1, 1], 1: [-1, -1], 2: [0, 1], 3: [0, 0]}
     codes = [[(v + s) % 4 for s in range(5)] for v in range(7)]
     body = b"".join(bytes([sum(c << (2 * i) for i, c in enumerate(row[:4])), row[4]]) for row in codes)
@@ -171,11 +171,30 @@ def test_plink(spark, tmp_path):
     assert [[g.calls for g in r.genotypes] for r in rows] == [[calls[c] for c in row] for row in codes]
     assert (rows[1].contigName, rows[1].start, rows[1].end, rows[1].referenceAllele, rows[1].alternateAlleles, rows[1].names, rows[1].genotypes[0].sampleId) == ("1", 1, 3, "CC", ["A"], ["rs1"], "f_s0")
     assert read_plink(spark, str(tmp_path / "x.bed"), merge_fid_iid=False).first().genotypes[0].sampleId == "s0"
+    for split in (1, 9, 20):  # stretches of .bim of every length, its last line without an end
+        monkeypatch.setattr("helixframe.sources.plink.SPLIT", split)
+        assert [[g.calls for g in r.genotypes] for r in read_plink(spark, str(tmp_path / "x.bed")).orderBy("start").collect()] == [[calls[c] for c in row] for row in codes]
+        (tmp_path / "x.bim").write_text((tmp_path / "x.bim").read_text().rstrip("\n"))
+    (tmp_path / "x.bim").write_text("1\trs\t0\t1\tA\tCC\n")
+    with pytest.raises(Exception, match="holds 7 variants, but its .bim file has 1 lines"):
+        read_plink(spark, str(tmp_path / "x.bed")).collect()
     (tmp_path / "y.bed").write_bytes(b"abc")
     with pytest.raises(ValueError, match="Magic"):
         read_plink(spark, str(tmp_path / "y.bed"))
 
 
+def test_undeclared_format_keys_round_trip(spark, tmp_path):
+    head = '##fileformat=VCFv4.2\n##FORMAT=<ID=GT,Number=1,Type=String,Description="G">\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts\tt\n'
+    (tmp_path / "a.vcf").write_text(head + "1\t5\t.\tA\tC\t.\t.\t.\tGT:XX:AB:XX\t0/1:7:1,2:9\t1/1:.\n1\t9\t.\tA\tC\t.\t.\t.\tGT\t0/1\t./.\n")
+    df = read_vcf(spark, str(tmp_path / "a.vcf"), include_other_fields=True)
+    one, two = df.orderBy("start").collect()
+    assert [g.otherFields for g in one.genotypes] == [{"XX": "7", "AB": "1,2"}, {"XX": "."}] and [g.otherFields for g in two.genotypes] == [{}, {}]
+    assert "otherFields" not in read_vcf(spark, str(tmp_path / "a.vcf")).schema["genotypes"].dataType.elementType.fieldNames()
+    write_bigvcf(df.coalesce(1), str(tmp_path / "b.vcf"))
+    lines = [x.split("\t")[8:] for x in (tmp_path / "b.vcf").read_text().splitlines() if not x.startswith("#")]
+    assert lines == [["GT:AB:XX", "0/1:1,2:7", "1/1:.:."], ["GT", "0/1", "./."]]
+
+
 BGEN = "contigName string, start long, end long, names array<string>, referenceAllele string, alternateAlleles array<string>, genotypes array<struct<sampleId:string,phased:boolean,ploidy:int,posteriorProbabilities:array<double>>>"
 
 
