@@ -51,6 +51,8 @@ FEATURES = 1 << 15
 PASSES, CLOSE, GAP, FIRST, GROWTH = 80, 1e-4, 1e-7, 100.0, 10.0
 #: Parts of a Newton iteration that are tried in one pass.
 TRIALS = (1.0, 0.4, 0.05)
+#: A fall of the dual, relative to it, that is no longer told from rounding; the least part of an iteration that is tried.
+PRECISION, LEAST_PART = 1e-15, 1e-9
 
 
 def words_of(text: Column) -> Column:
@@ -163,10 +165,15 @@ def fit_rates(rows: DataFrame, tokens: str, posterior: str, targets: dict[str, f
             if np.abs(off).max() <= 0.1 * close:
                 break
             turn = np.linalg.solve(np.eye(k) + length * now["gram"], off)
-            tried, _ = sums([now["e"] - x * turn for x in TRIALS], length)
-            least = min(tried, key=lambda x: x["dual"])
-            if least["dual"] >= now["dual"]:
-                break  # the limit of the numbers' precision
+            if off @ turn <= PRECISION * max(1.0, abs(now["dual"])):
+                break  # what the step promises is below the numbers' precision
+            least, part = now, 1.0
+            while used < passes and least is now and part > LEAST_PART:  # the turn leads downwards, if by small enough a part of it
+                tried, _ = sums([now["e"] - part * x * turn for x in TRIALS], length)
+                best_tried = min(tried, key=lambda x: x["dual"])
+                least, part = best_tried if best_tried["dual"] < now["dual"] else now, part * TRIALS[-1]
+            if least is now:
+                break
             now = least
         error = now["shares"] - goal
         if best is None or error @ error < best[0] @ best[0]:
@@ -176,7 +183,8 @@ def fit_rates(rows: DataFrame, tokens: str, posterior: str, targets: dict[str, f
             break
         e, last = now["e"], length
         length *= GROWTH
-        (now,), least = sums([e], length, error)
+        starts, least = sums([e, e * last / length], length, error)  # the same error, or the same rates
+        now = min(starts, key=lambda x: x["dual"])
         # a y whose product with no posterior is negative bounds the objective from below
         y = error + max(0.0, -least)
         bound = max(0.0, -(y @ goal)) ** 2 / max(2 * (y @ y), 1e-300)

@@ -1,3 +1,5 @@
+import warnings
+
 import numpy as np
 import pytest
 
@@ -59,6 +61,17 @@ def test_rates_are_a_least_squares_optimum(spark, alpha, goal):
     assert abs(np.linalg.norm(got - goal) - projected_gradient(t, p, np.array(goal))) < 1e-3
 
 
+@pytest.mark.parametrize("goal", [(0.12, 0.85, 0.03), (0.0, 1.0, 0.0), (0.5, 0.0, 0.5)])
+@pytest.mark.parametrize("rows", [1, 500])
+def test_one_domain_is_proved_optimal(spark, rows, goal):
+    df = spark.range(rows).selectExpr("id % 9 + 1 AS t", "array(0D, 1D, 0D) AS p")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        fit = fit_rates(df, "t", "p", dict(zip(DOMAINS, goal)))
+    assert fit.optimal and fit.passes < 40
+    assert fit.error == pytest.approx(np.hypot(goal[0], goal[2]), abs=1e-3)
+
+
 def test_an_unfinished_fit_is_flagged(spark):
     _, _, df = dirichlet(spark, (30, 40, 20), 60)
     with pytest.warns(UserWarning, match="not proved optimal"):
