@@ -23,9 +23,9 @@ All sums are combined before they are shuffled. Each step reads the vectors once
 of distance give the nearest rows' sums by adding bins up, and are exact sums of all rows.
 
 Defined results: null text has no words and fails the plain rules; each input row gives one row;
-null language or source is a group like any other; an empty table gives no rows, and one with under
-LEAST_ROWS usable rows rejects nothing beyond the plain rules; extra columns are ignored. Whole texts
-count, very long ones too. Equal texts of one group have equal verdicts.
+null language or source is a group like any other; an empty table gives no rows; one of few rows
+is judged by the same rule, with a fixed scatter that counts TOP_PRIOR rows; extra columns are ignored.
+Whole texts count, very long ones too. Equal texts of one group have equal verdicts.
 """
 
 from __future__ import annotations
@@ -41,9 +41,10 @@ WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 NEAREST, CONSISTENT = 0.75, 1.41207
 #: Chi-square with five degrees of freedom: the cutoff of one in a million.
 CUTOFF = 35.888
-#: Rows of the group above that each group counts; rows without which nothing is estimated.
-PRIOR, LEAST_ROWS = 50.0, 25
-STEPS_FIRST, STEPS_LAST, SETTLED = 2, 4, 0.02
+#: Rows of the group above that each group counts; rows of unit variance that all documents together count.
+PRIOR, TOP_PRIOR = 50.0, 6.0
+#: Steps from both starts, and then at most from the better one; a group has settled when its log-determinant moves by less.
+STEPS_FIRST, STEPS_LAST, SETTLED = 2, 12, 0.001
 #: Power of the length that repeats grow with; words whose lengths vary as much within a text as between texts; power of the count of words.
 GROWTH, EVEN_WORDS, LENGTH_POWER = 1.5, 100.0, -0.05
 #: Standard deviation added to each statistic's own, so that constant statistics have one: a hundredth.
@@ -159,6 +160,9 @@ def scatter(sums: DataFrame) -> DataFrame:
     names = ["by_lang", "key", "start"]
     lang = sums.groupBy("by_lang", "start").agg(*[F.sum(c).alias(f"l_{c}") for c in SUMS])
     every = lang.groupBy("start").agg(*[F.sum(f"l_{c}").alias(f"a_{c}") for c in SUMS])
+    mean = [F.col(f"a_s{i}") / F.col("a_n") for i in range(DIMS)]  # a fixed scatter around the mean of all: without weight but in small tables
+    held = {f"a_p{i}{j}": F.col(f"a_p{i}{j}") + TOP_PRIOR * (mean[i] * mean[j] + (1.0 if i == j else 0.0)) for i in range(DIMS) for j in range(i + 1)}
+    every = every.select("start", (F.col("a_n") + TOP_PRIOR).alias("a_n"), *[(F.col(f"a_s{i}") + TOP_PRIOR * mean[i]).alias(f"a_s{i}") for i in range(DIMS)], *[c.alias(x) for x, c in held.items()])
     lang = lang.join(F.broadcast(every), "start").select("by_lang", "start", *[(F.col(f"l_{c}") + PRIOR * F.col(f"a_{c}") / F.col("a_n")).alias(f"l_{c}") for c in SUMS])
     out = sums.join(lang, ["by_lang", "start"]).select(*names, *[(F.col(c) + PRIOR * F.col(f"l_{c}") / F.col("l_n")).alias(c) for c in SUMS])
     out = out.select(*names, *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(DIMS)], *[(F.col(f"p{i}{j}") / F.col("n")).alias(f"p{i}{j}") for i in range(DIMS) for j in range(i + 1)])
@@ -195,25 +199,22 @@ def nearest_sums(near: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def estimate(near: DataFrame, folder: str) -> DataFrame | None:
-    """Per key the robust centre and scatter, of near (by_lang, key, x0..); None if there are too few rows."""
+    """Per key the robust centre and scatter, of near (by_lang, key, x0..); None if there are no rows."""
     starts = F.array(F.lit(0), F.when((F.col("x2") < 1) & (F.col("x3") < 1) & (F.col("x4") < 1), 1))  # all rows, and those of ordinary counts
     first = near.select("*", F.explode(starts).alias("start")).where("start is not null").groupBy("by_lang", "key", "start").agg(*added_up())
     first = written(first, folder, "starts")
-    if (first.where("start = 0").agg(F.sum("n")).first()[0] or 0) < LEAST_ROWS:
-        return None
     told = lambda df: F.broadcast(df) if groups <= BROADCAST_GROUPS else df
     params = written(scatter(first), folder, "step_0")
     groups = params.count()
-    last = None
+    if not groups:
+        return None
     for k in range(1, STEPS_FIRST + STEPS_LAST + 1):
+        before = params.select("key", F.col("log_det").alias("was"))
         params = written(scatter(nearest_sums(near, told(params))), folder, f"step_{k}")
         if k == STEPS_FIRST:
             params = params.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("log_det", "start"))).where("rank = 1").drop("rank")  # two rows a key
-        if k >= STEPS_FIRST:
-            now = params.agg(F.avg("log_det")).first()[0]
-            if last is not None and abs(now - last) < SETTLED:
-                break
-            last = now
+        elif k > STEPS_FIRST and params.join(before, "key").agg(F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0] < SETTLED:
+            break  # every group has settled
     return told(params.drop("start", "log_det", "by_lang"))
 
 

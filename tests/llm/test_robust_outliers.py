@@ -103,6 +103,20 @@ def test_groups_of_any_size_are_judged_by_one_rule(make, text_of):
     assert not rows[1003].kept and all(rows[1000 + i].kept for i in range(3))
 
 
+def test_few_rows_are_judged_too(make, text_of):
+    texts = [text_of(i, 150) for i in range(12)] + [" ".join(w + "#&%|" * 3 for w in text_of(77, 120).split())]
+    rows = {x.doc_id: x for x in quality_rules(make(texts)).collect()}
+    assert not rows[12].kept and all(rows[i].kept for i in range(12))
+    (lone,) = quality_rules(make(texts[:1])).collect()
+    assert lone.kept and lone.distance < 1
+
+
+def test_a_very_long_text(make, text_of):
+    long = " ".join(text_of(i, 5000) for i in range(20))
+    row = {x.doc_id: x for x in quality_rules(make([text_of(i, 200) for i in range(40)] + [long])).collect()}[40]
+    assert row.n_words == 100_000 and row.n_repeat_words == brute(long)[4]
+
+
 def test_odd_rows(odd, empty):
     assert quality_rules(odd).count() == odd.count()
     assert quality_rules(empty).count() == 0
