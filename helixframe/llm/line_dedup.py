@@ -10,7 +10,7 @@ selected depends on the span alone, so two places that share a span share a fing
 guaranteed, and pieces are short enough that a span lies within any 50 words that two places share.
 
 Of equal texts only the first goes through this; later ones are deleted whole if they have the least words
-of a line. Fingerprints are counted first; texts are read again, and only fingerprints that occur twice go on. Their
+of a line. Texts are cut and hashed once, to a table of units. Fingerprints are counted first; units are read again, and only fingerprints that occur twice go on. Their
 spans are joined, by content, with the first place of each in order of doc_id and line; matches are
 extended both ways as far as the lines agree, and the later run is deleted: lines go with their line
 ends, and of lines that are left in part the words. The earliest place of any line is never deleted, so
@@ -30,11 +30,11 @@ report. Whole texts are read, very long ones too; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,166 +49,222 @@ LINES, PIECES, WHOLE = 0, 1, 2
 BROADCAST_FINGERPRINTS, BROADCAST_RUNS, BROADCAST_COPIES = 4_000_000, 2_000_000, 1_000_000
 
 
-def signed(h: int) -> int:
-    return h - (1 << 64) if h >= 1 << 63 else h
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers stirred so that all bits depend on all others."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def lines_of(text: str) -> tuple[list[bytes], list[int]]:
-    """The words of a text, and for each the number of its line."""
-    words: list[bytes] = []
-    lines: list[int] = []
-    for i, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
-        parts = line.split()
-        words += parts
-        lines += [i] * len(parts)
-    return words, lines
+#: Base of the polynomials that hash runs, and its inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def piece_ends(hashes: np.ndarray) -> np.ndarray:
-    """Where pieces end (exclusive): after the least pair of words of each window of PIECE pairs, and at the end."""
-    if len(hashes) <= PIECE:
-        return np.array([len(hashes)] if len(hashes) else [], np.int64)
-    pair = (hashes[1:] * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes[:-1] >> np.uint64(7))
-    windows = np.lib.stride_tricks.sliding_window_view(pair, PIECE)
-    return np.unique(np.append(windows.argmin(1) + np.arange(len(windows)) + 2, len(hashes)))
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
 
-def units(text: str | None, kind: int) -> tuple[list[int], list[int], list[int]]:
-    """Signed hash, count of words and first word of each line with words, or of each piece."""
-    words, lines = lines_of(text or "")
-    if not words:
-        return [], [], []
-    if kind == LINES:
-        place = np.array(lines)
-        ends = np.append(np.flatnonzero(place[1:] != place[:-1]) + 1, len(words))
-    else:
-        ends = piece_ends(np.fromiter(map(xxhash.xxh64_intdigest, words), "<u8", len(words)))
-    ends = ends.tolist()
-    starts = [0, *ends[:-1]]
-    return [signed(xxhash.xxh64_intdigest(b" ".join(words[a:b]), kind)) for a, b in zip(starts, ends)], [b - a for a, b in zip(starts, ends)], starts
+def run_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each run starts..ends (exclusive) of hashes, from the prefix sums of one polynomial."""
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mixed(hashes + np.uint64(seed)) * powers(BASE, len(hashes)), out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * powers(INVERSE, len(hashes) + 1)[starts])
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all runs (start, size), one run after another."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(sizes.sum())
+
+
+def lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values))
+
+
+def bounds_of(column: pa.Array) -> np.ndarray:
+    """Where the lists of a column begin and end in its flat values."""
+    return np.append(0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)))
+
+
+def in_chunks(batches: Iterator[pa.RecordBatch], sizes: Callable[[pa.RecordBatch], np.ndarray], limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of batches of about so much size each, a row at least."""
+    for batch in batches:
+        group = (np.cumsum(sizes(batch)) - 1) // limit
+        cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), "<u8", len(words))
+
+
+def piece_ends(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where pieces end (exclusive) in texts of words bounds[i]..bounds[i + 1]: after the least pair of words of each window of PIECE pairs, and at the end of each text."""
+    own = bounds[1:][bounds[1:] > bounds[:-1]]
+    m = len(hashes) - PIECE
+    if m <= 0:
+        return own
+    pair = (hashes[1:] * np.uint64(BASE)) ^ (hashes[:-1] >> np.uint64(7))
+    least, at = pair[:m].copy(), np.zeros(m, np.int64)
+    for k in range(1, PIECE):
+        smaller = pair[k : k + m] < least
+        least[smaller], at[smaller] = pair[k : k + m][smaller], k
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    within = text[:m] == text[PIECE:]
+    return np.unique(np.concatenate([(at + np.arange(m) + 2)[within], own]))
+
+
+#: Bytes of texts, and units, that a task works on at once.
+TEXT_BYTES, UNITS = 2 << 20, 100_000
+
+
+def units(docs: DataFrame) -> DataFrame:
+    """docs (id, digest, text) -> id, digest, kind, hashes and sizes (words) of the lines with words, or of the pieces; no row for texts without words."""
+    kind_of_id = docs.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_chunks(batches, lambda b: pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy().astype(np.int64), TEXT_BYTES):
+            words, hashes, sizes, ends, counts = [], [], [], [], []
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
+                n = 0
+                for line in (text or b"").split(b"\n"):
+                    parts = line.split()
+                    if parts:
+                        words += parts
+                        hashes.append(xxhash.xxh64_intdigest(b" ".join(parts)))
+                        sizes.append(len(parts))
+                        n += 1
+                counts.append(n)
+                ends.append(len(words))
+            counts, bounds, flat = np.array(counts), np.array([0, *ends]), word_hashes(words)
+            keep = pa.array(np.flatnonzero(counts), pa.int32())
+            lines = (np.array(hashes, np.uint64), np.array(sizes, np.int32), counts)
+            cuts = piece_ends(flat, bounds)
+            starts = np.append(0, cuts[:-1]) if len(cuts) else cuts
+            pieces = (run_hashes(flat, starts, cuts), (cuts - starts).astype(np.int32), np.bincount(np.searchsorted(bounds[1:], starts, "right"), minlength=len(counts)))
+            for kind, (h, size, each) in ((LINES, lines), (PIECES, pieces)):
+                each = each[each > 0]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(np.full(len(keep), kind, np.int32)), lists(h.view(np.int64), each), lists(size, each)], names=["id", "digest", "kind", "hashes", "sizes"])
+
+    return docs.mapInArrow(run, f"id {kind_of_id}, digest binary, kind int, hashes array<bigint>, sizes array<int>")
+
+
+def window_ends(total: np.ndarray, least: np.ndarray | int) -> np.ndarray:
+    """For each line the end (exclusive) of the shortest run from it on with the least words, by the words before each line; beyond the last end where there is none."""
+    return np.searchsorted(total, total[:-1] + least)
 
 
 def windows(words: list[int], least: int) -> list[int]:
-    """For each line the end (exclusive) of the shortest run from it on with the least words; shorter for lines without one."""
-    ends, end, total = [], 0, 0
-    for start in range(len(words)):
-        while end < len(words) and total < least:
-            total += words[end]
-            end += 1
-        if total < least:
-            break
-        ends.append(end)
-        total -= words[start]
-    return ends
+    """The ends of window_ends of one text, of the lines that have one."""
+    ends = window_ends(np.append(0, np.cumsum(np.array(words, np.int64))), least)
+    return ends[ends <= len(words)].tolist()
 
 
-def least_of(kind: int) -> int:
-    return PASSAGE_WORDS if kind == PIECES else LINE_WORDS
+def least_of(kind: int, line_words: int | None = None) -> int:
+    return PASSAGE_WORDS if kind == PIECES else line_words or LINE_WORDS
 
 
-def winnow(hashes: list[int], words: list[int], least: int) -> list[tuple[int, int, int]]:
-    """(gram's content, first and last line whose span selects it) of each selected gram.
+def winnowed(hashes: np.ndarray, total: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(content, first and last line whose span selects it, end of the last span) of each selected gram, of texts of lines bounds[i]..bounds[i + 1].
 
     Spans that follow each other and select the same gram share a row.
     """
-    spans, grams = windows(words, least), windows(words, (least + 1) // 2)
-    raw = memoryview(np.array(hashes, "<i8").tobytes())
-    keys = [xxhash.xxh3_64_intdigest(raw[8 * i : 8 * e]) for i, e in enumerate(grams)]
-    out: list[list[int]] = []
-    held: deque[int] = deque()  # grams within the span, their hashes growing
-    before, following = -1, 0
-    for start, end in enumerate(spans):
-        while following < len(grams) and grams[following] <= end:
-            while held and keys[held[-1]] >= keys[following]:
-                held.pop()
-            held.append(following)
-            following += 1
-        while held[0] < start:
-            held.popleft()
-        if held[0] == before:
-            out[-1][2] = start
-        else:
-            before = held[0]
-            out.append([keys[before], start, start])
-    return [(k, lo, hi) for k, lo, hi in out]
+    end, gram = window_ends(total, least), window_ends(total, (least + 1) // 2)
+    spans = np.flatnonzero(end <= np.repeat(bounds[1:], np.diff(bounds)))
+    if not len(spans):
+        return np.zeros(0, np.uint64), spans, spans, spans
+    keys = run_hashes(hashes, np.arange(len(hashes)), np.minimum(gram, len(hashes)))
+    last = np.searchsorted(gram, end[spans], "right") - 1  # of the grams within each span
+    pick, best = spans.copy(), keys[spans]
+    for k in range(1, int((last - spans).max()) + 1):
+        at = np.minimum(spans + k, last)
+        smaller = keys[at] <= best
+        pick[smaller], best[smaller] = at[smaller], keys[at][smaller]
+    first = np.append(True, pick[1:] != pick[:-1])
+    final = np.append(first[1:], True)
+    return best[first], spans[first], spans[final], end[spans[final]]
+
+
+def winnow(hashes: list[int], words: list[int], least: int) -> list[tuple[int, int, int]]:
+    """winnowed for one text."""
+    total = np.append(0, np.cumsum(np.array(words, np.int64)))
+    key, lo, hi, _ = winnowed(np.array(hashes, np.uint64), total, np.array([0, len(hashes)]), least)
+    return list(zip(key.tolist(), lo.tolist(), hi.tolist()))
+
+
+def around(total: np.ndarray, start: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray, least: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs start..end widened each way until there are the least words beyond them, within low..high."""
+    return np.maximum(low, np.searchsorted(total, total[start] - least, "right") - 1), np.minimum(high, np.searchsorted(total, total[end] + least))
 
 
-def around(words: list[int], start: int, end: int, least: int) -> tuple[int, int]:
-    """Lines from start to end widened each way until there are the least words beyond them."""
-    total = 0
-    while start > 0 and total < least:
-        start -= 1
-        total += words[start]
-    total = 0
-    while end < len(words) and total < least:
-        total += words[end]
-        end += 1
-    return start, end
+def _of_one_kind(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    for batch in in_chunks(batches, lambda b: b.column("hashes").value_lengths().to_numpy(zero_copy_only=False), UNITS):
+        kinds = batch.column("kind").to_numpy()
+        for kind in np.unique(kinds).tolist():
+            yield kind, batch.take(pa.array(np.flatnonzero(kinds == kind)))
 
 
-def selected(text: str | None) -> Iterator[tuple[int, int, int, int, list[int], list[int]]]:
-    """(fingerprint, kind, lo, hi, hashes, words) of a text, both ways."""
-    for kind in (LINES, PIECES):
-        hashes, words, _ = units(text, kind)
-        for key, lo, hi in winnow(hashes, words, least_of(kind)):
-            yield signed(key ^ kind), kind, lo, hi, hashes, words
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, words before each unit, and bounds of the rows."""
+    hashes = batch.column("hashes").flatten().to_numpy().view(np.uint64)
+    return hashes, np.append(0, np.cumsum(batch.column("sizes").flatten().to_numpy().astype(np.int64))), bounds_of(batch.column("hashes"))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """The fingerprints of docs (text), one row each."""
+def fingerprints(split: DataFrame, line_words: int) -> DataFrame:
+    """The fingerprints of units, one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for text in batch.column(0) for x in selected(text.as_py())], pa.int64())], names=["fp"])
+        for kind, batch in _of_one_kind(batches):
+            hashes, total, bounds = _flat(batch)
+            key = winnowed(hashes, total, bounds, least_of(kind, line_words))[0]
+            yield pa.RecordBatch.from_arrays([pa.array((key ^ np.uint64(kind)).view(np.int64))], names=["fp"])
 
-    return docs.select("text").mapInArrow(run, "fp long")
+    return split.select("kind", "hashes", "sizes").mapInArrow(run, "fp long")
 
 
-def with_lines(docs: DataFrame) -> DataFrame:
-    """docs (id, digest, text) -> a row per fingerprint: fp, id, digest, kind, the lines lo..hi whose spans it stands for, and lines around."""
-    kind_of_id = docs.schema["id"].dataType.simpleString()
+def with_lines(split: DataFrame, line_words: int) -> DataFrame:
+    """units -> a row per fingerprint: fp, id, digest, kind, the lines lo..hi whose spans it stands for, and from line base on the lines around."""
+    kind_of_id = split.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-        names = ("fp", "kind", "lo", "hi", "base", "hashes", "words")
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                which, out, ends, own = [], [[] for _ in kinds], [], None
-                for row, text in enumerate(batch.column(2)):
-                    for key, kind, lo, hi, hashes, words in selected(text.as_py()):
-                        if words is not own:
-                            own, ends = words, windows(words, least_of(kind))
-                        first, last = around(words, lo, ends[hi], least_of(kind))
-                        which.append(row)
-                        for column, value in zip(out, (key, kind, lo, hi, first, hashes[first:last], words[first:last])):
-                            column.append(value)
-                take = pa.array(which, pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *[pa.array(c, k) for c, k in zip(out, kinds)]], names=["id", "digest", *names])
-
-    return docs.mapInArrow(run, f"id {kind_of_id}, digest binary, fp long, kind int, lo int, hi int, base int, hashes array<bigint>, words array<int>")
-
-
-def spans_of(found: DataFrame) -> DataFrame:
+        for kind, batch in _of_one_kind(batches):
+            hashes, total, bounds = _flat(batch)
+            least = least_of(kind, line_words)
+            key, lo, hi, end = winnowed(hashes, total, bounds, least)
+            row = np.searchsorted(bounds, lo, "right") - 1
+            low = bounds[row]
+            first, last = around(total, lo, end, low, bounds[row + 1], least)
+            places, take, sizes = ranges(first, last - first), pa.array(row, pa.int32()), np.diff(total).astype(np.int32)
+            numbers = [pa.array((key ^ np.uint64(kind)).view(np.int64)), *[pa.array(x.astype(np.int32)) for x in (np.full(len(row), kind), lo - low, hi - low, first - low)]]
+            held = [lists(hashes[places].view(np.int64), last - first), lists(sizes[places], last - first)]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("digest").take(take), *numbers, *held], names=["id", "digest", "fp", "kind", "lo", "hi", "base", "hashes", "sizes"])
+
+    return split.mapInArrow(run, f"id {kind_of_id}, digest binary, fp long, kind int, lo int, hi int, base int, hashes array<bigint>, sizes array<int>")
+
+
+def spans_of(found: DataFrame, line_words: int) -> DataFrame:
     """A row per span of the fingerprints: its content, id, digest, kind, first line, size, and the lower halves of the hashes before (nearest first) and after."""
     kind_of_id = found.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-        for batch in batches:
-            which, out = [], [[] for _ in kinds]
-            for row, r in enumerate(batch.select(["kind", "lo", "hi", "base", "hashes", "words"]).to_pylist()):
-                ends, hashes = windows(r["words"], least_of(r["kind"])), r["hashes"]
-                near = np.array(hashes, "<i8").astype("<i4").tolist()
-                for line in range(r["lo"], r["hi"] + 1):
-                    at = line - r["base"]
-                    which.append(row)
-                    content = xxhash.xxh3_128_digest(np.array(hashes[at : ends[at]], "<i8").tobytes(), r["kind"])
-                    for column, value in zip(out, (content, line, ends[at] - at, near[:at][::-1], near[ends[at] :])):
-                        column.append(value)
-            take = pa.array(which, pa.int32())
-            same = [batch.column(c).take(take) for c in ("id", "digest", "kind")]
-            yield pa.RecordBatch.from_arrays([*same, *[pa.array(c, k) for c, k in zip(out, kinds)]], names=["id", "digest", "kind", "span", "first", "size", "before", "after"])
+        for kind, batch in _of_one_kind(batches):
+            hashes, total, bounds = _flat(batch)
+            least = least_of(kind, line_words)
+            lo, hi, base = (batch.column(c).to_numpy().astype(np.int64) for c in ("lo", "hi", "base"))
+            row = np.repeat(np.arange(batch.num_rows), hi - lo + 1)
+            at = ranges(bounds[:-1] + lo - base, hi - lo + 1)
+            end = window_ends(total, least)[at]
+            first, last = around(total, at, end, bounds[row], bounds[row + 1], least)
+            content = np.column_stack([run_hashes(hashes, at, end, 1 + kind), run_hashes(hashes, at, end, 3 + kind)])
+            span = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(row), [None, pa.py_buffer(content.tobytes())]).cast(pa.binary())
+            near, a, b = hashes.astype(np.uint32).view(np.int32), at - first, last - end
+            before = near[np.repeat(first + at - 1, a) - ranges(first, a)]
+            numbers = [pa.array(x.astype(np.int32)) for x in (at - bounds[row] + base[row], end - at)]
+            same = [batch.column(c).take(pa.array(row, pa.int32())) for c in ("id", "digest", "kind")]
+            yield pa.RecordBatch.from_arrays([*same, span, *numbers, lists(before, a), lists(near[ranges(end, b)], b)], names=["id", "digest", "kind", "span", "first", "size", "before", "after"])
 
     return found.mapInArrow(run, f"id {kind_of_id}, digest binary, kind int, span binary, first int, size int, before array<int>, after array<int>")
 
@@ -219,7 +275,7 @@ def agreed(a: Column, b: Column) -> Column:
     return F.when(F.array_contains(same, False), F.array_position(same, False) - 1).otherwise(F.size(same)).cast("int")
 
 
-def repeated_runs(docs: DataFrame, folder: str) -> DataFrame:
+def repeated_runs(docs: DataFrame, folder: str, line_words: int = LINE_WORDS) -> DataFrame:
     """(id, digest, runs): later repeated runs as array<struct<kind, first, last>> over lines with words or pieces, last exclusive."""
     copies = docs.groupBy("digest").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id")).alias("p"), F.count("*").alias("n")).where("n > 1")
     copies = written(copies.select(F.col("digest").alias("of"), F.col("p.id").alias("first_id")), folder, "copies")
@@ -227,10 +283,10 @@ def repeated_runs(docs: DataFrame, folder: str) -> DataFrame:
     met = docs.join(copies, F.col("digest") == F.col("of"), "left")
     later = F.col("of").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))
     whole = met.where(later).select("id", "digest").distinct().withColumn("runs", F.array(F.struct(F.lit(WHOLE).alias("kind"), F.lit(0).alias("first"), F.lit(0).alias("last"))))
-    docs = met.where(~later).select("id", "digest", "text")
-    twice = written(fingerprints(docs).groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), folder, "twice")
+    split = written(units(met.where(~later).select("id", "digest", "text")), folder, "units")  # texts are cut and hashed once
+    twice = written(fingerprints(split, line_words).groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), folder, "twice")
     twice = F.broadcast(twice) if twice.count() <= BROADCAST_FINGERPRINTS else twice
-    spans = written(spans_of(with_lines(docs).join(twice, "fp", "left_semi")), folder, "spans")
+    spans = written(spans_of(with_lines(split, line_words).join(twice, "fp", "left_semi"), line_words), folder, "spans")
     place = F.struct(F.col("id").isNotNull().alias("known"), "id", "digest", "first")
     own = F.struct("before", "after")
     firsts = spans.groupBy("span").agg(F.min(F.struct(place.alias("p"), own.alias("c"))).alias("f"), F.count("*").alias("n")).where("n > 1").select("span", "f.p", "f.c")
@@ -242,31 +298,31 @@ def repeated_runs(docs: DataFrame, folder: str) -> DataFrame:
     return runs.unionByName(whole)
 
 
-def without(text: str | None, runs: list[dict] | None) -> tuple[str | None, int, int, int]:
+def without(text: str | None, runs: list[dict] | None, line_words: int = LINE_WORDS) -> tuple[str | None, int, int, int]:
     """text without the runs, the count of its lines with words, and of lines and words deleted."""
     if text is None:
         return None, 0, 0, 0
-    words, lines = lines_of(text)
-    if not runs or not words:
-        return text, len(set(lines)), 0, 0
-    gone = np.zeros(len(words), bool)
+    split = [line.split() for line in text.encode("utf-8", "surrogatepass").split(b"\n")]
+    n = np.array([len(parts) for parts in split])
+    size = int(n.sum())
+    if not runs or not size:
+        return text, int((n > 0).sum()), 0, 0
+    gone = np.zeros(size, bool)
     if any(r["kind"] == WHOLE for r in runs):
-        gone[:] = len(words) >= LINE_WORDS
+        gone[:] = size >= line_words
     for kind in {r["kind"] for r in runs} - {WHOLE}:
-        starts = [*units(text, kind)[2], len(words)]
+        ends = np.cumsum(n[n > 0]) if kind == LINES else piece_ends(word_hashes([w for parts in split for w in parts]), np.array([0, size]))
+        starts = np.append(0, ends)
         for r in runs:
             if r["kind"] == kind:
                 gone[starts[r["first"]] : starts[r["last"]]] = True
-    place = np.array(lines)
-    left, n = np.bincount(place[~gone], minlength=place[-1] + 1), np.bincount(place)
     out, at, deleted = [], 0, 0
-    for i, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
-        size = int(n[i]) if i < len(n) else 0
-        own, at = gone[at : at + size], at + size
-        if size and not left[i]:
+    for line, parts in zip(text.encode("utf-8", "surrogatepass").split(b"\n"), split):
+        own, at = gone[at : at + len(parts)], at + len(parts)
+        if parts and own.all():
             deleted += 1
         elif own.any():
-            out.append(b" ".join(w for w, g in zip(line.split(), own) if not g))
+            out.append(b" ".join(w for w, g in zip(parts, own) if not g))
         else:
             out.append(line)
     return b"\n".join(out).decode("utf-8", "surrogatepass"), int((n > 0).sum()), deleted, int(gone.sum())
@@ -275,11 +331,11 @@ def without(text: str | None, runs: list[dict] | None) -> tuple[str | None, int,
 ADDED = ("n_lines", "n_deleted", "n_words_deleted")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with cleaned texts, all other columns as they are, and n_lines, n_deleted (lines) and n_words_deleted beside them (existing ones are replaced)."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", line_words: int = LINE_WORDS) -> DataFrame:
+    """docs with cleaned texts, runs of line_words and more in whole lines deleted where they repeat, all other columns as they are, and n_lines, n_deleted (lines) and n_words_deleted beside them (existing ones are replaced)."""
     folder = shared_folder(docs.sparkSession)
     digest = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    runs = written(repeated_runs(docs.select(F.col(id_col).alias("id"), digest.alias("digest"), F.col(text_col).alias("text")), folder), folder, "runs")
+    runs = written(repeated_runs(docs.select(F.col(id_col).alias("id"), digest.alias("digest"), F.col(text_col).alias("text")), folder, line_words), folder, "runs")
     small = (runs.agg(F.sum(F.size("runs") + 4)).first()[0] or 0) <= BROADCAST_RUNS  # of that many, texts need no shuffle
     rest = docs.drop(*ADDED)
     k_digest, k_id, k_runs = fresh(rest, "digest"), fresh(rest, "id"), fresh(rest, "runs")
@@ -290,7 +346,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [without(text.as_py(), cuts.as_py()) for text, cuts in zip(batch.column(at), batch.column(runs_at))]
+            done = [without(text.as_py(), cuts.as_py(), line_words) for text, cuts in zip(batch.column(at), batch.column(runs_at))]
             texts, *counts = zip(*done) if done else ((), (), (), ())
             columns = [pa.array(texts, batch.column(at).type) if i == at else batch.column(i) for i in range(runs_at)]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(c, pa.int64()) for c in counts]], names=[*batch.schema.names[:runs_at], *ADDED])
