@@ -16,10 +16,12 @@ extended both ways as far as the lines agree, and the later run is deleted: line
 ends, and of lines that are left in part the words. The earliest place of any line is never deleted, so
 one copy of all content stays. Of a passage inside lines, less than a piece may stay at either end.
 
-A fingerprint carries the lines around it, less than the least words beyond its spans each way: a longer
-agreement holds a further span, which extends on its own. So rows stay bounded, the join is of a row per
-span with one row per content, and a passage that a third of all documents have is counted before its
-shuffle and split by the skewed join.
+A match is extended both ways by its neighbours: where lines before a span agree with the first place too,
+the spans that start there lie within the agreement, occur there earlier and are matches of their own; so
+does the span that starts a line later. What no span of its own covers is a rest of fewer words than the
+least at the end, up to the line that would complete the next span: these lines alone go with a span and
+are compared. So rows stay bounded, the join is of a row per span with one row per content, and a passage
+that a third of all documents have is counted before its shuffle and split by the skewed join.
 
 Defined results: blank lines are never deleted and do not interrupt a run; null text stays null and
 counts as no lines; rows that share doc_id and text are one document and are treated alike, ties between
@@ -195,9 +197,10 @@ def winnow(hashes: list[int], words: list[int], least: int) -> list[tuple[int, i
     return list(zip(key.tolist(), lo.tolist(), hi.tolist()))
 
 
-def around(total: np.ndarray, start: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray, least: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs start..end widened each way until there are the least words beyond them, within low..high."""
-    return np.maximum(low, np.searchsorted(total, total[start] - least, "right") - 1), np.minimum(high, np.searchsorted(total, total[end] + least))
+def reach(end: np.ndarray, at: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Up to where (exclusive) a match of the span from line at on must be extended: before the line that completes the next span, which is a match of its own."""
+    following = end[np.minimum(at + 1, len(end) - 1)]
+    return np.maximum(end[at], np.where((at + 1 < high) & (following <= high), following - 1, high))
 
 
 def _of_one_kind(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -226,53 +229,50 @@ def fingerprints(split: DataFrame, line_words: int) -> DataFrame:
 
 
 def with_lines(split: DataFrame, line_words: int) -> DataFrame:
-    """units -> a row per fingerprint: fp, id, digest, kind, the lines lo..hi whose spans it stands for, and from line base on the lines around."""
+    """units -> a row per fingerprint: fp, id, digest, kind, the first line and count of the spans that it stands for, and their lines as far as matches are extended."""
     kind_of_id = split.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, batch in _of_one_kind(batches):
             hashes, total, bounds = _flat(batch)
             least = least_of(kind, line_words)
-            key, lo, hi, end = winnowed(hashes, total, bounds, least)
+            key, lo, hi, _ = winnowed(hashes, total, bounds, least)
             row = np.searchsorted(bounds, lo, "right") - 1
-            low = bounds[row]
-            first, last = around(total, lo, end, low, bounds[row + 1], least)
-            places, take, sizes = ranges(first, last - first), pa.array(row, pa.int32()), np.diff(total).astype(np.int32)
-            numbers = [pa.array((key ^ np.uint64(kind)).view(np.int64)), *[pa.array(x.astype(np.int32)) for x in (np.full(len(row), kind), lo - low, hi - low, first - low)]]
-            held = [lists(hashes[places].view(np.int64), last - first), lists(sizes[places], last - first)]
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("digest").take(take), *numbers, *held], names=["id", "digest", "fp", "kind", "lo", "hi", "base", "hashes", "sizes"])
+            size = reach(window_ends(total, least), hi, bounds[row + 1]) - lo
+            places, take, sizes = ranges(lo, size), pa.array(row, pa.int32()), np.diff(total).astype(np.int32)
+            numbers = [pa.array((key ^ np.uint64(kind)).view(np.int64)), *[pa.array(x.astype(np.int32)) for x in (np.full(len(row), kind), lo - bounds[row], hi - lo + 1)]]
+            held = [lists(hashes[places].view(np.int64), size), lists(sizes[places], size)]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("digest").take(take), *numbers, *held], names=["id", "digest", "fp", "kind", "lo", "spans", "hashes", "sizes"])
 
-    return split.mapInArrow(run, f"id {kind_of_id}, digest binary, fp long, kind int, lo int, hi int, base int, hashes array<bigint>, sizes array<int>")
+    return split.mapInArrow(run, f"id {kind_of_id}, digest binary, fp long, kind int, lo int, spans int, hashes array<bigint>, sizes array<int>")
 
 
 def spans_of(found: DataFrame, line_words: int) -> DataFrame:
-    """A row per span of the fingerprints: its content, id, digest, kind, first line, size, and the lower halves of the hashes before (nearest first) and after."""
+    """A row per span of the fingerprints: its content, id, digest, kind, first line, size, and the lower halves of the hashes after it, as far as matches are extended."""
     kind_of_id = found.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, batch in _of_one_kind(batches):
             hashes, total, bounds = _flat(batch)
             least = least_of(kind, line_words)
-            lo, hi, base = (batch.column(c).to_numpy().astype(np.int64) for c in ("lo", "hi", "base"))
-            row = np.repeat(np.arange(batch.num_rows), hi - lo + 1)
-            at = ranges(bounds[:-1] + lo - base, hi - lo + 1)
-            end = window_ends(total, least)[at]
-            first, last = around(total, at, end, bounds[row], bounds[row + 1], least)
+            lo, spans = (batch.column(c).to_numpy().astype(np.int64) for c in ("lo", "spans"))
+            row = np.repeat(np.arange(batch.num_rows), spans)
+            at = ranges(bounds[:-1], spans)
+            ends = window_ends(total, least)
+            end, more = ends[at], reach(ends, at, bounds[row + 1]) - ends[at]
             content = np.column_stack([run_hashes(hashes, at, end, 1 + kind), run_hashes(hashes, at, end, 3 + kind)])
             span = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(row), [None, pa.py_buffer(content.tobytes())]).cast(pa.binary())
-            near, a, b = hashes.astype(np.uint32).view(np.int32), at - first, last - end
-            before = near[np.repeat(first + at - 1, a) - ranges(first, a)]
-            numbers = [pa.array(x.astype(np.int32)) for x in (at - bounds[row] + base[row], end - at)]
+            after = lists(hashes.astype(np.uint32).view(np.int32)[ranges(end, more)], more)
             same = [batch.column(c).take(pa.array(row, pa.int32())) for c in ("id", "digest", "kind")]
-            yield pa.RecordBatch.from_arrays([*same, span, *numbers, lists(before, a), lists(near[ranges(end, b)], b)], names=["id", "digest", "kind", "span", "first", "size", "before", "after"])
+            yield pa.RecordBatch.from_arrays([*same, span, *[pa.array(x.astype(np.int32)) for x in (at - bounds[row] + lo[row], end - at)], after], names=["id", "digest", "kind", "span", "first", "size", "after"])
 
-    return found.mapInArrow(run, f"id {kind_of_id}, digest binary, kind int, span binary, first int, size int, before array<int>, after array<int>")
+    return found.mapInArrow(run, f"id {kind_of_id}, digest binary, kind int, span binary, first int, size int, after array<int>")
 
 
 def agreed(a: Column, b: Column) -> Column:
     """How many leading elements two arrays share."""
     same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y) & x.isNotNull() & y.isNotNull())
-    return F.when(F.array_contains(same, False), F.array_position(same, False) - 1).otherwise(F.size(same)).cast("int")
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).when(F.array_contains(same, False), F.array_position(same, False) - 1).otherwise(F.size(same)).cast("int")
 
 
 def repeated_runs(docs: DataFrame, folder: str, line_words: int = LINE_WORDS) -> DataFrame:
@@ -288,13 +288,11 @@ def repeated_runs(docs: DataFrame, folder: str, line_words: int = LINE_WORDS) ->
     twice = F.broadcast(twice) if twice.count() <= BROADCAST_FINGERPRINTS else twice
     spans = written(spans_of(with_lines(split, line_words).join(twice, "fp", "left_semi"), line_words), folder, "spans")
     place = F.struct(F.col("id").isNotNull().alias("known"), "id", "digest", "first")
-    own = F.struct("before", "after")
-    firsts = spans.groupBy("span").agg(F.min(F.struct(place.alias("p"), own.alias("c"))).alias("f"), F.count("*").alias("n")).where("n > 1").select("span", "f.p", "f.c")
+    firsts = spans.groupBy("span").agg(F.min(F.struct(place.alias("p"), F.col("after").alias("c"))).alias("f"), F.count("*").alias("n")).where("n > 1").select("span", "f.p", "f.c")
     firsts = written(firsts, folder, "firsts")  # a table of its own, so that Spark can split the join of a hot span
     met = spans.join(firsts, "span").where(~(F.col("id").eqNullSafe(F.col("p.id")) & (F.col("digest") == F.col("p.digest")) & (F.col("first") == F.col("p.first"))))
-    start = F.col("first") - agreed(F.col("before"), F.col("c.before"))
-    end = F.col("first") + F.col("size") + agreed(F.col("after"), F.col("c.after"))
-    runs = met.groupBy("id", "digest").agg(F.collect_set(F.struct("kind", start.alias("first"), end.alias("last"))).alias("runs"))
+    end = F.col("first") + F.col("size") + agreed(F.col("after"), F.col("c"))
+    runs = met.groupBy("id", "digest").agg(F.collect_set(F.struct("kind", "first", end.alias("last"))).alias("runs"))
     return runs.unionByName(whole)
 
 
