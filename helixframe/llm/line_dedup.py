@@ -275,6 +275,28 @@ def agreed(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).when(F.array_contains(same, False), F.array_position(same, False) - 1).otherwise(F.size(same)).cast("int")
 
 
+def merged(found: DataFrame) -> DataFrame:
+    """found (id, digest, runs) with runs that overlap or touch made one."""
+    kind_of_id = found.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind, first, last = (x.to_numpy().astype(np.int64) for x in batch.column("runs").flatten().flatten())
+            row = np.repeat(np.arange(batch.num_rows), np.diff(bounds_of(batch.column("runs"))))
+            group = (2 * row + kind) * (1 + last.max(initial=0))  # no run of a group goes beyond the next group's start
+            order = np.argsort(group + first, kind="stable")
+            row, kind, start, end = row[order], kind[order], (group + first)[order], np.maximum.accumulate((group + last)[order])
+            fresh_run = np.append(True, (start[1:] > end[:-1]) | (row[1:] != row[:-1]) | (kind[1:] != kind[:-1]))[: len(row)]
+            at = np.flatnonzero(fresh_run)
+            until = np.append(at[1:], len(row))[: len(at)] - 1
+            base = group[order][at]
+            parts = [pa.array(x.astype(np.int32)) for x in (kind[at], start[at] - base, end[until] - base)]
+            runs = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(row[at], minlength=batch.num_rows))), pa.int32()), pa.StructArray.from_arrays(parts, names=["kind", "first", "last"]))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), runs], names=["id", "digest", "runs"])
+
+    return found.select("id", "digest", "runs").mapInArrow(run, f"id {kind_of_id}, digest binary, runs array<struct<kind:int,first:int,last:int>>")
+
+
 def repeated_runs(docs: DataFrame, folder: str, line_words: int = LINE_WORDS) -> DataFrame:
     """(id, digest, runs): later repeated runs as array<struct<kind, first, last>> over lines with words or pieces, last exclusive."""
     copies = docs.groupBy("digest").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id")).alias("p"), F.count("*").alias("n")).where("n > 1")
@@ -293,7 +315,7 @@ def repeated_runs(docs: DataFrame, folder: str, line_words: int = LINE_WORDS) ->
     met = spans.join(firsts, "span").where(~(F.col("id").eqNullSafe(F.col("p.id")) & (F.col("digest") == F.col("p.digest")) & (F.col("first") == F.col("p.first"))))
     end = F.col("first") + F.col("size") + agreed(F.col("after"), F.col("c"))
     runs = met.groupBy("id", "digest").agg(F.collect_set(F.struct("kind", "first", end.alias("last"))).alias("runs"))
-    return runs.unionByName(whole)
+    return merged(runs).unionByName(whole)
 
 
 def without(text: str | None, runs: list[dict] | None, line_words: int = LINE_WORDS) -> tuple[str | None, int, int, int]:
