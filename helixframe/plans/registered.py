@@ -15,6 +15,8 @@ from helixframe.functions.genome import lift_over_coordinates
 from helixframe.functions.regression import linear_regression_gwas, logistic_regression_gwas
 from helixframe.gwas import linear_regression, logistic_regression
 from helixframe.operators.blocks import block_variants_and_samples
+from helixframe.operators.lift_over import lift_over_variants
+from helixframe.operators.normalize_variants import normalize_variants
 from helixframe.operators.overlap_join import left_overlap_join, left_semi_overlap_join
 from helixframe.operators.pipe import pipe
 from helixframe.operators.sample_stats import merge_variants, sample_call_stats_rows, sample_field_stats_rows
@@ -556,3 +558,62 @@ def plink_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = read_plink(spark, folder)
     each = back.select("contigName", "start", "end", "referenceAllele", F.get("alternateAlleles", F.lit(0)).alias("alt"), F.get("names", F.lit(0)).alias("name"), F.posexplode(fx.genotype_states("genotypes")).alias("pos", "state"))
     return each.withColumns({"pos": F.col("pos").cast("long"), "state": F.col("state").cast("long")})
+
+
+#: A genome of a bounded size: sites of fifty bases, each a run of A and then other bases without A; sites that parts are dealt to.
+RUN, SITE, SITES, OLD_SHIFT = 10, "A" * 10 + "CGTC" * 10, 2000, 300
+LENGTH = (SITES + 1) * len(SITE)
+
+
+def _genome(spark: SparkSession) -> str:
+    path = shared_folder(spark) + ".fa"
+    write_text(path, ">one\n" + (SITE + "\n") * (SITES + 1))
+    write_text(path + ".fai", f"one\t{LENGTH}\t5\t{len(SITE)}\t{len(SITE) + 1}\n")
+    return path
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_size % 4 AS kind, (p_partkey % {SITES} + 1) * {len(SITE)} AS site, p_partkey // {SITES} % {RUN - 2} AS off FROM part)
+SELECT p_partkey, CASE kind WHEN 0 THEN site - 1 WHEN 1 THEN site + off + 1 WHEN 2 THEN site - 1 ELSE site + off END AS start,
+       CASE kind WHEN 0 THEN site WHEN 1 THEN site + off + 2 WHEN 2 THEN site + 1 ELSE site + off + 1 END AS "end",
+       CASE kind WHEN 0 THEN 'C' WHEN 1 THEN 'A' WHEN 2 THEN 'CA' ELSE 'A' END AS referenceAllele,
+       CASE kind WHEN 0 THEN 'CA' WHEN 1 THEN 'G' WHEN 2 THEN 'C' ELSE 'T' END AS alt, kind < 3 AS changed FROM p""")
+def normalize_variants_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A variant of each part: an insertion and a deletion within a run of equal bases, a change with needless bases around it, and one that is normal."""
+    key = F.col("p_partkey")
+    kind, start = F.col("p_size") % 4, (key % SITES + 1) * len(SITE) + F.floor(key / SITES) % (RUN - 2)
+    ref = F.when(kind == 1, "AAA").when(kind == 2, "AA").otherwise("A")
+    alt = F.when(kind == 0, "AA").when(kind == 1, "AGA").when(kind == 2, "A").otherwise("T")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.lit("one").alias("contigName"), start.alias("start"), (start + F.length(ref)).alias("end"), ref.alias("referenceAllele"), F.array(alt).alias("alternateAlleles"))
+    done = normalize_variants(rows, _genome(spark))
+    return done.select("p_partkey", "start", "end", "referenceAllele", F.get("alternateAlleles", F.lit(0)).alias("alt"), F.col("normalizationStatus.changed").alias("changed"))
+
+
+@query(f"""WITH p AS (
+  SELECT p_partkey, p_size % 5 AS kind, (p_partkey % {SITES} + 1) * {len(SITE)} + p_partkey // {SITES} % {RUN} AS place FROM part
+), v AS (
+  SELECT *, CASE WHEN kind < 3 THEN 'shifted' WHEN kind = 3 THEN 'turned' ELSE 'unknown' END AS old,
+         CASE WHEN kind < 3 THEN place + {OLD_SHIFT} WHEN kind = 3 THEN {LENGTH} - 1 - place ELSE place END AS old_start FROM p
+)
+SELECT p_partkey, CASE WHEN kind IN (0, 1, 3) THEN 'one' ELSE old END AS contigName, CASE WHEN kind IN (0, 1, 3) THEN place ELSE old_start END AS start,
+       CASE WHEN kind IN (0, 1, 3) THEN place + 1 ELSE old_start + 1 END AS "end", CASE WHEN kind IN (0, 1, 3) THEN 'A' WHEN kind = 2 THEN 'G' ELSE 'A' END AS referenceAllele,
+       CASE kind WHEN 0 THEN 'T' WHEN 1 THEN 'G' WHEN 2 THEN 'T' WHEN 3 THEN 'C' ELSE 'T' END AS alt, kind = 1 AS swapped, kind = 3 AS reversed,
+       CASE WHEN kind = 1 THEN '1,0' ELSE '0,1' END AS calls, kind IN (0, 1, 3) AS success,
+       CASE kind WHEN 2 THEN 'MismatchedRefAllele: one:' || CAST(place + 1 AS VARCHAR) || '-' || CAST(place + 1 AS VARCHAR) WHEN 4 THEN 'NoTarget' END AS error FROM v""")
+def lift_over_variants_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A variant of each part, lifted as it is, with alleles that change places, to another strand, or not, for an other base or without a chain."""
+    path = shared_folder(spark) + ".chain"
+    chain = lambda i, name, low, strand: f"chain {i} {name} {LENGTH + low} + {low} {LENGTH + low} one {LENGTH} {strand} 0 {LENGTH} {i}\n{LENGTH}\n\n"
+    write_text(path, chain(1, "shifted", OLD_SHIFT, "+") + chain(2, "turned", 0, "-"))
+    key = F.col("p_partkey")
+    kind, place = F.col("p_size") % 5, (key % SITES + 1) * len(SITE) + F.floor(key / SITES) % RUN
+    contig = F.when(kind < 3, "shifted").when(kind == 3, "turned").otherwise("unknown")
+    start = F.when(kind < 3, place + OLD_SHIFT).when(kind == 3, LENGTH - 1 - place).otherwise(place)
+    ref = F.when(kind.isin(1, 2), "G").when(kind == 3, "T").otherwise("A")
+    alt = F.when(kind == 1, "A").when(kind == 3, "G").otherwise("T")
+    calls = F.array(F.struct(F.array(F.lit(0), F.lit(1)).alias("calls")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", contig.alias("contigName"), start.alias("start"), (start + 1).alias("end"), ref.alias("referenceAllele"), F.array(alt).alias("alternateAlleles"), calls.alias("genotypes"))
+    done = lift_over_variants(rows, path, _genome(spark))
+    return done.select(
+        "p_partkey", "contigName", "start", "end", "referenceAllele", F.get("alternateAlleles", F.lit(0)).alias("alt"), F.col("INFO_SwappedAlleles").alias("swapped"), F.col("INFO_ReverseComplementedAlleles").alias("reversed"),
+        F.array_join(F.get("genotypes.calls", F.lit(0)), ",").alias("calls"), F.col("liftOverStatus.success").alias("success"), F.col("liftOverStatus.errorMessage").alias("error"),
+    )
