@@ -8,7 +8,7 @@ from helixframe.gwas import linear_regression, logistic_regression
 from helixframe.gwas.logistic import fit_null
 from helixframe.stats.regression import firth, firth_slopes, log_likelihood, sigmoid
 from helixframe.stats.special import chi2_tail, t_two_sided
-from helixframe.wgr.base import Stage, new_headers
+from helixframe.wgr.base import Stage, best_alphas, new_headers
 from helixframe.wgr import LogisticRidgeRegression, RidgeReduction, RidgeRegression, block_variants_and_samples, estimate_loco_offsets, get_sample_ids, reshape_for_gwas
 
 N, M = 60, 12
@@ -205,3 +205,17 @@ def test_header_blocks():
     assert new_headers("all", [("alpha_2", "b")], 3) == ("all", [2], ["alpha_2_label_b"])
     with pytest.raises(ValueError, match="names no header block"):
         Stage.parse("block_1")
+
+
+@pytest.mark.parametrize("metric", ["r2", "log_loss"])
+def test_tied_scores_take_the_largest_penalty(spark, metric):
+    """0.1 + 0.2 + 0.3 and 0.3 + 0.2 + 0.1 differ in their last bit; the tie is one all the same, also where a score is not a number or infinite."""
+    sign = 1 if metric == "r2" else -1
+    rows = [("a", f"alpha_{i}", float(x)) for i, order in enumerate([(0.1, 0.2, 0.3), (0.3, 0.2, 0.1), (sign * 0.01,)]) for x in order]
+    rows += [("b", "alpha_0", sign * 2.0), ("b", "alpha_2", sign * (2.0 - 1e-6)), ("c", "alpha_0", sign * float("inf")), ("c", "alpha_1", 1.0)]
+    scores = spark.createDataFrame(rows, "label string, alpha string, score double").coalesce(1)
+    best = {r["label"]: r["alpha"] for r in best_alphas(scores, {"alpha_0": 1.0, "alpha_1": 2.0, "alpha_2": 3.0}, metric).collect()}
+    assert best == {"a": "alpha_1" if metric == "r2" else "alpha_2", "b": "alpha_0", "c": "alpha_0"}
+    lean = [("d", "alpha_0", 0.1 + 0.2), ("d", "alpha_1", 0.3)] if metric == "r2" else [("d", "alpha_0", 0.3), ("d", "alpha_1", 0.1 + 0.2)]
+    tied = best_alphas(spark.createDataFrame(lean, "label string, alpha string, score double"), {"alpha_0": 1.0, "alpha_1": 2.0}, metric)
+    assert tied.first()["alpha"] == "alpha_1"
