@@ -9,6 +9,8 @@ long it is.
 What left rows cost is one copy for each level that right is dealt at. As right is mostly the smaller
 side, its counts by length are read first, and its shorter intervals stay at the lowest level as long
 as their rows are few. Left rows with a single bin join directly; others are told apart by an id.
+By the same counts right is shuffled where it is larger than what the driver and each executor should
+hold: Spark itself goes by the compressed size of files, of which rows and their copies are many times.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ BIN_SIZE = 5000
 LEVELS, FANOUT = 9, 8
 #: Rows that right may be dealt to at the lowest level: so many for each interval, or so many in all.
 ROWS_EACH, ROWS_IN_ALL = 8, 1_000_000
+#: Rows of right, with their copies, up to which Spark may broadcast them.
+BROADCAST_ROWS = 200_000
 
 
 def _defaults(left: DataFrame, right: DataFrame, ls, rs, le, re, extra) -> tuple[Column, Column, Column, Column, Column]:
@@ -63,19 +67,29 @@ def _dealt(first: Column, last: Column, level: Column, size: int, key: Column) -
     return let(ends, lambda e: F.transform(F.sequence(e["lo"], e["hi"]), lambda b: F.struct(e["key"].alias("key"), b.alias("bin"), e["lo"].alias("lo"))))
 
 
-def _lowest(right: DataFrame, rs: Column, re: Column, size: int) -> tuple[int, list[int]]:
-    """The level up to which right's intervals are dealt to lowest bins, and all levels that right is dealt at."""
+def _lengths(right: DataFrame, rs: Column, re: Column, size: int) -> list[tuple[int, int, int]]:
+    """(level, intervals, lowest bins that they touch) of right, a row for each level."""
     first, last = _ends(rs, re)
     bins = _bin(last, 0, size) - _bin(first, 0, size) + 1
     counts = right.select(_level(first, last, size).alias("level"), bins.alias("bins")).where("level is not null")
-    found = sorted((r["level"], r["n"], r["bins"]) for r in counts.groupBy("level").agg(F.count("*").alias("n"), F.sum("bins").alias("bins")).collect())  # a row for each level
+    return sorted((r["level"], r["n"], r["bins"]) for r in counts.groupBy("level").agg(F.count("*").alias("n"), F.sum("bins").alias("bins")).collect())
+
+
+def _dealing(found: list[tuple[int, int, int]]) -> tuple[int, list[int], int]:
+    """What _lowest says, and how many rows right has at most with its copies."""
     budget, total, top = max(ROWS_IN_ALL, ROWS_EACH * sum(n for _, n, _ in found)), 0, 0
     for level, _, bins_of in found:
         total += bins_of
         if total > budget:
             break
         top = level
-    return top, sorted({0 if level <= top else level for level, _, _ in found})
+    copies = sum((bins_of if level <= top else FANOUT * n) + (LEVELS - 1) * n for level, n, bins_of in found)
+    return top, sorted({0 if level <= top else level for level, _, _ in found}), copies
+
+
+def _lowest(right: DataFrame, rs: Column, re: Column, size: int) -> tuple[int, list[int]]:
+    """The level up to which right's intervals are dealt to lowest bins, and all levels that right is dealt at."""
+    return _dealing(_lengths(right, rs, re, size))[:2]
 
 
 def _names(*frames: DataFrame) -> list[str]:
@@ -93,7 +107,8 @@ def _join(left, right, ls, rs, le, re, extra, prefix, size, semi):
     ls, rs, le, re, extra = _defaults(left, right, ls, rs, le, re, extra)
     lo, hi, bin_, at, at_r, row, row_m = _names(left, right)
     overlap = (ls < re) & (rs < le) & extra
-    top, levels = _lowest(right, rs, re, size)
+    top, levels, copies = _dealing(_lengths(right, rs, re, size))
+    met_by = lambda df: df if copies <= BROADCAST_ROWS else df.hint("merge")
     out_left = [left[c] for c in left.columns]
     out_right = [] if semi else [right[c].alias(prefix + c) if prefix else right[c] for c in right.columns]
 
@@ -104,7 +119,7 @@ def _join(left, right, ls, rs, le, re, extra, prefix, size, semi):
     lefts = left.select("*", _bin(first, only, size).alias(lo), _bin(last, only, size).alias(hi))
     lone = F.col(hi).isNull() | (F.col(lo) == F.col(hi)) if len(levels) < 2 else F.col(hi).isNull()
     rights = right.where(F.lit(len(levels) < 2)).select("*", F.explode(F.sequence(_bin(first_r, only, size), _bin(last_r, only, size))).alias(bin_))
-    single = lefts.where(lone).join(rights, (F.col(lo) == F.col(bin_)) & overlap, "left_semi" if semi else "left_outer").select(*out_left, *out_right)
+    single = lefts.where(lone).join(met_by(rights), (F.col(lo) == F.col(bin_)) & overlap, "left_semi" if semi else "left_outer").select(*out_left, *out_right)
 
     # others are dealt to each level of right that is not below their own, and to their own for right's shorter intervals, which
     # are dealt to all levels above theirs under keys from LEVELS on
@@ -130,8 +145,8 @@ def _join(left, right, ls, rs, le, re, extra, prefix, size, semi):
     spread = far.select(*out_left, row, F.explode(at).alias(at))
     here = (F.col(f"{at}.key") == F.col(f"{at_r}.key")) & (F.col(f"{at}.bin") == F.col(f"{at_r}.bin")) & (F.col(f"{at}.bin") == F.greatest(F.col(f"{at}.lo"), F.col(f"{at_r}.lo"))) & overlap
     if semi:
-        return single.union(spread.join(every, here, "left_semi").dropDuplicates([row]).select(*out_left))
-    met = spread.join(every, here, "left_outer")
+        return single.union(spread.join(met_by(every), here, "left_semi").dropDuplicates([row]).select(*out_left))
+    met = spread.join(met_by(every), here, "left_outer")
     own_rows = Window.partitionBy(row)
     met = met.select(*out_left, *out_right, F.col(at_r), F.col(row), F.count(at_r).over(own_rows).alias(row_m), F.row_number().over(own_rows.orderBy(f"{at}.key", f"{at}.bin")).alias(at))
     return single.union(met.where(F.col(at_r).isNotNull() | ((F.col(row_m) == 0) & (F.col(at) == 1))).drop(at_r, row, row_m, at))

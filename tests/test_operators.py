@@ -280,3 +280,20 @@ def test_registry(spark):
     assert registry.transform("add_one", spark.range(1), {"to": "x"}).first().x == 1
     with pytest.raises(ValueError):
         registry.transform("nothing", spark.range(1))
+
+
+@pytest.mark.parametrize("semi", [False, True])
+def test_a_large_right_side_is_not_broadcast(spark, monkeypatch, semi):
+    """Beyond a counted size right is shuffled, whatever its files weigh, with the same rows."""
+    from helixframe.operators import overlap_join as o
+
+    left = spark.range(300).select((F.col("id") * 7 % 500).alias("start"), (F.col("id") * 7 % 500 + 1 + F.col("id") % 40).alias("end"), F.col("id").alias("l"))
+    right = spark.range(200).select((F.col("id") * 11 % 480).alias("start"), (F.col("id") * 11 % 480 + 1 + F.col("id") % 9).alias("end"), *([] if semi else [F.col("id").alias("r")]))
+    join = (lambda: o.left_semi_overlap_join(left, right, bin_size=16)) if semi else (lambda: o.left_overlap_join(left, right, right_prefix="r_", bin_size=16))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    small = join()
+    assert "BroadcastHashJoin" in plan(small)
+    monkeypatch.setattr(o, "BROADCAST_ROWS", 100)
+    large = join()
+    assert "Broadcast" not in plan(large)
+    assert sorted(map(tuple, large.collect()), key=str) == sorted(map(tuple, small.collect()), key=str)
