@@ -1,5 +1,6 @@
 """The genotypes that registered queries are made of."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from helixframe.plans import derived
@@ -37,3 +38,12 @@ def test_types_are_counted_without_genotypes(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(derived, "CELLS", 10)
     plan = QUERIES["variant_type_counts"](spark, tables(spark, tmp_path, 90, 70))._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION" not in plan and "supplier" not in plan
+
+
+@pytest.mark.parametrize("name", ["call_stats_alleles", "genotype_states", "mean_substitute", "split_multiallelic_rows"])
+def test_genotypes_are_made_once(spark, tmp_path, name):
+    """The filter that an explode implies does not make genotypes a second time, below the exchange that deals sites to tasks."""
+    plan = QUERIES[name](spark, tables(spark, tmp_path, 90, 70))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [made(") == 1
+    if name != "split_multiallelic_rows":
+        assert plan.count("ArrowEvalPython [call_stats_of(") + plan.count("ArrowEvalPython [states_of(") + plan.count("substituted_of(states_of(") == 1
