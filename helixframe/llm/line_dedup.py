@@ -99,6 +99,10 @@ def in_chunks(batches: Iterator[pa.RecordBatch], sizes: Callable[[pa.RecordBatch
         yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
 
 
+def text_bytes(texts: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), "<u8", len(words))
 
@@ -120,15 +124,15 @@ def piece_ends(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 #: Bytes of texts, and units, that a task works on at once.
-TEXT_BYTES, UNITS = 2 << 20, 100_000
+TEXT_BYTES, UNITS = 1 << 20, 50_000
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """docs (id, digest, text) -> id, digest, kind, hashes and sizes (words) of the lines with words, or of the pieces; no row for texts without words."""
+def units(docs: DataFrame, line_words: int = LINE_WORDS) -> DataFrame:
+    """docs (id, digest, text) -> id, digest, kind, hashes and sizes (words) of the lines with words, or of the pieces, and their fingerprints fps with the first line lo and count of the spans that each stands for; no row for texts without words."""
     kind_of_id = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_chunks(batches, lambda b: pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy().astype(np.int64), TEXT_BYTES):
+        for batch in in_chunks(batches, lambda b: text_bytes(b.column(2)), TEXT_BYTES):
             words, hashes, sizes, ends, counts = [], [], [], [], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 n = 0
@@ -149,9 +153,14 @@ def units(docs: DataFrame) -> DataFrame:
             pieces = (run_hashes(flat, starts, cuts), (cuts - starts).astype(np.int32), np.bincount(np.searchsorted(bounds[1:], starts, "right"), minlength=len(counts)))
             for kind, (h, size, each) in ((LINES, lines), (PIECES, pieces)):
                 each = each[each > 0]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(np.full(len(keep), kind, np.int32)), lists(h.view(np.int64), each), lists(size, each)], names=["id", "digest", "kind", "hashes", "sizes"])
+                own = np.append(0, np.cumsum(each))
+                key, lo, hi, _ = winnowed(h, np.append(0, np.cumsum(size, dtype=np.int64)), own, least_of(kind, line_words))
+                row = np.searchsorted(own, lo, "right") - 1
+                n = np.bincount(row, minlength=len(each))
+                picked = [lists((key ^ np.uint64(kind)).view(np.int64), n), lists((lo - own[row]).astype(np.int32), n), lists((hi - lo + 1).astype(np.int32), n)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(np.full(len(keep), kind, np.int32)), lists(h.view(np.int64), each), lists(size, each), *picked], names=["id", "digest", "kind", "hashes", "sizes", "fps", "lo", "spans"])
 
-    return docs.mapInArrow(run, f"id {kind_of_id}, digest binary, kind int, hashes array<bigint>, sizes array<int>")
+    return docs.mapInArrow(run, f"id {kind_of_id}, digest binary, kind int, hashes array<bigint>, sizes array<int>, fps array<bigint>, lo array<int>, spans array<int>")
 
 
 def window_ends(total: np.ndarray, least: np.ndarray | int) -> np.ndarray:
@@ -216,18 +225,6 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, np.append(0, np.cumsum(batch.column("sizes").flatten().to_numpy().astype(np.int64))), bounds_of(batch.column("hashes"))
 
 
-def fingerprints(split: DataFrame, line_words: int) -> DataFrame:
-    """The fingerprints of units, one row each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kind, batch in _of_one_kind(batches):
-            hashes, total, bounds = _flat(batch)
-            key = winnowed(hashes, total, bounds, least_of(kind, line_words))[0]
-            yield pa.RecordBatch.from_arrays([pa.array((key ^ np.uint64(kind)).view(np.int64))], names=["fp"])
-
-    return split.select("kind", "hashes", "sizes").mapInArrow(run, "fp long")
-
-
 def with_lines(split: DataFrame, line_words: int) -> DataFrame:
     """units -> a row per fingerprint: fp, id, digest, kind, the first line and count of the spans that it stands for, and their lines as far as matches are extended."""
     kind_of_id = split.schema["id"].dataType.simpleString()
@@ -235,12 +232,12 @@ def with_lines(split: DataFrame, line_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, batch in _of_one_kind(batches):
             hashes, total, bounds = _flat(batch)
-            least = least_of(kind, line_words)
-            key, lo, hi, _ = winnowed(hashes, total, bounds, least)
-            row = np.searchsorted(bounds, lo, "right") - 1
-            size = reach(window_ends(total, least), hi, bounds[row + 1]) - lo
+            fps, first, spans = (batch.column(c).flatten() for c in ("fps", "lo", "spans"))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(bounds_of(batch.column("fps"))))
+            lo = bounds[row] + first.to_numpy()
+            size = reach(window_ends(total, least_of(kind, line_words)), lo + spans.to_numpy() - 1, bounds[row + 1]) - lo
             places, take, sizes = ranges(lo, size), pa.array(row, pa.int32()), np.diff(total).astype(np.int32)
-            numbers = [pa.array((key ^ np.uint64(kind)).view(np.int64)), *[pa.array(x.astype(np.int32)) for x in (np.full(len(row), kind), lo - bounds[row], hi - lo + 1)]]
+            numbers = [fps, pa.array(np.full(len(row), kind, np.int32)), first, spans]
             held = [lists(hashes[places].view(np.int64), size), lists(sizes[places], size)]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("digest").take(take), *numbers, *held], names=["id", "digest", "fp", "kind", "lo", "spans", "hashes", "sizes"])
 
@@ -305,10 +302,11 @@ def repeated_runs(docs: DataFrame, folder: str, line_words: int = LINE_WORDS) ->
     met = docs.join(copies, F.col("digest") == F.col("of"), "left")
     later = F.col("of").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))
     whole = met.where(later).select("id", "digest").distinct().withColumn("runs", F.array(F.struct(F.lit(WHOLE).alias("kind"), F.lit(0).alias("first"), F.lit(0).alias("last"))))
-    split = written(units(met.where(~later).select("id", "digest", "text")), folder, "units")  # texts are cut and hashed once
-    twice = written(fingerprints(split, line_words).groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), folder, "twice")
+    split = written(units(met.where(~later).select("id", "digest", "text"), line_words), folder, "units")  # texts are cut and hashed once
+    twice = written(split.select(F.explode("fps").alias("fp")).groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), folder, "twice")
     twice = F.broadcast(twice) if twice.count() <= BROADCAST_FINGERPRINTS else twice
-    spans = written(spans_of(with_lines(split, line_words).join(twice, "fp", "left_semi"), line_words), folder, "spans")
+    again = written(with_lines(split, line_words).join(twice, "fp", "left_semi"), folder, "again")  # a table of its own: two kernels in one stage would hold two Python workers a core
+    spans = written(spans_of(again, line_words), folder, "spans")
     place = F.struct(F.col("id").isNotNull().alias("known"), "id", "digest", "first")
     firsts = spans.groupBy("span").agg(F.min(F.struct(place.alias("p"), F.col("after").alias("c"))).alias("f"), F.count("*").alias("n")).where("n > 1").select("span", "f.p", "f.c")
     firsts = written(firsts, folder, "firsts")  # a table of its own, so that Spark can split the join of a hot span
@@ -322,11 +320,14 @@ def without(text: str | None, runs: list[dict] | None, line_words: int = LINE_WO
     """text without the runs, the count of its lines with words, and of lines and words deleted."""
     if text is None:
         return None, 0, 0, 0
-    split = [line.split() for line in text.encode("utf-8", "surrogatepass").split(b"\n")]
+    held = text.encode("utf-8", "surrogatepass")
+    if not runs:
+        return text, sum(1 for line in held.split(b"\n") if line.strip()), 0, 0
+    split = [line.split() for line in held.split(b"\n")]
     n = np.array([len(parts) for parts in split])
     size = int(n.sum())
-    if not runs or not size:
-        return text, int((n > 0).sum()), 0, 0
+    if not size:
+        return text, 0, 0, 0
     gone = np.zeros(size, bool)
     if any(r["kind"] == WHOLE for r in runs):
         gone[:] = size >= line_words
@@ -337,7 +338,7 @@ def without(text: str | None, runs: list[dict] | None, line_words: int = LINE_WO
             if r["kind"] == kind:
                 gone[starts[r["first"]] : starts[r["last"]]] = True
     out, at, deleted = [], 0, 0
-    for line, parts in zip(text.encode("utf-8", "surrogatepass").split(b"\n"), split):
+    for line, parts in zip(held.split(b"\n"), split):
         own, at = gone[at : at + len(parts)], at + len(parts)
         if parts and own.all():
             deleted += 1
@@ -365,7 +366,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at, runs_at = met.columns.index(text_col), len(met.columns) - 1
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_chunks(batches, lambda b: text_bytes(b.column(at)), TEXT_BYTES):
             done = [without(text.as_py(), cuts.as_py(), line_words) for text, cuts in zip(batch.column(at), batch.column(runs_at))]
             texts, *counts = zip(*done) if done else ((), (), (), ())
             columns = [pa.array(texts, batch.column(at).type) if i == at else batch.column(i) for i in range(runs_at)]

@@ -2,6 +2,7 @@ import random
 
 import xxhash
 
+from helixframe.llm import line_dedup
 from helixframe.llm.line_dedup import LINES, PIECES, dedup_lines, least_of, windows, winnow
 
 
@@ -143,3 +144,18 @@ def test_odd_rows(odd, empty):
     same = [r for r in out.where("doc_id = 5").collect()]
     assert len({r.text for r in same}) == 1  # rows of one document are treated alike
     assert dedup_lines(empty).count() == 0
+
+
+def test_no_stage_holds_two_kernels(make, text_of, monkeypatch):
+    """Each kernel of a stage has a Python worker a core: two in one stage take twice the memory."""
+    plans = {}
+
+    def held(df, folder, name, write=line_dedup.written):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, folder, name)
+
+    monkeypatch.setattr(line_dedup, "written", held)
+    text = block(text_of, 1, 8)
+    assert sum(r["n_deleted"] for r in cleaned(make([text, "new words\n" + text])).values()) > 0
+    assert {"units", "spans", "runs"} <= set(plans)
+    assert {name: plan.count("MapInArrow") for name, plan in plans.items() if plan.count("MapInArrow") > 1} == {}
