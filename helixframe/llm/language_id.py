@@ -17,10 +17,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +30,8 @@ NGRAM, SLOTS, HASHES = 4, 1 << 20, 3
 #: Documents of a language that training reads at most (chosen by a hash of their text), and the
 #: share of them that must hold an n-gram.
 MOST_DOCS, LEAST_SHARE = 5_000, 0.05
-#: Code points handled at once.
-PIECE = 1 << 17
+#: Code points handled at once, and texts taken from Arrow at once.
+PIECE, ROWS = 1 << 17, 64
 SPACE = 32
 
 
@@ -87,6 +86,10 @@ class LanguageFilters:
 
     def chance(self) -> np.ndarray:
         """The false positive rate of each language's filter: its fill to the power of the hash functions."""
+        return self._chance
+
+    @cached_property
+    def _chance(self) -> np.ndarray:
         fill = [((self.masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(self.languages))]
         return np.array(fill) ** self.hashes
 
@@ -135,11 +138,11 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits, texts = np.asarray(batch.column(0)), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 64):
-                doc, h = grams(texts[at : at + 64])
+            bits = np.asarray(batch.column(0))
+            for at in range(0, batch.num_rows, ROWS):
+                doc, h = grams(batch.column(1).slice(at, ROWS).to_pylist())
                 pairs = np.unique(np.stack([doc.astype(np.uint64), h], 1), axis=0)  # a document counts once
-                of, n = np.unique(np.stack([bits[at : at + 64][pairs[:, 0].astype(int)].astype(np.uint64), pairs[:, 1]], 1), axis=0, return_counts=True)
+                of, n = np.unique(np.stack([bits[at : at + ROWS][pairs[:, 0].astype(int)].astype(np.uint64), pairs[:, 1]], 1), axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(of[:, 0].astype(np.int32)), pa.array(of[:, 1].copy().view(np.int64)), pa.array(n)], names=["bit", "gram", "n"])
 
     found = sample.repartition(partitions(spark)).mapInArrow(held, "bit int, gram long, n long").groupBy("bit", "gram").agg(F.sum("n").alias("n"))
@@ -166,14 +169,18 @@ def held_out(id_col: str = "doc_id"):
 
 
 def predictor(spark: SparkSession, filters: LanguageFilters):
-    """A pandas UDF text -> struct(lang, score). The filters are of fixed size and broadcast once."""
+    """An Arrow UDF text -> struct(lang, score). The filters are of fixed size and broadcast once."""
     shared = spark.sparkContext.broadcast(filters)
 
-    @F.pandas_udf("lang string, score double")
-    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double")
+    def predict(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
-            lang, score = shared.value.predict([t if isinstance(t, str) else None for t in texts])
-            yield pd.DataFrame({"lang": lang, "score": score})
+            lang, score = [], [np.zeros(0)]
+            for at in range(0, len(texts), ROWS):  # few texts at once are Python's
+                names, shares = shared.value.predict(texts.slice(at, ROWS).to_pylist())
+                lang += names
+                score.append(shares)
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(np.concatenate(score))], names=["lang", "score"])
 
     return predict
 

@@ -3,9 +3,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from helixframe.llm.language_id import LEAST_SHARE, LanguageFilters, grams, held_out, identify_languages, keep_languages, slots, train
+from helixframe.llm.language_id import LEAST_SHARE, LanguageFilters, grams, held_out, identify_languages, keep_languages, predictor, slots, train
 
 SYLLABLES = {"en": "the and ing tion er re on".split(), "fr": "eau ç de que ment oi é".split(), "de": "sch ung der ein ü keit ß".split()}
 
@@ -104,3 +105,13 @@ def test_odd_rows(odd, empty, docs):
     assert {r.lang_pred for r in identify_languages(odd, none).collect()} == {"und"}
     assert identify_languages(empty, f).count() == 0
     assert train(odd).languages == ["en", "fr", "xx"]
+
+
+def test_workers_take_few_texts_at_once(spark, monkeypatch):
+    """A batch of any size is turned into Python's texts by slices, so a worker's memory does not grow with the batch."""
+    filters = LanguageFilters(["a"], np.zeros((64, 1), np.uint64))
+    seen = []
+    monkeypatch.setattr(LanguageFilters, "predict", lambda self, texts: (seen.append(len(texts)), (["a"] * len(texts), np.zeros(len(texts))))[1])
+    out = list(predictor(spark, filters).func(iter([pa.array(["x", None] * 500)])))
+    assert [len(x) for x in out] == [1000]
+    assert sum(seen) == 1000 and max(seen) <= 64
