@@ -116,11 +116,13 @@ def piece_ends(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     pair = (hashes[1:] * np.uint64(BASE)) ^ (hashes[:-1] >> np.uint64(7))
     least, at = pair[:m].copy(), np.zeros(m, np.int64)
     for k in range(1, PIECE):
-        smaller = pair[k : k + m] < least
-        least[smaller], at[smaller] = pair[k : k + m][smaller], k
+        np.copyto(at, k, where=pair[k : k + m] < least)
+        np.minimum(least, pair[k : k + m], out=least)
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     within = text[:m] == text[PIECE:]
-    return np.unique(np.concatenate([(at + np.arange(m) + 2)[within], own]))
+    cut = np.zeros(len(hashes) + 1, bool)
+    cut[(at + np.arange(m) + 2)[within]] = cut[own] = True
+    return np.flatnonzero(cut)
 
 
 #: Bytes of texts, and units, that a task works on at once.
@@ -190,10 +192,12 @@ def winnowed(hashes: np.ndarray, total: np.ndarray, bounds: np.ndarray, least: i
     keys = run_hashes(hashes, np.arange(len(hashes)), np.minimum(gram, len(hashes)))
     last = np.searchsorted(gram, end[spans], "right") - 1  # of the grams within each span
     pick, best = spans.copy(), keys[spans]
-    for k in range(1, int((last - spans).max()) + 1):
-        at = np.minimum(spans + k, last)
-        smaller = keys[at] <= best
-        pick[smaller], best[smaller] = at[smaller], keys[at][smaller]
+    open_, k = np.flatnonzero(last > spans), 1
+    while len(open_):  # those that have a k-th gram after their first
+        at = spans[open_] + k
+        smaller = keys[at] <= best[open_]
+        pick[open_[smaller]], best[open_[smaller]] = at[smaller], keys[at[smaller]]
+        open_, k = open_[last[open_] > at], k + 1
     first = np.append(True, pick[1:] != pick[:-1])
     final = np.append(first[1:], True)
     return best[first], spans[first], spans[final], end[spans[final]]
