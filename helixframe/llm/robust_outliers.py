@@ -146,10 +146,14 @@ def vectors(rows: DataFrame, folder: str) -> DataFrame:
     return met.withColumns({x: F.when(~F.col("base_failed"), c).cast("double") for x, c in said.items()}).drop("middle", *[f"rate_{x}" for x in counted])
 
 
-def added_up() -> list[Column]:
-    """The count, sums and products of the vectors."""
-    sums = [F.count("*").cast("double").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)]]
-    return sums + [F.sum(F.col(X[i]) * F.col(X[j])).alias(f"p{i}{j}") for i in range(DIMS) for j in range(i + 1)]
+PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
+#: SQL texts, so that a step of the estimate is a few calls to the driver's JVM, not thousands.
+ADDED_UP = ["cast(count(*) AS double) AS n", *[f"sum({x}) AS s{i}" for i, x in enumerate(X)], *[f"sum({X[i]} * {X[j]}) AS p{i}{j}" for i, j in PAIRS]]
+PARAMS = [*[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i, j in PAIRS]]
+
+
+def aggregated(rows: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(*[F.expr(x) for x in sums])
 
 
 def scatter(sums: DataFrame) -> DataFrame:
@@ -157,65 +161,61 @@ def scatter(sums: DataFrame) -> DataFrame:
 
     sums: by_lang, key, start and SUMS of the nearest rows; a row for each group.
     """
-    names = ["by_lang", "key", "start"]
-    lang = sums.groupBy("by_lang", "start").agg(*[F.sum(c).alias(f"l_{c}") for c in SUMS])
-    every = lang.groupBy("start").agg(*[F.sum(f"l_{c}").alias(f"a_{c}") for c in SUMS])
-    mean = [F.col(f"a_s{i}") / F.col("a_n") for i in range(DIMS)]  # a fixed scatter around the mean of all: without weight but in small tables
-    held = {f"a_p{i}{j}": F.col(f"a_p{i}{j}") + TOP_PRIOR * (mean[i] * mean[j] + (1.0 if i == j else 0.0)) for i in range(DIMS) for j in range(i + 1)}
-    every = every.select("start", (F.col("a_n") + TOP_PRIOR).alias("a_n"), *[(F.col(f"a_s{i}") + TOP_PRIOR * mean[i]).alias(f"a_s{i}") for i in range(DIMS)], *[c.alias(x) for x, c in held.items()])
-    lang = lang.join(F.broadcast(every), "start").select("by_lang", "start", *[(F.col(f"l_{c}") + PRIOR * F.col(f"a_{c}") / F.col("a_n")).alias(f"l_{c}") for c in SUMS])
-    out = sums.join(lang, ["by_lang", "start"]).select(*names, *[(F.col(c) + PRIOR * F.col(f"l_{c}") / F.col("l_n")).alias(c) for c in SUMS])
-    out = out.select(*names, *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(DIMS)], *[(F.col(f"p{i}{j}") / F.col("n")).alias(f"p{i}{j}") for i in range(DIMS) for j in range(i + 1)])
-    cov = lambda i, j: (F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENT
-    for i in range(DIMS):
-        for j in range(i + 1):
-            rest = F.greatest(cov(i, j), F.lit(0.0)) + ROUNDING**2 if i == j else cov(i, j)
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(ROUNDING**2 / 100))) if i == j else rest / F.col(f"l{j}{j}"))
-    log_det = sum((2 * F.log(f"l{i}{i}") for i in range(1, DIMS)), 2 * F.log("l00"))
-    return out.select(*names, *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i in range(DIMS) for j in range(i + 1)], log_det.alias("log_det"))
+    names = ["by_lang", "key", "start", *[c for c in sums.columns if c == "was"]]
+    lang = aggregated(sums, ["by_lang", "start"], [f"sum({c}) AS l_{c}" for c in SUMS])
+    every = aggregated(lang, ["start"], [f"sum(l_{c}) AS a_{c}" for c in SUMS])
+    mean = [f"(a_s{i} / a_n)" for i in range(DIMS)]  # a fixed scatter around the mean of all: without weight but in small tables
+    held = [f"a_p{i}{j} + {TOP_PRIOR}D * ({mean[i]} * {mean[j]} + {1.0 if i == j else 0.0}D) AS b_p{i}{j}" for i, j in PAIRS]
+    every = every.selectExpr("start", f"a_n + {TOP_PRIOR}D AS b_n", *[f"a_s{i} + {TOP_PRIOR}D * {mean[i]} AS b_s{i}" for i in range(DIMS)], *held)
+    lang = lang.join(F.broadcast(every), "start").selectExpr("by_lang", "start", *[f"l_{c} + {PRIOR}D * b_{c} / b_n AS k_{c}" for c in SUMS])
+    out = sums.join(lang, ["by_lang", "start"]).selectExpr(*names, *[f"{c} + {PRIOR}D * k_{c} / k_n AS t_{c}" for c in SUMS])
+    out = out.selectExpr(*names, *[f"t_s{i} / t_n AS m{i}" for i in range(DIMS)], *[f"t_p{i}{j} / t_n AS q{i}{j}" for i, j in PAIRS])
+    for j in range(DIMS):  # a column of the factor: first its diagonal, then what is below
+
+        def rest(i: int, j: int = j) -> str:
+            cov = f"(q{i}{j} - m{i} * m{j}) * {CONSISTENT}D"
+            return " - ".join([f"(greatest({cov}, 0.0D) + {ROUNDING**2}D)" if i == j else cov, *[f"l{i}{k} * l{j}{k}" for k in range(j)]])
+
+        out = out.selectExpr("*", f"sqrt(greatest({rest(j)}, {ROUNDING**2 / 100}D)) AS l{j}{j}")
+        if j + 1 < DIMS:
+            out = out.selectExpr("*", *[f"({rest(i)}) / l{j}{j} AS l{i}{j}" for i in range(j + 1, DIMS)])
+    return out.selectExpr(*names, *PARAMS, " + ".join(f"2 * ln(l{i}{i})" for i in range(DIMS)) + " AS log_det")
 
 
 def distance(rows: DataFrame) -> DataFrame:
     """rows with m.. and l.. get the squared Mahalanobis distance `d2`."""
     for i in range(DIMS):
-        z = F.col(X[i]) - F.col(f"m{i}")
-        for k in range(i):
-            z = z - F.col(f"l{i}{k}") * F.col(f"z{k}")
-        rows = rows.withColumn(f"z{i}", z / F.col(f"l{i}{i}"))
-    d2 = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, DIMS)), F.col("z0") * F.col("z0"))
-    return rows.withColumn("d2", d2).drop(*[f"z{i}" for i in range(DIMS)])
+        rows = rows.selectExpr("*", f"({' - '.join([f'({X[i]} - m{i})', *[f'l{i}{k} * z{k}' for k in range(i)]])}) / l{i}{i} AS z{i}")
+    return rows.selectExpr("*", " + ".join(f"z{i} * z{i}" for i in range(DIMS)) + " AS d2").drop(*[f"z{i}" for i in range(DIMS)])
 
 
 def nearest_sums(near: DataFrame, params: DataFrame) -> DataFrame:
-    """SUMS of the nearest rows per group and start: of all bins up to the first one that completes their share."""
-    away = distance(near.join(params.drop("by_lang"), "key"))
-    binned = away.groupBy("by_lang", "key", "start", F.floor(F.log(F.col("d2") + 1e-6) * BINS).alias("bin")).agg(*added_up())
-    group = Window.partitionBy("key", "start")
-    before = F.coalesce(F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))  # bins are few
-    binned = binned.withColumns({"before": before, "whole": F.sum("n").over(group)})
-    return binned.where(F.col("before") < F.ceil(F.col("whole") * NEAREST)).groupBy("by_lang", "key", "start").agg(*[F.sum(c).alias(c) for c in SUMS])
+    """SUMS of the nearest rows per group and start, of all bins up to the first one that completes their share; and `was`, the log-determinant of params."""
+    away = distance(near.join(params.drop("by_lang", "was"), "key")).selectExpr("*", f"floor(ln(d2 + 0.000001D) * {BINS}) AS bin")
+    binned = aggregated(away, ["by_lang", "key", "start", "bin"], [*ADDED_UP, "max(log_det) AS was"])
+    group = "(PARTITION BY key, start"
+    before = f"coalesce(sum(n) OVER {group} ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0D)"  # bins are few
+    kept = binned.selectExpr("*", f"{before} AS before", f"sum(n) OVER {group}) AS whole").where(f"before < ceil(whole * {NEAREST}D)")
+    return aggregated(kept, ["by_lang", "key", "start"], [*[f"sum({c}) AS {c}" for c in SUMS], "max(was) AS was"])
 
 
 def estimate(near: DataFrame, folder: str) -> DataFrame | None:
     """Per key the robust centre and scatter, of near (by_lang, key, x0..); None if there are no rows."""
     starts = F.array(F.lit(0), F.when((F.col("x2") < 1) & (F.col("x3") < 1) & (F.col("x4") < 1), 1))  # all rows, and those of ordinary counts
-    first = near.select("*", F.explode(starts).alias("start")).where("start is not null").groupBy("by_lang", "key", "start").agg(*added_up())
-    first = written(first, folder, "starts")
+    first = near.select("*", F.explode(starts).alias("start")).where("start is not null")
+    first = written(aggregated(first, ["by_lang", "key", "start"], ADDED_UP), folder, "starts")
     told = lambda df: F.broadcast(df) if groups <= BROADCAST_GROUPS else df
     params = written(scatter(first), folder, "step_0")
     groups = params.count()
     if not groups:
         return None
     for k in range(1, STEPS_FIRST + STEPS_LAST + 1):
-        before = params.select("key", F.col("log_det").alias("was"))
         params = written(scatter(nearest_sums(near, told(params))), folder, f"step_{k}")
         if k == STEPS_FIRST:
             params = params.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("log_det", "start"))).where("rank = 1").drop("rank")  # two rows a key
-        elif k > STEPS_FIRST and params.join(before, "key").agg(F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0] < SETTLED:
+        elif k > STEPS_FIRST and params.agg(F.expr("max(abs(log_det - was))")).first()[0] < SETTLED:
             break  # every group has settled
-    return told(params.drop("start", "log_det", "by_lang"))
+    return told(params.drop("start", "log_det", "by_lang", "was"))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:

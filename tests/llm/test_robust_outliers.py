@@ -4,9 +4,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe.llm.common import shared_folder
-from helixframe.llm.robust_outliers import CONSISTENT, CUTOFF, NEAREST, X, distance, estimate, quality_rules
+from helixframe.llm.robust_outliers import ADDED_UP, CONSISTENT, CUTOFF, NEAREST, X, aggregated, distance, estimate, nearest_sums, quality_rules, scatter
 
 
 def brute(text):
@@ -120,3 +121,20 @@ def test_a_very_long_text(make, text_of):
 def test_odd_rows(odd, empty):
     assert quality_rules(odd).count() == odd.count()
     assert quality_rules(empty).count() == 0
+
+
+def test_a_step_is_few_commands_to_the_driver(spark, monkeypatch):
+    """Columns made one by one were some 10,000 objects of the driver's JVM for each step."""
+    client = spark.sparkContext._gateway._gateway_client
+    sent, send = [0], client.send_command
+
+    def counted(*args, **more):
+        sent[0] += 1
+        return send(*args, **more)
+
+    columns = [F.randn(i).alias(x) for i, x in enumerate(X)]
+    near = spark.range(100).select(F.lit("=en").alias("by_lang"), F.lit("=en-a").alias("key"), F.lit(0).alias("start"), *columns)
+    monkeypatch.setattr(client, "send_command", counted)
+    params = scatter(aggregated(near, ["by_lang", "key", "start"], ADDED_UP))
+    scatter(nearest_sums(near.drop("start"), params))
+    assert 0 < sent[0] < 3000
