@@ -162,13 +162,13 @@ def scatter(sums: DataFrame) -> DataFrame:
     sums: by_lang, key, start and SUMS of the nearest rows; a row for each group.
     """
     names = ["by_lang", "key", "start", *[c for c in sums.columns if c == "was"]]
-    lang = aggregated(sums, ["by_lang", "start"], [f"sum({c}) AS l_{c}" for c in SUMS])
-    every = aggregated(lang, ["start"], [f"sum(l_{c}) AS a_{c}" for c in SUMS])
+    every = aggregated(sums, ["start"], [f"sum({c}) AS a_{c}" for c in SUMS])
     mean = [f"(a_s{i} / a_n)" for i in range(DIMS)]  # a fixed scatter around the mean of all: without weight but in small tables
     held = [f"a_p{i}{j} + {TOP_PRIOR}D * ({mean[i]} * {mean[j]} + {1.0 if i == j else 0.0}D) AS b_p{i}{j}" for i, j in PAIRS]
     every = every.selectExpr("start", f"a_n + {TOP_PRIOR}D AS b_n", *[f"a_s{i} + {TOP_PRIOR}D * {mean[i]} AS b_s{i}" for i in range(DIMS)], *held)
-    lang = lang.join(F.broadcast(every), "start").selectExpr("by_lang", "start", *[f"l_{c} + {PRIOR}D * b_{c} / b_n AS k_{c}" for c in SUMS])
-    out = sums.join(lang, ["by_lang", "start"]).selectExpr(*names, *[f"{c} + {PRIOR}D * k_{c} / k_n AS t_{c}" for c in SUMS])
+    lang = sums.selectExpr("*", *[f"sum({c}) OVER (PARTITION BY by_lang, start) AS l_{c}" for c in SUMS])  # a row for each group of a language
+    out = lang.join(F.broadcast(every), "start").selectExpr("*", *[f"l_{c} + {PRIOR}D * b_{c} / b_n AS k_{c}" for c in SUMS])
+    out = out.selectExpr(*names, *[f"{c} + {PRIOR}D * k_{c} / k_n AS t_{c}" for c in SUMS])
     out = out.selectExpr(*names, *[f"t_s{i} / t_n AS m{i}" for i in range(DIMS)], *[f"t_p{i}{j} / t_n AS q{i}{j}" for i, j in PAIRS])
     for j in range(DIMS):  # a column of the factor: first its diagonal, then what is below
 
@@ -210,7 +210,8 @@ def estimate(near: DataFrame, folder: str) -> DataFrame | None:
     if not groups:
         return None
     for k in range(1, STEPS_FIRST + STEPS_LAST + 1):
-        params = written(scatter(nearest_sums(near, told(params))), folder, f"step_{k}")
+        nearest = written(nearest_sums(near, told(params)), folder, f"nearest_{k}")  # small, and read twice
+        params = written(scatter(nearest), folder, f"step_{k}")
         if k == STEPS_FIRST:
             params = params.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("log_det", "start"))).where("rank = 1").drop("rank")  # two rows a key
         elif k > STEPS_FIRST and params.agg(F.expr("max(abs(log_det - was))")).first()[0] < SETTLED:
