@@ -33,9 +33,12 @@ def components(links: DataFrame, folder: str, rounds: int = ROUNDS) -> DataFrame
         # a label also hears what its followers see: roots hook onto smaller roots
         heard = seen.select(F.col("root").alias("node"), "near").groupBy("node").agg(F.min("near").alias("heard"))
         met = written(seen.join(heard, "node", "left").select("node", "root", F.least("root", "near", "heard").alias("new")), folder, f"met_{k}")
-        followed = met.select(F.col("new").alias("node")).distinct()  # only labels that some node has are looked up
-        jump = written(met.join(followed, "node", "left_semi").select(F.col("node").alias("new"), F.col("new").alias("jump")), folder, f"jumps_{k}")
-        out = met.join(told(jump, jump.count()), "new", "left").select("node", F.least("new", "jump").alias("root"), (F.least("new", "jump") != F.col("root")).alias("changed"))
+        jump = met
+        if nodes > BROADCAST_ROWS:
+            followed = met.select(F.col("new").alias("node")).distinct()  # only labels that some node has are looked up
+            jump = written(met.join(followed, "node", "left_semi"), folder, f"jumps_{k}")
+        jump = jump.select(F.col("node").alias("new"), F.col("new").alias("jump"))
+        out = met.join(told(jump, nodes if nodes <= BROADCAST_ROWS else jump.count()), "new", "left").select("node", F.least("new", "jump").alias("root"), (F.least("new", "jump") != F.col("root")).alias("changed"))
         out = written(out, folder, f"labels_{k}")
         labels = out.select("node", "root")
         if not out.where("changed").take(1):

@@ -14,7 +14,9 @@ differ in. In the last round pairs must have enough shingles in common by counts
 bins (those in common are at most the sum of the lesser counts) before they leave the task they meet in.
 
 Texts of equal sets count once. Rounds that compare each text with one neighbour of another component join
-large groups of near copies with few comparisons, and a last round compares all pairs that are still apart.
+large groups of near copies with few comparisons. Then each text is compared with a few that it can link with, and a
+last round compares all pairs that are still apart. A step's links join components, not texts: their ends are
+replaced by what has been joined before, so links of a large group are walked once.
 A shingle with more texts than a block is dealt out as pairs of blocks.
 
 Defined results: null and empty texts have the empty set and link with each other; texts of under five
@@ -50,8 +52,10 @@ SEGMENTS, MOST_BITS = 4, 80
 SIM = [f"sim{k}" for k in range(SEGMENTS)]
 #: Bins of a set's counts, and the count from which a bin says nothing.
 BINS, FULL = 256, 255
-#: Rounds of neighbours at most, before all pairs.
-ROUNDS = 3
+#: Rounds of neighbours at most, before all pairs; a round of which fewer than one pair in so many links is the last.
+ROUNDS, FRUITFUL = 3, 4
+#: Texts that each text of a bucket is compared with before all pairs.
+FEW = 4
 #: Texts up to which the ids of those to be compared by whole sets are broadcast; beyond, texts are joined.
 NAMED = 1_000_000
 #: Texts whose sets are held at once in a task.
@@ -266,14 +270,16 @@ def in_blocks(rooted: DataFrame, block: int) -> DataFrame:
     return rooted.join(counts, "gram").select("gram", *ROW, F.explode(F.coalesce(pair, alone)).alias("p")).select("gram", "p.b1", "p.b2", *ROW)
 
 
-def apart(rows: np.ndarray, group: np.ndarray, least: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j) of pairs of one bucket (gram, b1, b2, ROW ..) that can link by size, place and SimHash and whose roots differ."""
+def apart(rows: np.ndarray, group: np.ndarray, least: tuple[int, int], room: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of pairs of one bucket (gram, b1, b2, ROW ..) that can link by size, place and SimHash and whose roots differ; of rows without room (the caller keeps it) no more as the first of a pair."""
     n, _, pos, root = rows[:, 3:7].T
     sim = np.ascontiguousarray(rows[:, 7 : 7 + SEGMENTS]).view(np.uint64)
     at, k = np.arange(len(rows)), 1
     while True:
         at = at[at + k < len(rows)]
         at = at[(group[at] == group[at + k]) & (least[0] * n[at + k] <= least[1] * n[at])]  # in a bucket sizes only grow
+        if room is not None:
+            at = at[room[at] > 0]
         if not len(at):
             return
         i = at[root[at] != root[at + k]]
@@ -283,32 +289,58 @@ def apart(rows: np.ndarray, group: np.ndarray, least: tuple[int, int]) -> Iterat
         k += 1
 
 
-def cross_pairs(rooted: DataFrame, bins: DataFrame, least: tuple[int, int], block: int, folder: str) -> DataFrame:
-    """(a, b), a < b: all pairs of texts that meet, can link, and whose roots differ.
+KEYS = ["gram", "b1", "b2"]
 
-    First rows that have any such pair by SimHash are told, as many as rows at most; only these get their bins.
-    """
-    keys = ["gram", "b1", "b2"]
+
+def open_rows(rooted: DataFrame, least: tuple[int, int], block: int) -> DataFrame:
+    """Rows of buckets (gram, b1, b2, ROW) that have any pair by SimHash whose roots differ: as many as rows at most."""
 
     def told(rows: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         some = np.zeros(len(rows), bool)
         for i, j in apart(rows, group, least):
             some[i] = some[j] = True
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows[some].T], names=[*keys, *ROW])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows[some].T], names=[*KEYS, *ROW])
+
+    return by_bucket(in_blocks(rooted, block), KEYS, told, ", ".join(f"{c} long" for c in [*KEYS, *ROW]))
+
+
+def cross_pairs(some: DataFrame, bins: DataFrame, least: tuple[int, int], few: int | None = None) -> DataFrame:
+    """(a, b), a < b: all pairs of open rows that can link by their bins too and whose roots differ, or so many of each row as the smaller text."""
 
     def found(rows: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         counts = np.ascontiguousarray(rows[:, 7 + SEGMENTS :]).view(np.uint8)
+        room = None if few is None else np.full(len(rows), few)
         left, right = [], []
-        for i, j in apart(rows, group, least):
+        for i, j in apart(rows, group, least, room):
             ok = in_bins(counts[i], counts[j], least)
             left.append(rows[i[ok], 4])
             right.append(rows[j[ok], 4])
+            if room is not None:
+                room[i[ok]] -= 1
         if left:
             yield from in_order(np.concatenate(left), np.concatenate(right))
 
-    schema = ", ".join(f"{c} long" for c in [*keys, *ROW])
-    some = written(by_bucket(in_blocks(rooted, block), keys, told, schema), folder, "open")
-    return by_bucket(some.join(bins, "node").select(*keys, *ROW, "bins"), keys, found, "a long, b long").distinct()
+    return by_bucket(some.join(bins, "node").select(*KEYS, *ROW, "bins"), KEYS, found, "a long, b long").distinct()
+
+
+def still_apart(some: DataFrame, roots: DataFrame) -> DataFrame:
+    """Open rows with the roots as they are now, of buckets where these differ."""
+    rooted = with_roots(some.drop("root"), roots).select(*KEYS, *ROW)
+    differ = rooted.groupBy(*KEYS).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return rooted.join(differ.select(*KEYS), KEYS, "left_semi")
+
+
+def joined(roots: DataFrame | None, links: DataFrame, folder: str) -> DataFrame:
+    """(node, root) with the links: only what they join is walked, a component being one node."""
+    if roots is None:
+        return components(links, folder)
+    ends = links
+    for x in "ab":
+        ends = ends.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left").withColumn(x, F.coalesce(f"root_{x}", x)).drop(f"root_{x}")
+    ends = written(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), folder, "ends")
+    more = components(ends, folder)
+    moved = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("low")), "root", "left").select("node", F.coalesce("low", "root").alias("root"))
+    return written(moved.unionByName(more.join(roots, "node", "left_anti")), folder, "joined")
 
 
 def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: tuple[int, int] = LEAST, block: int = BLOCK, named: int = NAMED, rounds: int = ROUNDS) -> DataFrame:
@@ -320,8 +352,8 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = met_texts(docs.select("node", "n", "grams").dropDuplicates(["node"]), least)
     met = written(met.join(lowest.drop("least"), "node"), folder, "met")
 
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs whose whole sets are as similar as least; texts are read again for the ends of pairs alone."""
+    def linked(pairs: DataFrame, name: str) -> tuple[DataFrame, int, int]:
+        """The pairs whose whole sets are as similar as least, their count and that of all; texts are read again for the ends of pairs alone."""
         pairs = written(pairs, folder, f"{name}_pairs")
         ends = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), folder, f"{name}_ends")
         ids = lowest.join(ends, "node").select("least").distinct()
@@ -331,22 +363,26 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sets = written(sets.select("node", "n", "grams"), folder, f"{name}_sets").dropDuplicates(["node"])
         a, b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("grams").alias(f"grams_{x}")) for x in "ab")
         shared = F.size(F.array_intersect("grams_a", "grams_b"))
-        return written(pairs.join(a, "a").join(b, "b").where(shared * (least[0] + least[1]) >= least[0] * (F.col("n_a") + F.col("n_b"))).select("a", "b"), folder, name)
+        found = written(pairs.join(a, "a").join(b, "b").where(shared * (least[0] + least[1]) >= least[0] * (F.col("n_a") + F.col("n_b"))).select("a", "b"), folder, name)
+        return found, found.count(), pairs.count()
 
-    links, roots = None, None
+    roots = None
     for k in range(rounds + 1):
-        # groups are joined by a pair for each text before all shingles are looked at; what a round leaves is found by the last step
-        more = linked(neighbour_pairs(with_roots(met if k else first_met(met), roots), least), f"links_{k}")
-        if not more.take(1):
-            if k:
-                break
-            continue
-        links = more if links is None else links.union(more)
-        roots = components(links, f"{folder}/components_{k}")
+        # groups are joined by a pair for each text before all shingles are looked at; what a round leaves is found by the last steps
+        more, n, of = linked(neighbour_pairs(with_roots(met if k else first_met(met), roots), least), f"links_{k}")
+        if n:
+            roots = joined(roots, more, f"{folder}/components_{k}")
+        if k and FRUITFUL * n <= of:
+            break
     bins = docs.select("node", "bins").dropDuplicates(["node"])
-    more = linked(cross_pairs(with_roots(met, roots), bins, least, block, folder), "links_last")
-    if more.take(1):
-        roots = components(more if links is None else links.union(more), f"{folder}/components_last")
+    some = written(open_rows(with_roots(met, roots), least, block), folder, "open")
+    for name, few in (("few", FEW), ("last", None)):
+        more, n, _ = linked(cross_pairs(some, bins, least, few), f"links_{name}")
+        if not n:
+            continue
+        roots = joined(roots, more, f"{folder}/components_{name}")
+        if few is not None:
+            some = written(still_apart(some, roots), folder, "still_open")
     of = lowest.select("node", "least")
     of = of.withColumn("root", F.col("node")) if roots is None else of.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = of.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -98,3 +98,16 @@ def test_odd_rows(odd, empty):
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == len(set(ids)) and 1 in ids and 8 in ids and 9 not in ids and ids.count(5) == 1
     assert T.similar_texts(empty).count() == 0 and T.drop_similar_texts(empty).count() == 0
+
+
+def test_a_large_group_is_joined_by_few_links(make, monkeypatch):
+    """Texts that all link with each other, met by the last steps alone: pairs and walked links grow with the texts, not with their square."""
+    base, texts = [f"w{i}" for i in range(200)], 150
+    rows = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(20, 20 + texts)]
+    walked, compared = [], []
+    components, written = T.components, T.written
+    monkeypatch.setattr(T, "components", lambda links, *a: walked.append(links.count()) or components(links, *a))
+    monkeypatch.setattr(T, "written", lambda df, folder, name: (compared.append((out := written(df, folder, name)).count()) or out) if name.endswith("_pairs") else written(df, folder, name))
+    found = T.similar_texts(make(rows), rounds=-1).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(i, 20) for i, _ in rows}
+    assert sum(compared) <= 12 * texts and sum(walked) <= 12 * texts, (compared, walked)
