@@ -47,3 +47,10 @@ def test_genotypes_are_made_once(spark, tmp_path, name):
     assert plan.count("ArrowEvalPython [made(") == 1
     if name != "split_multiallelic_rows":
         assert plan.count("ArrowEvalPython [call_stats_of(") + plan.count("ArrowEvalPython [states_of(") + plan.count("substituted_of(states_of(") == 1
+
+
+@pytest.mark.parametrize("name", ["call_summary_stats", "hardy_weinberg", "dp_summary_stats", "gq_summary_stats"])
+def test_genotypes_stay_in_the_worker_of_their_statistics(spark, tmp_path, name):
+    """Genotypes that a statistic alone looks at are not sent through the JVM: one evaluation holds both kernels."""
+    plan = QUERIES[name](spark, tables(spark, tmp_path, 90, 70))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1 and "_of(made(" in plan

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,6 +12,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from helixframe import functions as fx
+from helixframe.stats import kernels
 
 CALLS = "genotypes array<struct<calls:array<int>>>"
 
@@ -182,3 +184,24 @@ def test_dosages_are_filled_states(spark):
     df = spark.createDataFrame(rows, "g array<struct<calls:array<int>>>").select(fx.dosages("g").alias("d"), fx.mean_substitute(fx.genotype_states("g")).alias("want"))
     for x in df.select("d.values", "d.varies", "want").collect():
         assert x["values"] == x.want and (x.want is None or x.varies == (len(set(x.want)) > 1))
+
+
+def test_even_arrays_have_the_statistics_of_uneven_ones():
+    """Rows of one length take a shorter way; a row of another length beside them makes them take the general one."""
+    r = np.random.default_rng(5)
+    for alleles in (1, 2, 3, 12):
+        calls = r.integers(-1, alleles, (9, 40, 2))
+        calls[0], calls[1], calls[2, :, 1] = -1, 0, -1
+        even = pa.array(calls.tolist(), pa.list_(pa.list_(pa.int32())))
+        uneven = pa.array([*calls.tolist(), [[0, 0]]], even.type)
+        assert kernels.pair_counts(even) is not None and kernels.pair_counts(uneven) is None
+        for kernel in (kernels.call_summary_stats, kernels.hardy_weinberg, kernels.dosages):
+            one, two = kernel(even).to_pylist(), kernel(uneven).to_pylist()[:-1]
+            for a, b in zip(one, two, strict=True):
+                assert repr(a) == repr(b) or all(np.allclose(a[k], b[k], rtol=1e-12, atol=0, equal_nan=True) for k in a), (a, b)
+    numbers = [[None if x % 5 == 0 else x - 40 for x in row] for row in r.integers(0, 100, (6, 30)).tolist()]
+    numbers += [[None] * 30, [7, *[None] * 29], [3] * 30]
+    for some in (numbers, [[-(2**31), *[2**31 - 1] * 29]]):
+        one, two = (kernels.array_summary_stats(pa.array(x, pa.list_(pa.int32()))).to_pylist() for x in (some, [*some, [1]]))
+        for a, b in zip(one, two[:-1], strict=True):
+            assert all(a[k] is b[k] is None or np.isclose(a[k], b[k], rtol=1e-12, atol=1e-7, equal_nan=True) for k in a), (a, b)
