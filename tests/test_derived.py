@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.plans import derived
+from helixframe.plans import derived, registered
 from helixframe.plans.registered import QUERIES
 
 
@@ -54,3 +54,11 @@ def test_genotypes_stay_in_the_worker_of_their_statistics(spark, tmp_path, name)
     """Genotypes that a statistic alone looks at are not sent through the JVM: one evaluation holds both kernels."""
     plan = QUERIES[name](spark, tables(spark, tmp_path, 90, 70))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [") == 1 and "_of(made(" in plan
+
+
+def test_states_of_blocks_stay_in_the_worker(spark, tmp_path, monkeypatch):
+    plans = []
+    blocks = registered.block_variants_and_samples
+    monkeypatch.setattr(registered, "block_variants_and_samples", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or blocks(df, *a))
+    QUERIES["block_matrix"](spark, tables(spark, tmp_path, 90, 70))
+    assert plans[0].count("ArrowEvalPython [") == 1 and "states_of(made(" in plans[0]

@@ -195,6 +195,7 @@ def test_even_arrays_have_the_statistics_of_uneven_ones():
         even = pa.array(calls.tolist(), pa.list_(pa.list_(pa.int32())))
         uneven = pa.array([*calls.tolist(), [[0, 0]]], even.type)
         assert kernels.pair_counts(even) is not None and kernels.pair_counts(uneven) is None
+        assert kernels.states(even).to_pylist() == kernels.states(uneven).to_pylist()[:-1]
         for kernel in (kernels.call_summary_stats, kernels.hardy_weinberg, kernels.dosages):
             one, two = kernel(even).to_pylist(), kernel(uneven).to_pylist()[:-1]
             for a, b in zip(one, two, strict=True):
