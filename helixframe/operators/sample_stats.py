@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from helixframe.functions.columns import divided
 from helixframe.functions.genotypes import variant_type
-from helixframe.stats.kernels import SAMPLE_COUNTS, sample_counts
+from helixframe.stats.kernels import NO_LEAST, NO_MOST, SAMPLE_COUNTS, SAMPLE_SUMS, Made, lengths, place_counts, place_sums, slices
 
 
 def _per_sample(df: DataFrame, genotypes: str, by: list[str], extra: list[Column]) -> DataFrame:
@@ -36,21 +36,18 @@ def _gathered(per: DataFrame, by: list[str], ids: bool, fields: list[str], name:
 HELD_GROUPS = 64
 
 
-def sample_call_stats_rows(df: DataFrame, genotypes: str = "genotypes", ref: str = "referenceAllele", alts: str = "alternateAlleles", by: list[str] | None = None) -> DataFrame:
-    """One row per group and sample: pos, [sampleId], callRate, nCalled .. rHetHomVar.
+def _added_up(rows: DataFrame, by: list[str], ids: bool, given: int, made: Made | None, counters: tuple, empty: list[int], ways: list, count: Callable) -> DataFrame:
+    """A row for each group, place and task: by, pos, [sampleId] and counters.
 
-    Each task adds up counters of the samples over its batches, so the shuffle has as many rows as
-    samples for each task.
+    rows: by, other arguments of count, [labels], and the genotypes or, last, what they are made of. Each task adds up the counters of
+    the samples over its batches, so the shuffle has as many rows as samples for each task.
     """
-    by, ids = by or [], _has_ids(df, genotypes)
-    types = F.transform(F.col(alts), lambda a: variant_type(F.col(ref), a))
-    rows = df.select(*by, types.alias("__types"), F.col(f"{genotypes}.calls").alias("__calls"), *([F.col(f"{genotypes}.sampleId").alias("__ids")] if ids else []))
-    known = rows.schema.fields[: len(by)]
-    names = [*by, "pos", *(["sampleId"] if ids else []), *SAMPLE_COUNTS]
-    schema = StructType([*known, StructField("pos", IntegerType()), *([StructField("sampleId", StringType())] if ids else []), *[StructField(c, LongType()) for c in SAMPLE_COUNTS]])
+    names = [*by, "pos", *(["sampleId"] if ids else []), *counters]
+    schema = StructType([*rows.schema.fields[: len(by)], StructField("pos", IntegerType()), *([StructField("sampleId", StringType())] if ids else []), *[StructField(c, LongType()) for c in counters]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
+        start = np.array(empty, np.int64).reshape(-1, 1)
 
         def emptied() -> Iterator[pa.RecordBatch]:
             for key, (counts, labels) in held.items():
@@ -63,25 +60,43 @@ def sample_call_stats_rows(df: DataFrame, genotypes: str = "genotypes", ref: str
         kinds: list[pa.DataType] = []
         for batch in batches:
             kinds = [batch.schema.field(c).type for c in range(len(by))]
-            row, place, counts = sample_counts(batch.column(len(by) + 1), batch.column(len(by)))
-            keys = list(zip(*[batch.column(c).to_pylist() for c in range(len(by))])) if by else [()] * batch.num_rows
-            labels = batch.column(len(by) + 2).flatten() if ids else None
-            for key in dict.fromkeys(keys):
-                own = np.ones(len(row), bool) if not by else np.array([k == key for k in keys], bool)[row]
-                at, n = place[own], int(place[own].max(initial=-1)) + 1
-                added = np.stack([np.bincount(at, c[own], n) for c in counts]).astype(np.int64)
-                if key not in held and len(held) >= HELD_GROUPS:
-                    yield from emptied()
-                before, said = held.get(key, (np.zeros((len(SAMPLE_COUNTS), 0), np.int64), []))
-                width = max(n, before.shape[1])
-                total = np.zeros((len(SAMPLE_COUNTS), width), np.int64)
-                total[:, : before.shape[1]] += before
-                total[:, :n] += added
-                held[key] = (total, least_labels(labels.filter(pa.array(own)), at, n, said) if ids else [])
+            for part, genotypes in slices(batch, made):
+                keys = list(zip(*[part.column(c).to_pylist() for c in range(len(by))])) if by else [()] * part.num_rows
+                for key in dict.fromkeys(keys):
+                    own = pa.array([k == key for k in keys])
+                    mine, values = (part, genotypes) if own.true_count == len(keys) else (part.filter(own), genotypes.filter(own))
+                    added = count(values, *mine.columns[len(by) : len(by) + given])
+                    n = added.shape[1]
+                    if key not in held and len(held) >= HELD_GROUPS:
+                        yield from emptied()
+                    before, said = held.get(key, (np.repeat(start, n, 1), []))
+                    if n > before.shape[1]:
+                        before = np.concatenate([before, np.repeat(start, n - before.shape[1], 1)], 1)
+                    for way, a, b in zip(ways, before, added):
+                        way(a[:n], b, out=a[:n])
+                    if ids:
+                        sizes = lengths(mine.column(len(by) + given))
+                        place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                        said = least_labels(mine.column(len(by) + given).flatten(), place, n, said)
+                    held[key] = (before, said)
         yield from emptied()
 
+    return rows.mapInArrow(run, schema)
+
+
+def sample_call_stats_rows(df: DataFrame, genotypes: str = "genotypes", ref: str = "referenceAllele", alts: str = "alternateAlleles", by: list[str] | None = None, *, calls: Made | None = None) -> DataFrame:
+    """One row per group and sample: pos, [sampleId], callRate, nCalled .. rHetHomVar.
+
+    calls, made where they are counted, may stand for the genotypes; they bring no sampleId.
+    """
+    by, ids = by or [], calls is None and _has_ids(df, genotypes)
+    types = F.transform(F.col(alts), lambda a: variant_type(F.col(ref), a))
+    labels = [F.col(f"{genotypes}.sampleId").alias("__ids")] if ids else []
+    source = [F.col(f"{genotypes}.calls").alias("__calls")] if calls is None else [c.alias(f"__of{i}") for i, c in enumerate(calls.columns)]
+    rows = df.select(*by, types.alias("__types"), *labels, *source)
+    each = _added_up(rows, by, ids, 1, calls, SAMPLE_COUNTS, [0] * len(SAMPLE_COUNTS), [np.add] * len(SAMPLE_COUNTS), place_counts)
     least = [F.min("sampleId").alias("sampleId")] if ids else []
-    per = rows.mapInArrow(run, schema).groupBy(*by, "pos").agg(*least, *[F.sum(c).alias(c) for c in SAMPLE_COUNTS])
+    per = each.groupBy(*by, "pos").agg(*least, *[F.sum(c).alias(c) for c in SAMPLE_COUNTS])
     ratio = lambda a, b: divided(F.col(a), F.col(b))
     return per.select(
         *by, "pos", *(["sampleId"] if ids else []), divided(F.col("nCalled"), F.col("nCalled") + F.col("nUncalled")).alias("callRate"), "nCalled", "nUncalled", "nHomRef", "nHet", "nHomVar",
@@ -112,9 +127,23 @@ def sample_call_summary_stats(df: DataFrame, genotypes: str = "genotypes", ref:
     return _gathered(sample_call_stats_rows(df, genotypes, ref, alts, by), by or [], _has_ids(df, genotypes), CALL_FIELDS, "sample_call_summary_stats")
 
 
-def sample_field_stats_rows(df: DataFrame, field: str, genotypes: str = "genotypes", by: list[str] | None = None) -> DataFrame:
-    """One row per group and sample: pos, [sampleId], mean, stdDev, min, max of a genotype field."""
+def sample_field_stats_rows(df: DataFrame, field: str, genotypes: str = "genotypes", by: list[str] | None = None, *, values: Made | None = None) -> DataFrame:
+    """One row per group and sample: pos, [sampleId], mean, stdDev, min, max of a genotype field.
+
+    values, arrays of int made where they are added up, may stand for the field; they bring no sampleId, and each task has a row for each sample.
+    """
     by = by or []
+    if values is not None:
+        rows = df.select(*by, *[c.alias(f"__of{i}") for i, c in enumerate(values.columns)])
+        ways = [np.add, np.add, np.add, np.add, np.minimum, np.maximum]
+        each = _added_up(rows, by, False, 0, values, SAMPLE_SUMS, [0, 0, 0, 0, NO_LEAST, NO_MOST], ways, place_sums)
+        per = each.groupBy(*by, "pos").agg(*[F.sum(c).alias(c) for c in SAMPLE_SUMS[:4]], F.min("min").alias("min"), F.max("max").alias("max"))
+        n, total = F.col("n"), F.col("total")
+        squares = (F.col("high").cast("decimal(18,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("low")).cast("decimal(28,0)")
+        count, whole = n.cast("double"), n.cast("decimal(10,0)") * squares - total.cast("decimal(19,0)") * total.cast("decimal(19,0)")
+        deviation = F.when(n == 1, F.lit(float("nan"))).when(n > 1, F.sqrt(whole.cast("double") / count / (count - 1)))
+        some = lambda c: F.when(n > 0, F.col(c).cast("double")).alias(c)
+        return per.select(*by, "pos", F.when(n > 0, total.cast("double") / count).alias("mean"), deviation.alias("stdDev"), some("min"), some("max"))
     value = F.col(f"g.{field}").cast("double")
     ids = [F.min("g.sampleId").alias("sampleId")] if _has_ids(df, genotypes) else []
     deviation = F.when(F.count(value) == 1, F.lit(float("nan"))).otherwise(F.stddev_samp(value))

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.stats.kernels import SAMPLE_COUNTS, lengths, sample_counts
+from helixframe.stats.kernels import SAMPLE_COUNTS, Made, lengths, place_counts, place_sums, slices
 
 #: Fixed: changes of one base within purines or within pyrimidines.
 TRANSITIONS = {"AG", "GA", "CT", "TC"}
@@ -68,17 +68,16 @@ class PerSample:
         self.counts, self.labels = np.zeros((counters, 0)) + np.array(empty).reshape(-1, 1), []
         self.empty, self.ways = empty, ways
 
-    def add(self, place: np.ndarray, values: np.ndarray, labels: pa.Array | None, samples: int) -> None:
-        """values: a row of counters for each genotype."""
-        if samples > self.counts.shape[1]:
-            more = samples - self.counts.shape[1]
+    def add(self, values: np.ndarray) -> None:
+        """values: a row of counters, by place."""
+        if values.shape[1] > self.counts.shape[1]:
+            more = values.shape[1] - self.counts.shape[1]
             self.counts = np.concatenate([self.counts, np.repeat(np.array(self.empty, float).reshape(-1, 1), more, 1)], 1)
             self.labels += [None] * more
         for own, way, v in zip(self.counts, self.ways, values):
-            if way is np.add:
-                own += np.bincount(place, v, len(own))
-            else:
-                way.at(own, place, v)
+            way(own[: len(v)], v, out=own[: len(v)])
+
+    def label(self, place: np.ndarray, labels: pa.Array | None) -> None:
         if labels is not None and len(place):
             least = pa.table({"p": place, "x": labels}).group_by("p").aggregate([("x", "min")])
             for p, x in zip(least["p"].to_pylist(), least["x_min"].to_pylist()):
@@ -86,9 +85,14 @@ class PerSample:
                     self.labels[p] = x
 
 
+def places(genotypes: pa.Array) -> np.ndarray:
+    n = lengths(genotypes)
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 def labels_of(genotypes: pa.Array) -> pa.Array | None:
     inner = genotypes.flatten()
-    return pc.struct_field(inner, "sampleId") if inner.type.get_field_index("sampleId") >= 0 else None
+    return pc.struct_field(inner, "sampleId") if pa.types.is_struct(inner.type) and inner.type.get_field_index("sampleId") >= 0 else None
 
 
 def call_counters() -> PerSample:
@@ -96,8 +100,10 @@ def call_counters() -> PerSample:
 
 
 def add_calls(held: PerSample, genotypes: pa.Array, ref: pa.Array, alts: pa.Array) -> None:
-    _, place, counts = sample_counts(genotypes, kinds_of(ref, alts))
-    held.add(place, counts, labels_of(genotypes), int(place.max(initial=-1)) + 1)
+    held.add(place_counts(genotypes, kinds_of(ref, alts)))
+    labels = labels_of(genotypes)
+    if labels is not None:
+        held.label(places(genotypes), labels)
 
 
 def field_counters() -> PerSample:
@@ -105,13 +111,24 @@ def field_counters() -> PerSample:
 
 
 def add_field(held: PerSample, genotypes: pa.Array, field: str) -> None:
-    n = lengths(genotypes)
-    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    if not pa.types.is_struct(genotypes.type.value_type):
+        n, total, high, low, least, largest = place_sums(genotypes)
+        none = n == 0
+        held.add(np.stack([n, total, high * 2.0**32 + low, np.where(none, np.inf, least), np.where(none, -np.inf, largest)]))
+        return
+    place, width = places(genotypes), int(lengths(genotypes).max(initial=0))
     x = pc.struct_field(genotypes.flatten(), field).cast(pa.float64())
     known = x.is_valid().to_numpy(zero_copy_only=False)
     v = pc.fill_null(x, 0.0).to_numpy(zero_copy_only=False)
-    values = np.stack([known.astype(float), v * known, v * v * known, np.where(known, v, np.inf), np.where(known, v, -np.inf)])
-    held.add(place, values, labels_of(genotypes), int(n.max(initial=0)))
+    values = [known.astype(float), v * known, v * v * known, np.where(known, v, np.inf), np.where(known, v, -np.inf)]
+    added = np.repeat(np.array(held.empty, float).reshape(-1, 1), width, 1)
+    for own, way, each in zip(added, held.ways, values):
+        if way is np.add:
+            own += np.bincount(place, each, width)
+        else:
+            way.at(own, place, each)
+    held.add(added)
+    held.label(place, labels_of(genotypes))
 
 
 def counted(held: PerSample) -> pa.Table:
@@ -167,6 +184,23 @@ class SampleQualitySums(_FieldSums):
     field = "conditionalQuality"
 
 
+def of_made(kind: type, made: Made) -> type:
+    """The table function over rows of which it makes the calls or the field's values itself, some rows at a time.
+
+    Its arguments' columns are those of the table function besides genotypes, then what genotypes are made of; sampleId is null.
+    """
+
+    class OfMade(kind):
+        def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+            given = rows.num_columns - len(made.columns)
+            for part, genotypes in slices(rows, made):
+                names = ["genotypes", *rows.schema.names[:given]]
+                super().eval(pa.RecordBatch.from_arrays([genotypes, *part.columns[:given]], names=names))
+            return iter(())
+
+    return OfMade
+
+
 class MatrixRows:
     """Table function: the rows of a matrix; a null one has none."""
 

@@ -6,6 +6,9 @@ operations for all rows of a batch. Nested calls, array<array<int>>, are flat in
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +18,29 @@ SAME = 1e-10
 _BIG = np.iinfo(np.int32).max
 
 
+@dataclass(frozen=True)
+class Made:
+    """Genotypes, or a field of them, that a kernel makes of columns in the worker that adds them up, so many rows at a time."""
+
+    kernel: Callable[..., pa.Array]
+    columns: list
+    rows: int
+
+    def __reduce__(self):  # a worker knows columns by their count
+        return Made, (self.kernel, [None] * len(self.columns), self.rows)
+
+
+def slices(batch: pa.RecordBatch, made: Made | None) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Stretches of a batch with their genotypes: its last column, or what is made of its last columns."""
+    if made is None:
+        yield batch, batch.column(batch.num_columns - 1)
+        return
+    given = batch.num_columns - len(made.columns)
+    for at in range(0, batch.num_rows, made.rows):
+        part = batch.slice(at, made.rows)
+        yield part, made.kernel(*part.columns[given:])
+
+
 def lengths(column: pa.Array) -> np.ndarray:
     """The lengths of the lists; null ones have none."""
     return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -280,3 +306,89 @@ def sample_counts(column: pa.Array, types: pa.Array) -> tuple[np.ndarray, np.nda
     flags = [c.called, ~c.called, single & (c.high == 0), c.called & c.het, single & (c.high > 0)]
     counts = np.stack([*(f.astype(np.int64) for f in flags), *(np.bincount(c.of[kind == k], minlength=len(c.row)) for k in range(len(TYPES)))])
     return c.row, place, counts
+
+
+#: Bits of a counter of SAMPLE_COUNTS within a word, and the genotypes, of two alleles each, that it counts.
+COUNTER, COUNTED = 6, 31
+
+
+def place_counts(column: pa.Array, types: pa.Array) -> np.ndarray:
+    """SAMPLE_COUNTS for each place among the rows' samples, added up over the rows.
+
+    Where calls are even, what a pair of calls adds to all counters is one word, looked up for the row's kinds of alleles.
+    """
+    each = diploid(column)
+    if each is None or each.max() >= FEW_ALLELES:
+        _, place, counts = sample_counts(column, types)
+        n = int(place.max(initial=-1)) + 1
+        return np.stack([np.bincount(place, c, n) for c in counts]).astype(np.int64)
+    n_types = lengths(types)
+    code = pc.fill_null(pc.index_in(types.flatten(), pa.array(TYPES)), len(TYPES)).to_numpy(zero_copy_only=False)
+    ends, width = np.cumsum(n_types), int(each.max()) + 2
+    known, low = {}, each.min()
+    total = np.zeros((len(SAMPLE_COUNTS), each.shape[1]), np.int64)
+    for at in range(0, len(each), COUNTED):
+        words = np.zeros(each.shape[1], np.int64)
+        for i in range(at, min(at + COUNTED, len(each))):
+            kinds = tuple(code[ends[i] - n_types[i] : ends[i]].tolist())
+            if kinds not in known:
+                known[kinds] = _words(kinds, width)
+            calls = each[i] if low >= -1 else np.maximum(each[i], -1)
+            words += known[kinds].take((calls[:, 0] + 1) * np.int32(width) + calls[:, 1] + np.int32(1))
+        for k, own in enumerate(total):
+            own += words >> COUNTER * k & (1 << COUNTER) - 1
+    return total
+
+
+def _words(kinds: tuple, width: int) -> np.ndarray:
+    """What each pair of calls, from missing on, adds to the counters of a sample where alternate alleles are of these kinds."""
+    out = np.zeros((width, width), np.int64)
+    add = lambda a, b, name: out.__setitem__((a, b), out[a, b] + (1 << COUNTER * SAMPLE_COUNTS.index(name)))
+    for a in range(-1, width - 1):
+        for b in range(-1, width - 1):
+            called = a >= 0 and b >= 0
+            add(a + 1, b + 1, "nCalled" if called else "nUncalled")
+            if called:
+                add(a + 1, b + 1, "nHet" if a != b else "nHomRef" if a == 0 else "nHomVar")
+            for allele in (a, b):
+                if 0 < allele <= len(kinds) and kinds[allele - 1] < len(TYPES):
+                    add(a + 1, b + 1, "n" + TYPES[kinds[allele - 1]])
+    return out.reshape(-1)
+
+
+#: Sums of a sample's integers, in the order of place_sums; squares are high times 2^32 plus low, so that no sum overflows.
+SAMPLE_SUMS = ("n", "total", "high", "low", "min", "max")
+#: What no value leaves as the least and the largest.
+NO_LEAST, NO_MOST = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+LOW = (1 << 32) - 1
+
+
+def place_sums(column: pa.Array) -> np.ndarray:
+    """SAMPLE_SUMS for each place among the rows' arrays of integers of 32 bits at most, nulls left out."""
+    flat = grid(column)
+    if flat is not None:
+        x, known = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False).reshape(len(column), -1), None
+        if flat.null_count:
+            known = flat.is_valid().to_numpy(zero_copy_only=False).reshape(x.shape)
+        most = max(abs(int(x.min())), abs(int(x.max()))) ** 2 * len(x)
+        if most < 1 << 63:
+            squares = np.einsum("ij,ij->j", x, x) if most < 1 << 31 and x.dtype == np.int32 else np.einsum("ij,ij->j", x, x, dtype=np.int64)
+            high, low = squares.astype(np.int64) >> 32, squares.astype(np.int64) & LOW
+        else:
+            squares = x.astype(np.int64) ** 2
+            high, low = (squares >> 32).sum(0), (squares & LOW).sum(0)
+        total = x.sum(0, dtype=x.dtype if most * len(x) < 1 << 62 and x.dtype == np.int32 else np.int64)  # below 2^31
+        if known is None:
+            return np.stack([np.full(x.shape[1], len(x)), total, high, low, x.min(0), x.max(0)]).astype(np.int64)
+        n = np.add.reduce(known.view(np.int8), axis=0, dtype=np.int8 if len(x) < 128 else np.int64).astype(np.int64)
+        least, largest = np.where(known, x, np.iinfo(x.dtype).max).min(0).astype(np.int64), np.where(known, x, np.iinfo(x.dtype).min).max(0).astype(np.int64)
+        return np.stack([n, total.astype(np.int64), high, low, np.where(n > 0, least, NO_LEAST), np.where(n > 0, largest, NO_MOST)])
+    own, flat = lengths(column), column.flatten()
+    place = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+    known, width = flat.is_valid().to_numpy(zero_copy_only=False), int(own.max(initial=0))
+    place, x = place[known], flat.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(SAMPLE_SUMS), width), np.int64)
+    out[4], out[5] = NO_LEAST, NO_MOST
+    for k, (way, v) in enumerate(((np.add, np.ones_like(x)), (np.add, x), (np.add, x * x >> 32), (np.add, x * x & LOW), (np.minimum, x), (np.maximum, x))):
+        way.at(out[k], place, v)
+    return out

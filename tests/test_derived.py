@@ -1,10 +1,15 @@
 """The genotypes that registered queries are made of."""
 
+import re
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from helixframe.plans import derived, registered
 from helixframe.plans.registered import QUERIES
+from helixframe.stats import kernels
 
 
 def tables(spark, folder, parts, samples):
@@ -62,3 +67,35 @@ def test_states_of_blocks_stay_in_the_worker(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(registered, "block_variants_and_samples", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or blocks(df, *a))
     QUERIES["block_matrix"](spark, tables(spark, tmp_path, 90, 70))
     assert plans[0].count("ArrowEvalPython [") == 1 and "states_of(made(" in plans[0]
+
+
+@pytest.mark.parametrize("name", ["sample_call_stats", "sample_dp_stats", "sample_gq_stats", "sql_sample_call_stats", "sql_sample_dp_stats", "sql_sample_gq_stats"])
+def test_sums_of_samples_are_few_rows(spark, tmp_path, monkeypatch, name):
+    """Genotypes are made and added up in one worker, some rows at a time, and tasks, each of which gives a row for each sample, do not grow in number with the genotypes."""
+    d = tables(spark, tmp_path, 90, 70)
+    plain = sorted(QUERIES[name](spark, d).collect(), key=str)
+    monkeypatch.setattr(derived, "CELLS", 200)  # two rows at a time
+    monkeypatch.setattr(derived, "KEPT_CELLS", 200)
+    small = QUERIES[name](spark, d)
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython [made(" not in plan
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\(key#\d+L, (\d+)\)", plan)]
+    assert all(n <= derived.ROUNDS * spark.sparkContext.defaultParallelism for n in dealt)
+    assert sorted(small.collect(), key=str) == plain and len(plain) == 70
+
+
+def test_sums_of_samples_count_any_calls_and_nulls():
+    """The quick ways for even rows and the ways for all others give the same sums."""
+    rng = np.random.default_rng(0)
+    calls, kinds = rng.integers(-1, 4, (80, 7, 2)).tolist(), [[["Transition", "Insertion", None][i % 3], "Unknown"][: i % 3] for i in range(80)]
+    column, types = pa.array(calls, pa.list_(pa.list_(pa.int32()))), pa.array(kinds, pa.list_(pa.string()))
+    _, place, counts = kernels.sample_counts(column, types)
+    assert kernels.place_counts(column, types).tolist() == [np.bincount(place, c, 7).tolist() for c in counts]
+    depths = [[None if rng.random() < 0.3 or b == 3 else int(rng.integers(-5, 1 << 30)) for b in range(6)] for _ in range(40)]
+    uneven = [*depths, [1], None, []]
+    for rows in (depths, uneven):
+        held = [[r[b] for r in rows if r and len(r) > b and r[b] is not None] for b in range(6)]
+        n, total, up, down, low, high = kernels.place_sums(pa.array(rows, pa.list_(pa.int32()))).tolist()
+        squares = [(u << 32) + d for u, d in zip(up, down)]
+        assert n == [len(h) for h in held] and total == [sum(h) for h in held] and squares == [sum(x * x for x in h) for h in held]
+        assert [x for x, h in zip(low, held) if h] == [min(h) for h in held if h] and [x for x, h in zip(high, held) if h] == [max(h) for h in held if h]
