@@ -3,7 +3,10 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from helixframe import functions as fx
+from helixframe.functions.regression import linear_regression_gwas, logistic_regression_gwas
 from helixframe.gwas import linear_regression, logistic_regression
 from helixframe.gwas.logistic import fit_null
 from helixframe.stats.regression import firth, firth_slopes, log_likelihood, sigmoid
@@ -219,3 +222,25 @@ def test_tied_scores_take_the_largest_penalty(spark, metric):
     lean = [("d", "alpha_0", 0.1 + 0.2), ("d", "alpha_1", 0.3)] if metric == "r2" else [("d", "alpha_0", 0.3), ("d", "alpha_1", 0.1 + 0.2)]
     tied = best_alphas(spark.createDataFrame(lean, "label string, alpha string, score double"), {"alpha_0": 1.0, "alpha_1": 2.0}, metric)
     assert tied.first()["alpha"] == "alpha_1"
+
+
+@pytest.mark.parametrize("test", ["linear", "LRT", "Firth"])
+def test_fixed_phenotypes_give_the_same_tests(spark, test):
+    """Phenotypes and covariates that are numpy arrays, of few kinds or many, give what columns of them give; they are no column of each row."""
+    rng = np.random.default_rng(3)
+    calls = [[[int(x), int(z)] for x, z in rng.integers(-1, 2, (60, 2))] for _ in range(12)] + [[[0, 1]] * 60]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(calls)], "i int, calls array<array<int>>")
+    y = rng.normal(size=60) if test == "linear" else (rng.random(60) < 0.4).astype(float)
+    gwas = linear_regression_gwas if test == "linear" else lambda *a, **k: logistic_regression_gwas(*a, test, **k)
+    for second in (rng.integers(0, 3, 60), rng.normal(size=60)):
+        covariates = np.column_stack([np.ones(60), second])
+        filled = rows.select("i", fx.dosages(calls="calls").alias("d")).withColumn("y", F.array(*[F.lit(float(v)) for v in y]))
+        want = {r["i"]: r["r"] for r in filled.where("d.varies").select("i", gwas("d.values", "y", covariates).alias("r")).collect()}
+        frame = rows.select("i", gwas(None, y, covariates, dosages=fx.dosages(calls="calls")).alias("r"))
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython [") == 1 and "tested(dosages_of(" in plan
+        got = {r["i"]: r["r"] for r in frame.collect()}
+        assert got.pop(12) is None and got.keys() == want.keys()
+        for i, r in got.items():
+            flat = lambda s: np.hstack([np.ravel(v) for v in s])
+            np.testing.assert_allclose(flat(r), flat(want[i]), rtol=2e-5, atol=1e-7)
