@@ -158,11 +158,89 @@ def sample_gq_summary_stats(df: DataFrame, genotypes: str = "genotypes", by: lis
     return _gathered(sample_field_stats_rows(df, "conditionalQuality", genotypes, by), by or [], _has_ids(df, genotypes), ["mean", "stdDev", "min", "max"], "sample_gq_summary_stats")
 
 
+#: What tells variants apart.
+SITE_COLUMNS = ["contigName", "start", "end", "referenceAllele", "alternateAlleles"]
+
+
 def merge_variants(frames: list[DataFrame], genotypes: str = "genotypes", sums: dict[str, str] | None = None) -> DataFrame:
     """Cohorts merged by site: genotypes put together and sorted, named columns summed."""
-    site = ["contigName", "start", "end", "referenceAllele", "alternateAlleles"]
     whole = frames[0]
     for f in frames[1:]:
         whole = whole.unionByName(f, allowMissingColumns=True)
     added = [F.sum(c).alias(name) for name, c in (sums or {}).items()]
-    return whole.groupBy(*site).agg(*added, F.sort_array(F.flatten(F.collect_list(genotypes))).alias(genotypes))
+    return whole.groupBy(*SITE_COLUMNS).agg(*added, F.sort_array(F.flatten(F.collect_list(genotypes))).alias(genotypes))
+
+
+def merge_made(cohorts: list[tuple[DataFrame, list[str], Made]], field: str, tasks: int) -> DataFrame:
+    """merge_variants of cohorts (rows, names of the samples, how their values are made) of whose genotypes one field of int is in use.
+
+    Only sites are shuffled, to so many tasks; genotypes are made where they are merged. Where each sample's place in the merged order is
+    told by its name, as for all rows of the same cohorts, that order is found once; values of samples of one name are sorted, nulls first.
+    """
+    whole = None
+    for i, (df, _, made) in enumerate(cohorts):
+        part = df.select(*SITE_COLUMNS, F.struct(F.lit(i).alias("cohort"), *[c.alias(f"of{k}") for k, c in enumerate(made.columns)]).alias("__of"))
+        whole = part if whole is None else whole.unionByName(part)
+    rows = whole.repartition(tasks, *SITE_COLUMNS).groupBy(*SITE_COLUMNS).agg(F.collect_list("__of").alias("__of"))
+    merge = F.arrow_udf(merger([names for _, names, _ in cohorts], [made for *_, made in cohorts], field), f"array<struct<sampleId: string, {field}: int>>")
+    return rows.select(*SITE_COLUMNS, merge("__of").alias("genotypes"))
+
+
+def merger(names: list[list[str]], made: list[Made], field: str) -> Callable[[pa.Array], pa.Array]:
+    """A kernel from lists of (cohort, what its values are made of) to genotypes (sampleId, field), sorted."""
+
+    def placed(cohorts: tuple) -> tuple[np.ndarray, pa.Array, list[np.ndarray]]:
+        """The order of the samples of these cohorts, their names in it, and places of equal names: an array of them for each count."""
+        said = pa.array([x for c in cohorts for x in names[c]], pa.string())
+        order = pa.compute.sort_indices(said).to_numpy()
+        said = said.take(pa.array(order))
+        first = np.flatnonzero(np.concatenate([[True], pa.compute.not_equal(said[1:], said[:-1]).to_numpy(zero_copy_only=False)])) if len(said) else np.zeros(0, int)
+        sizes = np.diff(np.append(first, len(said)))
+        return order, said, [first[sizes == k].reshape(-1, 1) + np.arange(k) for k in np.unique(sizes[sizes > 1])]
+
+    known: dict[tuple, tuple] = {}
+
+    def merge(column: pa.Array) -> pa.Array:
+        sizes, flat = lengths(column), column.flatten()
+        cohort = pa.compute.struct_field(flat, "cohort").to_numpy()
+        values, at = {}, np.zeros(len(flat), np.int64)
+        for c in np.unique(cohort).tolist():
+            own = flat.filter(pa.array(cohort == c))
+            args = [pa.compute.struct_field(own, f"of{k}") for k in range(len(made[c].columns))]
+            x = made[c].kernel(*args).flatten()
+            # nulls are below all values of int
+            values[c] = pa.compute.fill_null(x.cast(pa.int64()), NONE).to_numpy(zero_copy_only=False).reshape(len(own), len(names[c]))
+            at[cohort == c] = np.arange(len(own))
+        ends = np.cumsum(sizes)
+        kinds: dict[tuple, list[int]] = {}
+        for i, (end, n) in enumerate(zip(ends.tolist(), sizes.tolist())):
+            kinds.setdefault(tuple(sorted(cohort[end - n : end].tolist())), []).append(i)
+        parts, rows = [], []
+        for cohorts, own in kinds.items():
+            if cohorts not in known:
+                known[cohorts] = placed(cohorts)
+            order, said, ties = known[cohorts]
+            width, entries = len(cohorts), np.concatenate([np.arange(ends[i] - sizes[i], ends[i]) for i in own]).reshape(len(own), -1)
+            entries = np.take_along_axis(entries, np.argsort(cohort[entries], axis=1, kind="stable"), 1)
+            x = np.concatenate([values[cohorts[k]][at[entries[:, k]]] for k in range(width)], axis=1)[:, order]
+            for places in ties:
+                if places.shape[1] == 2:
+                    one, two = np.take(x, places[:, 0], 1), np.take(x, places[:, 1], 1)
+                    x[:, places[:, 0]], x[:, places[:, 1]] = np.minimum(one, two), np.maximum(one, two)
+                else:
+                    x[:, places] = np.sort(x[:, places], axis=2)
+            gone = x.reshape(-1) == NONE
+            held = pa.array(np.where(gone, 0, x.reshape(-1)).astype(np.int32), mask=gone)
+            labels = said.take(pa.array(np.tile(np.arange(len(said)), len(own))))
+            offsets = pa.array((np.arange(len(own) + 1) * len(said)).astype(np.int32))
+            parts.append(pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([labels, held], names=["sampleId", field])))
+            rows += own
+        if len(parts) == 1:
+            return parts[0]
+        return pa.concat_arrays(parts).take(pa.array(np.argsort(rows))) if parts else pa.array([], pa.list_(pa.struct([("sampleId", pa.string()), (field, pa.int32())])))
+
+    return merge
+
+
+#: Below all values of an int: what stands for null while values are sorted.
+NONE = -(1 << 40)

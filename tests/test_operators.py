@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -224,6 +225,33 @@ def test_merge(spark):
     assert [g.sampleId for g in rows[0].genotypes] == ["s1", "s2"] and rows[0].INFO_DP == 11 and len(rows[1].genotypes) == 1
 
 
+def test_merge_where_genotypes_are_made(spark):
+    """The same as merge_variants, samples in several cohorts and sites in some of them too; only sites are shuffled."""
+    from helixframe.functions.genotypes import field_totals
+    from helixframe.operators.sample_stats import merge_made
+    from helixframe.stats.kernels import Made
+
+    def made(add: int, n: int) -> Made:
+        kernel = lambda key: pa.array([[None if (k + b) % 5 == 0 else (k * 3 + b * add) % 11 for b in range(n)] for k in key.to_pylist()], pa.list_(pa.int32()))
+        return Made(kernel, [F.col("key")], 1)
+
+    names = [["s10", "s2", "s1"], ["s2", "t", "s2", "s1"], ["u"]]
+    rows = [spark.range(low, 30).selectExpr("'1' AS contigName", "id AS start", "id + 1 AS end", "'A' AS referenceAllele", "array('C') AS alternateAlleles", "id AS key") for low in (0, 10, 25)]
+    cohorts = [(df, said, made(i + 1, len(said))) for i, (df, said) in enumerate(zip(rows, names))]
+    frames = []
+    for df, said, how in cohorts:
+        entry = F.arrays_zip(F.array(*[F.lit(x) for x in said]).alias("sampleId"), F.arrow_udf(how.kernel, "array<int>")("key").alias("depth"))
+        frames.append(df.select("*", F.transform(entry, lambda x: F.struct(x["sampleId"].alias("sampleId"), x["depth"].alias("depth"))).alias("genotypes")).drop("key"))
+    merged = merge_made(cohorts, "depth", 3)
+    told = lambda df: {r["start"]: [tuple(g) for g in r["genotypes"]] for r in df.collect()}
+    assert told(merged) == told(merge_variants(frames)) and len(told(merged)) == 30
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("ArrowEvalPython [") < plan.index("Exchange")
+    totals = merged.select("start", field_totals("genotypes", "depth").alias("t"))
+    assert {r["start"]: tuple(r["t"]) for r in totals.collect()} == {k: (len(v), sum(x for _, x in v if x is not None)) for k, v in told(merged).items()}
+    assert "totals_of(merge(" in totals._jdf.queryExecution().executedPlan().toString()  # in one worker
+
+
 def test_pipe(spark, tmp_path):
     df = spark.createDataFrame([("hello",), ("world",), (None,)], "x string").coalesce(1)
     assert [r.text for r in pipe(df, ["cat"]).collect()] == ["hello", "world"]
