@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from helixframe.functions.arrays import array_summary_stats
 from helixframe.functions.columns import ColumnOrName, col, let
 from helixframe.stats import kernels
+from helixframe.stats.kernels import Made
 
 CALL_STATS = "callRate double, nCalled int, nUncalled int, nHet int, nHomozygous array<int>, nNonRef int, nAllelesCalled int, alleleCounts array<int>, alleleFrequencies array<double>"
 HARDY_WEINBERG = "hetFreqHwe double, pValueHwe double"
@@ -76,6 +77,16 @@ def field_totals(genotypes: ColumnOrName, field: str) -> Column:
     return F.arrow_udf(totals_of, "n long, total long")(col(genotypes))
 
 
+def call_totals(calls: Made) -> Column:
+    """struct(n, total, products): genotypes, the sum of their calls, and that of the products of the two calls where both are known; of diploid calls made where they are added up."""
+
+    def totals_of(*columns: pa.Array) -> pa.Array:
+        parts = [kernels.call_totals(x) for _, x in kernels.slices(kernels.batch_of(columns), calls)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kernels.CALL_TOTALS)
+
+    return F.arrow_udf(totals_of, "n long, total long, products long").asNondeterministic()(*calls.columns)
+
+
 def hardy_weinberg(genotypes: ColumnOrName | None = None, *, calls: ColumnOrName | None = None) -> Column:
     """struct(hetFreqHwe, pValueHwe): the expected share of heterozygotes, and the exact mid-p value of a two-sided test.
 

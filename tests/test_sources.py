@@ -3,6 +3,8 @@
 import gzip
 import struct
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,3 +278,41 @@ def test_gff(spark, tmp_path):
 
     own = read_gff(spark, str(tmp_path / "a.gff"), StructType().add("attributes", StringType()).add("ID", StringType()))
     assert own.columns == ["attributes", "ID"] and own.where("ID = 'g1'").first().attributes.startswith("ID=g1")
+
+
+def test_bgen_genotypes_are_encoded_and_decoded_as_arrays(spark, tmp_path):
+    """Even samples take the quick ways, and these give what a sample at a time gives; genotypes and blocks stay in the worker."""
+    from helixframe.functions.genotypes import call_totals
+    from helixframe.sources import bgen, read_bgen_blocks, write_bgen
+    from helixframe.stats.kernels import Made
+
+    rng = np.random.default_rng(0)
+    for k, bits in ((2, 8), (3, 16), (4, 32)):
+        p = [rng.dirichlet(np.ones(k * (k + 1) // 2)).tolist() if i % 4 else [] for i in range(40)] + [[1.0] + [0.0] * (k * (k + 1) // 2 - 1)]
+        rows = [{"phased": False, "ploidy": 2, "posteriorProbabilities": x} for x in p]
+        quick = bgen.diploid_encoded(pa.array(rows, pa.struct([("phased", pa.bool_()), ("ploidy", pa.int32()), ("posteriorProbabilities", pa.list_(pa.float64()))])), k, bits, 2, False)
+        assert quick == bgen.encoded_genotypes(rows, k, bits, 10, 2, False)
+        block = bgen.plain_block(quick[4:], 1)
+        phased, ploidy, probs = bgen.probabilities(block)
+        assert bgen.calls_of_block(block, 0.4).tolist() == [bgen.hard_call(x, n, phased, k, 0.4) for x, n in zip(probs, ploidy)]
+    df = spark.createDataFrame([("1", i, "A", ["C"]) for i in range(9)], "contigName string, start long, referenceAllele string, alternateAlleles array<string>")
+
+    def made(start):
+        rows = [[{"phased": False, "ploidy": 2, "posteriorProbabilities": [float(j == (s + i) % 3) for j in range(3)]} for i in range(4)] for s in start.to_pylist()]
+        return pa.array(rows, pa.list_(pa.struct([("phased", pa.bool_()), ("ploidy", pa.int32()), ("posteriorProbabilities", pa.list_(pa.float64()))])))
+
+    write_bgen(df.repartition(2, "start"), str(tmp_path / "m"), genotypes=Made(made, [F.col("start")], 2), sample_ids=list("abcd"))
+    back = read_bgen_blocks(spark, str(tmp_path / "m")).select("start", call_totals(bgen.made_calls()).alias("t"))
+    assert "ArrowEvalPython [totals_of(" in back._jdf.queryExecution().executedPlan().toString()
+    assert {r.start: tuple(r.t) for r in back.collect()} == {s: (4, sum((s + i) % 3 for i in range(4)), sum((s + i) % 3 == 2 for i in range(4))) for s in range(9)}
+    assert [g.sampleId for g in read_bgen(spark, str(tmp_path / "m")).first().genotypes] == list("abcd")
+
+
+def test_bgen_stretches_are_read_by_tasks_of_their_own(spark, tmp_path, monkeypatch):
+    from helixframe.sources import bgen, write_bgen
+
+    monkeypatch.setattr(bgen, "FILE_BYTES", 1)
+    rows = spark.range(12).selectExpr("'1' AS contigName", "id AS start", "'A' AS referenceAllele", "array('C') AS alternateAlleles", "array(named_struct('ploidy', 2, 'phased', false, 'posteriorProbabilities', array(1D, 0D, 0D))) AS genotypes")
+    write_bgen(rows.coalesce(1), str(tmp_path / "s"))
+    found = bgen.stretches(spark, bgen.bgen_files(spark, str(tmp_path / "s"), False), False)
+    assert found.count() == 12 and found.rdd.getNumPartitions() == 12
