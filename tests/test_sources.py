@@ -316,3 +316,32 @@ def test_bgen_stretches_are_read_by_tasks_of_their_own(spark, tmp_path, monkeypa
     write_bgen(rows.coalesce(1), str(tmp_path / "s"))
     found = bgen.stretches(spark, bgen.bgen_files(spark, str(tmp_path / "s"), False), False)
     assert found.count() == 12 and found.rdd.getNumPartitions() == 12
+
+
+def test_vcf_genotypes_are_written_and_parsed_as_arrays(spark, tmp_path):
+    """Even rows take the quick ways, uneven ones go a sample at a time, and both give what write_vcf and read_vcf give; genotypes stay in the worker."""
+    from helixframe.functions.genotypes import first_call_totals
+    from helixframe.sources import read_vcf_lines, vcf_cells
+    from helixframe.stats.kernels import Made
+
+    kind = "array<struct<calls: array<int>, depth: int, conditionalQuality: int>>"
+    arrow = pa.list_(pa.struct([("calls", pa.list_(pa.int32())), ("depth", pa.int32()), ("conditionalQuality", pa.int32())]))
+    rng = np.random.default_rng(1)
+    even = [[{"calls": rng.integers(-1, 3, 2).tolist(), "depth": None if r == 1 or rng.random() < 0.3 else int(rng.integers(-20, 3000)), "conditionalQuality": int(rng.integers(0, 99))} for _ in range(5)] for r in range(4)]
+    odd = [[{"calls": [[0], [1, -1, 0], [], None, [0, 12]][i], "depth": i, "conditionalQuality": None} for i in range(5)]]
+    assert vcf_cells.even_cells(pa.array(odd, arrow)) is None
+    for rows, width in ((even, 4), (even + odd, 2)):
+        df = spark.createDataFrame([("1", i, i + 1, "A", ["C", "G"], i, g) for i, g in enumerate(rows)], f"contigName string, start long, end long, referenceAllele string, alternateAlleles array<string>, i int, genotypes {kind}").coalesce(1)
+        name = str(tmp_path / f"v{width}")
+        write_vcf(df.drop("i"), name + "plain", sample_ids=list("abcde"))
+        write_vcf(df.drop("genotypes"), name, sample_ids=list("abcde"), genotypes=Made(lambda i, rows=rows: pa.array([rows[k] for k in i.to_pylist()], arrow), [F.col("i")], width, kind))
+        assert sorted(r.value for r in spark.read.text(name).collect()) == sorted(r.value for r in spark.read.text(name + "plain").collect())
+        back, genotypes = read_vcf_lines(spark, name, ["calls", "depth"])
+        got = {r.start: tuple(r.t) for r in back.select("start", first_call_totals(genotypes, "depth").alias("t")).collect()}
+        plain = {r.start: r.genotypes for r in read_vcf(spark, name).collect()}
+        assert got == {s: (5, sum(x.calls[0] for x in g if x.calls), sum(x.depth or 0 for x in g)) for s, g in plain.items()}
+    lines = ["1\t1\t.\tA\tC\t.\t.\t.\tDP:GT\t7:0/1\t.:./1\t12:1|0", "1\t1\t.\tA\tC\t.\t.\t.\tGT:XX:DP\t0/1\t1:a\t1/1:b:+3", "1\t1\t.\tA\tC"]
+    first = [{"calls": [0, 1], "depth": 7}, {"calls": [-1, 1], "depth": None}, {"calls": [1, 0], "depth": 12}]
+    second = [{"calls": [0, 1], "depth": None}, {"calls": [1], "depth": None}, {"calls": [1, 1], "depth": 3}]
+    ids = {"calls": "GT", "depth": "DP"}
+    assert vcf_cells.genotypes_of(pa.array(lines[:1]), 3, ids).to_pylist() == [first] and vcf_cells.genotypes_of(pa.array(lines), 3, ids).to_pylist() == [first, second, None]
