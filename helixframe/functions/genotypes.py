@@ -54,6 +54,7 @@ def call_summary_stats(genotypes: ColumnOrName | None = None, *, calls: ColumnOr
 
     A genotype with any missing call is uncalled; its known alleles still count as alleles. Here and in hardy_weinberg,
     genotype_states and dosages, calls (array<array<int>>) may stand for the genotypes: another kernel's result then needs no way through the JVM.
+    So may packed calls (binary: two signed bytes for each genotype), which pass through it as one value of a row.
     """
     return _on_calls(call_stats_of, CALL_STATS, genotypes, calls)
 

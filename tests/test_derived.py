@@ -99,3 +99,26 @@ def test_sums_of_samples_count_any_calls_and_nulls():
         squares = [(u << 32) + d for u, d in zip(up, down)]
         assert n == [len(h) for h in held] and total == [sum(h) for h in held] and squares == [sum(x * x for x in h) for h in held]
         assert [x for x, h in zip(low, held) if h] == [min(h) for h in held if h] and [x for x, h in zip(high, held) if h] == [max(h) for h in held if h]
+
+
+def test_packed_calls_give_the_same(monkeypatch):
+    """Packed calls, whole or in slices of a few rows, give what lists of calls give; uneven and null ones too."""
+    rng = np.random.default_rng(3)
+    even = rng.integers(-1, 3, (13, 40, 2))
+    for rows in (even.tolist(), [*even[:3].tolist(), None, even[0, :7].tolist(), []]):
+        column = pa.array(rows, pa.list_(pa.list_(pa.int32())))
+        packed = pa.array([None if r is None else np.array(r, np.int8).tobytes() for r in rows], pa.binary())
+        whole = {f: getattr(kernels, f)(column).to_pylist() for f in ("states", "dosages", "call_summary_stats", "hardy_weinberg")}
+        for stretch in (kernels.STRETCH, 90):
+            monkeypatch.setattr(kernels, "STRETCH", stretch)
+            for f, want in whole.items():
+                got = [str(getattr(kernels, f)(x).to_pylist()) for x in (column, packed, packed.slice(0, len(rows)))]
+                assert got == [str(want)] * 3, f
+                assert str(getattr(kernels, f)(packed.slice(1)).to_pylist()) == str(want[1:])
+        monkeypatch.undo()
+
+
+def test_calls_pass_the_jvm_as_one_value_of_a_row(spark, tmp_path):
+    plan = QUERIES["call_stats_alleles"](spark, tables(spark, tmp_path, 90, 70))._jdf.queryExecution().analyzed().toString()
+    assert "array<array<int>>" not in plan and "genotypes" not in plan
+    assert dict(derived.variants_packed(spark, str(tmp_path)).dtypes)["calls"] == "binary"
