@@ -122,3 +122,30 @@ def test_calls_pass_the_jvm_as_one_value_of_a_row(spark, tmp_path):
     plan = QUERIES["call_stats_alleles"](spark, tables(spark, tmp_path, 90, 70))._jdf.queryExecution().analyzed().toString()
     assert "array<array<int>>" not in plan and "genotypes" not in plan
     assert dict(derived.variants_packed(spark, str(tmp_path)).dtypes)["calls"] == "binary"
+
+
+def test_long_rows_are_counted_and_tested_by_their_tails(monkeypatch):
+    """Pairs compared one after the other, and counts of heterozygotes that are no likelier alone, give what all of them give."""
+    rng = np.random.default_rng(4)
+    each = np.concatenate([rng.choice(4, (6, 900, 2), p=p).astype(np.int8) - 1 for p in ([0.1, 0.5, 0.4, 0], [0.02, 0.9, 0.05, 0.03], [0, 0.3, 0.3, 0.4])])
+    each[3], each[4] = -1, 0
+    column, functions = pa.array([r.tobytes() for r in each], pa.binary()), ("call_summary_stats", "hardy_weinberg", "dosages")
+    whole = [getattr(kernels, f)(column).to_pylist() for f in functions]
+    monkeypatch.setattr(kernels, "LONG_ROW", 1)
+    monkeypatch.setattr(kernels, "ALL_HETS", 0)
+    for f, want in zip(functions, whole):
+        got = getattr(kernels, f)(column).to_pylist()
+        if f == "hardy_weinberg":
+            assert [r["pValueHwe"] for r in got] == pytest.approx([r["pValueHwe"] for r in want], rel=1e-12, abs=0)
+        else:
+            assert str(got) == str(want)
+    factorials = kernels._log_factorials(1 << 12)
+    assert len(kernels._no_likelier_hets(1000, 900, 1100, 900, factorials)) < 10  # not all 451
+
+
+@pytest.mark.parametrize("name", ["call_summary_stats", "hardy_weinberg"])
+def test_calls_of_statistics_are_packed(spark, tmp_path, name):
+    plan = QUERIES[name](spark, tables(spark, tmp_path, 90, 70))
+    assert "array<array<int>>" not in plan._jdf.queryExecution().analyzed().toString()
+    rows, calls = derived.sites_with(spark, str(tmp_path), "calls")
+    assert rows.select(calls.alias("c")).dtypes == [("c", "binary")]
