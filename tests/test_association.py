@@ -244,3 +244,24 @@ def test_fixed_phenotypes_give_the_same_tests(spark, test):
         for i, r in got.items():
             flat = lambda s: np.hstack([np.ravel(v) for v in s])
             np.testing.assert_allclose(flat(r), flat(want[i]), rtol=2e-5, atol=1e-7)
+
+
+@pytest.mark.parametrize("test", ["linear", "LRT", "Firth"])
+def test_packed_calls_give_the_tests_of_their_dosages(spark, test):
+    """Rows of packed calls, those that do not vary, that are nearly a covariate, or that are not even, are tested as their dosages are, in one worker."""
+
+    rng = np.random.default_rng(5)
+    n = 60
+    y, calls = rng.integers(0, 2, n).astype(float), rng.choice([-1, 0, 1, 2], (7, n, 2), p=[0.1, 0.5, 0.3, 0.1]).astype(np.int8)
+    calls[2], calls[3] = 1, -1
+    m = np.column_stack([np.ones(n), np.where(np.minimum(calls[4, :, 0], calls[4, :, 1]) < 0, 1, calls[4].sum(1))]) if test == "linear" else np.column_stack([np.ones(n), rng.integers(0, 2, n)])
+    rows = [(i, c.tobytes()) for i, c in enumerate(calls)] + [(7, None), (8, calls[0, : n - 1].tobytes())]
+    f = lambda **k: linear_regression_gwas(None, y + np.arange(n) / 9, m, **k) if test == "linear" else logistic_regression_gwas(None, y, m, test, **k)
+    df = spark.createDataFrame(rows[:-1], "i int, c binary").coalesce(1)
+    got = {r.i: r for r in df.select("i", f(calls=F.col("c")).alias("a"), f(dosages=fx.dosages(calls="c")).alias("b")).collect()}
+    flat = lambda r: np.array([x for v in r for x in (v if isinstance(v, list) else [v])])
+    assert [i for i in range(8) if got[i].a is None] == [i for i in range(8) if got[i].b is None] == [2, 3, 7]
+    for i in (0, 1, 4, 5, 6):
+        assert flat(got[i].a) == pytest.approx(flat(got[i].b), rel=1e-7, abs=1e-10, nan_ok=True), i
+    with pytest.raises(Exception, match="samples"):
+        spark.createDataFrame(rows, "i int, c binary").coalesce(1).select(f(calls=F.col("c"))).collect()
