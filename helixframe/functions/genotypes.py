@@ -93,6 +93,15 @@ def call_totals(calls: Made) -> Column:
     return F.arrow_udf(totals_of, "n long, total long, products long").asNondeterministic()(*calls.columns)
 
 
+def call_sums_of(calls: pa.Array) -> pa.Array:
+    return kernels.call_sums(calls)
+
+
+def call_sums(calls: ColumnOrName) -> Column:
+    """struct(first, second, placed) of packed calls: the sums of first and of second calls, and of first calls times their places from 1."""
+    return F.arrow_udf(call_sums_of, "first long, second long, placed long")(col(calls))
+
+
 def first_call_totals(genotypes: Made, field: str) -> Column:
     """struct(n, first, total): genotypes, the sum of their first calls, and that of a field of integers, both without nulls; of genotypes made where they are added up."""
 

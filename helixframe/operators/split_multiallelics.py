@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -30,12 +32,25 @@ def kept_likelihoods(ploidy: Column, allele: Column) -> Column:
     return F.when(p == 2, diploid).otherwise(slots)
 
 
+def split_packed(calls: pa.Array, allele: pa.Array) -> pa.Array:
+    """Packed calls of the reference and one alternate allele only, as 0 and 1; all calls where the allele is null."""
+    out = []
+    for x, a in zip(calls, allele.to_pylist()):
+        if a is None or not x.is_valid:
+            out.append(x.as_py())
+            continue
+        own = np.frombuffer(x.as_buffer(), np.int8)
+        met = own == a
+        out.append((met.view(np.int8) - (~met & (own != 0)).view(np.int8)).tobytes())
+    return pa.array(out, pa.binary())
+
+
 def split_multiallelics(df: DataFrame, split_info_fields: list[str] | None = None) -> DataFrame:
     """Rows with one alternate allele each; those that were split say so and keep the old alleles in INFO_OLD_MULTIALLELIC.
 
     Calls of other alternate alleles become missing. Likelihoods keep the genotypes of the two
     alleles, arrays with a value per allele keep two, other arrays of split rows become null.
-    Rows without alternate alleles are dropped. Nothing is shuffled.
+    Rows without alternate alleles are dropped. Nothing is shuffled. A binary column calls, packed calls, may stand for the genotypes.
     """
     info = splittable_info(df.schema) if split_info_fields is None else split_info_fields
     many = F.size("alternateAlleles") > 1
@@ -63,6 +78,8 @@ def split_multiallelics(df: DataFrame, split_info_fields: list[str] | None = Non
 
         rebuilt = F.transform("genotypes", lambda g: F.struct(*[field(g, f.name, f.dataType).cast(f.dataType).alias(f.name) for f in kind]))
         out["genotypes"] = F.when(split, rebuilt).otherwise(F.col("genotypes"))
+    if dict(df.dtypes).get("calls") == "binary":
+        out["calls"] = F.arrow_udf(split_packed, "binary")("calls", F.when(split, index + 1))
     names = [c for c in each.columns if not c.startswith("__")]
     said = {**out, "alternateAlleles": F.array("__allele")}
     keep = lambda c: said[c].alias(c, metadata=df.schema[c].metadata) if c in df.columns else said[c].alias(c)

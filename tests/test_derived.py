@@ -149,3 +149,19 @@ def test_calls_of_statistics_are_packed(spark, tmp_path, name):
     assert "array<array<int>>" not in plan._jdf.queryExecution().analyzed().toString()
     rows, calls = derived.sites_with(spark, str(tmp_path), "calls")
     assert rows.select(calls.alias("c")).dtypes == [("c", "binary")]
+
+
+def test_packed_calls_are_split_as_lists_are(spark, tmp_path):
+    from helixframe.functions.genotypes import call_sums
+    from helixframe.operators.split_multiallelics import split_multiallelics
+
+    d = tables(spark, tmp_path, 90, 70)
+    keys = ["start", "alternateAlleles", "splitFromMultiAllelic"]
+    lists = {str([r[k] for k in keys]): [g["calls"] for g in r["genotypes"]] for r in split_multiallelics(derived.variants(spark, d, "calls")).collect()}
+    split = split_multiallelics(derived.variants_packed(spark, d))
+    rows = split.select(*keys, "calls", call_sums("calls").alias("s")).collect()
+    assert {str([r[k] for k in keys]): np.frombuffer(r["calls"], np.int8).reshape(-1, 2).tolist() for r in rows} == lists and len(lists) > 90
+    for r in rows:
+        c = np.array(lists[str([r[k] for k in keys])])
+        assert tuple(r["s"]) == (c[:, 0].sum(), c[:, 1].sum(), (c[:, 0] * np.arange(1, 71)).sum())
+    assert "array<array<int>>" not in QUERIES["split_multiallelic_rows"](spark, d)._jdf.queryExecution().analyzed().toString()
