@@ -265,3 +265,21 @@ def test_packed_calls_give_the_tests_of_their_dosages(spark, test):
         assert flat(got[i].a) == pytest.approx(flat(got[i].b), rel=1e-7, abs=1e-10, nan_ok=True), i
     with pytest.raises(Exception, match="samples"):
         spark.createDataFrame(rows, "i int, c binary").coalesce(1).select(f(calls=F.col("c"))).collect()
+
+
+@pytest.mark.parametrize("regression", [linear_regression, logistic_regression])
+def test_values_may_be_made_where_they_are_tested(spark, regression):
+    """The same rows as with a column of values, without those that do not vary, and no list of values in the plan."""
+    from helixframe.stats import kernels
+
+    rng = np.random.default_rng(6)
+    calls = rng.integers(-1, 3, (9, 30, 2)).astype(np.int8)
+    calls[4] = 1
+    df = spark.createDataFrame([(str(i % 2), i, c.tobytes()) for i, c in enumerate(calls)], "contigName string, start int, c binary").coalesce(1)
+    y = pd.DataFrame({"a": rng.integers(0, 2, 30).astype(float), "b": rng.integers(0, 2, 30).astype(float)})
+    c = pd.DataFrame({"c": rng.normal(size=30)})
+    want = regression(df.select("contigName", "start", fx.dosages(calls="c").alias("d")).where("d.varies").select("contigName", "start", "d.values"), y, c).toPandas()
+    made = regression(df, y, c, values_column=kernels.Made(kernels.dosages, [F.col("c")], 2)).drop("c")
+    assert "array<double>" not in made._jdf.queryExecution().analyzed().toString() and made.columns == list(want.columns)
+    order = ["start", "phenotype"]
+    pd.testing.assert_frame_equal(made.toPandas().sort_values(order, ignore_index=True), want.sort_values(order, ignore_index=True), rtol=1e-9)
