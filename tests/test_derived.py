@@ -165,3 +165,14 @@ def test_packed_calls_are_split_as_lists_are(spark, tmp_path):
         c = np.array(lists[str([r[k] for k in keys])])
         assert tuple(r["s"]) == (c[:, 0].sum(), c[:, 1].sum(), (c[:, 0] * np.arange(1, 71)).sum())
     assert "array<array<int>>" not in QUERIES["split_multiallelic_rows"](spark, d)._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("rows", [[[1, 2, 3], [4, 5, 6]], [[1, None, 3], [4, 5, 6]], [[1], None, [], [4, 5]]])
+def test_places_are_turned(spark, monkeypatch, rows):
+    """The same rows as posexplode's; a place's values stand together where arrays are of one length."""
+    monkeypatch.setattr(derived, "TURNED", 2)
+    df = spark.createDataFrame(list(enumerate(rows)), "k int, a array<int>").coalesce(1)
+    turned = [tuple(r) for r in derived.turned_places(df, ["k"], F.col("a"), "at", "x").collect()]
+    assert sorted(turned, key=str) == sorted(((k, i, x) for k, r in enumerate(rows) for i, x in enumerate(r or [])), key=str)
+    if None not in rows:
+        assert [at for _, at, _ in turned] == [0, 0, 1, 1, 2, 2]
