@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from helixframe.functions.columns import divided
-from helixframe.functions.genotypes import variant_type
-from helixframe.stats.kernels import NO_LEAST, NO_MOST, SAMPLE_COUNTS, SAMPLE_SUMS, Made, lengths, place_counts, place_sums, slices
+from helixframe.functions.genotypes import field_sums, variant_type
+from helixframe.stats.kernels import NO_LEAST, NO_MOST, SAMPLE_COUNTS, SAMPLE_SUMS, Made, lengths, place_counts, place_sums, slices, struct
 
 
 def _per_sample(df: DataFrame, genotypes: str, by: list[str], extra: list[Column]) -> DataFrame:
@@ -171,18 +171,35 @@ def merge_variants(frames: list[DataFrame], genotypes: str = "genotypes", sums:
     return whole.groupBy(*SITE_COLUMNS).agg(*added, F.sort_array(F.flatten(F.collect_list(genotypes))).alias(genotypes))
 
 
-def merge_made(cohorts: list[tuple[DataFrame, list[str], Made]], field: str, tasks: int) -> DataFrame:
+#: Genotypes that are merged at a time where their totals alone are kept.
+MERGED = 1 << 20
+
+
+def merge_made(cohorts: list[tuple[DataFrame, list[str], Made]], field: str, tasks: int, totals: bool = False) -> DataFrame:
     """merge_variants of cohorts (rows, names of the samples, how their values are made) of whose genotypes one field of int is in use.
 
     Only sites are shuffled, to so many tasks; genotypes are made where they are merged. Where each sample's place in the merged order is
     told by its name, as for all rows of the same cohorts, that order is found once; values of samples of one name are sorted, nulls first.
+    With totals, rows have field_totals t of the merged genotypes instead of these, of some rows at a time, so a task may merge as many as it likes.
     """
     whole = None
     for i, (df, _, made) in enumerate(cohorts):
         part = df.select(*SITE_COLUMNS, F.struct(F.lit(i).alias("cohort"), *[c.alias(f"of{k}") for k, c in enumerate(made.columns)]).alias("__of"))
         whole = part if whole is None else whole.unionByName(part)
     rows = whole.repartition(tasks, *SITE_COLUMNS).groupBy(*SITE_COLUMNS).agg(F.collect_list("__of").alias("__of"))
-    merge = F.arrow_udf(merger([names for _, names, _ in cohorts], [made for *_, made in cohorts], field), f"array<struct<sampleId: string, {field}: int>>")
+    merged = merger([names for _, names, _ in cohorts], [made for *_, made in cohorts], field)
+    if totals:
+        most = max(1, MERGED // max(1, sum(len(names) for _, names, _ in cohorts)))
+
+        def merged_totals(column: pa.Array) -> pa.Array:
+            parts = []
+            for at in range(0, len(column), most):
+                x = merged(column.slice(at, most))
+                parts.append(struct({"n": pa.array(lengths(x)), "total": pa.array(field_sums(x, field))}))
+            return pa.concat_arrays(parts)
+
+        return rows.select(*SITE_COLUMNS, F.arrow_udf(merged_totals, "n long, total long")("__of").alias("t"))
+    merge = F.arrow_udf(merged, f"array<struct<sampleId: string, {field}: int>>")
     return rows.select(*SITE_COLUMNS, merge("__of").alias("genotypes"))
 
 

@@ -325,3 +325,19 @@ def test_a_large_right_side_is_not_broadcast(spark, monkeypatch, semi):
     large = join()
     assert "Broadcast" not in plan(large)
     assert sorted(map(tuple, large.collect()), key=str) == sorted(map(tuple, small.collect()), key=str)
+
+
+def test_merged_totals_go_some_rows_at_a_time(spark, monkeypatch):
+    """The totals of merged genotypes, of slices of a batch, so that tasks need not grow in number with the genotypes."""
+    from helixframe.functions.genotypes import field_totals
+    from helixframe.operators import sample_stats
+    from helixframe.stats.kernels import Made
+
+    rows = spark.range(9).selectExpr("'1' AS contigName", "id AS start", "id + 1 AS end", "'A' AS referenceAllele", "array('C') AS alternateAlleles", "id AS key")
+    made = Made(lambda key: pa.array([[None if b == k % 4 else k + b for b in range(4)] for k in key.to_pylist()], pa.list_(pa.int32())), [F.col("key")], 1)
+    cohorts = [(rows, list("abcd"), made), (rows.where("key > 3"), list("dcba"), made)]
+    want = {r.start: tuple(r.t) for r in sample_stats.merge_made(cohorts, "depth", 2).select("start", field_totals("genotypes", "depth").alias("t")).collect()}
+    monkeypatch.setattr(sample_stats, "MERGED", 16)  # two rows
+    totals = sample_stats.merge_made(cohorts, "depth", 1, totals=True)
+    assert {r.start: tuple(r.t) for r in totals.collect()} == want and len(want) == 9
+    assert "array<struct<sampleId" not in totals._jdf.queryExecution().analyzed().toString()
