@@ -176,3 +176,16 @@ def test_places_are_turned(spark, monkeypatch, rows):
     assert sorted(turned, key=str) == sorted(((k, i, x) for k, r in enumerate(rows) for i, x in enumerate(r or [])), key=str)
     if None not in rows:
         assert [at for _, at, _ in turned] == [0, 0, 1, 1, 2, 2]
+
+
+def test_moments_of_even_doubles(monkeypatch):
+    """Arrays of one length give what they give one by one beside others; nulls, NaN, infinities and single elements too."""
+    rng = np.random.default_rng(7)
+    for rows in (rng.normal(size=(5, 8)).tolist(), [[1.0], [2.0]], [[1.0, float("nan")], [2.0, 3.0]], [[1.0, None], [2.0, 3.0]], [[1.0, float("inf")], [2.0, 3.0]]):
+        column = pa.array(rows, pa.list_(pa.float64()))
+        quick = kernels.even_moments(column)
+        plain = not any(x is None or x != x for r in rows for x in r)
+        assert (quick is not None) == plain
+        want = kernels.array_summary_stats(pa.array([*rows, []], pa.list_(pa.float64()))).to_pylist()[:-1]
+        for a, b in zip(kernels.array_summary_stats(column).to_pylist(), want):
+            np.testing.assert_allclose([*a.values()], [*b.values()], rtol=1e-12)
